@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from patronage.llm.simhash import simhash_groups
 from patronage.llm.substring import substring_dedup
 
 
@@ -16,7 +17,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op10_substring_dedup": op10_substring_dedup}
+def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op9_simhash_dedup": op9_simhash_dedup, "op10_substring_dedup": op10_substring_dedup}
 
 WORDS_SQL = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 
