@@ -145,3 +145,8 @@ class WindowHasher:
 
     def at(self, sums: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
         return mix((sums[starts + length] - sums[starts]) * self.down[starts])
+
+
+def let(value: Column, then) -> Column:
+    """``then`` of a value that is computed once, however often lambdas inside ``then`` use it."""
+    return F.element_at(F.transform(F.array(value), then), 1)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from patronage.llm.decontaminate import decontaminate
+from patronage.llm.lines import line_dedup
 from patronage.llm.simhash import simhash_groups
 from patronage.llm.substring import substring_dedup
 
@@ -17,15 +19,56 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op9_simhash_dedup": op9_simhash_dedup, "op10_substring_dedup": op10_substring_dedup}
+QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op3_decontaminate": op3_decontaminate,
+    "op9_simhash_dedup": op9_simhash_dedup,
+    "op10_substring_dedup": op10_substring_dedup,
+}
 
 WORDS_SQL = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 
+BENCH_WORDS_SQL = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
+
 ORACLE_SQL = {
+    "op1_line_dedup": """
+WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+e AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pl FROM l),
+n AS (SELECT doc_id, line, pl, row_number() OVER (PARTITION BY doc_id ORDER BY pl) - 1 AS p FROM e WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+w AS (SELECT doc_id, p, line || chr(10) || lead(line, 1) OVER d || chr(10) || lead(line, 2) OVER d AS k FROM n WINDOW d AS (PARTITION BY doc_id ORDER BY p)),
+r AS (SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS nth FROM w WHERE k IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, p + o AS p FROM r, (VALUES (0), (1), (2)) v(o) WHERE nth > 1),
+x AS (SELECT n.doc_id, n.pl FROM n JOIN g USING (doc_id, p)),
+k AS (SELECT e.doc_id, string_agg(line, chr(10) ORDER BY e.pl) AS t FROM e LEFT JOIN x ON e.doc_id = x.doc_id AND e.pl = x.pl WHERE x.pl IS NULL GROUP BY e.doc_id),
+c AS (SELECT doc_id, count(*) AS n FROM n GROUP BY doc_id),
+m AS (SELECT doc_id, count(*) AS n FROM x GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_lines, CAST(coalesce(m.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+FROM documents d LEFT JOIN k USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)""",
+    "op3_decontaminate": f"""
+WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item, {BENCH_WORDS_SQL} AS w FROM benchmark),
+i AS (SELECT item, unnest(range(1, greatest(len(w) - 8, 2))) AS p, w FROM b WHERE len(w) > 0),
+pat AS (SELECT DISTINCT item, array_to_string(w[p:p + 9], ' ') AS k, least(len(w), 10) AS n FROM i),
+d AS (SELECT doc_id, {BENCH_WORDS_SQL} AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d),
+z AS (SELECT doc_id, p, m, array_to_string(w[p:p + m - 1], ' ') AS k FROM s, (SELECT DISTINCT n AS m FROM pat) WHERE p + m - 1 <= len(w)),
+h AS (SELECT doc_id, p, item, n FROM z JOIN pat ON z.m = pat.n AND z.k = pat.k),
+c AS (SELECT doc_id, count(DISTINCT q) AS hits FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hits, 0) AS BIGINT) AS n_hit, CAST(coalesce(items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(hits, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)""",
     "op10_substring_dedup": f"""
 WITH d AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
 s AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d WHERE len(w) >= 50),
