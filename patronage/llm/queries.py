@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from patronage.llm.decontaminate import decontaminate
 from patronage.llm.lines import line_dedup
+from patronage.llm.mixing import mix_sources
 from patronage.llm.simhash import simhash_groups
 from patronage.llm.substring import substring_dedup
 
@@ -28,6 +29,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents")).drop("copies")
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents"))
 
@@ -35,6 +40,7 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_decontaminate": op3_decontaminate,
+    "op6_mix_sources": op6_mix_sources,
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }
