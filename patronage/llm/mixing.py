@@ -6,10 +6,11 @@ above (a water level over the sources). A source's rate is target / words. Every
 and once more if the cube method picks it, with the fraction as its inclusion probability.
 
 The cube method keeps two totals while it makes the probabilities whole: the number of documents and their words. Its
-flight takes documents from long to short and moves three undecided ones along the one direction that changes neither total until one of them is
-decided, and leaves two. Flights run in blocks of hashed documents, so a source of any size is many small groups;
-what the blocks leave undecided forms new blocks, until one block is left for each source, and its last two documents
-land on the side that fits the words best. Draws come from hashes of doc_ids and ``seed``: reruns agree.
+flight moves three undecided documents along the one direction that changes neither total until one of them is
+decided. Flights run in blocks of hashed documents, so a source of any size is many small groups;
+the two that a block leaves undecided form new blocks, until one block is left for each source. Its flight stops at
+``LANDING`` documents, and of all ways to take or leave these the one that fits the words best, then the number of
+documents, is the landing. Draws come from hashes of doc_ids and ``seed``: reruns agree.
 
 Edge cases: null, empty and blank texts have size 0 and take nothing; a source without words has target 0; rows that
 repeat a doc_id are drawn each on its own; an empty table gives no rows. Other columns are ignored.
@@ -28,6 +29,7 @@ from pyspark.sql.window import Window as W
 from patronage.llm.common import stash, words
 
 WEIGHTS, MOST, BLOCK, SEED = (1, 2, 3), 3, 4000, 11
+LANDING = 14
 #: Sources up to this number are broadcast; beyond it Spark joins them by a shuffle.
 BROADCAST_SOURCES = 100_000
 
@@ -62,7 +64,7 @@ def flight(pi: np.ndarray, size: np.ndarray, draws: np.ndarray, land: bool) -> n
     while True:
         while len(live) < 3 and todo:
             live.append(todo.pop())
-        if len(live) < 3:
+        if len(live) < 3 or land and len(live) + len(todo) <= LANDING:
             break
         a, b, c = live
         u = (x[b] - x[c], x[c] - x[a], x[a] - x[b])
@@ -76,10 +78,13 @@ def flight(pi: np.ndarray, size: np.ndarray, draws: np.ndarray, land: bool) -> n
             p = pi[k] + step * d
             pi[k] = 0.0 if p < eps else 1.0 if p > 1 - eps else p
         live = [k for k in live if 0.0 < pi[k] < 1.0]
+    live += todo
     if land and live:
-        miss = lambda pick: (abs(sum(x[k] * (s - pi[k]) for k, s in zip(live, pick, strict=True))), abs(sum(s - pi[k] for k, s in zip(live, pick, strict=True))), pick)
-        for k, s in zip(live, min(itertools.product((0.0, 1.0), repeat=len(live)), key=miss), strict=True):
-            pi[k] = s
+        ways = (np.arange(1 << len(live))[:, None] >> np.arange(len(live))) & 1
+        of, shares = np.array([x[k] for k in live]), np.array([pi[k] for k in live])
+        miss = np.abs(ways @ of - shares @ of) + 0.01 * of.mean() * np.abs(ways.sum(axis=1) - shares.sum())
+        for k, s in zip(live, ways[np.argmin(miss)].tolist(), strict=True):
+            pi[k] = float(s)
     return np.array(pi)
 
 
@@ -97,7 +102,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def fly(land: bool):
         def one(key: tuple, t: pa.Table) -> pa.Table:
-            order = np.lexsort((np.asarray(t["h"]), -np.asarray(t["size"])))  # the last two are short
+            order = np.lexsort((np.asarray(t["size"]), np.asarray(t["h"])))
             t = t.take(pa.array(order)).select(fields)
             rng = np.random.default_rng([seed, int(land), *(abs(k.as_py()) for k in key)])
             pi = flight(np.asarray(t["pi"]), np.asarray(t["size"]), rng.random(len(order) + 1), land)
