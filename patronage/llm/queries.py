@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patronage.llm.decontaminate import decontaminate
+from patronage.llm.langid import identify, training_rows
 from patronage.llm.lines import line_dedup
 from patronage.llm.mixing import mix_sources
 from patronage.llm.simhash import simhash_groups
@@ -33,6 +34,11 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = identify(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", (~training_rows()).alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents"))
 
@@ -41,6 +47,7 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op6_mix_sources": op6_mix_sources,
+    "op7_language_id": op7_language_id,
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }
