@@ -11,6 +11,8 @@ from patronage.llm.lines import line_dedup
 from patronage.llm.mixing import mix_sources
 from patronage.llm.simhash import simhash_groups
 from patronage.llm.substring import substring_dedup
+from patronage.llm.target_ratio import quality_rules
+from patronage.llm.warc import warc_round_trip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +32,14 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).drop("copies")
 
@@ -46,8 +56,10 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_decontaminate": op3_decontaminate,
+    "op5_quality_rules": op5_quality_rules,
     "op6_mix_sources": op6_mix_sources,
     "op7_language_id": op7_language_id,
+    "op8_warc": op8_warc,
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }
@@ -82,6 +94,11 @@ c AS (SELECT doc_id, count(DISTINCT q) AS hits FROM (SELECT doc_id, unnest(range
 t AS (SELECT doc_id, count(*) AS items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hits, 0) AS BIGINT) AS n_hit, CAST(coalesce(items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(hits, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op8_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN n >= 1000 AND top <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+CASE WHEN n >= 1000 AND top <> page_id THEN top END AS refers_to FROM g""",
     "op10_substring_dedup": f"""
 WITH d AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
 s AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d WHERE len(w) >= 50),
