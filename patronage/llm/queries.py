@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from patronage.llm import quality_gam
 from patronage.llm.decontaminate import decontaminate
 from patronage.llm.langid import identify, training_rows
 from patronage.llm.lines import line_dedup
@@ -27,6 +28,12 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality_gam.train(docs, _table(spark, sf_dir, "labels").where(quality_gam.learnable()))
+    return quality_gam.score(docs, model).select("doc_id", (~quality_gam.learnable()).alias("held_out"), "score", "predicted")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -55,6 +62,7 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_decontaminate": op3_decontaminate,
     "op5_quality_rules": op5_quality_rules,
     "op6_mix_sources": op6_mix_sources,
