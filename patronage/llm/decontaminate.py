@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from patronage.llm.common import stash, text_bytes
 
@@ -52,8 +53,9 @@ def _spans(ends: list[int], sizes: list[int], word_ends: np.ndarray, n_words: in
     return np.cumsum(step[:n_words]) > 0
 
 
-def _scan(docs: DataFrame, patterns: list, dtype: str) -> DataFrame:
-    """One reading of the documents with one automaton."""
+def _scan(docs: DataFrame, patterns: list) -> DataFrame:
+    """One reading of the documents (doc_id, carried columns, doc_text) with one automaton."""
+    keep = docs.columns[:-1]
     shared = docs.sparkSession.sparkContext.broadcast([(r["pattern"], list(r["items"])) for r in patterns])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,7 +66,7 @@ def _scan(docs: DataFrame, patterns: list, dtype: str) -> DataFrame:
         if items:
             automaton.make_automaton()
         for batch in batches:
-            data, offs = text_bytes(batch.column(1))
+            data, offs = text_bytes(batch.column(len(keep)))
             out = {k: [] for k in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "hits")}
             for k in range(batch.num_rows):
                 found = data[offs[k] : offs[k + 1]].tobytes().translate(PLAIN).split()
@@ -85,29 +87,29 @@ def _scan(docs: DataFrame, patterns: list, dtype: str) -> DataFrame:
                     out[c].append(v)
             span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.string()), span)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True))], ["doc_id", *out])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True))], [*keep, *out])
 
-    return docs.mapInArrow(each, f"doc_id {dtype}, {RESULT}")
+    schema = T.StructType([*docs.select(*keep).schema.fields, *T.StructType.fromDDL(RESULT).fields])
+    return docs.mapInArrow(each, schema)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated; also items and hits (word places, both included)."""
-    dtype = dict(docs.dtypes)[id_col]
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("doc_text"))
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block_windows: int = BLOCK_WINDOWS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, carried columns, n_words, n_hit, n_items, items_sha256, contaminated; also items and hits (word places, both included)."""
+    texts = docs.select(F.col(id_col).alias("doc_id"), *carry, F.col(text_col).alias("doc_text"))
     known = stash(benchmark_windows(benchmark, window=window), "windows")
     blocks = max(1, -(-known.count() // block_windows))
     if blocks == 1:
-        return _scan(texts, known.collect(), dtype)
+        return _scan(texts, known.collect())
     # A reading for each block; what they find is united for each row.
     texts = texts.withColumn("row", F.monotonically_increasing_id())
     texts = stash(texts, "texts")
     keyed, out = texts.select(F.col("row").alias("doc_id"), "doc_text"), None
     for b in range(blocks):
         of = known.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == b).collect()
-        one = _scan(keyed, of, "long")
+        one = _scan(keyed, of)
         out = one if out is None else out.unionByName(one)
     places = F.array_distinct(F.flatten(F.collect_list(F.flatten(F.transform("hits", lambda h: F.sequence(h["first"], h["last"]))).alias("p"))))
     whole = out.groupBy(F.col("doc_id").alias("row")).agg(F.max("n_words").alias("n_words"), F.array_sort(places).alias("p"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     hits = F.transform("p", lambda x: F.struct(x.cast("int").alias("first"), x.cast("int").alias("last")))
     result = whole.select("row", "n_words", F.size("p").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("p") > 0).alias("contaminated"), "items", hits.alias("hits"))
-    return texts.select("doc_id", "row").join(result, "row").drop("row")
+    return texts.select("doc_id", *carry, "row").join(result, "row").drop("row")

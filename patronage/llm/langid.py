@@ -32,6 +32,8 @@ from patronage.llm.common import mix, stash, text_bytes
 ORDER, PER_LANGUAGE, SEED = 4, 1500, 7
 SURE, QUANTILE, SLACK, SHORT = 40, 0.999, 0.5, 8.0
 PIECE = 1 << 20
+#: Languages up to this number are broadcast when the sample is drawn; beyond it they are joined by a shuffle.
+BROADCAST_LANGUAGES = 10_000
 SALT = 0x9E3779B97F4A7C15
 
 
@@ -179,7 +181,9 @@ def _limit(n: np.ndarray, base: np.ndarray) -> np.ndarray:
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = PER_LANGUAGE, seed: int = SEED) -> tuple[Model, dict[str, float]]:
     """(model, highest usual cross-entropy of each language) from labelled documents."""
     known = labelled.where(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("doc_text"), F.col(lang_col).cast("string").alias("doc_lang"), F.xxhash64(F.col(id_col), F.lit(seed)).alias("h"))
-    sizes = known.groupBy("doc_lang").agg(F.count("*").alias("n"))
+    sizes = stash(known.groupBy("doc_lang").agg(F.count("*").alias("n")), "langs")
+    if sizes.count() <= BROADCAST_LANGUAGES:
+        sizes = F.broadcast(sizes)
     draw = F.shiftrightunsigned("h", 11) / float(1 << 53)
     sample = stash(known.join(sizes, "doc_lang").where(draw * F.col("n") < per_language).select("doc_text", "doc_lang", "h"), "langsample")
     held = F.pmod(F.xxhash64("h"), F.lit(10)) == 0

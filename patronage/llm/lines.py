@@ -34,9 +34,9 @@ def _numbered(text: Column) -> Column:
     return _numbered_of(F.split(F.coalesce(text, F.lit("")), "\n"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """doc_id, n_lines (with words), n_removed and kept_text, the kept lines joined by ``\\n``."""
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("doc_text"))
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, carried columns, n_lines (with words), n_removed and kept_text, the kept lines joined by ``\\n``."""
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("doc_text"), F.struct(*[F.col(c) for c in carry] or [F.lit(0)]).alias("carried"))
     def window_hashes(lines: Column) -> Column:
         def at(start: Column) -> Column:
             return let(F.array_join(F.slice(lines, start + 1, window), "\n"), lambda x: F.struct(start.alias("start"), F.xxhash64(x).alias("k1"), F.xxhash64(F.lit(window), x).alias("k2")))
@@ -63,4 +63,5 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             ),
         ))
 
-    return joined.select("doc_id", let(F.split(F.coalesce("doc_text", F.lit("")), "\n"), keep).alias("r")).select("doc_id", "r.*")
+    found = joined.select("doc_id", "carried", let(F.split(F.coalesce("doc_text", F.lit("")), "\n"), keep).alias("r"))
+    return found.select("doc_id", *[F.col("carried")[c].alias(c) for c in carry], "r.*")
