@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+import importlib
+
+MODULES = ("axes",)
+
+
+def _load():
+    from patronage.queries import registry
+
+    for name in MODULES:
+        importlib.import_module(f"patronage.queries.{name}")
+    return registry
+
 
 def queries() -> dict:
-    return {}
+    return dict(_load().QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(_load().ORACLE_SQL)
