@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("axes",)
+MODULES = ("axes", "sales", "segments")
 
 
 def _load():
