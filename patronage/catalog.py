@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("axes", "sales", "segments")
+MODULES = ("axes", "sales", "segments", "events")
 
 
 def _load():
