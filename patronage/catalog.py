@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("axes", "sales", "segments", "events")
+MODULES = ("axes", "sales", "segments", "events", "scoring")
 
 
 def _load():
