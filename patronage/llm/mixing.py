@@ -92,7 +92,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, size (words), source_size, target, taken (words, repeats counted) and copies (times taken)."""
     sizes = stash(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.size(words(F.col(text_col))).cast("long").alias("size")), "sizes")
     targets = stash(source_targets(sizes, weights, most), "targets")
-    if targets.count() <= BROADCAST_SOURCES:
+    few = targets.count() <= BROADCAST_SOURCES
+    if few:
         targets = F.broadcast(targets)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = sizes.withColumnRenamed("source", "s").join(targets, F.col("s").eqNullSafe(F.col("source"))).select(
@@ -118,8 +119,10 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if largest is None:
             break
         blocks = F.ceil(F.col("n") / block)
-        dealt = left.join(counts, "source_no")
+        dealt = left.join(F.broadcast(counts) if few else counts, "source_no")
         dealt = dealt.withColumn("block", F.pmod(F.xxhash64("h", F.lit(level)), blocks).cast("int")).drop("n")
+        # Dealt by block as well: a shuffle by source alone would leave a large source to one task.
+        dealt = dealt.repartition("source_no", "block")
         flown = stash(dealt.groupBy("source_no", "block").applyInArrow(fly(largest <= block), kinds), "flown")
         done, left = done.unionByName(flown.where(whole)), flown.where(~whole)
     copies = F.col("base") + F.col("pi").cast("long")
