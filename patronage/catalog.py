@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("axes", "sales", "segments", "events", "scoring")
+MODULES = ("axes", "sales", "segments", "events", "scoring", "tickets")
 
 
 def _load():

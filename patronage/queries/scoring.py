@@ -186,9 +186,10 @@ def top_7(t):
 ACTIONS = "ac AS (SELECT customer_id, 'retention_call' AS action, 25.0 AS cost, lifetime_value * churn_risk_score * 0.3 AS benefit FROM prof WHERE churn_risk_score >= 0.5 UNION ALL SELECT customer_id, 'discount_offer', lifetime_value * 0.02, lifetime_value * churn_risk_score * 0.15 FROM prof WHERE churn_risk_score >= 0.3 UNION ALL SELECT customer_id, 'newsletter', 1.0, lifetime_value * 0.01 FROM prof UNION ALL SELECT customer_id, 'loyalty_reward', 10.0, lifetime_value * 0.05 FROM prof WHERE total_orders >= 10)"
 
 
-@query("CMP-1", f"WITH {PROF}, {ACTIONS} SELECT customer_id, CAST(row_number() OVER (PARTITION BY customer_id ORDER BY cost - benefit, action) AS INT) AS place, action, round(cost, 1) AS cost, round(benefit, 1) AS benefit FROM ac")
+@query("CMP-1", f"WITH {PROF}, {ACTIONS} SELECT customer_id, CAST(row_number() OVER (PARTITION BY customer_id ORDER BY cost - benefit, action) AS INT) AS place, action, CAST(floor(cost) AS BIGINT) AS cost, CAST(floor(benefit) AS BIGINT) AS benefit FROM ac")
 def cmp_1(t):
-    return rounded(sc.next_actions(profiles_of(t)), 1)
+    d = sc.next_actions(profiles_of(t))
+    return d.select("customer_id", "place", "action", F.floor("cost").alias("cost"), F.floor("benefit").alias("benefit"))
 
 
 @query("CMP-2", f"WITH {PROF} SELECT customer_id, CASE WHEN seg_purchase_value = 'high' AND churn_risk_score >= 0.5 THEN 'senior_agent' WHEN seg_purchase_value = 'high' THEN 'account_manager' WHEN seg_return_behavior = 'returner' THEN 'returns_desk' ELSE 'general' END AS queue, CASE primary_channel WHEN 'web' THEN 'evening' WHEN 'pos' THEN 'afternoon' ELSE 'morning' END AS slot FROM prof")
