@@ -288,8 +288,10 @@ def train(pages: DataFrame | None = None, id_col: str = "page_id", html_col: str
     """Potentials from the labelled layouts and from pages that their own markup labels."""
     trees = [parse(p) for p in PAGES for _ in range(COPIES)]
     if pages is not None:
-        chosen = pages.where(F.octet_length(html_col).between(200, 50_000)).select(F.col(id_col).alias("i"), F.col(html_col).alias("h"))
-        for row in chosen.orderBy(F.xxhash64("i", F.lit(seed)), "i").limit(sample).collect():
+        known = pages.where(F.octet_length(html_col).between(200, 50_000)).select(F.col(id_col).alias("i"), F.col(html_col).alias("h"))
+        # The ids are chosen first, so that tasks send the driver ids and not their own best pages.
+        chosen = known.select("i").distinct().orderBy(F.xxhash64("i", F.lit(seed)), "i").limit(sample)
+        for row in known.join(F.broadcast(chosen), "i", "left_semi").orderBy("i").collect():
             nodes = parse(row["h"])
             if _semantic(nodes):
                 trees.append(nodes)
