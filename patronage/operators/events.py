@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 GAP_MINUTES = 30
-BY_TIME = W.partitionBy("entity").orderBy("ts", "event_id")
+def by_time():
+    """Events of an entity in time order."""
+    return W.partitionBy("entity").orderBy("ts", "event_id")
+
 
 
 def seconds_between(later: Column, earlier: Column) -> Column:
@@ -18,9 +21,9 @@ def seconds_between(later: Column, earlier: Column) -> Column:
 
 def sessions(events: DataFrame, gap_minutes: int = GAP_MINUTES) -> DataFrame:
     """One row for each session; a new one begins after a gap of more than ``gap_minutes`` (EVT-1)."""
-    gap = seconds_between(F.col("ts"), F.lag("ts").over(BY_TIME))
+    gap = seconds_between(F.col("ts"), F.lag("ts").over(by_time()))
     marked = events.select("entity", "ts", "event_id", (F.coalesce(gap > 60 * gap_minutes, F.lit(True))).cast("int").alias("new"))
-    numbered = marked.withColumn("session_no", F.sum("new").over(BY_TIME.rowsBetween(W.unboundedPreceding, 0)))
+    numbered = marked.withColumn("session_no", F.sum("new").over(by_time().rowsBetween(W.unboundedPreceding, 0)))
     out = numbered.groupBy("entity", "session_no").agg(F.min("ts").alias("session_start"), F.max("ts").alias("session_end"), F.count("*").alias("events"))
     return out.withColumn("minutes", F.greatest(F.lit(1.0), seconds_between(F.col("session_end"), F.col("session_start")) / 60))
 
@@ -65,7 +68,7 @@ def intensity(events: DataFrame) -> DataFrame:
 
 def first_seen(events: DataFrame) -> DataFrame:
     """Place and time at which an entity first has each type of event (WIN-12)."""
-    seq = events.select("entity", "event_type", "ts", (F.row_number().over(BY_TIME) - 1).alias("i"), F.count("*").over(W.partitionBy("entity")).alias("n"))
+    seq = events.select("entity", "event_type", "ts", (F.row_number().over(by_time()) - 1).alias("i"), F.count("*").over(W.partitionBy("entity")).alias("n"))
     return seq.groupBy("entity", "event_type").agg(F.min("i").alias("first_index"), F.min("ts").alias("first_ts"), F.max("n").alias("n"))
 
 
@@ -89,7 +92,7 @@ def consumption(events: DataFrame, all_types: int) -> DataFrame:
 def thirds(events: DataFrame) -> DataFrame:
     """Event counts by type in the first and last third of an entity's history; the rest of the division is in the last (WIN-13)."""
     mine = W.partitionBy("entity")
-    seq = events.select("entity", "event_type", (F.row_number().over(BY_TIME) - 1).alias("i"), F.count("*").over(mine).alias("n"))
+    seq = events.select("entity", "event_type", (F.row_number().over(by_time()) - 1).alias("i"), F.count("*").over(mine).alias("n"))
     third = F.when(F.col("i") < F.floor(F.col("n") / 3), 0).when(F.col("i") < 2 * F.floor(F.col("n") / 3), 1).otherwise(2)
     return seq.groupBy("entity", third.alias("third"), "event_type").agg(F.count("*").alias("n"))
 
