@@ -32,6 +32,21 @@ def src_1(t):
     return d.select("customer_id", F.col("order_date").cast("string").alias("order_date"), "product_name", "category", "quantity", r("line_item_sales", 4).alias("line_item_sales"))
 
 
+@query("SRC-3", f"WITH {LINES} SELECT order_id, order_id AS order_number, customer_id, product_id, product_type, CAST(quantity AS INT) AS quantity, CAST(floor(line_item_sales) AS BIGINT) AS whole_sales, round(order_total, 2) AS order_total, CAST(year(order_date) AS INT) AS year, CAST(month(order_date) AS INT) AS month FROM lines WHERE order_id % 10 <> 0")
+def src_3(t):
+    """Orders with lines are written as nested JSON, landed as text and flattened."""
+    money = lambda c: F.struct(F.struct(c.cast("decimal(20,6)").cast("string").alias("amount"), F.lit("USD").alias("currencyCode")).alias("shopMoney"))
+    product = F.struct(F.col("product_id").cast("string").alias("legacyResourceId"), F.col("product_type").alias("productType"))
+    node = F.struct(F.col("quantity").cast("int").alias("quantity"), product.alias("product"), money(F.col("list_price")).alias("originalTotalSet"), money(F.col("line_item_sales")).alias("discountedTotalSet"))
+    nested = t.sales_lines.groupBy("order_id", "customer_id", "order_date", "order_total").agg(F.collect_list(F.struct(node.alias("node"))).alias("edges"))
+    customer = F.when(F.col("order_id") % 10 != 0, F.struct(F.col("customer_id").cast("string").alias("legacyResourceId")))
+    doc = F.to_json(F.struct(F.col("order_id").cast("string").alias("legacyResourceId"), F.concat(F.lit("#"), F.col("order_id")).alias("name"), F.col("order_date").cast("string").alias("createdAt"), customer.alias("customer"), money(F.col("order_total")).alias("totalPriceSet"), F.struct("edges").alias("lineItems")))
+    path = landing.work_path(t.spark, "orders-json")
+    nested.select(doc.alias("value")).write.text(path)
+    d = landing.flatten_orders(t.spark.read.text(path))
+    return d.select("order_id", "order_number", "customer_id", "product_id", "product_type", "quantity", F.floor("line_item_sales").alias("whole_sales"), r("order_total", 2).alias("order_total"), "year", "month")
+
+
 @query("SRC-4", "SELECT DISTINCT CAST(conv_id AS VARCHAR) AS id, substr(sha256('ticket:' || conv_id), 1, 16) AS ticket_key, CASE conv_id % 3 WHEN 0 THEN 'c' || conv_id WHEN 1 THEN 'm' || conv_id ELSE 'unknown' END AS customer, CASE conv_id % 2 WHEN 0 THEN 'chat' ELSE 'email' END AS channel, CASE conv_id % 4 WHEN 0 THEN 'open' WHEN 1 THEN 'closed' ELSE 'pending' END AS status, CASE WHEN conv_id % 5 = 0 THEN 'high' ELSE 'normal' END AS priority, CASE WHEN conv_id % 2 = 0 THEN 'a,b' ELSE '' END AS tags FROM conversations")
 def src_4(t):
     c = F.col("ticket_id")
