@@ -395,3 +395,29 @@ def join_10(t):
     total = p.agg(F.count("*").alias("total"))
     stats = p.groupBy("archetype_id").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("archetype_id", "n"))).alias("stats"))
     return total.crossJoin(F.broadcast(stats)).select("total", F.size("stats").cast("long").alias("archetypes"), F.array_max(F.map_values("stats")).alias("largest"))
+
+
+@query("SC-1", "SELECT p_partkey AS product_id, contains(lower(p_name), 'red') OR contains(lower(p_name), 'ring') AS hit FROM part")
+def sc_1(t):
+    from patronage.operators.tickets import any_word
+
+    return t.products.select("product_id", any_word(F.col("product_name"), ("red", "ring")).alias("hit"))
+
+
+@query("SC-5", "SELECT o_orderkey AS order_id, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey + 1 ELSE o_orderkey END AS order_number FROM orders")
+def sc_5(t):
+    name = F.when(F.col("order_id") % 2 == 0, F.concat(F.lit("#"), F.col("order_id") + 1)).otherwise("draft")
+    return t.headers.select("order_id", F.coalesce(F.replace(name, F.lit("#"), F.lit("")).try_cast("long"), F.col("order_id")).alias("order_number"))
+
+
+@query("SC-11", "SELECT c_custkey AS customer_id, round(sqrt(abs(c_acctbal)), 6) AS root, round(ln(1 + abs(c_acctbal)), 6) AS log, round(log2(1 + abs(c_acctbal)), 6) AS log2, round(exp(-abs(c_acctbal) / 10000), 6) AS decay, CAST(sign(c_acctbal) AS INT) AS side, greatest(least(c_acctbal, 5000), 0) AS clipped FROM customer")
+def sc_11(t):
+    b, a = F.col("balance"), F.abs("balance")
+    return t.stores.select("customer_id", r(F.sqrt(a)).alias("root"), r(F.ln(1 + a)).alias("log"), r(F.log2(1 + a)).alias("log2"), r(F.exp(-a / 10000)).alias("decay"), F.signum(b).cast("int").alias("side"), F.greatest(F.least(b, F.lit(5000.0)), F.lit(0.0)).alias("clipped"))
+
+
+@query("SC-12", f"WITH {PROF} SELECT customer_id, 'purchase_value' AS last_axis, seg_customer_maturity AS first_segment FROM prof")
+def sc_12(t):
+    entries = F.array_sort(F.map_entries("dominant_segments"))
+    known = F.filter(entries, lambda e: e["key"].isin("purchase_value", "customer_maturity"))
+    return profiles_of(t).select("customer_id", F.element_at(known, -1)["key"].alias("last_axis"), known[0]["value"].alias("first_segment"))
