@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("axes", "sales", "segments", "events", "scoring", "tickets", "models")
+MODULES = ("axes", "sales", "segments", "events", "scoring", "tickets", "models", "diagnostics")
 
 
 def _load():
