@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronage.llm.common import scratch
+from patronage.llm.common import scratch, stash
 from patronage.llm.decontaminate import decontaminate
 from patronage.llm.langid import identify
 from patronage.llm.lines import line_dedup
@@ -39,9 +39,15 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    heads = simhash_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(heads.withColumnRenamed("doc_id", "head"), F.col("doc_id").eqNullSafe(F.col("head")), "left_semi")
-    return kept.select(*COLUMNS)
+    own = simhash_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    heads = stash(own.groupBy(F.col("doc_id").alias("head")).agg((F.count("*") > 1).alias("again")), "heads")
+    stays = lambda which: docs.join(heads.where(which).select("head"), F.col("doc_id").eqNullSafe(F.col("head")), "left_semi").select(*COLUMNS)
+    if heads.where("again").isEmpty():
+        return stays(F.lit(True))
+    # Only rows whose doc_id repeats are aggregated, within the tasks first.
+    rest = COLUMNS[1:]
+    first = stays(F.col("again")).groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row")).select("doc_id", "row.*")
+    return stays(~F.col("again")).unionByName(first)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
