@@ -25,3 +25,45 @@ def test_empty_documents(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select(*corpus_pipeline.COLUMNS).where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SMALL).count() == 0
+
+
+def rows_of(df):
+    return sorted((tuple(r) for r in df.select("doc_id", "text").collect()), key=str)
+
+
+def test_stages_match_brute_force(spark, make_docs, odd_texts):
+    """Each middle stage against the plain versions of its operator, on rows with repeats, odd texts and clashing columns."""
+    from test_decontaminate import brute as leaks
+    from test_lines import brute as lines
+    from test_simhash import brute_fingerprint, brute_groups
+
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    long = next(t for _, t in items if len((t or "").split()) > 12)
+    same = " ".join(f"word{k}" for k in range(80))
+    texts = [t for i, t in odd_texts if i != 5] + ["a\nb\nc\nd", "x\na\nb\nc\ny", "a\nb\nc", same, same + " end", "before " + long + " after", "A\nB\nC"]
+    rows = list(enumerate(texts, 20)) + [(90, "one two\nthree"), (90, "four five six"), (90, "four five six")]
+    docs = make_docs(rows)
+    kept = lines(list(enumerate(texts, 20)))
+    blank = lambda t: not (t or "").strip(" \t\n\x0b\x0c\r")
+    want = [(i, t if t is None else kept[i][2]) for i, t in enumerate(texts, 20) if blank(t) or not blank(kept[i][2])]
+    assert rows_of(corpus_pipeline.lines(spark, docs.where("doc_id <> 90"), SMALL)) == sorted(want, key=str)
+
+    groups = brute_groups([(i, brute_fingerprint(t)) for i, t in rows if i != 90])
+    alone = [(i, t) for i, t in rows if i != 90 and groups[i] == i]
+    assert rows_of(corpus_pipeline.near(spark, docs.where("doc_id <> 90"), SMALL)) == sorted(alone, key=str)
+    got = rows_of(corpus_pipeline.near(spark, docs, SMALL))
+    assert got == sorted([*alone, (90, "four five six")], key=str)
+
+    clean = [(i, t) for i, t in rows if not leaks(t, items)[1]]
+    assert len(clean) < len(rows) and rows_of(corpus_pipeline.benchmark(spark, docs, SMALL)) == sorted(clean, key=str)
+
+
+def test_null_ids_and_repeated_rows_pass_all_stages(spark, make_docs, odd_texts):
+    german = [(None, "das ist der Hund und die Katze " * 4 + "\nmit Haus"), (300, None)] + [(1000 + k, f"das ist der Hund {k} und die Katze {k * 7} im Haus {k * k} " * 3) for k in range(40)]
+    docs = make_docs(odd_texts + german)
+    left = docs.count()
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SMALL)
+        assert 0 < docs.count() <= left
+        left = docs.count()
+    assert docs.where("doc_id IS NULL").count() <= 1 and docs.where("doc_id = 300").isEmpty()
