@@ -3,6 +3,7 @@
 Lines are split at ``\\n``; a line without a word is never part of a window and is kept, so windows are runs of
 ``window`` neighbouring lines that have words. Windows that occur more than once, in one document or in several, keep
 their first occurrence by (doc_id, place); each later occurrence covers its lines, and covered lines are removed.
+Texts that share a doc_id are told apart by two 64-bit hashes, by which they come in order within that doc_id.
 Windows are judged on the input, not on what is left.
 
 A window travels as two 64-bit hashes and its place. Occurrences are counted with a combine before the shuffle, so a
@@ -10,8 +11,8 @@ window in very many documents costs one row for each task, and the join back to
 adaptive execution splits.
 
 Edge cases: null and empty texts have no lines with words and come back as the empty text; fewer than ``window``
-lines with words lose nothing; rows that repeat a doc_id and its text are one document and stay alike; a null doc_id
-is last in the order. Other columns are ignored.
+lines with words lose nothing; rows that repeat a doc_id and its text are one document and stay alike; different texts
+under one doc_id, null or not, are different documents; a null doc_id is last in the order. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,19 +38,20 @@ def _numbered(text: Column) -> Column:
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, carried columns, n_lines (with words), n_removed and kept_text, the kept lines joined by ``\\n``."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("doc_text"), F.struct(*[F.col(c) for c in carry] or [F.lit(0)]).alias("carried"))
+    texts = texts.withColumn("t1", F.xxhash64("doc_text")).withColumn("t2", F.xxhash64(F.lit(window), "doc_text"))
     def window_hashes(lines: Column) -> Column:
         def at(start: Column) -> Column:
             return let(F.array_join(F.slice(lines, start + 1, window), "\n"), lambda x: F.struct(start.alias("start"), F.xxhash64(x).alias("k1"), F.xxhash64(F.lit(window), x).alias("k2")))
 
         return F.when(F.size(lines) >= window, F.transform(F.sequence(F.lit(0), F.size(lines) - window), at))
 
-    lines = texts.select("doc_id", let(F.transform(_numbered(F.col("doc_text")), lambda x: x["line"]), window_hashes).alias("w"))
-    windows = lines.select("doc_id", F.explode("w").alias("w")).select("doc_id", "w.*")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "start")
+    lines = texts.select("doc_id", "t1", "t2", let(F.transform(_numbered(F.col("doc_text")), lambda x: x["line"]), window_hashes).alias("w"))
+    windows = lines.select("doc_id", "t1", "t2", F.explode("w").alias("w")).select("doc_id", "t1", "t2", "w.*")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2", "start")
     repeated = windows.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(order).alias("first")).where("n > 1").drop("n")
     later = windows.join(repeated, ["k1", "k2"]).where(order > F.col("first"))
-    covered = later.groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
-    joined = texts.join(covered.withColumnRenamed("doc_id", "covered_id"), F.col("doc_id").eqNullSafe(F.col("covered_id")), "left")
+    covered = later.groupBy("doc_id", "t1", "t2").agg(F.collect_set("start").alias("starts"))
+    joined = texts.join(covered.withColumnRenamed("doc_id", "covered_id"), F.col("doc_id").eqNullSafe(F.col("covered_id")) & (texts["t1"] == covered["t1"]) & (texts["t2"] == covered["t2"]), "left")
     spans = F.transform(F.coalesce("starts", F.array().cast("array<int>")), lambda s: F.sequence(s, s + (window - 1)))
 
     def keep(all_lines: Column) -> Column:

@@ -33,3 +33,14 @@ def test_null_ids_and_empty_table(make_docs):
 def test_many_lines_in_one_text(make_docs):
     text = "\n".join(str(k % 700) for k in range(6000))
     assert [(r.n_lines, r.n_removed) for r in line_dedup(make_docs([(1, text)])).collect()] == [(6000, 6000 - 700)]
+
+
+def test_texts_under_one_id_are_told_apart(make_docs):
+    """Each text loses its own repeats alone, whatever its doc_id; of a window in two of them one place stays."""
+    short, long = "p\nq\nr", "u\nv\nw\n" + "\n".join(f"line {k}" for k in range(40)) + "\na\nb\nc"
+    for i in (None, 7):
+        got = {r.kept_text: (r.n_lines, r.n_removed) for r in line_dedup(make_docs([(1, "a\nb\nc"), (i, short), (i, long)])).collect()}
+        assert got == {"a\nb\nc": (3, 0), short: (3, 0), long.removesuffix("\na\nb\nc"): (46, 3)}
+        twice = line_dedup(make_docs([(i, "a\nb\nc"), (i, "a\nb\nc\nd"), (i, "a\nb\nc\nd")])).collect()
+        left = sorted(r.kept_text for r in twice)
+        assert left in (["a\nb\nc", "d", "d"], ["", "a\nb\nc\nd", "a\nb\nc\nd"])
