@@ -7,7 +7,8 @@
 5. mix       - documents with how often the mix to target weights takes them
 
 All stages but the last return the columns of ``documents``; n_chars follows the text. Rows that repeat a doc_id are one
-document: the first of them in text order stays after stage 3. A null doc_id is a document like any other.
+document: the first of them in text order stays after stage 3. A null doc_id is a document like any other: after stage
+3, rows without doc_id are one document only where their texts are the same.
 """
 
 from __future__ import annotations
@@ -39,14 +40,20 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    own = simhash_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    heads = stash(own.groupBy(F.col("doc_id").alias("head")).agg((F.count("*") > 1).alias("again")), "heads")
-    stays = lambda which: docs.join(heads.where(which).select("head"), F.col("doc_id").eqNullSafe(F.col("head")), "left_semi").select(*COLUMNS)
+    # A row without doc_id is told by its text; the first field puts it after all others.
+    none = F.col("doc_id").isNull()
+    keys = {"none": none, "id": F.col("doc_id"), "t1": F.when(none, F.xxhash64("text")).otherwise(0), "t2": F.when(none, F.xxhash64(F.lit(1), "text")).otherwise(0)}
+    keyed = docs.select(F.struct(*[c.alias(k) for k, c in keys.items()]).alias("doc_key"), "text")
+    own = simhash_groups(keyed, id_col="doc_key").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    heads = stash(own.groupBy(F.col("doc_id").alias("head")).agg((F.count("*") > 1).alias("again")).select("head.*", "again"), "heads")
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (keys["t1"] == F.col("head_t1")) & (keys["t2"] == F.col("head_t2"))
+    stays = lambda which: docs.join(heads.where(which).select("id", F.col("t1").alias("head_t1"), F.col("t2").alias("head_t2")), same, "left_semi").select(*COLUMNS)
     if heads.where("again").isEmpty():
         return stays(F.lit(True))
-    # Only rows whose doc_id repeats are aggregated, within the tasks first.
+    # Only rows whose doc_id repeats, or whose text where there is none, are aggregated, within the tasks first.
     rest = COLUMNS[1:]
-    first = stays(F.col("again")).groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row")).select("doc_id", "row.*")
+    of = ["doc_id", *[c.alias(k) for k, c in keys.items() if k in ("t1", "t2")]]
+    first = stays(F.col("again")).groupBy(*of).agg(F.min(F.struct(*rest)).alias("row")).select("doc_id", "row.*")
     return stays(~F.col("again")).unionByName(first)
 
 

@@ -67,3 +67,12 @@ def test_null_ids_and_repeated_rows_pass_all_stages(spark, make_docs, odd_texts)
         assert 0 < docs.count() <= left
         left = docs.count()
     assert docs.where("doc_id IS NULL").count() <= 1 and docs.where("doc_id = 300").isEmpty()
+
+
+def test_near_keeps_each_text_without_id(spark, make_docs):
+    """Rows without doc_id that are no near copies all stay; near copies of a document with a doc_id go, with or without one."""
+    texts = [" ".join(f"w{k}x{j}" for j in range(60)) for k in range(4)]
+    rows = [(5, texts[0]), (None, texts[0]), *[(None, x) for x in texts[1:]], (None, texts[1])]
+    want = [(5, texts[0]), *[(None, x) for x in texts[1:]]]
+    assert rows_of(corpus_pipeline.near(spark, make_docs(rows), SMALL)) == sorted(want, key=str)
+    assert rows_of(corpus_pipeline.near(spark, make_docs(rows[:-1]), SMALL)) == sorted(want, key=str)
