@@ -104,10 +104,11 @@ def log_run(spark: SparkSession, path: str, run_id: str, store_id: str, customer
     spark.createDataFrame([row], RUN_SCHEMA).coalesce(1).write.mode("append").parquet(path)
 
 
-def recluster(points: DataFrame, label: str, fn: Callable[[np.ndarray], np.ndarray], most: int = 200_000, key: str = "customer_id") -> DataFrame:
+def recluster(points: DataFrame, label: str, fn: Callable[[np.ndarray], np.ndarray], most: int = 200_000, key: str = "customer_id", spread: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(key, label, sub): a custom function of a segment's matrix gives labels within it (UDF-5).
 
-    Segments are counted first; one with more than ``most`` rows does not go to one task but keeps sub = -1, for
+    Segments are counted first; one with more than ``most`` rows does not go to one task but to ``spread``, which adds
+    sub to the rows (key, label, x) of all such segments on Spark; without it they keep sub = -1, for
     ``clustering.subdivide`` to split. Within a segment rows come in the order of their key.
     """
     p = points.select(key, F.col(label).cast("string").alias("label"), "x")
@@ -118,7 +119,15 @@ def recluster(points: DataFrame, label: str, fn: Callable[[np.ndarray], np.ndarr
         return pd.DataFrame({key: pdf[key], "label": pdf["label"], "sub": np.asarray(fn(np.stack(pdf["x"].to_numpy())), int)})
 
     small = sized.where(~F.col("large")).select(key, "label", "x").groupBy("label").applyInPandas(each, f"{key} {dict(points.dtypes)[key]}, label string, sub int")
-    return small.unionByName(sized.where("large").select(key, "label", F.lit(-1).alias("sub")))
+    large = sized.where("large").select(key, "label", "x")
+    split = spread(large) if spread else large.withColumn("sub", F.lit(-1))
+    return small.unionByName(split.select(key, "label", F.col("sub").cast("int").alias("sub")))
+
+
+def above_median(rows: DataFrame) -> DataFrame:
+    """sub = 1 where the first feature is above the exact median of its label, else 0; the median is an aggregate."""
+    m = rows.groupBy(F.col("label").alias("of")).agg(F.median(F.get("x", F.lit(0))).alias("middle"))
+    return rows.join(m, F.col("label").eqNullSafe(F.col("of"))).withColumn("sub", (F.get("x", F.lit(0)) > F.col("middle")).cast("int"))
 
 
 def diverse(points: DataFrame, n: int, rounds: int = 5, key: str = "customer_id", seed: int = 1) -> DataFrame:

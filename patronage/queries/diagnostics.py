@@ -140,4 +140,4 @@ def clu_16(t):
 def udf_5(t):
     """Each value segment is split at its median by a function of its matrix."""
     p = profiles_of(t).select("customer_id", F.col("dominant_segments")["purchase_value"].alias("segment"), F.array("lifetime_value").alias("x"))
-    return dg.recluster(p, "segment", lambda x: x[:, 0] > np.median(x[:, 0])).groupBy("label", "sub").agg(F.count("*").alias("n"))
+    return dg.recluster(p, "segment", lambda x: x[:, 0] > np.median(x[:, 0]), spread=dg.above_median).groupBy("label", "sub").agg(F.count("*").alias("n"))

@@ -89,3 +89,18 @@ def test_support_variants(spark):
     got = {r.customer_id: r for r in support.support_variants(orders, items, datetime(2024, 1, 31)).collect()}
     assert (got[1].value_trend, got[1].recency_momentum, got[1].expected_next_purchase_days, got[1].preferred_contact_time) == (1, 0, 2, "morning")
     assert (got[2].expected_next_purchase_days, got[2].preferred_contact_time, got[2].return_frequency) == (365, "evening", 0.0)
+
+
+def test_large_segments_split_as_small_ones(spark):
+    """UDF-5 gives the same labels whether a segment fits a task or not; ties and even counts included."""
+    from unittest import mock
+
+    from patronage.queries import diagnostics as dq
+
+    rows = spark.range(101).selectExpr("id AS customer_id", "map('purchase_value', concat('s', id % 3)) AS dominant_segments", "CAST(id * 37 % 23 AS double) AS lifetime_value")
+    with mock.patch.object(dq, "profiles_of", lambda t: rows):
+        want = sorted(map(tuple, dq.udf_5(None).collect()))
+        whole = dg.recluster
+        with mock.patch.object(dg, "recluster", lambda *a, **b: whole(*a, most=33, **b)):
+            got = sorted(map(tuple, dq.udf_5(None).collect()))
+    assert got == want and len(want) == 6
