@@ -72,6 +72,13 @@ def test_rules_on_odd_texts(spark, make_docs, odd_texts):
     assert quality_rules(make_docs([]), labels).collect() == []
 
 
+def test_all_good_labels_are_trusted(spark):
+    """Each of 25,000 good texts is one word of its own: none may count as if it were untrusted."""
+    docs = spark.range(25_000).selectExpr("id AS doc_id", "lpad(conv(id, 10, 36), 3, '_') AS text")
+    labels = docs.selectExpr("doc_id", "1 AS quality")
+    assert quality_rules(docs, labels).agg({"ratio": "min"}).first()[0] > -0.5
+
+
 def test_pages(spark):
     model = html_content.train()
     right = wrong = 0
