@@ -3,13 +3,21 @@
 Each text gets a 64-bit SimHash over shingles of words. Two fingerprints within ``distance`` bits have, of their
 ``distance // radius`` segments, one in which they differ by ``radius`` bits at most; with the default of two 32-bit
 segments and distance 3 the radius is 1. So every distinct fingerprint is entered once under each of its segments,
-looks up the Hamming ball around each of its segments (the segment and its 32 neighbours), and complete distances
-are verified within the join. Links then make components, named by their smallest doc_id.
+looks up the Hamming ball around each of its segments (the segment and its neighbours with one bit more; a neighbour
+with one bit less finds it from its own side), and complete distances are verified within the join. Links then make components, named by their smallest doc_id.
 
 Copies meet as one fingerprint before any lookup. Where very many distinct fingerprints share a segment (a large
 group of near copies), lookups in that segment go on by a second level: the other half is cut again, and the lookup
 key is the segment with a quarter of which one bit may differ, so a crowded entry does not become all pairs.
 
+``near_groups`` is the same search at a similarity of shingle sets instead of a number of bits. One 64-bit fingerprint
+with a few bits' distance misses most pairs at 0.8, so it takes ``SEGMENTS`` segments of 32 bits over pairs of words
+(which an edit disturbs less than longer shingles), and in each segment the ball over the ``UNSURE`` bits whose votes
+were closest to even, which are those that an edit flips. Texts that meet under a segment are then compared by their
+complete sets of 5-word shingles. Under a key, all texts are first compared with one of them, which another hash names
+under each key; what that links is one component, and only pairs across components are left to compare. So a large
+group of near copies costs a few comparisons for each member, and yet no pair that meets goes unchecked.
+
 Edge cases: a null, empty or blank text has fingerprint zero and links like any other; fewer words than a shingle
 make one shingle of them all; rows that repeat a doc_id each get a result and all their fingerprints count as that
 document's; a null doc_id never names a component unless its component has no other; an empty table gives no rows.
@@ -25,14 +33,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from patronage.llm.common import stash, text_bytes
+from patronage.llm.common import WindowHasher, WordHasher, mix, stash, text_bytes
 from patronage.llm.links import components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
 HALF_MASK, QUARTER_MASK = (1 << 32) - 1, (1 << 16) - 1
 #: From this many distinct fingerprints under one 32-bit segment on, its lookups use the second level.
 CROWDED = 64
+#: Of ``near_groups``: similarity and words of the shingles that decide; segments, unsure bits and words of the shingles that search.
+SIMILARITY, NEAR_SHINGLE, SEGMENTS, UNSURE, SEARCH_SHINGLE = 0.8, 5, 12, 4, 2
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -80,13 +91,19 @@ def _ball(value: Column, bits: int) -> Column:
     return F.array(value, *[value.bitwiseXOR(F.lit(1 << k)) for k in range(bits)])
 
 
+def _half_ball(value: Column, bits: int) -> Column:
+    """The value and all values with one more bit: of two values one bit apart, one has the other in its half."""
+    more = [F.when(value.bitwiseAND(F.lit(1 << k)) == 0, value.bitwiseOR(F.lit(1 << k))) for k in range(bits)]
+    return F.array_compact(F.array(value, *more))
+
+
 def near_pairs(distinct: DataFrame, distance: int = DISTANCE, crowded: int = CROWDED) -> DataFrame:
     """Pairs (a, b), a < b, of distinct fingerprints (column fp) that differ in at most ``distance`` <= 3 bits."""
     if not 0 <= distance <= 3:
         raise ValueError("two segments with radius 1 cover distances up to 3")
     halves = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(s).alias("seg"), _half(F.col("fp"), s).alias("key"), _half(F.col("fp"), 1 - s).alias("rest")) for s in (0, 1)])).alias("h")).select("fp", "h.*")
     table = stash(halves.join(halves.groupBy("seg", "key").agg((F.count("*") >= crowded).alias("many")), ["seg", "key"]), "segments")
-    probes = table.select(F.col("fp").alias("other"), "seg", F.explode(_ball(F.col("key"), 32)).alias("key"), F.col("rest").alias("other_rest"))
+    probes = table.select(F.col("fp").alias("other"), "seg", F.explode(_half_ball(F.col("key"), 32)).alias("key"), F.col("rest").alias("other_rest"))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= distance
     plain = probes.join(table.where(~F.col("many")), ["seg", "key"]).where(near & (F.col("other") != F.col("fp")))
     # In a crowded entry the halves left differ by at most 3 bits, so one of their quarters differs by one at most.
@@ -109,3 +126,154 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
     member = named.select("fp", "component").join(lowest, "component").select("fp", "component_id")
     return marks.join(member, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _shingle_set(words: np.ndarray, windows: WindowHasher, shingle: int) -> np.ndarray:
+    """Distinct hashes of a text's shingles; of all its words if they are fewer."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    length = min(shingle, len(words))
+    return np.unique(windows.at(windows.sums(words), np.arange(len(words) - length + 1), length))
+
+
+def _votes(hashes: np.ndarray, lanes: int) -> np.ndarray:
+    """For each bit of ``lanes`` 64-bit fingerprints, votes for 1 less votes for 0."""
+    ones = np.zeros((lanes, 64), np.int64)
+    salts = mix(np.arange(1, lanes + 1, dtype=np.uint64))[:, None]
+    for at in range(0, len(hashes), 1 << 12):
+        lane = mix(hashes[None, at : at + (1 << 12)] ^ salts)
+        ones += np.unpackbits(lane.astype("<u8").view(np.uint8).reshape(lanes, -1, 8), axis=2, bitorder="little").sum(axis=1, dtype=np.int32)
+    return (2 * ones - len(hashes)).ravel()
+
+
+def _segments(votes: np.ndarray, unsure: int) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit segments of a fingerprint, and the masks of the least sure bits of each."""
+    by = votes.reshape(-1, 32)
+    value = ((by > 0).astype(np.int64) << np.arange(32)).sum(axis=1)
+    return value, np.int64(1) << np.argsort(np.abs(by), axis=1, kind="stable")[:, :unsure]
+
+
+def text_marks(text: Column) -> tuple[Column, Column]:
+    """Two hashes that tell a text from others."""
+    return F.xxhash64(text), F.xxhash64(F.lit(1), text)
+
+
+def _search_rows(docs: DataFrame, segments: int, unsure: int, shingle: int) -> DataFrame:
+    """doc_id, t1, t2 of each row with two hashes of its lower-cased words, its segments and their unsure bits."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, windows = WordHasher(), WindowHasher()
+        for batch in batches:
+            data, offs = text_bytes(batch.column(3))
+            marks, value, mask = np.zeros((batch.num_rows, 2), np.uint64), [], []
+            for k in range(batch.num_rows):
+                low = data[offs[k] : offs[k + 1]].tobytes().translate(LOWER)
+                h = xxhash.xxh3_128_intdigest(b" ".join(low.split()))
+                marks[k] = h >> 64, h & ((1 << 64) - 1)
+                words = hasher(np.frombuffer(low, np.uint8))
+                v, m = _segments(_votes(_shingle_set(words, windows, shingle), -(-segments // 2)), unsure)
+                value.append(v[:segments].tolist())
+                mask.append(m[:segments].ravel().tolist())
+            longs = [pa.array(np.ascontiguousarray(marks[:, c]).view(np.int64)) for c in (0, 1)]
+            arrays = [pa.array(x, pa.list_(pa.int64())) for x in (value, mask)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *longs, *arrays], ["doc_id", "t1", "t2", "n1", "n2", "segments", "masks"])
+
+    return docs.mapInArrow(each, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, t1 long, t2 long, n1 long, n2 long, segments array<long>, masks array<long>")
+
+
+def _probes(classes: DataFrame, segments: int, unsure: int) -> DataFrame:
+    """(key, cid): each class under all keys of its segments' balls; a key holds the segment's number above its bits."""
+    chosen = (np.arange(1 << unsure)[:, None] >> np.arange(unsure)) & 1
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                value = np.asarray(part.column(1).flatten()).reshape(-1, segments, 1)
+                mask = np.asarray(part.column(2).flatten()).reshape(-1, segments, unsure)
+                # The masks of a segment are different bits, so a sum of some of them is their union.
+                keys = (value ^ (mask @ chosen.T)) | (np.arange(segments, dtype=np.int64) << 32)[:, None]
+                cid = np.repeat(np.asarray(part.column(0)), segments << unsure)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(cid)], ["key", "cid"])
+
+    return classes.select("cid", "segments", "masks").mapInArrow(each, "key long, cid long")
+
+
+def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(cid, shingles) from rows of (cid, doc_text)."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, windows = WordHasher(), WindowHasher()
+        for batch in batches:
+            data, offs = text_bytes(batch.column(1))
+            sets = [_shingle_set(hasher(np.frombuffer(data[offs[k] : offs[k + 1]].tobytes().translate(LOWER), np.uint8)), windows, shingle) for k in range(batch.num_rows)]
+            ends = pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32))
+            flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(flat))], ["cid", "shingles"])
+
+    return texts.mapInArrow(each, "cid long, shingles array<long>")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Of pairs (a, b) of classes those whose sets of shingles are as similar as asked."""
+    left, right = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y"))
+    m, n, both = F.size("x"), F.size("y"), F.size(F.array_intersect("x", "y"))
+    # Sets whose sizes differ too much cannot be alike, and are not compared.
+    alike = F.when(F.least(m, n) >= similarity * F.greatest(m, n), both >= similarity * (m + n - both)).otherwise(False)
+    return pairs.join(left, "a").join(right, "b").where(alike).select("a", "b")
+
+
+def _links(crowd: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(cid, component) of the classes that have links, from (key, cid) rows of keys with several classes."""
+    edges, named = None, None
+
+    def labelled() -> DataFrame:
+        if named is None:
+            return crowd.withColumn("label", F.col("cid"))
+        return crowd.join(named, "cid", "left").select("key", "cid", F.coalesce("component", "cid").alias("label"))
+
+    pair = (F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b"))
+    of_key = W.partitionBy("key")
+    for salt in (1, 2, None):
+        rows = labelled()
+        if salt is None:  # all pairs under a key that are not of one component yet
+            left = stash(rows.withColumn("several", F.min("label").over(of_key) < F.max("label").over(of_key)).where("several").drop("several"), "unlinked")
+            other = left.select("key", F.col("cid").alias("other"), F.col("label").alias("other_label"))
+            met = left.join(other, "key").where("cid < other AND label <> other_label")
+        else:  # all classes under a key with one of them
+            first = F.min(F.struct(F.xxhash64("key", "cid", F.lit(salt)).alias("h"), F.col("cid").alias("other"), F.col("label").alias("other_label"))).over(of_key)
+            met = rows.withColumn("first", first).select("cid", "label", "first.other", "first.other_label").where("label <> other_label")
+        found = stash(_alike(met.select(*pair).distinct(), sets, similarity), "alike")
+        if found.isEmpty():
+            continue
+        edges = found if edges is None else edges.unionByName(found)
+        named = components(edges).withColumnRenamed("node", "cid")
+    return named if named is not None else crowd.sparkSession.createDataFrame([], "cid long, component long")
+
+
+def near_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = NEAR_SHINGLE, segments: int = SEGMENTS, unsure: int = UNSURE, search_shingle: int = SEARCH_SHINGLE
+) -> DataFrame:
+    """Near-duplicates by the similarity of their sets of shingles; one row for each different (doc_id, text).
+
+    doc_id, t1 and t2 (``text_marks`` of the text), copies (rows that are the same), group_id (the doc_id that stays of
+    its group) and stays: whether this is the first of its group, by doc_id, null last, then by the text's marks. Texts
+    of the same lower-cased words are one group, and so are texts without words. A null doc_id is a document like any
+    other; different texts under one doc_id are different documents.
+    """
+    t1, t2 = text_marks(F.col(text_col))
+    texts = docs.select(F.col(id_col).alias("doc_id"), t1.alias("t1"), t2.alias("t2"), F.col(text_col).alias("doc_text"))
+    found = _search_rows(texts, segments, unsure, search_shingle)
+    one = [F.first(c).alias(c) for c in ("segments", "masks")]
+    marks = stash(found.groupBy("doc_id", "t1", "t2", "n1", "n2").agg(F.count("*").alias("copies"), *one), "marks")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2")
+    classes = stash(marks.groupBy("n1", "n2").agg(F.min(order).alias("head"), *one).withColumn("cid", F.monotonically_increasing_id()), "classes")
+    crowd = stash(_probes(classes, segments, unsure).withColumn("n", F.count("*").over(W.partitionBy("key"))).where("n > 1").drop("n"), "crowd")
+    met = crowd.select("cid").distinct().join(classes, "cid").select("cid", F.col("head.doc_id").alias("of_id"), F.col("head.t1").alias("of_t1"), F.col("head.t2").alias("of_t2"))
+    same = lambda d, a, b: F.col("doc_id").eqNullSafe(F.col(d)) & (F.col("t1") == F.col(a)) & (F.col("t2") == F.col(b))
+    sets = _shingle_sets(texts.join(stash(met, "met"), same("of_id", "of_t1", "of_t2")).select("cid", "doc_text"), shingle)
+    linked = _links(crowd, stash(sets.groupBy("cid").agg(F.first("shingles").alias("shingles")), "sets"), similarity)
+    grouped = classes.select("n1", "n2", "cid", "head").join(linked, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    heads = grouped.groupBy("component").agg(F.min("head").alias("first"))
+    member = stash(grouped.join(heads, "component").select("n1", "n2", "first"), "member")
+    return marks.join(member, ["n1", "n2"]).select("doc_id", "t1", "t2", "copies", F.col("first.doc_id").alias("group_id"), (order == F.col("first")).alias("stays"))

@@ -2,7 +2,7 @@ import random
 
 import xxhash
 from patronage.llm.links import components
-from patronage.llm.simhash import fingerprints, near_pairs, simhash_groups
+from patronage.llm.simhash import fingerprints, near_groups, near_pairs, simhash_groups, text_marks
 
 
 def brute_fingerprint(text):
@@ -78,3 +78,64 @@ def test_components_of_long_chains(spark):
 
 def test_fingerprint_of_null_is_zero(make_docs):
     assert [r.fp for r in fingerprints(make_docs([(1, None), (2, " ")])).collect()] == [0, 0]
+
+
+def word_sets(text, shingle=5):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").split()
+    return {tuple(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set()
+
+
+def brute_near(rows, similarity=0.8):
+    """Row number -> row that stays of its group, by comparing all pairs of shingle sets."""
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0))
+    sets, parent = [word_sets(t) for _, t in rows], list(range(len(rows)))
+    rank = {k: i for i, k in enumerate(order)}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in order:
+        for b in order:
+            both = len(sets[a] & sets[b])
+            if sets[a] == sets[b] or both >= similarity * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((top(a), top(b)), key=rank.get)
+                parent[y] = x
+    return [top(k) for k in range(len(rows))]
+
+
+def edited(rng, base, share):
+    return " ".join(w if rng.random() > share else f"new{rng.randint(0, 999)}" for w in base.split())
+
+
+def near_rows(rng, groups=10):
+    rows = []
+    for k in range(groups):
+        base = " ".join(rng.choice("abcdefgh") * rng.randint(1, 5) + str(rng.randint(0, 60)) for _ in range(rng.choice([40, 150, 400])))
+        rows += [(100 + 10 * k, base)] + [(100 + 10 * k + j, edited(rng, base, share)) for j, share in enumerate((0.005, 0.01, 0.015, 0.02, 0.06), 1)]
+    return rows
+
+
+def test_near_groups_match_brute_force(make_docs, odd_texts):
+    rows = [*odd_texts[:-2], *near_rows(random.Random(8)), (900, "Same WORDS here"), (None, "no id at all"), (None, "another without id"), (901, "no id  at all")]
+    stays = {(rows[k][0], rows[k][1]) for k in set(brute_near(rows))}
+    got = near_groups(make_docs(rows)).where("stays").collect()
+    marks = {(r.doc_id, r.t1, r.t2) for r in got}
+    docs = make_docs(rows)
+    t1, t2 = text_marks(docs["text"])
+    kept = {(r.doc_id, r.text) for r in docs.select("doc_id", "text", t1.alias("a"), t2.alias("b")).collect() if (r.doc_id, r.a, r.b) in marks}
+    assert kept == stays
+    assert near_groups(make_docs([])).collect() == []
+
+
+def test_near_recall(make_docs):
+    """Pairs at 0.8 or more that brute force links are found, at 0.97 or better; nothing else is linked."""
+    rng = random.Random(2)
+    base = " ".join(f"w{rng.randint(0, 400)}" for _ in range(200))
+    rows = [(k, edited(rng, base if k < 150 else base[::-1], 0.02)) for k in range(300)]
+    want = brute_near(rows)
+    got = {r.doc_id: r.group_id for r in near_groups(make_docs(rows)).collect()}
+    linked = [(a, b) for a in range(300) for b in range(a) if want[a] == want[b]]
+    assert len(linked) > 1000 and sum(got[a] == got[b] for a, b in linked) > 0.97 * len(linked)
+    assert all(want[a] == want[b] for a in range(300) for b in range(a) if got[a] == got[b])
