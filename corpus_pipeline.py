@@ -2,13 +2,13 @@
 
 1. language  - documents whose language is rejected go (unknown, or far from every language's usual cross-entropy)
 2. lines     - later occurrences of windows of three lines go; a document that had words and has none left goes
-3. near      - of each group of near-duplicates the document with the smallest doc_id stays
+3. near      - of each group of near-duplicates (shingles of five words, similarity 0.8) the document with the smallest doc_id stays
 4. benchmark - documents that hold a window of a benchmark item go
 5. mix       - documents with how often the mix to target weights takes them
 
-All stages but the last return the columns of ``documents``; n_chars follows the text. Rows that repeat a doc_id are one
-document: the first of them in text order stays after stage 3. A null doc_id is a document like any other: after stage
-3, rows without doc_id are one document only where their texts are the same.
+All stages but the last return the columns of ``documents``; n_chars follows the text. A row is a document of its own:
+rows that repeat a doc_id with other texts, or have none, are told apart by their texts. Rows that repeat doc_id and text
+are one document for stage 3, of which the first by the other columns stays.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from patronage.llm.decontaminate import decontaminate
 from patronage.llm.langid import identify
 from patronage.llm.lines import line_dedup
 from patronage.llm.mixing import mix_sources
-from patronage.llm.simhash import simhash_groups
+from patronage.llm.simhash import near_groups, text_marks
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -40,20 +40,15 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # A row without doc_id is told by its text; the first field puts it after all others.
-    none = F.col("doc_id").isNull()
-    keys = {"none": none, "id": F.col("doc_id"), "t1": F.when(none, F.xxhash64("text")).otherwise(0), "t2": F.when(none, F.xxhash64(F.lit(1), "text")).otherwise(0)}
-    keyed = docs.select(F.struct(*[c.alias(k) for k, c in keys.items()]).alias("doc_key"), "text")
-    own = simhash_groups(keyed, id_col="doc_key").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    heads = stash(own.groupBy(F.col("doc_id").alias("head")).agg((F.count("*") > 1).alias("again")).select("head.*", "again"), "heads")
-    same = F.col("doc_id").eqNullSafe(F.col("id")) & (keys["t1"] == F.col("head_t1")) & (keys["t2"] == F.col("head_t2"))
-    stays = lambda which: docs.join(heads.where(which).select("id", F.col("t1").alias("head_t1"), F.col("t2").alias("head_t2")), same, "left_semi").select(*COLUMNS)
+    heads = stash(near_groups(docs).where("stays").select(F.col("doc_id").alias("head"), F.col("t1").alias("head_t1"), F.col("t2").alias("head_t2"), (F.col("copies") > 1).alias("again")), "heads")
+    t1, t2 = text_marks(F.col("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("head")) & (t1 == F.col("head_t1")) & (t2 == F.col("head_t2"))
+    stays = lambda which: docs.join(heads.where(which), same, "left_semi").select(*COLUMNS)
     if heads.where("again").isEmpty():
         return stays(F.lit(True))
-    # Only rows whose doc_id repeats, or whose text where there is none, are aggregated, within the tasks first.
-    rest = COLUMNS[1:]
-    of = ["doc_id", *[c.alias(k) for k, c in keys.items() if k in ("t1", "t2")]]
-    first = stays(F.col("again")).groupBy(*of).agg(F.min(F.struct(*rest)).alias("row")).select("doc_id", "row.*")
+    # Only rows that repeat a doc_id and its text are aggregated, within the tasks first.
+    marks = [x.alias(k) for k, x in zip(("t1", "t2"), (t1, t2), strict=True)]
+    first = stays(F.col("again")).groupBy("doc_id", *marks).agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "row.*")
     return stays(~F.col("again")).unionByName(first)
 
 
