@@ -1,8 +1,9 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 Each language gets a character model of orders 1 to ``ORDER`` over normalised text: letters in lower case, everything
-else one space. Counts are Spark aggregations over a sample of labelled texts, bounded for each language by
-``per_language`` documents (a documented bound of the classifier's training set). Kneser-Ney takes raw counts at the
+else one space. Counts are Spark aggregations over a sample of labelled texts, drawn for each language so that about
+``per_language`` documents, ``LANGUAGE_CHARS`` characters and its part of ``ALL_CHARS`` are expected (a documented bound
+of the classifier's training set, which bounds the tables whatever the number of languages). Kneser-Ney takes raw counts at the
 highest order and continuation counts below it; the discounted share of each gram and the weight left to the next
 lower order of each context are held in sorted arrays of 64-bit gram hashes, so a lookup is a binary search.
 
@@ -12,12 +13,14 @@ the sample is held back from the counts, and a text is rejected if its cross-ent
 the held-back texts of that language have, by a margin that shrinks with the text's length.
 
 Edge cases: null, empty and letterless texts are ``und`` with score 0 and rejected; rows that repeat a doc_id each
-get a result; without any labelled text every document is ``und``; whole texts are scored, in pieces of bounded size.
-Other columns pass through ``identify`` untouched.
+get a result; without any labelled text every document is ``und``; whole texts are scored, in steps of bounded size that
+hand on their last characters, so that no step shows in the score. A letter is a code point of a letter category, in
+any plane. Other columns pass through ``identify`` untouched.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,37 +34,57 @@ from patronage.llm.common import mix, stash, text_bytes
 
 ORDER, PER_LANGUAGE, SEED = 4, 1500, 7
 SURE, QUANTILE, SLACK, SHORT = 40, 0.999, 0.5, 8.0
-PIECE = 1 << 20
+LANGUAGE_CHARS, ALL_CHARS = 5_000_000, 100_000_000
+#: Characters of one numpy step.
+STEP = 1 << 20
 #: Languages up to this number are broadcast when the sample is drawn; beyond it they are joined by a shuffle.
 BROADCAST_LANGUAGES = 10_000
 SALT = 0x9E3779B97F4A7C15
 
 
-def _letters() -> np.ndarray:
-    """Which code points of the basic plane are letters; those beyond it count as letters."""
-    return np.array([chr(c).isalpha() for c in range(1 << 16)])
+@functools.cache
+def _folded() -> np.ndarray:
+    """Each code point's lower case, or 0 if it is no letter."""
+    low = ((c, chr(c)) for c in range(0x110000))
+    return np.array([(ord(x.lower()) if len(x.lower()) == 1 else c) if x.isalpha() else 0 for c, x in low], np.uint32)
 
 
-def _normal(text: str, letters: np.ndarray) -> np.ndarray:
-    """Code points in lower case, each run of other characters one 0, with a 0 on both sides; empty if no letter."""
-    cps = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    keep = letters[np.minimum(cps, 0xFFFF)] | (cps > 0xFFFF)
-    if not keep.any():
-        return np.zeros(0, np.uint64)
-    cps = np.where(keep, cps, 0)
-    cps = np.concatenate(([0], cps, [0])).astype(np.uint64)
-    return cps[np.concatenate(([True], (cps[1:] != 0) | (cps[:-1] != 0)))]
+def _steps(text: str | None, most: int = STEP) -> Iterator[np.ndarray]:
+    """A text's letters in lower case, each run of other characters one 0, with ``ORDER - 1`` characters before.
 
+    Each step begins with the characters before it, zeros at the start; the last step ends with a 0. A text without
+    letters has no step.
+    """
+    before, open_end = np.zeros(ORDER - 1, np.uint64), False
+    for at in range(0, len(text or ""), most):
+        cps = _folded()[np.frombuffer(text[at : at + most].encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.uint64)
+        cps = cps[(cps != 0) | (np.concatenate(([int(open_end)], cps[:-1])) != 0)]
+        if len(cps):
+            step = np.concatenate((before, cps))
+            before, open_end = step[1 - ORDER :], cps[-1] != 0
+            yield step
+    if open_end:
+        yield np.concatenate((before, np.zeros(1, np.uint64)))
 
-def _grams(cps: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of the n characters that end at each place; before the start stand zeros."""
-    h = np.full(len(cps), n, np.uint64)
-    padded = np.concatenate((np.zeros(n - 1, np.uint64), cps)) if n > 1 else cps
-    for k in range(n):
-        h = mix((h + padded[k : k + len(cps)] + np.uint64(1)) * np.uint64(SALT))
+
+def _tails(steps: list[np.ndarray]) -> np.ndarray:
+    """One row for each character after the first ``ORDER - 1`` of each step: it and the characters before it."""
+    return np.concatenate([np.lib.stride_tricks.sliding_window_view(x, ORDER) for x in steps])
+
+
+def _hash_rows(chars: np.ndarray) -> np.ndarray:
+    h = np.full(len(chars), chars.shape[1], np.uint64)
+    for k in range(chars.shape[1]):
+        h = mix((h + chars[:, k] + np.uint64(1)) * np.uint64(SALT))
     return h
 
 
+def _hashes(tails: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of each character's gram of order n, of the gram's context and of the gram without its first character."""
+    none = np.zeros(len(tails), np.uint64)
+    return _hash_rows(tails[:, ORDER - n :]), _hash_rows(tails[:, ORDER - n : -1]) if n > 1 else none, _hash_rows(tails[:, ORDER - n + 1 :]) if n > 1 else none
+
+
 def _runs(lengths: list[int], most: int) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``most`` characters each, one row at least."""
     start = total = 0
@@ -78,25 +101,22 @@ COUNTS = "lang string, n int, gram long, context long, suffix long, c long"
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct grams of the highest order with their counts, and those of lower orders without (they are continued)."""
-    letters = _letters()
+    """Distinct grams of all orders with their counts, for each language and run of texts."""
     for batch in batches:
         text, lang = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         by: dict[str, list[np.ndarray]] = {}
         for t, name in zip(text, lang, strict=True):
-            for at in range(0, len(t or ""), PIECE):
-                by.setdefault(name, []).append(_normal(t[at : at + PIECE], letters))
-        for name, parts in by.items():
-            parts = [p for p in parts if len(p)]
-            if not parts:
-                continue
-            for n in range(1, ORDER + 1):
-                columns = [np.concatenate(x) for x in zip(*[(_grams(p, n)[1:], _grams(np.concatenate(([0], p)).astype(np.uint64), n - 1)[1:-1] if n > 1 else np.zeros(len(p) - 1, np.uint64), _grams(p, n - 1)[1:] if n > 1 else np.zeros(len(p) - 1, np.uint64)) for p in parts], strict=True)]
-                gram, first, count = np.unique(columns[0], return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([name] * len(gram)), pa.array(np.full(len(gram), n, np.int32)), pa.array(gram.view(np.int64)),
-                    pa.array(columns[1][first].view(np.int64)), pa.array(columns[2][first].view(np.int64)), pa.array(count.astype(np.int64)),
-                ], ["lang", "n", "gram", "context", "suffix", "c"])
+            by.setdefault(name, []).extend(_steps(t))
+        for name, steps in by.items():
+            for a, b in _runs([len(x) for x in steps], STEP):
+                tails = _tails(steps[a:b])
+                for n in range(1, ORDER + 1):
+                    whole, context, suffix = _hashes(tails, n)
+                    gram, first, count = np.unique(whole, return_index=True, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([name] * len(gram)), pa.array(np.full(len(gram), n, np.int32)), pa.array(gram.view(np.int64)),
+                        pa.array(context[first].view(np.int64)), pa.array(suffix[first].view(np.int64)), pa.array(count.astype(np.int64)),
+                    ], ["lang", "n", "gram", "context", "suffix", "c"])
 
 
 class Model:
@@ -137,41 +157,32 @@ class Model:
             out[k] = -np.log(p)
         return out
 
-    def entropies(self, texts: list[str | None], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(cross-entropy of each text in each language, characters); NaN without letters."""
         total, count = np.zeros((len(self.langs), len(texts))), np.zeros(len(texts), np.int64)
-        pieces = [(k, t[at : at + PIECE]) for k, t in enumerate(texts) for at in range(0, len(t or ""), PIECE)]
-        for a, b in _runs([len(t) for _, t in pieces], PIECE):
-            normal = [(k, c) for k, t in pieces[a:b] if len(c := _normal(t, letters))]
-            if not normal:
-                continue
-            longest = ORDER
-            cps = np.concatenate([np.concatenate((np.zeros(longest - 1, np.uint64), c)) for _, c in normal])
-            whole = _grams(cps, longest)
-            sizes = np.array([len(c) - 1 for _, c in normal])
-            starts = np.cumsum([0] + [len(c) + longest - 1 for _, c in normal])[:-1] + longest
-            at = np.repeat(starts - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
-            codes, uniques = pd.factorize(whole[at].view(np.int64))
-            place = np.empty(len(uniques), np.int64)
-            place[codes[::-1]] = at[::-1]
-            tail = cps[place[:, None] + np.arange(1 - longest, 1)]
-            of = lambda cols: _hash_rows(tail[:, cols])
-            grams = [of(slice(longest - n, longest)) for n in range(1, longest + 1)]
-            contexts = [np.zeros(len(place), np.uint64) if n == 1 else of(slice(longest - n, longest - 1)) for n in range(1, longest + 1)]
-            bits = self.surprise(grams, contexts)
-            heads = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            rows = np.array([k for k, _ in normal])
+        run, held = [], 0
+
+        def add() -> None:
+            tails, sizes = _tails([x for _, x in run]), np.array([len(x) - ORDER + 1 for _, x in run])
+            # Each different gram of the run is looked up once.
+            _, place, codes = np.unique(_hash_rows(tails), return_index=True, return_inverse=True)
+            found = [_hashes(tails[place], n) for n in range(1, ORDER + 1)]
+            bits = self.surprise([x[0] for x in found], [x[1] for x in found])
+            heads, rows = np.cumsum(sizes) - sizes, np.array([k for k, _ in run])
             for lang in range(len(self.langs)):
                 np.add.at(total[lang], rows, np.add.reduceat(bits[lang][codes], heads, dtype=float))
             np.add.at(count, rows, sizes)
-        return np.where(count > 0, total / np.maximum(count, 1), np.nan), count
-
 
-def _hash_rows(chars: np.ndarray) -> np.ndarray:
-    h = np.full(len(chars), chars.shape[1], np.uint64)
-    for k in range(chars.shape[1]):
-        h = mix((h + chars[:, k] + np.uint64(1)) * np.uint64(SALT))
-    return h
+        for k, t in enumerate(texts):
+            for step in _steps(t):
+                if run and held + len(step) > STEP:
+                    add()
+                    run, held = [], 0
+                run.append((k, step))
+                held += len(step)
+        if run:
+            add()
+        return np.where(count > 0, total / np.maximum(count, 1), np.nan), count
 
 
 def _limit(n: np.ndarray, base: np.ndarray) -> np.ndarray:
@@ -181,17 +192,20 @@ def _limit(n: np.ndarray, base: np.ndarray) -> np.ndarray:
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = PER_LANGUAGE, seed: int = SEED) -> tuple[Model, dict[str, float]]:
     """(model, highest usual cross-entropy of each language) from labelled documents."""
     known = labelled.where(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("doc_text"), F.col(lang_col).cast("string").alias("doc_lang"), F.xxhash64(F.col(id_col), F.lit(seed)).alias("h"))
-    sizes = stash(known.groupBy("doc_lang").agg(F.count("*").alias("n")), "langs")
-    if sizes.count() <= BROADCAST_LANGUAGES:
+    sizes = stash(known.groupBy("doc_lang").agg(F.count("*").alias("n"), F.sum(F.length("doc_text")).alias("chars")), "langs")
+    languages = sizes.count()
+    chars = min(LANGUAGE_CHARS, ALL_CHARS // max(1, languages))
+    sizes = sizes.select("doc_lang", F.greatest(F.col("n") / per_language, F.coalesce("chars", F.lit(0)) / chars).alias("times"))
+    if languages <= BROADCAST_LANGUAGES:
         sizes = F.broadcast(sizes)
     draw = F.shiftrightunsigned("h", 11) / float(1 << 53)
-    sample = stash(known.join(sizes, "doc_lang").where(draw * F.col("n") < per_language).select("doc_text", "doc_lang", "h"), "langsample")
+    sample = stash(known.join(sizes, "doc_lang").where(draw * F.col("times") < 1).select("doc_text", "doc_lang", "h"), "langsample")
     held = F.pmod(F.xxhash64("h"), F.lit(10)) == 0
     raw = stash(sample.where(~held).select("doc_text", "doc_lang").mapInArrow(_count_grams, COUNTS).groupBy("lang", "n", "gram").agg(F.min("context").alias("context"), F.min("suffix").alias("suffix"), F.sum("c").alias("c")), "grams")
     continued = raw.where("n > 1").groupBy("lang", (F.col("n") - 1).alias("n"), F.col("suffix").alias("gram")).agg(F.count("*").alias("v"))
     top = raw.where(F.col("n") == ORDER).select("lang", "n", "gram", "context", F.col("c").alias("v"))
     low = raw.where(F.col("n") < ORDER).join(continued, ["lang", "n", "gram"]).select("lang", "n", "gram", "context", "v")
-    grams = top.unionByName(low).toPandas()
+    grams = top.unionByName(low).toArrow().to_pandas()
     langs = sorted(grams["lang"].unique())
     model, usual = Model(grams, langs), {}
     if langs:
@@ -209,16 +223,16 @@ def _scored(docs: DataFrame, model: Model, usual: dict[str, float], text_col: st
     shared = docs.sparkSession.sparkContext.broadcast((model, usual))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (own, limits), letters = shared.value, _letters()
+        own, limits = shared.value
         base = np.array([limits.get(name, np.inf) for name in own.langs])
         for batch in batches:
             place = batch.num_columns - 1
             _, offs = text_bytes(batch.column(place))
-            for a, b in _runs(np.diff(offs).tolist(), PIECE):
+            for a, b in _runs(np.diff(offs).tolist(), STEP):
                 rows = batch.slice(a, b - a)
                 texts = rows.column(place).to_pylist()
                 if own.langs:
-                    ce, n = own.entropies(texts, letters)
+                    ce, n = own.entropies(texts)
                     some = n > 0
                     best = np.argmin(np.where(some, ce, 0), axis=0)
                     low = ce[best, np.arange(len(best))]

@@ -32,18 +32,82 @@ def test_kneser_ney_sums_to_one(spark):
     rows = [("".join(rng.choice("abcd ") for _ in range(300)), "x", k) for k in range(30)]
     model, _ = langid.train(spark.createDataFrame(rows, "text string, lang string, doc_id long"))
     assert isinstance(model, Model) and model.langs == ["x"]
-    letters = langid._letters()
-    cps = langid._normal("abca", letters)
-    alphabet = [0, *map(ord, "abcd")]
+    context = [*map(ord, "abc")]
     total = 0.0
-    for c in alphabet:
-        seq = np.array([*cps[:-1], c], np.uint64)
-        grams = [langid._hash_rows(seq[None, len(seq) - n :]) for n in range(1, 5)]
-        contexts = [np.zeros(1, np.uint64)] + [langid._hash_rows(seq[None, len(seq) - n : -1]) for n in range(2, 5)]
-        total += float(np.exp(-model.surprise(grams, contexts)[0, 0]))
+    for c in [0, *map(ord, "abcd")]:
+        found = [langid._hashes(np.array([[*context, c]], np.uint64), n) for n in range(1, 5)]
+        total += float(np.exp(-model.surprise([x[0] for x in found], [x[1] for x in found])[0, 0]))
     assert 0.8 < total <= 1.0001
 
 
+def brute_kneser_ney(texts, order=4):
+    """-ln p of every character of a text by the textbook recursion, from plain dictionaries."""
+    from collections import Counter
+
+    def chars(t):
+        words = "".join(c if c.isalpha() else " " for c in t.lower()).split()
+        return [0] * (order - 1) + [x for w in words for x in [*map(ord, w), 0]]
+
+    raw = Counter(tuple(s[i - n + 1 : i + 1]) for t in texts for s in [chars(t)] for i in range(order - 1, len(s)) for n in [order])
+    lower = {n: Counter() for n in range(1, order)}
+    seen = {n: {tuple(s[i - n + 1 : i + 1]) for t in texts for s in [chars(t)] for i in range(order - 1, len(s))} for n in range(1, order + 1)}
+    for n in range(1, order):
+        for g in seen[n + 1]:
+            lower[n][g[1:]] += 1
+    table = {**lower, order: raw}
+
+    def p(gram):
+        n = len(gram)
+        if n == 0:
+            return 1.0 / (2 * len(table[1]) + 2)
+        counts = table[n]
+        once, twice = (sum(v == k for v in counts.values()) for k in (1, 2))
+        cut = once / (once + 2 * twice) if once + twice else 0.5
+        of = {g: v for g, v in counts.items() if g[:-1] == gram[:-1]}
+        if not of:
+            return p(gram[1:])
+        return max(counts.get(gram, 0) - cut, 0) / sum(of.values()) + cut * len(of) / sum(of.values()) * p(gram[1:])
+
+    def entropy(t):
+        s = chars(t)
+        found = [-np.log(p(tuple(s[i - order + 1 : i + 1]))) for i in range(order - 1, len(s))]
+        return sum(found) / len(found), len(found)
+
+    return entropy
+
+
+def test_kneser_ney_matches_brute_force(spark):
+    from patronage.llm import langid
+
+    texts = ["der Hund, die Katze und das Haus", "Die Maus im Haus", "und der Hund", "Katze 12 im Haus!"]
+    learn = spark.createDataFrame([(t, "de", k) for k, t in enumerate(texts)], "text string, lang string, doc_id long")
+    held = {r.doc_id for r in learn.selectExpr("doc_id", "pmod(xxhash64(xxhash64(doc_id, 7)), 10) = 0 AS held").collect() if r.held}
+    model, _ = langid.train(learn)
+    entropy = brute_kneser_ney([t for k, t in enumerate(texts) if k not in held])
+    for t in ["das ist die Maus", "Hund", "  Zebra -- 7", *texts]:
+        got, n = model.entropies([t, None, "12 !"])
+        want, m = entropy(t)
+        assert n.tolist() == [m, 0, 0] and np.isclose(got[0, 0], want, rtol=1e-5)
+
+
+def test_steps_do_not_show():
+    """Cut anywhere, a text is the same characters with the same contexts."""
+    from patronage.llm import langid
+
+    for t in ("Das, ist... ein\n\nSATZ  mit \U0001d538 und \U0001f600 am Ende!", "abc", "  a", "a  ", "", "1 2", "x" * 50):
+        whole = [x.tolist() for x in langid._tails([*langid._steps(t)])] if [*langid._steps(t)] else []
+        for most in (1, 2, 3, 7):
+            cut = [*langid._steps(t, most)]
+            assert ([x.tolist() for x in langid._tails(cut)] if cut else []) == whole
+
+
+def test_und_without_letters(make_docs):
+    train = [(1000 + k, "das ist der Hund und die Katze " * 4) for k in range(40)]
+    odd = [(1, "\U0001f600 \U0001f680\U0001f600"), (2, "\U0001d7d8\U0001d7d9"), (3, "\u0661\u0662"), (4, "\U00020000\U00020001"), (5, None), (None, "Hund"), (None, "!")]
+    got = [(r.doc_id, r.lang_pred) for r in identify(make_docs(odd + train)).collect() if (r.doc_id or 0) < 1000]
+    assert sorted(got, key=str) == sorted([(1, "und"), (2, "und"), (3, "und"), (4, "en"), (5, "und"), (None, "en"), (None, "und")], key=str)
+
+
 def test_quality_held_out_accuracy(spark, make_docs, odd_texts):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = quality_gam.train(docs, labels.where(quality_gam.learnable()))
