@@ -3,16 +3,19 @@
 Writing: a page's payload is its html in UTF-8. Of pages with equal payloads of at least ``least`` bytes, the one with
 the largest page_id is the response and the others are revisit records that refer to it; smaller payloads are always
 responses. Spark's text writer makes the archives: a row is a record, and the line separator is the record's end.
-Archives are rolled after ``per_file`` records, so no file is large.
+Archives are rolled by number of records for each class of payload size (``ROLLS``), so that none passes 64 MB but one
+that holds a single larger record.
 
-Reading: each task looks for record starts in its archives and emits every candidate with its successor, which is
-where its header says the next record begins. A candidate may be text inside a payload. Pointer jumping from the
-start of each file doubles the hops of every candidate in a round and keeps the candidates that the chain from the
-start reaches; all others are rejected. Bytes after the last whole record of a cut-off archive are left out.
+Reading: each task looks for record starts in its archives and gives every candidate its successor, which is where its
+header says the next record begins. A candidate may be text inside a payload. Pointer jumping from the start of the
+file doubles the hops of every candidate in a round and keeps the candidates that the chain from the start reaches;
+all others are rejected, and only what is left is hashed. A chain never leaves its file and a file is read by one task,
+so nothing is shuffled for it. Bytes after the last whole record of a cut-off archive are left out.
 
 Edge cases: a null html is an empty payload; a null url leaves its header out; a null page_id gives a record without
-id; rows that repeat a page_id and payload are records of their own, all but one of which revisit; an empty table
-gives an empty folder and no records. Other columns are ignored.
+id; rows are records of their own also where they repeat a page_id and payload: those with the largest page_id of their
+payload are responses alike, the others revisit it; an empty table gives an empty folder and no records. Other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -21,18 +24,21 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patronage.llm.common import scratch, stash
 
-LEAST, PER_FILE = 1000, 1024
+LEAST = 1000
+#: Payload bytes from which on a class of records begins, and how many of them an archive holds.
+ROLLS = ((0, 1024), (1 << 16, 64), (1 << 20, 1))
 #: Groups of equal payloads up to this number are broadcast; beyond it they are joined by a shuffle.
 BROADCAST_GROUPS = 500_000
 DATE = "2024-01-01T00:00:00Z"
 END = "\r\n\r\n"
-CANDIDATES = "file string, at long, next long, page_id string, kind string, refers string, digest_said string, payload_bytes long, payload_digest string"
+RECORDS = "page_id string, kind string, refers string, digest_said string, payload_bytes long, payload_digest string"
 
 
 def with_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST) -> DataFrame:
@@ -48,8 +54,8 @@ def with_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     return joined.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first_id")).alias("refers_to"))
 
 
-def write_warc(records: DataFrame, path: str, per_file: int = PER_FILE) -> None:
-    """Write the records of ``with_records`` as uncompressed WARC/1.1 files."""
+def write_warc(records: DataFrame, path: str, rolls: tuple[tuple[int, int], ...] = ROLLS) -> None:
+    """Write the records of ``with_records`` as uncompressed WARC/1.1 files, one class of sizes after the other."""
     revisit = F.col("record_type") == "revisit"
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
     head = F.concat_ws(
@@ -66,59 +72,84 @@ def write_warc(records: DataFrame, path: str, per_file: int = PER_FILE) -> None:
         F.concat(F.lit("Content-Length: "), F.when(revisit, F.lit(0)).otherwise(F.col("payload_bytes")).cast("string")),
     )
     body = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
-    records.select(F.concat(head, F.lit(END), body).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", per_file).text(path)
+    for (low, per_file), (high, _) in zip(rolls, [*rolls[1:], (None, 0)], strict=True):
+        own = records.where((F.col("payload_bytes") >= low) & (F.lit(True) if high is None else F.col("payload_bytes") < high))
+        own.select(F.concat(head, F.lit(END), body).alias("value")).write.mode("append").option("lineSep", END).option("maxRecordsPerFile", per_file).text(path)
 
 
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
+LENGTH = re.compile(rb"\nContent-Length:[ \t]*([0-9]{1,18})[ \t]*\r\n", re.IGNORECASE)
 FIELD = re.compile(rb"^([A-Za-z-]+):[ \t]*([^\r\n]*)\r?$", re.MULTILINE)
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every place that looks like a record, with where its successor would begin."""
-    names = [x.split()[0] for x in CANDIDATES.split(", ")]
-    kinds = [pa.int64() if x.endswith(" long") else pa.string() for x in CANDIDATES.split(", ")]
+def candidates(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, start of the payload, start of the successor) of every place of an archive that looks like a record.
+
+    The marks are found in one reading each and matched by binary search, so payloads full of headers cost no more.
+    """
+    starts = np.array([m.start() for m in MAGIC.finditer(raw)], np.int64)
+    found = [(m.start(), int(m[1])) for m in LENGTH.finditer(raw)]
+    at, length = (np.array([x[k] for x in found], np.int64) for k in (0, 1))
+    ends = np.array([m.start() for m in re.finditer(rb"\r\n\r\n", raw)], np.int64)
+    if not len(starts) or not len(ends) or not len(at):
+        return (np.zeros(0, np.int64),) * 3
+    stop, own = np.searchsorted(ends, starts), np.searchsorted(at, starts)
+    ok = (stop < len(ends)) & (own < len(at))
+    starts, stop, own = starts[ok], ends[stop[ok]], own[ok]
+    body = stop + 4
+    after = body + length[own] + 4
+    # The header must say how long the record is, and the record must end where it says.
+    ok = (at[own] < stop) & (after <= len(raw)) & (after > body)
+    starts, body, after = starts[ok], body[ok], after[ok]
+    whole = np.array([raw[e - 4 : e] == b"\r\n\r\n" for e in after.tolist()], bool)
+    return starts[whole], body[whole], after[whole]
+
+
+def reachable(at: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Which candidates, in order of their start, the chain from the start of the file reaches, by pointer jumping."""
+    n = len(at)
+    if not n:
+        return np.zeros(0, bool)
+    place = np.searchsorted(at, after)
+    known = (place < n) & (at[np.minimum(place, n - 1)] == after)
+    jump = np.append(np.where(known, place, n), n)  # n: beyond the last
+    hit = np.append(at == 0, False)
+    while True:
+        # hit: within 2**k records of the start; jump: where 2**k records on begins.
+        new = hit.copy()
+        new[jump[hit]] = True
+        new[n] = False
+        jump = jump[jump]
+        if (new == hit).all():
+            return hit[:n]
+        hit = new
+
+
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The records of whole archives."""
+    names = [x.split()[0] for x in RECORDS.split(", ")]
+    kinds = [pa.int64() if x.endswith(" long") else pa.string() for x in RECORDS.split(", ")]
     for batch in batches:
-        for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            data, rows = memoryview(content.as_buffer()), []
-            raw = content.as_buffer().to_pybytes()
-            for m in MAGIC.finditer(raw):
-                stop = raw.find(b"\r\n\r\n", m.end())
-                if stop < 0:
-                    continue
-                field = {k.lower(): v for k, v in FIELD.findall(raw[m.end() : stop])}
-                length = field.get(b"content-length", b"")
-                body = stop + 4
-                if not length.isdigit() or body + int(length) + 4 > len(raw) or raw[body + int(length) : body + int(length) + 4] != b"\r\n\r\n":
-                    continue  # no record can end where this one would
+        for content in batch.column(0):
+            raw, rows = content.as_buffer().to_pybytes(), []
+            at, body, after = candidates(raw)
+            kept = reachable(at, after)
+            for start, b, e in zip(at[kept].tolist(), body[kept].tolist(), after[kept].tolist(), strict=True):
+                field = {k.lower(): v for k, v in FIELD.findall(raw[start : b - 2])}
                 text = lambda k: field.get(k, b"").decode("utf-8", "replace")  # noqa: B023, E731
                 own = lambda k: (re.fullmatch(r"<urn:page:(.+)>", text(k)) or [None, None])[1]
-                payload = data[body : body + int(length)]
-                rows.append((file, m.start(), body + int(length) + 4, own(b"warc-record-id"), text(b"warc-type"), own(b"warc-refers-to"), text(b"warc-payload-digest").removeprefix("sha1:"), int(length), hashlib.sha1(payload).hexdigest()))
+                payload = memoryview(raw)[b : e - 4]
+                rows.append((own(b"warc-record-id"), text(b"warc-type"), own(b"warc-refers-to"), text(b"warc-payload-digest").removeprefix("sha1:"), len(payload), hashlib.sha1(payload).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(names), kinds, strict=True)], names)
 
 
-def reachable(candidates: DataFrame) -> DataFrame:
-    """(file, at) of the candidates that the chain from the start of their file reaches, by pointer jumping."""
-    hops = stash(candidates.select("file", "at", F.col("next").alias("jump"), (F.col("at") == 0).alias("hit")), "hops")
-    while True:
-        # hit: within 2**k records of the start; jump: where 2**k records on begins, null beyond the last.
-        ahead = hops.where("hit AND jump IS NOT NULL").select("file", F.col("jump").alias("at")).distinct()
-        far = hops.select("file", F.col("at").alias("jump"), F.col("jump").alias("jump2"))
-        step = hops.join(far, ["file", "jump"], "left").join(ahead.withColumn("new", F.lit(True)), ["file", "at"], "left")
-        new = stash(step.select("file", "at", F.col("jump2").alias("jump"), (F.col("hit") | F.coalesce("new", F.lit(False))).alias("hit")), "hops")
-        if new.where("hit AND jump IS NOT NULL").isEmpty():
-            return new.where("hit").select("file", "at")
-        hops = new
-
-
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of the archives' records; ids as strings.
 
     A revisit record has the size of the response it refers to; a response's digest is that of the payload read.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(F.col("path").alias("file"), "content")
-    found = stash(files.mapInArrow(_candidates, CANDIDATES), "candidates")
-    whole = found.join(reachable(found), ["file", "at"])
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    whole = stash(files.mapInArrow(_records, RECORDS), "records")
     response = whole.where("kind <> 'revisit'").select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), F.lit(None).cast("string").alias("refers_to"))
     sizes = response.select(F.col("page_id").alias("refers"), F.col("payload_digest").alias("digest_said"), F.col("payload_bytes").alias("size")).distinct()
     revisit = whole.where("kind = 'revisit'").join(sizes, ["refers", "digest_said"], "left").select("page_id", F.col("size").alias("payload_bytes"), F.col("digest_said").alias("payload_digest"), F.col("kind").alias("record_type"), F.col("refers").alias("refers_to"))
