@@ -1,19 +1,21 @@
 """Main-text extraction with a tree-structured graphical model over the DOM.
 
 A page is parsed into a tree of elements, with a leaf for each run of text that no block boundary cuts. Every node is
-a variable, content or not. A node's own potential is a logistic function of its features (tag, role and class words,
-length, share of text inside links, punctuation), an edge's potential depends on the kinds of parent and child. One
-sum-product pass upward and one downward give every node's marginal, and leaves at or above one half are the text.
+a variable, content or not. A node's own potential is a logistic function of its features (tag, what its class, id and
+role words say, length, share of text inside links, punctuation), an edge's potential depends on the kinds of the
+parent's and the child's tags. Class words are features only: the messages decide. One sum-product pass upward and one downward give every node's marginal, and leaves at or above one half are the text.
 
 Potentials are trained from labelled pages: the small hand-labelled layouts of ``labelled_pages`` and, if asked for,
-pages of the corpus whose own semantic markup labels them (at most ``sample`` pages, chosen by hash; a documented
-bound of the training set). Node weights are a ridge logistic regression, edge tables are smoothed counts.
+pages of the corpus whose own semantic markup labels them (at most ``sample`` pages of 200 to 50,000 bytes, chosen by
+hash; a documented bound of the training set, by rows however often a page_id repeats). Node weights are a ridge logistic regression, edge tables are smoothed counts.
 
-Scripts, styles, templates and form controls are never text. Character references are decoded, white space inside a
+Scripts, styles, templates and form controls are never text, and do not cut the block they stand in; formulas are text
+of their block. Character references are decoded, white space inside a
 block becomes one space, blocks are trimmed, and blocks stand in page order with two newlines between.
 
 Edge cases: null and empty html give the empty text; text without markup is one block; broken markup is closed as
-browsers close it, roughly; very long pages are parsed in one pass; rows that repeat a page_id each get a result.
+browsers close it, roughly; a page is parsed in time linear in its length, however deep or broken its markup (of
+which quotes that never close lose their meaning); rows that repeat a page_id each get a result.
 Other columns are ignored.
 """
 
@@ -36,9 +38,9 @@ SAMPLE, SEED, COPIES = 200, 9, 8
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("script style noscript template svg math iframe object canvas head title select option textarea button input audio video map datalist".split())
+SKIPPED = frozenset("script style noscript template svg iframe object canvas head title select option textarea button input audio video map datalist annotation annotation-xml".split())
 RAW = frozenset("script style textarea title".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input button".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mspace semantics".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 SIBLINGS = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
 SCOPES = frozenset("ul ol dl table tbody thead tfoot select body html td th article section div main aside nav".split())
@@ -63,7 +65,8 @@ CUES = {
 }
 CUE_OF = {w: k for k, words in CUES.items() for w in words.split()}
 
-TOKEN = re.compile(r"<(?:!--(?P<comment>.*?)(?:-->|\Z)|(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|(?P<bogus>[!?/][^>]*)(?:>|\Z))", re.DOTALL)
+NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+PLAIN = re.compile(r"[^>\"']*")
 ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.IGNORECASE)
 LABEL = re.compile(r"\bdata-main\b")
 WORD = re.compile(r"[a-z]+(?:-[a-z]+)?|[a-z]+")
@@ -84,97 +87,151 @@ class Node:
     own: list = field(default_factory=list)
 
 
-def _kind(tag: str, cues: frozenset) -> str:
-    """The kind of an element; one that its class words place outside the text is of the kind of such elements."""
-    if cues and tag not in INLINE:
-        if cues == {"main"}:
-            return "main" if tag in ("div", "section", "td") else KINDS.get(tag, "box")
-        if "main" not in cues:
-            return "nav" if cues == {"menu"} else "edge"
+def _kind(tag: str) -> str:
     return "root" if tag in ("html", "body") else KINDS.get(tag, "inline" if tag in INLINE else "box")
 
 
+class Markup:
+    """Reads a page's markup from left to right; what it has learned of the rest keeps it from looking again."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.quotes, self.closers = page, {'"', "'"}, True
+
+    def tag_end(self, at: int) -> int:
+        """Where the tag whose attributes begin at ``at`` ends (its ``>``), or -1 if it does not."""
+        place = at
+        while self.closers:
+            place = PLAIN.match(self.page, place).end()
+            if place == len(self.page):
+                break
+            if self.page[place] == ">":
+                return place
+            quote = self.page[place]
+            stop = self.page.find(quote, place + 1) if quote in self.quotes else place
+            if stop < 0:  # no such quote is left, here or later
+                self.quotes.discard(quote)
+                stop = place
+            place = stop + 1
+        # The rest has no ``>`` outside quotes; from here on quotes mean nothing.
+        self.quotes.clear()
+        stop = self.page.find(">", at) if self.closers else -1
+        self.closers = stop >= 0
+        return stop
+
+    def next_tag(self, at: int) -> tuple[int, int, str, str, bool] | None:
+        """(start, end, name, attributes, closes) of the first tag from ``at`` on; comments and the like have no name."""
+        page = self.page
+        while (at := page.find("<", at)) >= 0:
+            m = NAME.match(page, at)
+            if m:
+                stop = self.tag_end(m.end())
+                if stop < 0:
+                    return at, len(page), "", "", False
+                return at, stop + 1, m[1].lower(), page[m.end() : stop], page[at + 1] == "/"
+            if page.startswith("<!--", at):
+                stop = page.find("-->", at + 4)
+                return at, len(page) if stop < 0 else stop + 3, "", "", False
+            if page[at + 1 : at + 2] in ("!", "?", "/"):
+                stop = page.find(">", at)
+                return at, len(page) if stop < 0 else stop + 1, "", "", False
+            at += 1
+        return None
+
+
+class Tree:
+    """The nodes of a page as they are read, with the open elements by place and by tag."""
+
+    def __init__(self) -> None:
+        self.nodes = [Node("html", -1, "root")]
+        self.stack, self.blocks = [0], [0]  # open elements; places in the stack of those that are no inline elements
+        self.open: dict[str, list[int]] = {}  # places in the stack of each open tag
+        self.run: list[str] = []
+        self.linked = 0
+
+    def last(self, tags) -> int:
+        """The highest place in the stack with one of these tags, 0 if there is none."""
+        return max((self.open[t][-1] for t in tags if self.open.get(t)), default=0)
+
+    def flush(self) -> None:
+        if self.run:
+            text = BLANK.sub(" ", html.unescape("".join(self.run))).strip()
+            self.run.clear()
+            if text:
+                top = self.stack[self.blocks[-1]]
+                self.nodes.append(Node("#", top, "text", marked=self.nodes[top].marked, text=text, chars=len(text), linked=min(self.linked, len(text))))
+        self.linked = 0
+
+    def say(self, text: str) -> None:
+        if text and not self.nodes[self.stack[-1]].skip:
+            self.run.append(text)
+            if len(self.stack) - self.last("a") <= 4 and self.open.get("a"):
+                self.linked += len(text.strip())
+
+    def push(self, node: Node) -> None:
+        place = len(self.stack)
+        self.stack.append(len(self.nodes))
+        self.nodes.append(node)
+        self.open.setdefault(node.tag, []).append(place)
+        if node.tag not in INLINE and not node.skip:
+            self.blocks.append(place)
+
+    def close(self, place: int) -> None:
+        """Close the element at ``place`` of the stack and all inside it."""
+        while len(self.stack) > place:
+            self.open[self.nodes[self.stack.pop()].tag].pop()
+        while self.blocks[-1] >= place:
+            self.blocks.pop()
+
+
 def parse(page: str) -> list[Node]:
     """Nodes of the page, parents before children; leaves have tag ``#`` and their text."""
-    nodes = [Node("html", -1, "root")]
-    stack, run, at, n = [0], [], 0, len(page)
-    run_links = 0
-
-    def flush() -> None:
-        nonlocal run_links
-        if run:
-            text = BLANK.sub(" ", html.unescape("".join(run))).strip()
-            run.clear()
-            if text:
-                top = next((k for k in reversed(stack) if nodes[k].tag not in INLINE), 0)
-                nodes.append(Node("#", top, "text", marked=nodes[top].marked, text=text, chars=len(text), linked=min(run_links, len(text))))
-        run_links = 0
-
-    def say(text: str) -> None:
-        nonlocal run_links
-        if text and not nodes[stack[-1]].skip:
-            run.append(text)
-            if any(nodes[k].tag == "a" for k in stack[-4:]):
-                run_links += len(text.strip())
-
-    while at < n:
-        open_at = page.find("<", at)
-        if open_at < 0:
-            say(page[at:])
-            break
-        m = TOKEN.match(page, open_at)
-        if m is None:
-            say(page[at : open_at + 1])
-            at = open_at + 1
-            continue
-        say(page[at:open_at])
-        at = m.end()
-        tag = m["tag"]
-        if tag is None:
+    tree, markup, at = Tree(), Markup(page), 0
+    nodes = tree.nodes
+    while (found := markup.next_tag(at)) is not None:
+        start, end, tag, attrs, closes = found
+        tree.say(page[at:start])
+        at = end
+        if not tag:
             continue
-        tag = tag.lower()
-        if m["close"]:
-            if tag in VOID:
-                continue
-            place = next((k for k in range(len(stack) - 1, 0, -1) if nodes[stack[k]].tag == tag), 0)
-            if place and not (tag in INLINE and any(nodes[k].tag not in INLINE for k in stack[place + 1 :])):
-                if tag not in INLINE or any(nodes[k].tag not in INLINE for k in stack[place:]):
-                    flush()
-                del stack[place:]
+        if closes:
+            place = tree.last((tag,)) if tag not in VOID else 0
+            # An inline end tag does not close the blocks that have begun inside its element.
+            if place and not (tag in INLINE and tree.blocks[-1] > place):
+                if tree.blocks[-1] >= place:
+                    tree.flush()
+                tree.close(place)
             continue
         if tag == "br":
-            say(" ")
+            tree.say(" ")
             continue
         if tag in VOID:
             if tag == "hr":
-                flush()
+                tree.flush()
             continue
-        if tag in CLOSES_P:
-            place = next((k for k in range(len(stack) - 1, 0, -1) if nodes[stack[k]].tag == "p"), 0)
-            if place:
-                flush()
-                del stack[place:]
+        if tag in CLOSES_P and (place := tree.last("p")):
+            tree.flush()
+            tree.close(place)
         if tag in SIBLINGS:
-            for k in range(len(stack) - 1, 0, -1):
-                name = nodes[stack[k]].tag
-                if name in SIBLINGS[tag]:
-                    flush()
-                    del stack[k:]
-                    break
-                if name in SCOPES and not (tag == "tr" and name in ("td", "th")):
-                    break
-        if tag not in INLINE:
-            flush()
-        attrs, top = m["attrs"], nodes[stack[-1]]
+            place, scope = tree.last(SIBLINGS[tag]), tree.last(SCOPES - SIBLINGS[tag] - ({"td", "th"} if tag == "tr" else set()))
+            if place > scope:
+                tree.flush()
+                tree.close(place)
+        top = nodes[tree.stack[-1]]
+        skip = top.skip or tag in SKIPPED
+        if tag not in INLINE and not skip:
+            tree.flush()
         cues = frozenset(CUE_OF[w] for a in ATTR.finditer(attrs) for w in WORD.findall((a[2] or a[3] or a[4] or "").lower().replace("_", " ")) if w in CUE_OF) if attrs else frozenset()
-        nodes.append(Node(tag, stack[-1], _kind(tag, cues), top.skip or tag in SKIPPED, top.marked or bool(attrs and LABEL.search(attrs)), cues))
-        if attrs.rstrip().endswith("/") and tag in ("path", "g", "use"):
+        node = Node(tag, tree.stack[-1], _kind(tag), skip, top.marked or bool(attrs and LABEL.search(attrs)), cues)
+        if tag == "body" and attrs and len(tree.stack) < 3:
+            nodes[0].marked = node.marked
+        if attrs.endswith("/") and (skip or tag in INLINE):
             continue
-        stack.append(len(nodes) - 1)
+        tree.push(node)
         if tag in RAW:
             stop = re.compile(rf"</{tag}", re.IGNORECASE).search(page, at)
-            at = stop.start() if stop else n
-    flush()
+            at = stop.start() if stop else len(page)
+    tree.say(page[at:])
+    tree.flush()
     for node in reversed(nodes):
         if node.parent >= 0:
             nodes[node.parent].chars += node.chars
@@ -194,7 +251,11 @@ def features(nodes: list[Node]) -> None:
             if "©" in node.text[:40] or "copyright" in node.text[:60].lower():
                 node.own.append("text rights")
         else:
-            node.own = [f"tag {node.tag}", f"kind {node.kind}", f"{node.kind} links {share}", f"{node.kind} size {size}", *(f"cue {c}" for c in node.cues)]
+            node.own = [f"tag {node.tag}", f"kind {node.kind}", f"{node.kind} links {share}", f"{node.kind} size {size}"]
+            if node.tag not in INLINE:
+                node.own += [f"cue {c}" for c in node.cues]
+                if node.cues:
+                    node.own.append("cues " + " ".join(sorted(node.cues)))
             if node.parent == 0 or k and nodes[node.parent].tag == "body":
                 node.own.append(f"outer {node.tag}")
 
@@ -291,7 +352,7 @@ def train(pages: DataFrame | None = None, id_col: str = "page_id", html_col: str
         known = pages.where(F.octet_length(html_col).between(200, 50_000)).select(F.col(id_col).alias("i"), F.col(html_col).alias("h"))
         # The ids are chosen first, so that tasks send the driver ids and not their own best pages.
         chosen = known.select("i").distinct().orderBy(F.xxhash64("i", F.lit(seed)), "i").limit(sample)
-        for row in known.join(F.broadcast(chosen), "i", "left_semi").orderBy("i").collect():
+        for row in known.join(F.broadcast(chosen), "i", "left_semi").orderBy("i", F.xxhash64("h")).limit(sample).collect():
             nodes = parse(row["h"])
             if _semantic(nodes):
                 trees.append(nodes)

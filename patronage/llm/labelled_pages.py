@@ -21,8 +21,14 @@ PAGES = [
     f"<html><body><div class='banner'><p>{MID}</p></div><main>{_BODY}<form><p>Sign up for our letter: {MID}</p><label>Your name</label></form></main><div class='sponsored'><p>{LONG}</p></div><footer>{_RIGHTS}<ul>{_LINKS}</ul></footer></body></html>",
     f"<html><body><div><div><ul>{_LINKS}</ul></div><div>{_BODY}</div><div><p>{_RIGHTS}</p></div></div></body></html>",
     f"<html><body><table><tr><td><ul>{_LINKS}</ul></td><td>{_BODY}</td></tr></table><p>{_RIGHTS}</p></body></html>",
-    f"<html><body><nav>{_LINKS}</nav><article><h1 data-main>{SHORT}</h1><p data-main><b>{MID}<br></article><footer>&copy; paper &middot; {MID}</footer></body></html>",
-    f"<html><body><nav>{_LINKS}</nav><div class='advert'>{MID}</div><article><h1 data-main>OF! THE! ERAN!</h1><p data-main>OF! THE! ERAN! OF! THE! ERAN! OF! THE! ERAN!</p></article><footer>&copy; paper &middot; {MID} {MID}</footer></body></html>",
     f"<html><body><header><h1>Valley</h1><nav>{_LINKS}</nav></header><div role='main'><h1 data-main>{SHORT}</h1><p data-main>{MID}</p><pre data-main>make all</pre><table data-main><tr><td>Stone</td><td>12</td></tr></table><div class='related'>{_SIDE}</div></div><div class='newsletter'><p>{MID}</p></div><footer>{_RIGHTS}</footer></body></html>",
     f"<html><body><div class='notice'><p>{_COOKIE}</p></div><div class='breadcrumb'><a href='/'>Home</a> / News</div><article class='story'><header><h1 data-main>{SHORT}</h1></header><p data-main>{LONG}</p><div class='ad'>{MID}</div><p data-main>{MID}</p></article><div class='comment-list'>{_TALK}</div><footer>{_RIGHTS}</footer></body></html>",
+    f"<html><body data-main>{LONG} {MID}</body></html>",
+    f"<html><body data-main>{MID}<br><br>{LONG}<br><br>{MID} <a href='/n'>next part</a></body></html>",
+    f"<p data-main>{MID}</p><p data-main>{LONG}</p>",
+    f"<html><body><div class='legal'><p>{_RIGHTS}</p></div><main><div class='legal-guide' data-main><h1>{SHORT}</h1><p>{LONG}</p><p>{MID}</p></div></main></body></html>",
+    f"<html><body><nav>{_LINKS}</nav><main><section data-main><h2>{SHORT}</h2><p>{MID}</p></section><section data-main class='side-note'><p>{LONG}</p></section><div class='legal' data-main><p>{LONG}</p><p>{MID}</p></div><section class='related'><h3>More</h3>{_SIDE}</section></main><footer><a href='/i'>Imprint</a> <a href='/p'>Privacy</a></footer></body></html>",
+    f"<html><body><div class='top'><a href='/'>Home</a></div><div class='wrap'><h2 data-main>{SHORT}</h2><dl data-main><dt>Stone</dt><dd>{MID}</dd><dt>Mortar</dt><dd>{LONG}</dd></dl><form class='search'><p>{SHORT}</p></form></div><div class='bottom'><p>{_RIGHTS}</p></div></body></html>",
+    f"<html><body><div id='page'><div class='post-content'><h1 data-main>{SHORT}</h1><div data-main>{LONG}</div><div data-main>{MID}</div></div><div class='author-box social'><p>Follow us: {SHORT}</p></div><div class='respond'><h3>Leave a reply</h3><p>{MID}</p></div></div><div class='alert'><p>{_COOKIE}</p></div></body></html>",
+    f"<html><body><article><h1 data-main>{SHORT}</h1><p data-main>{SHORT}.</p><figure data-main><figcaption>{MID}</figcaption></figure><p data-main>Yes.</p><aside class='promo'><p>{LONG}</p></aside></article><section id='discussion'>{_TALK}</section></body></html>",
 ]

@@ -162,6 +162,46 @@ def test_pages(spark):
     assert html_content.parse("plain &amp; simple\n text")[1].text == "plain & simple text"
 
 
+def test_held_out_layouts():
+    """Each hand-labelled layout by a model of the others."""
+    right = total = 0
+    for k, page in enumerate(PAGES):
+        model = html_content.fit([html_content.parse(p) for j, p in enumerate(PAGES) if j != k for _ in range(html_content.COPIES)])
+        nodes = html_content.parse(page)
+        html_content.features(nodes)
+        found = [(p >= 0.5) == n.marked for n, p in zip(nodes, model.marginals(nodes), strict=True) if n.tag == "#"]
+        right, total = right + sum(found), total + len(found)
+    assert right / total > 0.9
+
+
+def test_blocks_of_a_page():
+    texts = lambda page: [n.text for n in html_content.parse(page) if n.tag == "#"]
+    assert texts("<p>The sum <math><mi>a</mi>&plus;<mi>b</mi></math> is<script>x < y</script> small<!-- no --> &amp;\n so</p>") == ["The sum a+b is small & so"]
+    assert texts("<ul><li>a<li>b <b>c</ul>d") == ["a", "b c", "d"]
+    assert texts("<table><tr><td>a<td>b<tr><td>c</table>") == ["a", "b", "c"]
+    assert texts("a<br>b<hr>c</b></i><i>d<div>e</i>f</div>") == ["a b", "cd", "ef"]
+    assert texts("<p title='a>b'>c</p><p title='d>e</p>") == ["c", "e"]
+    assert texts("<select><option>no</select>yes <svg><text>no</text></svg>too") == ["yes too"]
+
+
+def test_bare_and_cued_text_is_kept():
+    model = html_content.train()
+    long = "Some bare text that is the whole article and goes on for a while, with commas and such, to the end."
+    for page in (f"<html><body>{long}</body></html>", f"<main><div class='legal'><p>{long}</p></div></main>", f"<p>{long}</p>", long):
+        assert html_content.main_text(page, model) == long
+
+
+def test_parsing_is_linear():
+    import time
+
+    model = html_content.train()
+    n = 40_000
+    began = time.time()
+    for page in ("<div>" * n, '<a "' * n, "<a 'x' " * n + '">"', "<b>" * n + "</i>" * n, "<i><div>" + "<b></i>" * n, "<ul>" + "<b>" * n + "<li>x" * n, "<!--" * n):
+        html_content.main_text(page, model)
+    assert time.time() - began < 40
+
+
 def test_marginals_match_enumeration():
     import itertools
 
