@@ -21,9 +21,11 @@ MULTIPLIER, WORD_MULTIPLIER = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (``spark.checkpoint.dir``); a temporary one only where none is set."""
+    """The folder that the cluster shares (``spark.checkpoint.dir``); a temporary one on a local master where none is set."""
     top = spark.conf.get("spark.checkpoint.dir", "")
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         top = tempfile.mkdtemp(prefix="spark-work-")
         spark.conf.set("spark.checkpoint.dir", top)
     return top.rstrip("/")
@@ -56,6 +58,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
 
 
+def text_marks(text: Column) -> tuple[Column, Column]:
+    """Two hashes that tell a text from others."""
+    return F.xxhash64(text), F.xxhash64(F.lit(1), text)
+
+
 def text_parts(docs: DataFrame, text_col: str) -> int:
     """How many groups of about PART_BYTES the texts make."""
     total = docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
@@ -130,15 +137,16 @@ class WordHasher:
 
 
 class WindowHasher:
-    """Hashes of runs of consecutive words from the words' hashes."""
+    """Hashes of runs of consecutive words from the words' hashes; another multiplier gives independent hashes."""
 
-    def __init__(self) -> None:
-        self.up, self.down = powers(WORD_MULTIPLIER, 1 << 16)
+    def __init__(self, multiplier: int = WORD_MULTIPLIER) -> None:
+        self.multiplier = multiplier
+        self.up, self.down = powers(multiplier, 1 << 16)
 
     def sums(self, word_hashes: np.ndarray) -> np.ndarray:
         n = len(word_hashes)
         if n > len(self.up):
-            self.up, self.down = powers(WORD_MULTIPLIER, 2 * n)
+            self.up, self.down = powers(self.multiplier, 2 * n)
         out = np.zeros(n + 1, np.uint64)
         np.cumsum(word_hashes * self.up[:n], out=out[1:])
         return out

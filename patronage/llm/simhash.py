@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from patronage.llm.common import WindowHasher, WordHasher, mix, stash, text_bytes
+from patronage.llm.common import WindowHasher, WordHasher, mix, stash, text_bytes, text_marks
 from patronage.llm.links import components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
@@ -153,11 +153,6 @@ def _segments(votes: np.ndarray, unsure: int) -> tuple[np.ndarray, np.ndarray]:
     return value, np.int64(1) << np.argsort(np.abs(by), axis=1, kind="stable")[:, :unsure]
 
 
-def text_marks(text: Column) -> tuple[Column, Column]:
-    """Two hashes that tell a text from others."""
-    return F.xxhash64(text), F.xxhash64(F.lit(1), text)
-
-
 def _search_rows(docs: DataFrame, segments: int, unsure: int, shingle: int) -> DataFrame:
     """doc_id, t1, t2 of each row with two hashes of its lower-cased words, its segments and their unsure bits."""
 

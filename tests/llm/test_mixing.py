@@ -56,5 +56,29 @@ def mix_empty_ok():
     return len(flight(np.zeros(0), np.zeros(0), np.zeros(1), True)) == 0
 
 
+def test_repeated_rows_and_null_ids_are_blocks_of_their_own(spark, make_docs):
+    """Rows that are all alike, or without doc_id, keep to the rate; alike rows differ by one copy at most."""
+    rows = [(None, f"w{k} " * (1 + k % 9)) for k in range(300)] + [(7, "same words " * 4)] * 200 + [(7, "other " * (k + 9)) for k in range(50)] + [(k, "x " * (k % 40)) for k in range(1000, 1200)]
+    got = mix_sources(make_docs(rows), block=30).collect()
+    assert len(got) == len(rows)
+    by = {}
+    for r in got:
+        by.setdefault((r.source, r.source_size, r.target), []).append(r)
+    for (_, size, target), of in by.items():
+        assert sum(r["size"] for r in of) == size and abs(sum(r.taken for r in of) - target) <= 0.03 * target + 5
+    alike = [r.copies for r in got if r.doc_id == 7 and r["size"] == 8]
+    assert len(alike) == 200 and max(alike) - min(alike) <= 1
+    assert all(0 <= r.copies <= 3 for r in got)
+
+
+def test_targets_of_many_sources(spark):
+    sizes = {f"s{k:04d}": (k * 7919) % 1000 for k in range(2500)}
+    df = spark.createDataFrame(list(sizes.items()), "source string, size long")
+    got = {r.source: (r.source_no, r.target) for r in source_targets(df).collect()}
+    want = brute_targets(sizes)
+    assert all(abs(got[s][1] - want[s]) < 1e-6 * (1 + want[s]) for s in want)
+    assert [s for s, _ in sorted(got.items(), key=lambda x: x[1][0])] == sorted(sizes) and sorted(x[0] for x in got.values()) == list(range(1, 2501))
+
+
 def test_empty_table(make_docs):
     assert mix_sources(make_docs([])).collect() == []

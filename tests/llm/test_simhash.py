@@ -1,8 +1,9 @@
 import random
 
 import xxhash
+from patronage.llm.common import text_marks
 from patronage.llm.links import components
-from patronage.llm.simhash import fingerprints, near_groups, near_pairs, simhash_groups, text_marks
+from patronage.llm.simhash import fingerprints, near_groups, near_pairs, simhash_groups
 
 
 def brute_fingerprint(text):
