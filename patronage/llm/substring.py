@@ -7,8 +7,8 @@ difference of remainders is a difference of two cover elements. So it is enough
 
 1. Anchors of every text, packed in arrays by (group of documents, hash bucket); a bucket finds those that two
    documents share. Groups send each anchor once, so a passage in very many texts costs a value per group.
-2. Each shared anchor is extended to the windows that hold it. Their hashes meet in buckets again, which send back
-   the smallest doc_id of each window that two documents share.
+2. Each shared anchor is extended to the windows that hold it. Their hashes, 64 bits and 32 of another hash, meet in
+   buckets again, which send back the smallest doc_id of each window that two documents share.
 3. A text loses every word covered by a window that a smaller doc_id has.
 
 Edge cases: null and empty texts have no words; texts below ``window`` words lose nothing; a null doc_id is last in
@@ -32,35 +32,51 @@ WINDOW = 50
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 LAST = (1 << 63) - 1
 
-CELL = "bucket int, part int, keys array<long>, low array<long>, high array<long>"
-FOUND = "part int, keys array<long>, first array<long>"
+#: Groups and buckets beyond this number share shuffle partitions.
+MOST_PARTITIONS = 50_000
+CHECK_MULTIPLIER = 0xC2B2AE3D27D4EB4F
 
+CELL = "bucket int, part int, keys array<long>, check array<int>, low array<long>, high array<long>"
+FOUND = "part int, keys array<long>, check array<int>, first array<long>"
 
-def _distinct(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys with their smallest and largest id."""
-    order = np.argsort(keys, kind="stable")
-    keys, ids = keys[order], ids[order]
-    head = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-    if not len(keys):
-        return keys, ids, ids
-    return keys[head], np.minimum.reduceat(ids, head), np.maximum.reduceat(ids, head)
 
+def _heads(*columns: np.ndarray) -> np.ndarray:
+    """Places where a row differs from the one before in any column."""
+    if not len(columns[0]):
+        return np.zeros(0, np.int64)
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(new)
 
-def _cells(part: int, keys: np.ndarray, ids: np.ndarray, buckets: int) -> pa.Table:
-    """One row for each hash bucket that has keys; high is given only where it differs from low, by place."""
-    keys, low, high = _distinct(keys, ids)
+
+def _order(keys: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """Places in the order of (key, check); anchors have no check, and are sorted by one column."""
+    return np.lexsort((check, keys)) if len(check) and check.any() else np.argsort(keys, kind="stable")
+
+
+def _cells(part: int, keys: np.ndarray, check: np.ndarray, ids: np.ndarray, buckets: int) -> pa.Table:
+    """One row for each hash bucket that has keys, with their smallest id; the largest, by place, only where it differs."""
+    order = _order(keys, check)
+    keys, check, ids = keys[order], check[order], ids[order]
+    head = _heads(keys, check)
+    low, high = (np.minimum.reduceat(ids, head), np.maximum.reduceat(ids, head)) if len(head) else (ids, ids)
+    keys, check = keys[head], check[head]
     bucket = ((keys >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
-    bucket, keys, low, high = bucket[order], keys[order], low[order], high[order]
-    head = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, np.int64)
-    offs = pa.array(np.concatenate((head, [len(keys)])).astype(np.int32))
+    bucket, keys, check, low, high = bucket[order], keys[order], check[order], low[order], high[order]
+    head = _heads(bucket)
+    ends = np.concatenate((head, [len(keys)]))
+    offs = pa.array(ends.astype(np.int32))
     many = low != high
-    places = np.concatenate(([0], np.cumsum(many)))[np.concatenate((head, [len(keys)]))]
-    pairs = np.stack((np.flatnonzero(many) - np.repeat(head, np.diff(np.concatenate((head, [len(keys)]))))[many] if len(keys) else np.zeros(0, np.int64), high[many]), 1).ravel()
+    places = np.concatenate(([0], np.cumsum(many)))[ends]
+    pairs = np.stack((np.flatnonzero(many) - np.repeat(head, np.diff(ends))[many], high[many]), 1).ravel()
+    # Checks are kept only where there are any: an anchor's would all be 0.
+    checked = bool(check.any())
     return pa.table({
         "bucket": pa.array(bucket[head], pa.int32()),
         "part": pa.array(np.full(len(head), part, np.int32)),
         "keys": pa.ListArray.from_arrays(offs, pa.array(keys.view(np.int64))),
+        "check": pa.ListArray.from_arrays(offs if checked else pa.array(np.zeros(len(ends), np.int32)), pa.array(check if checked else check[:0], pa.int32())),
         "low": pa.ListArray.from_arrays(offs, pa.array(low)),
         "high": pa.ListArray.from_arrays(pa.array((places * 2).astype(np.int32)), pa.array(pairs.astype(np.int64))),
     })
@@ -74,25 +90,35 @@ def _lengths(column: pa.ChunkedArray) -> np.ndarray:
     return np.concatenate([np.diff(np.asarray(c.offsets)) for c in column.chunks] or [np.zeros(0, np.int64)]).astype(np.int64)
 
 
+def _checks(table: pa.Table, lengths: np.ndarray) -> np.ndarray:
+    """The check of each key, 0 for those of rows without."""
+    out, given = np.zeros(int(lengths.sum()), np.int32), _lengths(table["check"])
+    if given.any():
+        out[np.repeat(given > 0, lengths)] = _flat(table["check"])
+    return out
+
+
 def _shared(cells: pa.Table) -> pa.Table:
     """Of one bucket: for each group, its keys that two documents share, with the smallest document."""
     lengths, keys, low = _lengths(cells["keys"]), _flat(cells["keys"]), _flat(cells["low"])
+    check = _checks(cells, lengths)
     part = np.repeat(np.asarray(cells["part"]), lengths)
     high, pairs = low.copy(), _flat(cells["high"])
-    base = np.repeat(np.concatenate(([0], np.cumsum(lengths)[:-1])), _lengths(cells["high"]) // 2)
+    base = np.repeat(np.cumsum(lengths) - lengths, _lengths(cells["high"]) // 2)
     high[base + pairs[::2]] = pairs[1::2]
-    order = np.argsort(keys, kind="stable")
-    keys, part, low, high = keys[order], part[order], low[order], high[order]
-    head = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    order = _order(keys, check)
+    keys, check, part, low, high = keys[order], check[order], part[order], low[order], high[order]
+    head = _heads(keys, check)
     first = np.minimum.reduceat(low, head)
     size = np.diff(np.concatenate((head, [len(keys)])))
     shared = np.repeat(first < np.maximum.reduceat(high, head), size)
-    keys, part, first = keys[shared], part[shared], np.repeat(first, size)[shared]
+    keys, check, part, first = keys[shared], check[shared], part[shared], np.repeat(first, size)[shared]
     order = np.argsort(part, kind="stable")
-    keys, part, first = keys[order], part[order], first[order]
-    head = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.zeros(0, np.int64)
-    offs = pa.array(np.concatenate((head, [len(keys)])).astype(np.int32))
-    return pa.table({"part": pa.array(part[head], pa.int32()), "keys": pa.ListArray.from_arrays(offs, pa.array(keys)), "first": pa.ListArray.from_arrays(offs, pa.array(first))})
+    keys, check, part, first = keys[order], check[order], part[order], first[order]
+    head = _heads(part)
+    offs, none = pa.array(np.concatenate((head, [len(keys)])).astype(np.int32)), pa.array(np.zeros(len(head) + 1, np.int32))
+    checks = pa.ListArray.from_arrays(*(offs, pa.array(check, pa.int32())) if check.any() else (none, pa.array([], pa.int32())))
+    return pa.table({"part": pa.array(part[head], pa.int32()), "keys": pa.ListArray.from_arrays(offs, pa.array(keys)), "check": checks, "first": pa.ListArray.from_arrays(offs, pa.array(first))})
 
 
 def _texts(docs: pa.Table):
@@ -114,10 +140,10 @@ def _member(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(sorted_keys[at] == keys, at, -1)
 
 
-def _returned(found: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    keys, first = _flat(found["keys"]).view(np.uint64), _flat(found["first"])
-    order = np.argsort(keys, kind="stable")
-    return keys[order], first[order]
+def _returned(found: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    keys, check, first = _flat(found["keys"]).view(np.uint64), _checks(found, _lengths(found["keys"])), _flat(found["first"])
+    order = _order(keys, check)
+    return keys[order], check[order], first[order]
 
 
 def _spread(starts: np.ndarray, back: int, ahead: int, n: int) -> np.ndarray:
@@ -137,6 +163,11 @@ def _joined(blocks: list[np.ndarray], kind) -> np.ndarray:
     return np.concatenate(blocks) if blocks else np.zeros(0, kind)
 
 
+def _check_at(hasher: WindowHasher, hashes: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
+    """32 bits of another hash of the windows that begin at ``starts``."""
+    return (hasher.at(hasher.sums(hashes), starts, window) >> np.uint64(33)).astype(np.int32) if len(starts) else np.zeros(0, np.int32)
+
+
 def anchor_cells(docs: pa.Table, window: int, period: int, cover: tuple[int, ...], buckets: int) -> pa.Table:
     hasher, windows, anchor = WordHasher(), WindowHasher(), window - period + 1
     keys, ids = [], []
@@ -147,30 +178,50 @@ def anchor_cells(docs: pa.Table, window: int, period: int, cover: tuple[int, ...
         k = np.unique(windows.at(windows.sums(hashes), _anchor_places(len(hashes), anchor, period, cover), anchor))
         keys.append(k)
         ids.append(np.full(len(k), doc))
-    return _cells(docs["part"][0].as_py(), _joined(keys, np.uint64), _joined(ids, np.int64), buckets)
+    keys = _joined(keys, np.uint64)
+    return _cells(docs["part"][0].as_py(), keys, np.zeros(len(keys), np.int32), _joined(ids, np.int64), buckets)
 
 
 def window_cells(docs: pa.Table, found: pa.Table, window: int, period: int, cover: tuple[int, ...], buckets: int) -> pa.Table:
-    hasher, windows, anchor = WordHasher(), WindowHasher(), window - period + 1
-    known, _ = _returned(found)
-    keys, ids = [], []
+    hasher, windows, other, anchor = WordHasher(), WindowHasher(), WindowHasher(CHECK_MULTIPLIER), window - period + 1
+    known, _, _ = _returned(found)
+    keys, checks, ids = [], [], []
     for _, doc, data in _texts(docs) if len(known) else ():
         hashes = hasher(data)
         if len(hashes) < window:
             continue
         sums, at = windows.sums(hashes), _anchor_places(len(hashes), anchor, period, cover)
         at = at[_member(known, windows.at(sums, at, anchor)) >= 0]
-        starts = np.flatnonzero(_spread(at, period - 1, 0, len(hashes) - window + 1)) if len(at) else at
-        k = np.unique(windows.at(sums, starts, window)) if len(starts) else np.zeros(0, np.uint64)
-        keys.append(k)
-        ids.append(np.full(len(k), doc))
+        if not len(at):
+            continue
+        starts = np.flatnonzero(_spread(at, period - 1, 0, len(hashes) - window + 1))
+        keys.append(windows.at(sums, starts, window))
+        checks.append(_check_at(other, hashes, starts, window))
+        ids.append(np.full(len(starts), doc))
     part = docs["part"][0].as_py() if len(docs) else 0
-    return _cells(part, _joined(keys, np.uint64), _joined(ids, np.int64), buckets)
+    return _cells(part, _joined(keys, np.uint64), _joined(checks, np.int32), _joined(ids, np.int64), buckets)
+
+
+def _owners(known: np.ndarray, check: np.ndarray, first: np.ndarray, keys: np.ndarray, own_check) -> np.ndarray:
+    """The smallest document of each key that is known with its check, LAST for others; ``own_check(places)`` gives checks."""
+    out = np.full(len(keys), LAST)
+    at = _member(known, keys)
+    left = np.flatnonzero(at >= 0)
+    at = at[left]
+    checks = own_check(left)
+    # Different windows of the same key lie side by side.
+    while len(left):
+        same = check[at] == checks
+        out[left[same]] = first[at[same]]
+        more = ~same & (at + 1 < len(known))
+        more[more] = known[at[more] + 1] == known[at[more]]
+        left, at, checks = left[more], at[more] + 1, checks[more]
+    return out
 
 
 def kept_texts(docs: pa.Table, found: pa.Table, window: int, with_text: bool) -> pa.Table:
-    hasher, windows = WordHasher(), WindowHasher()
-    known, first = _returned(found)
+    hasher, windows, other = WordHasher(), WindowHasher(), WindowHasher(CHECK_MULTIPLIER)
+    known, check, first = _returned(found)
     n_words, n_removed, digests, texts = [], [], [], []
     for _, doc, data in _texts(docs):
         hashes = hasher(data)
@@ -178,8 +229,8 @@ def kept_texts(docs: pa.Table, found: pa.Table, window: int, with_text: bool) ->
         gone = np.zeros(n, bool)
         if n >= window and len(known):
             starts = np.arange(n - window + 1)
-            at = _member(known, windows.at(windows.sums(hashes), starts, window))
-            starts = starts[(at >= 0) & (first[at] < doc)]
+            keys = windows.at(windows.sums(hashes), starts, window)
+            starts = starts[_owners(known, check, first, keys, lambda at: _check_at(other, hashes, at, window)) < doc]  # noqa: B023
             if len(starts):
                 gone = _spread(starts, 0, window - 1, n)
         kept = data.tobytes().split()
@@ -201,15 +252,16 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if len(differences) != period or not 0 < period < window:
         raise ValueError("cover must give every difference modulo period, and period be below window")
     parts = text_parts(docs, text_col)
+    partitions = min(parts, MOST_PARTITIONS)
     grouped = docs.select(
         F.pmod(F.xxhash64(F.col(id_col)), F.lit(parts)).cast("int").alias("part"),
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc_order"),
         F.col(text_col).alias("doc_text"),
-    ).repartition(parts, "part")
+    ).repartition(partitions, "part")
 
     def shared(cells: DataFrame) -> DataFrame:
-        return cells.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_shared, FOUND).repartition(parts, "part")
+        return cells.repartition(partitions, "bucket").groupBy("bucket").applyInArrow(_shared, FOUND).repartition(partitions, "part")
 
     def extend(docs: pa.Table, found: pa.Table) -> pa.Table:
         return window_cells(docs, found, window, period, cover, parts)
