@@ -14,18 +14,24 @@ def brute(text, items, window=10):
                 if w[k : k + len(part)] == part:
                     hit |= set(range(k, k + len(part)))
                     found.add(str(item))
-    return len(w), len(hit), sorted(found)
+    return len(w), len(hit), sorted(x for x in found if x != "None"), w, hit
 
 
 def test_matches_brute_force(spark, make_docs, odd_texts):
-    items = [(1, "One two three four five six seven eight nine ten eleven twelve"), (10, "short item"), (2, "short ITEM"), (3, None), (4, "..."), (5, "漢字 ünï x")]
+    items = [(1, "One two three four five six seven eight nine ten eleven twelve"), (10, "short item"), (2, "short ITEM"), (3, None), (4, "..."), (5, "漢字 ünï x"), (None, "漢字—ünï x"), (7, "short item")]
     bench = spark.createDataFrame([(i, t, "z") for i, t in items], "item_id long, text string, pattern string")
-    rows = odd_texts + [(50, "say: one, two THREE four five six seven eight nine ten!"), (51, "a short-item short item"), (52, "two three four five six seven eight nine ten eleven twelve 13"), (53, "漢字 Ünï x"), (54, "漢字—ünï x")]
+    rows = odd_texts + [(50, "say: one, two THREE four five six seven eight nine ten!"), (51, "a short-item short item"), (52, "two three four five six seven eight nine ten eleven twelve 13"), (53, "漢字 Ünï x"), (54, "ä “漢字—ünï x” Short Item, ünï x SHORT item")]
     for block in (200_000, 2):
-        got = decontaminate(make_docs(rows), bench, block_windows=block, carry=("key",)).collect()
+        got = decontaminate(make_docs(rows), bench, block_pairs=block, carry=("key",)).collect()
         assert len(got) == len(rows)
         for r in got:
-            n, hit, found = brute(dict(rows)[r.doc_id], items)
+            n, hit, found, words, places = brute(dict(rows)[r.doc_id], items)
+            text = dict(rows)[r.doc_id] or ""
+            assert {k for h in r.hits for k in range(h["first"], h["last"] + 1)} == places
+            assert all(a["last"] + 1 < b["first"] for a, b in zip(r.hits, r.hits[1:], strict=False))
+            for h in r.hits:  # the offsets lead back to the same words of the original, with nothing around them
+                part = text[h["start"] : h["stop"]]
+                assert brute(part, [])[3] == words[h["first"] : h["last"] + 1] and brute(part[1:], [])[3] != brute(part, [])[3] != brute(part[:-1], [])[3]
             assert (r.n_words, r.n_hit, r["items"], r.n_items, r.contaminated, r.key) == (n, hit, found, len(found), hit > 0, "x")
 
 
