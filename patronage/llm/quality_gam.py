@@ -7,7 +7,7 @@ leaves are added to the table at a low rate. Then the pairs that explain most of
 trees that cut one figure and, on each side, the other. Scoring is a bin search and additions for all rows at once.
 
 The classifier learns from at most ``train_rows`` labelled documents, chosen by hash (a documented bound of the
-training set); it scores all documents.
+training set, by rows however often an id repeats); it scores all documents.
 
 Edge cases: null, empty and blank texts have all figures 0 and are scored like any other; without labelled rows every
 score is 0.5; labels that are null are no labels; a doc_id labelled twice counts by its larger label; rows that
@@ -195,7 +195,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).cast("int").alias("y"))
     sample = known.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(train_rows)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("doc_text")).join(F.broadcast(sample), "doc_id")
-    rows = figures(texts, "doc_id", "doc_text").join(F.broadcast(sample), "doc_id").orderBy("doc_id").collect()
+    # The limit holds for rows too, should one of the ids repeat; a null id has no label.
+    rows = figures(texts, "doc_id", "doc_text").join(F.broadcast(sample), "doc_id").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "x").limit(train_rows).collect()
     return fit(np.array([r["x"] for r in rows]).reshape(-1, len(FIGURES)), np.array([r["y"] for r in rows], float))
 
 
