@@ -16,12 +16,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronage.llm.common import scratch, stash
+from patronage.llm.common import scratch, stash, text_marks
 from patronage.llm.decontaminate import decontaminate
 from patronage.llm.langid import identify
 from patronage.llm.lines import line_dedup
 from patronage.llm.mixing import mix_sources
-from patronage.llm.simhash import near_groups, text_marks
+from patronage.llm.simhash import near_groups
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -58,8 +58,13 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    taken = mix_sources(docs).select(F.col("doc_id").alias("taken_id"), "size", "source_size", "target", "taken", "copies").dropDuplicates(["taken_id"])
-    return docs.join(taken, F.col("doc_id").eqNullSafe(F.col("taken_id")), "left").select(*COLUMNS, "size", "source_size", "target", "taken", "copies")
+    found = mix_sources(docs)
+    keys = ("doc_id", "source", "t1", "t2")
+    figures = ("size", "source_size", "target", "taken", "copies")
+    taken = found.dropDuplicates(list(keys)).select(*[F.col(k).alias(f"of_{k}") for k in keys], *figures)
+    t1, t2 = text_marks(F.col("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("of_doc_id")) & F.col("source").eqNullSafe(F.col("of_source")) & (t1 == F.col("of_t1")) & (t2 == F.col("of_t2"))
+    return docs.join(taken, same, "left").select(*COLUMNS, *figures)
 
 
 STAGES = [("language", language), ("lines", lines), ("near", near), ("benchmark", benchmark), ("mix", mix)]
