@@ -76,3 +76,25 @@ def test_near_keeps_each_text_without_id(spark, make_docs):
     want = [(5, texts[0]), *[(None, x) for x in texts[1:]]]
     assert rows_of(corpus_pipeline.near(spark, make_docs(rows), SMALL)) == sorted(want, key=str)
     assert rows_of(corpus_pipeline.near(spark, make_docs(rows[:-1]), SMALL)) == sorted(want, key=str)
+
+
+def test_mix_gives_every_row_its_own_figures(spark, make_docs):
+    """Rows of one doc_id with other texts, and without doc_id, get the figures of their own text; sums come near the targets."""
+    rows = [(None, f"w{k} " * (1 + k % 9)) for k in range(120)] + [(7, "other " * k) for k in range(40)] + [(k, "x " * (k % 40)) for k in range(1000, 1200)]
+    got = corpus_pipeline.mix(spark, make_docs(rows), SMALL).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(rows, key=str)
+    assert all(r["size"] == len(r.text.split()) and r.taken == r.copies * r["size"] and 0 <= r.copies <= 3 for r in got)
+    by = {}
+    for r in got:
+        by.setdefault((r.source, r.target), []).append(r.taken)
+    assert all(abs(sum(v) - target) <= 0.03 * target + 5 for (_, target), v in by.items())
+
+
+def test_language_stage_keeps_what_is_accepted(spark, make_docs):
+    from patronage.llm.langid import identify
+
+    train = [(1000 + k, f"das ist der Hund {k} und die Katze {k * 7} im Haus {k * k} " * 3) for k in range(60)]
+    docs = make_docs([*train, (1, None), (2, "\U0001f600"), (None, "das ist die Katze und der Hund im Haus " * 3), (3, "qx zzv wkq xxj " * 40)])
+    want = sorted(((r.doc_id, r.text) for r in identify(docs, keep=["doc_id", "text"]).where("accepted").collect()), key=str)
+    got = rows_of(corpus_pipeline.language(spark, docs, SMALL))
+    assert got == want and {i for i, _ in got} >= {1000, 1059, None} and not {i for i, _ in got} & {1, 2, 3}
