@@ -1,6 +1,6 @@
 """Thirteen axes of behavioural features for each customer.
 
-All axes come from two aggregates, one over orders and one over items, both on customer_id. Feature tables keep null
+All axes come from two aggregates, one over orders and one over items, each of which reads its table once. Feature tables keep null
 where a figure is undefined (one gap has no spread); ``flatten`` makes them 0 for matrices.
 """
 
@@ -102,34 +102,33 @@ def order_features(orders: DataFrame, reference_date: datetime) -> DataFrame:
 
 
 def item_features(items: DataFrame) -> DataFrame:
-    """One row for each customer from its items, by way of (customer, product) and (customer, category) totals.
+    """One row for each customer from its items.
 
-    All three aggregates combine before they shuffle; the customer's products are ranked in a window for the top fifth.
+    One reading of the items makes the totals by (customer, product), by (customer, category) and by customer, combined
+    within the tasks first; these totals meet once more by customer, where products are ranked for the top fifth.
     """
-    products = items.groupBy("customer_id", "product_id").agg(F.count("*").alias("n"), F.sum("quantity").alias("q"))
-    mine = W.partitionBy("customer_id")
-    ranked = products.select("*", F.row_number().over(mine.orderBy(F.col("q").desc(), "product_id")).alias("r"), F.count("*").over(mine).alias("m"), F.sum("q").over(mine).alias("all_q"))
-    share = F.col("q") / F.nullif("all_q", F.lit(0))
-    by_product = ranked.groupBy("customer_id").agg(
-        F.count("*").alias("unique_products"), F.sum(share * share).alias("product_concentration"), (F.count_if(F.col("n") > 1) / F.count("*")).alias("repeat_product_rate"),
-        F.coalesce(F.avg(F.when(F.col("n") > 1, F.col("n"))), F.lit(0.0)).alias("avg_repurchase_count"),
-        F.sum(F.when(F.col("r") <= F.greatest(F.lit(1), F.floor(F.col("m") * 0.2)), share)).alias("loyalty_index"),
-    )
-    categories = items.where(F.col("category").isNotNull()).groupBy("customer_id", "category").agg(F.count("*").alias("n"), F.sum("quantity").alias("q"))
-    p = F.col("n") / F.sum("n").over(mine)
-    by_category = categories.withColumn("p", p).groupBy("customer_id").agg(
-        F.count("*").alias("unique_categories"), (F.sum(-F.col("p") * F.ln("p")) / F.when(F.count("*") > 1, F.ln(F.count("*"))).otherwise(1.0)).alias("category_diversity"),
-        (F.max("q") / F.nullif(F.sum("q"), F.lit(0))).alias("primary_category_dominance"), F.count_if(F.col("n") >= 3).alias("categories_mastered"),
-    )
-    whole = items.groupBy("customer_id").agg(
-        F.count("*").alias("total_items"), F.sum("refund_amount").alias("total_refunds"), (F.count_if(F.col("refund_amount") > 0) / F.count("*")).alias("items_returned_pct"),
-        F.avg("price").alias("avg_item_price"), F.stddev_samp("price").alias("price_std"),
+    price, refund = F.col("price"), F.col("refund_amount")
+    sets = items.groupingSets([["customer_id"], ["customer_id", "product_id"], ["customer_id", "category"]], "customer_id", "product_id", "category").agg(
+        F.grouping_id().alias("level"), F.count("*").alias("n"), F.sum("quantity").alias("q"), F.sum(refund).alias("total_refunds"), F.count_if(refund > 0).alias("n_returned"), F.avg(price).alias("avg_item_price"), F.stddev_samp(price).alias("price_std"),
     )
-    return whole.join(by_product, "customer_id").join(by_category, "customer_id", "left").select(
+    level = F.when(F.col("level") == 3, "whole").when(F.col("level") == 1, "product").otherwise("category")
+    rows = sets.withColumn("level", level).where("level <> 'category' OR category IS NOT NULL").repartition("customer_id")
+    mine = W.partitionBy("customer_id", "level")
+    ranked = rows.select("*", F.row_number().over(mine.orderBy(F.col("q").desc(), "product_id")).alias("r"), F.count("*").over(mine).alias("m"), F.sum("q").over(mine).alias("all_q"), F.sum("n").over(mine).alias("all_n"))
+    of = lambda name, c: F.when(F.col("level") == name, c)
+    share, p, n = F.col("q") / F.nullif("all_q", F.lit(0)), F.col("n") / F.col("all_n"), F.col("n")
+    kinds = F.count(of("category", n))
+    return ranked.groupBy("customer_id").agg(
+        F.max(of("whole", n)).alias("total_items"), F.max(of("whole", F.col("total_refunds"))).alias("total_refunds"), (F.max(of("whole", F.col("n_returned"))) / F.max(of("whole", n))).alias("items_returned_pct"),
+        F.max(of("whole", F.col("avg_item_price"))).alias("avg_item_price"), F.max(of("whole", F.col("price_std"))).alias("price_std"),
+        F.count(of("product", n)).alias("unique_products"), F.sum(of("product", share * share)).alias("product_concentration"), (F.count_if(of("product", n) > 1) / F.count(of("product", n))).alias("repeat_product_rate"),
+        F.coalesce(F.avg(F.when(of("product", n) > 1, n)), F.lit(0.0)).alias("avg_repurchase_count"), F.sum(of("product", F.when(F.col("r") <= F.greatest(F.lit(1), F.floor(F.col("m") * 0.2)), share))).alias("loyalty_index"),
+        kinds.alias("unique_categories"), F.coalesce(F.sum(of("category", -p * F.ln(p))) / F.when(kinds > 1, F.ln(kinds)).otherwise(1.0), F.lit(0.0)).alias("category_diversity"),
+        (F.max(of("category", F.col("q"))) / F.nullif(F.sum(of("category", F.col("q"))), F.lit(0))).alias("primary_category_dominance"), F.count_if(of("category", n) >= 3).alias("categories_mastered"),
+    ).select(
         "customer_id", "total_items", "total_refunds", "items_returned_pct", F.when(F.col("total_refunds") > 0, 1.0).otherwise(0.0).alias("has_returns"), "avg_item_price", (F.col("price_std") / _or(F.col("avg_item_price"), 1.0)).alias("price_variance"),
         "unique_products", "product_concentration", (1 - F.col("product_concentration")).alias("product_diversity"), "repeat_product_rate", "avg_repurchase_count", "loyalty_index", (1 - F.col("loyalty_index")).alias("purchase_variety"),
-        F.coalesce("unique_categories", F.lit(0)).alias("unique_categories"), F.coalesce("category_diversity", F.lit(0.0)).alias("category_diversity"), "primary_category_dominance", F.coalesce("categories_mastered", F.lit(0)).alias("categories_mastered"),
-        (F.col("unique_products") / F.col("total_items")).alias("exploration_breadth"),
+        "unique_categories", "category_diversity", "primary_category_dominance", "categories_mastered", (F.col("unique_products") / F.col("total_items")).alias("exploration_breadth"),
     )
 
 

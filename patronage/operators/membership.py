@@ -8,6 +8,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Up to this number of rows quantiles are exact; beyond it, where all different values of a column would meet in one
+#: task, they have a rank error of ``RANK_ERROR`` at most.
+EXACT_ROWS, RANK_ERROR = 5_000_000, 1e-4
+
+
+def quantiles(df: DataFrame, columns: list[Column], shares: tuple[float, ...]) -> list[list[float]]:
+    """For each column its quantiles at ``shares``, interpolated where exact; all from one aggregation."""
+    at = F.array(*[F.lit(s) for s in shares])
+    exact = [F.percentile(c, at) for c in columns]
+    rough = [F.percentile_approx(c, at, int(1 / RANK_ERROR)) for c in columns]
+    row = df.agg(*(exact if df.count() <= EXACT_ROWS else rough)).first()
+    return [list(x) if x is not None else [0.0] * len(shares) for x in row]
+
+
 @dataclass(frozen=True)
 class Scaler:
     """Centre, divisor and clip limits of each feature, from one aggregation of one row."""
@@ -30,8 +44,8 @@ class Scaler:
 
 def clip_limits(df: DataFrame, features: tuple[str, ...], low: float = 0.01, high: float = 0.99) -> tuple[tuple[float, ...], tuple[float, ...]]:
     """The two percentiles of each feature, all in one aggregation (CLU-1)."""
-    row = df.agg(*[F.percentile(F.coalesce(F.col(f).cast("double"), F.lit(0.0)), F.array(F.lit(low), F.lit(high))).alias(f) for f in features]).first()
-    return tuple(row[f][0] for f in features), tuple(row[f][1] for f in features)
+    found = quantiles(df, [F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features], (low, high))
+    return tuple(q[0] for q in found), tuple(q[1] for q in found)
 
 
 def fit_scaler(df: DataFrame, features: tuple[str, ...], kind: str = "standard", winsorise: bool = False) -> Scaler:
@@ -42,8 +56,8 @@ def fit_scaler(df: DataFrame, features: tuple[str, ...], kind: str = "standard",
         row = df.agg(*[F.struct(F.avg(c).alias("a"), F.stddev_pop(c).alias("b")).alias(f) for f, c in zip(features, x, strict=True)]).first()
         center, scale = [row[f]["a"] for f in features], [row[f]["b"] for f in features]
     else:
-        row = df.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f) for f, c in zip(features, x, strict=True)]).first()
-        center, scale = [row[f][1] for f in features], [row[f][2] - row[f][0] for f in features]
+        found = quantiles(df, x, (0.25, 0.5, 0.75))
+        center, scale = [q[1] for q in found], [q[2] - q[0] for q in found]
     return Scaler(features, tuple(c or 0.0 for c in center), tuple(s or 1.0 for s in scale), low, high)
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from patronage.operators.membership import quantiles
+
 # Cuts of the tiers and the shares of a sample they get.
 TIER_CUTS, TIER_SHARES = (0.5, 0.8, 0.95), (0.2, 0.3, 0.3, 0.2)
 
@@ -17,10 +19,10 @@ def draw(key: str, seed: int) -> Column:
 
 def tiered(df: DataFrame, key: str, value: str, n: int, seed: int = 1) -> DataFrame:
     """A sample with fixed quotas of four value tiers (SMP-1)."""
-    cuts = df.agg(F.percentile(value, F.array(*[F.lit(c) for c in TIER_CUTS])).alias("cuts"))
-    tier = F.size(F.filter("cuts", lambda c: c < F.col(value)))
+    cuts = F.array(*[F.lit(float(c)) for c in quantiles(df, [F.col(value).cast("double")], TIER_CUTS)[0]])
+    tier = F.size(F.filter(cuts, lambda c: c < F.col(value)))
     quota = F.element_at(F.array(*[F.lit(int(s * n)) for s in TIER_SHARES]), F.col("tier") + 1)
-    t = df.crossJoin(F.broadcast(cuts)).withColumn("tier", tier).drop("cuts")
+    t = df.withColumn("tier", tier)
     return t.withColumn("_r", F.row_number().over(W.partitionBy("tier").orderBy(draw(key, seed), key))).where(F.col("_r") <= quota).drop("_r")
 
 
