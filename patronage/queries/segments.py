@@ -6,11 +6,13 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
+from patronage.operators import axes, profiles, snapshots
 from patronage.operators import membership as mem
-from patronage.operators import profiles, snapshots
+from patronage.plans import segmentation
 from patronage.queries.axes import wide_of
 from patronage.queries.registry import ORDERS, WIDE, query, r, rounded
 from patronage.queries.sales import PROF, orders_of, profiles_of
+from patronage.sources.landing import work_path
 
 FEATURES = ("lifetime_value", "avg_order_value")
 CENTERS = {"low": (-1.0, -1.0), "middle": (0.0, 0.0), "high": (1.5, 1.0)}
@@ -25,6 +27,37 @@ STEPS = SNAPS + f", sp AS (SELECT *, date_diff('day', old_date, snapshot_date) A
 TYPE_SQL = "CASE WHEN day(snapshot_date) = 1 AND month(snapshot_date) = 1 THEN 'yearly' WHEN day(snapshot_date) = 1 AND month(snapshot_date) IN (4, 7, 10) THEN 'quarterly' WHEN day(snapshot_date) = 1 THEN 'monthly' WHEN isodow(snapshot_date) = 7 THEN 'weekly' ELSE 'daily' END"
 
 
+_SHARES = {"low": 0.2, "middle": 0.5, "high": 0.8}
+_COLUMNS = [(a, f, f"{a}__{f}") for a, fs in axes.AXES.items() for f in fs]
+
+
+def _all_axes_sql() -> str:
+    """Distances of all customers to the quantile segments of all axes, as ds13 (customer_id, axis, segment, d)."""
+    flat = ", ".join(f"coalesce(CAST({f} AS DOUBLE), 0) AS {c}" for _, f, c in _COLUMNS)
+    stats = ", ".join(f"avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END AS s_{c}, quantile_cont({c}, [0.2, 0.5, 0.8]) AS q_{c}" for *_, c in _COLUMNS)
+    far = lambda a, k: "sqrt(" + " + ".join(f"pow(({c} - m_{c}) / s_{c} - round((q_{c}[{k}] - m_{c}) / s_{c}, 4), 2)" for x, _, c in _COLUMNS if x == a) + ")"
+    each = ", ".join(f"{{'axis': '{a}', 'segment': '{n}', 'd': {far(a, k)}}}" for a in axes.AXES for k, n in enumerate(_SHARES, 1))
+    return (
+        WIDE + f", fl AS MATERIALIZED (SELECT customer_id, {flat} FROM wide), st AS MATERIALIZED (SELECT {stats} FROM fl), "
+        f"ds13 AS MATERIALIZED (SELECT customer_id, u.axis AS axis, u.segment AS segment, u.d AS d FROM (SELECT customer_id, unnest([{each}]) AS u FROM fl, st)), "
+        "m13 AS MATERIALIZED (SELECT *, exp(-d) / sum(exp(-d)) OVER w AS score, row_number() OVER (w ORDER BY exp(-d) DESC, segment) AS rn FROM ds13 WINDOW w AS (PARTITION BY customer_id, axis))"
+    )
+
+
+ALL_AXES = _all_axes_sql()
+STRENGTH13 = "CASE WHEN a.score > 0.7 THEN 'strong' WHEN a.score > 0.4 AND b.score > 0.3 THEN 'balanced' ELSE 'weak' END"
+TOP13 = f"t13 AS (SELECT a.customer_id, a.axis, a.segment AS one, {STRENGTH13} AS strength, a.segment || ':' || CAST(round(a.score, 1) AS VARCHAR) || ',' || b.segment || ':' || CAST(round(b.score, 1) AS VARCHAR) AS two FROM m13 a JOIN m13 b ON a.customer_id = b.customer_id AND a.axis = b.axis AND a.rn = 1 AND b.rn = 2)"
+SIGNED13 = TOP13 + ", s13 AS (SELECT customer_id, string_agg(axis || '=' || one, ';' ORDER BY axis) AS level1, string_agg(axis || '=' || one || ':' || strength, ';' ORDER BY axis) AS level2, string_agg(axis || '=' || two, ';' ORDER BY axis) AS level3 FROM t13 GROUP BY 1)"
+
+
+def assigned_of(t, kind: str = "exp"):
+    """All customers on all axes, by the segments at the quantiles of each axis; the features are written once."""
+    path = work_path(t.spark, "features")
+    axes.flatten(wide_of(t)).write.parquet(path)
+    features = t.spark.read.parquet(path)
+    return segmentation.assign(features, segmentation.quantile_segments(features, tuple(_SHARES.values()), tuple(_SHARES)), kind)
+
+
 def scaled(t):
     w = wide_of(t)
     return w, mem.fit_scaler(w, FEATURES)
@@ -66,20 +99,22 @@ def join_7(t):
     return member(t).select("customer_id", F.explode("d").alias("segment", "distance")).withColumn("distance", r("distance"))
 
 
-@query("MEM-1", f"WITH {MEMBER} SELECT customer_id, segment, round(score, 6) AS score FROM m")
+@query("MEM-1", f"WITH {ALL_AXES} SELECT customer_id, axis, segment, round(score, 6) AS score FROM m13")
 def mem_1(t):
-    return member(t).select("customer_id", F.explode("m").alias("segment", "score")).withColumn("score", r("score"))
+    m = assigned_of(t).select("customer_id", F.explode("memberships").alias("axis", "m"))
+    return m.select("customer_id", "axis", F.explode("m").alias("segment", "score")).withColumn("score", r("score"))
 
 
-@query("MEM-2", f"WITH {SCALED} SELECT customer_id, segment, round(1 / (1 + d) / sum(1 / (1 + d)) OVER (PARTITION BY customer_id), 6) AS score FROM ds")
+@query("MEM-2", f"WITH {ALL_AXES} SELECT customer_id, axis, segment, round(1 / (1 + d) / sum(1 / (1 + d)) OVER (PARTITION BY customer_id, axis), 6) AS score FROM ds13")
 def mem_2(t):
-    return member(t, "inverse").select("customer_id", F.explode("m").alias("segment", "score")).withColumn("score", r("score"))
+    m = assigned_of(t, "inverse").select("customer_id", F.explode("memberships").alias("axis", "m"))
+    return m.select("customer_id", "axis", F.explode("m").alias("segment", "score")).withColumn("score", r("score"))
 
 
-@query("MEM-3", f"WITH {SCALED}, n AS (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY d, segment) AS rn FROM ds) SELECT customer_id, segment, round(1 / (1 + d), 6) AS confidence FROM n WHERE rn = 1")
+@query("MEM-3", f"WITH {ALL_AXES} SELECT customer_id, string_agg(axis || '=' || segment, ';' ORDER BY axis) AS segments, round(avg(1 / (1 + d)), 6) AS confidence FROM m13 WHERE rn = 1 GROUP BY 1")
 def mem_3(t):
-    best = F.array_min(F.transform(F.map_entries("d"), lambda e: F.struct(e["value"].alias("d"), e["key"].alias("segment"))))
-    return member(t).select("customer_id", best.alias("b")).select("customer_id", "b.segment", r(1 / (1 + F.col("b.d"))).alias("confidence"))
+    nearest = F.array_join(F.array_sort(F.transform(F.map_entries("dominant"), lambda e: F.concat_ws("=", e["key"], e["value"]))), ";")
+    return assigned_of(t, "nearest").select("customer_id", nearest.alias("segments"), r("confidence").alias("confidence"))
 
 
 @query("MEM-4", f"WITH {MEMBER} SELECT a.customer_id, a.segment AS dominant, b.segment AS second, CASE WHEN a.score > 0.7 THEN 'strong' WHEN a.score > 0.4 AND b.score > 0.3 THEN 'balanced' ELSE 'weak' END AS strength FROM m a JOIN m b ON a.customer_id = b.customer_id AND a.rn = 1 AND b.rn = 2")
@@ -119,17 +154,16 @@ def mem_8(t):
     return profiles_of(t).select("customer_id", F.explode("dominant_segments").alias("axis", "segment"))
 
 
-@query("MEM-9", f"WITH {SCALED} SELECT customer_id, string_agg(CAST(round(d, 3) AS VARCHAR), ' ' ORDER BY segment) AS fingerprint FROM ds GROUP BY 1")
+@query("MEM-9", f"WITH {ALL_AXES} SELECT customer_id, string_agg(CAST(round(d, 3) AS VARCHAR), ' ' ORDER BY axis, segment) AS fingerprint FROM ds13 GROUP BY 1")
 def mem_9(t):
-    parts = F.transform(F.array_sort(F.map_entries("d")), lambda e: F.round(e["value"], 3).cast("string"))
-    return member(t).select("customer_id", F.array_join(parts, " ").alias("fingerprint"))
+    of = lambda m: F.transform(F.array_sort(F.map_entries(m)), lambda e: F.round(e["value"], 3).cast("string"))
+    parts = F.flatten(F.transform(F.array_sort(F.map_keys("distances")), lambda a: of(F.col("distances")[a])))
+    return assigned_of(t).select("customer_id", F.array_join(parts, " ").alias("fingerprint"))
 
 
-@query("ARC-1", f"WITH {MEMBER} SELECT a.customer_id, a.segment AS level1, a.segment || '|' || CASE WHEN a.score > 0.7 THEN 'strong' WHEN a.score > 0.4 AND b.score > 0.3 THEN 'balanced' ELSE 'weak' END AS level2, a.segment || ',' || b.segment AS level3 FROM m a JOIN m b ON a.customer_id = b.customer_id AND a.rn = 1 AND b.rn = 2")
+@query("ARC-1", f"WITH {ALL_AXES}, {SIGNED13} SELECT customer_id, level1, level2, level3 FROM s13")
 def arc_1(t):
-    top = member(t).select("customer_id", mem.ranked(F.col("m")).alias("t"))
-    one, two = F.col("t")[0]["segment"], F.col("t")[1]["segment"]
-    return top.select("customer_id", one.alias("level1"), F.concat_ws("|", one, mem.strength(F.col("t"))).alias("level2"), F.concat_ws(",", one, two).alias("level3"))
+    return segmentation.signatures(assigned_of(t))
 
 
 @query("ARC-2", f"WITH {PROF} SELECT signature, count(*) AS members, round(CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM prof), 6) AS share FROM prof GROUP BY 1")
@@ -149,11 +183,10 @@ def arc_3(t):
     return k.agg(F.count("*").alias("archetypes"), F.count_if(n == 1).alias("singles"), F.count_if(n.between(2, 5)).alias("small"), F.count_if(n.between(6, 10)).alias("medium"), F.count_if(n > 10).alias("large"), r(F.avg("n")).alias("mean_size"), F.max(F.when(F.col("j") == F.floor(F.col("k") / 2) + 1, n)).alias("median_size"), r(F.sum(F.when(F.col("i") <= 10, n)) / F.sum("n")).alias("top10"))
 
 
-@query("ARC-4", f"WITH {MEMBER}, s AS (SELECT a.customer_id, a.segment AS l1, a.segment || b.segment AS l3 FROM m a JOIN m b ON a.customer_id = b.customer_id AND a.rn = 1 AND b.rn = 2) SELECT count(DISTINCT l1) AS dominant_archetypes, count(DISTINCT l3) AS fuzzy_archetypes, round(CAST(count(DISTINCT l3) AS DOUBLE) / count(DISTINCT l1), 6) AS gain FROM s")
+@query("ARC-4", f"WITH {ALL_AXES}, {SIGNED13} SELECT count(DISTINCT level1) AS dominant_archetypes, count(DISTINCT level2) AS strength_archetypes, count(DISTINCT level3) AS fuzzy_archetypes, round(CAST(count(DISTINCT level3) AS DOUBLE) / count(DISTINCT level1), 6) AS gain FROM s13")
 def arc_4(t):
-    a = arc_1(t)
-    one, two = F.countDistinct("level1"), F.countDistinct("level3")
-    return a.agg(one.alias("dominant_archetypes"), two.alias("fuzzy_archetypes"), r(two / one).alias("gain"))
+    kinds = segmentation.archetypes(arc_1(t)).groupBy().agg(*[F.count_if(F.col("level") == k).alias(n) for k, n in enumerate(("dominant_archetypes", "strength_archetypes", "fuzzy_archetypes"), 1)])
+    return kinds.withColumn("gain", r(F.col("fuzzy_archetypes") / F.col("dominant_archetypes")))
 
 
 @query("ARC-5", f"WITH {PROF} SELECT archetype_id, count(*) AS members FROM prof GROUP BY 1 HAVING count(*) >= 10")
@@ -274,9 +307,9 @@ def join_16(t):
     return snapshots.as_of(snaps_of(t), REFERENCE, [0, 180, 400, 800], "archetype")
 
 
-@query("FLT-6", f"WITH {SNAPS} SELECT customer_id, CAST(snapshot_date AS VARCHAR) AS snapshot_date, archetype FROM sq WHERE customer_id BETWEEN 10 AND 200 AND snapshot_date >= DATE '1999-01-01' AND {TYPE_SQL} = 'yearly' ORDER BY snapshot_date DESC, customer_id LIMIT 40")
+@query("FLT-6", f"WITH {SNAPS} SELECT customer_id, CAST(snapshot_date AS VARCHAR) AS snapshot_date, archetype FROM sq WHERE snapshot_date >= DATE '1999-01-01' AND {TYPE_SQL} = 'yearly' ORDER BY snapshot_date DESC, customer_id LIMIT 40")
 def flt_6(t):
-    s = snaps_of(t).where(F.col("customer_id").between(10, 200) & (F.col("snapshot_date") >= date(1999, 1, 1)) & (F.col("snapshot_type") == "yearly"))
+    s = snaps_of(t).where((F.col("snapshot_date") >= date(1999, 1, 1)) & (F.col("snapshot_type") == "yearly"))
     return s.orderBy(F.col("snapshot_date").desc(), "customer_id").limit(40).select("customer_id", F.col("snapshot_date").cast("string").alias("snapshot_date"), "archetype")
 
 
@@ -290,13 +323,13 @@ def flt_8(t):
     return snapshots.purge(snaps_of(t), REFERENCE).select("customer_id", F.col("snapshot_date").cast("string").alias("snapshot_date"), "snapshot_type")
 
 
-@query("TOP-5", f"WITH {STEPS}, l AS (SELECT customer_id, 'frequency' AS axis, df AS d FROM sp UNION ALL SELECT customer_id, 'value', dv FROM sp), g AS (SELECT customer_id, axis, avg(d) AS mean_drift FROM l GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY round(mean_drift, 9) DESC, axis) AS place FROM g) SELECT customer_id, axis, round(mean_drift, 6) AS mean_drift, place FROM n WHERE place <= 1")
+@query("TOP-5", f"WITH {STEPS}, l AS (SELECT customer_id, 'frequency' AS axis, df AS d FROM sp UNION ALL SELECT customer_id, 'value', dv FROM sp), g AS (SELECT customer_id, axis, avg(d) AS mean_drift FROM l GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY round(mean_drift, 9) DESC, axis) AS place FROM g) SELECT customer_id, axis, round(mean_drift, 6) AS mean_drift, place FROM n WHERE place <= 5")
 def top_5(t):
     from pyspark.sql.window import Window as W
 
     g = snapshots.consecutive(snaps_of(t)).select("customer_id", F.explode("axis_drift").alias("axis", "d")).groupBy("customer_id", "axis").agg(F.avg("d").alias("mean_drift"))
     n = g.withColumn("place", F.row_number().over(W.partitionBy("customer_id").orderBy(F.round("mean_drift", 9).desc(), "axis")).cast("long"))
-    return n.where("place <= 1").withColumn("mean_drift", r("mean_drift"))
+    return n.where("place <= 5").withColumn("mean_drift", r("mean_drift"))
 
 
 @query("SET-2", f"WITH {PROF} SELECT customer_id, 'a,b,' || seg_purchase_value AS all_keys FROM prof")
@@ -312,14 +345,27 @@ def set_4(t):
     return profiles_of(t).select("customer_id", F.array_join(F.array_except(known, have), ",").alias("missing"), F.array_join(F.array_sort(F.array_except(have, known)), ",").alias("extra"))
 
 
-@query("OUT-1", f"WITH {MEMBER} SELECT customer_id, round(greatest(0, 1 - max(score) / 0.5), 6) AS outlier_score, max(score) < 0.4 AS outlier FROM m GROUP BY 1")
+OUT13 = "o13 AS (SELECT customer_id, axis, greatest(0, 1 - max(score)) AS s FROM m13 GROUP BY 1, 2), p13 AS (SELECT customer_id, count(*) FILTER (s > 0.55) AS n, coalesce(avg(s) FILTER (s > 0.55), 0) AS mean, coalesce(string_agg(axis, ',' ORDER BY axis) FILTER (s > 0.55), '') AS axes FROM o13 GROUP BY 1)"
+
+
+def _outliers(t):
+    return assigned_of(t).select("customer_id", segmentation.outliers(F.col("memberships"), floor=1.0, cut=0.55, least_axes=2, least_mean=0.6).alias("o")).select("customer_id", "o.*")
+
+
+@query("OUT-1", f"WITH {ALL_AXES}, {OUT13} SELECT customer_id, axes, round(mean, 6) AS outlier_score, n >= 2 AND mean >= 0.6 AS outlier FROM p13")
 def out_1(t):
-    m = member(t)
-    return m.select("customer_id", r(mem.outlier_score(F.col("m"), 0.5)).alias("outlier_score"), (F.array_max(F.map_values("m")) < 0.4).alias("outlier"))
+    return _outliers(t).select("customer_id", F.array_join("flagged", ",").alias("axes"), r("mean").alias("outlier_score"), "outlier")
 
 
-@query("OUT-2", f"WITH {MEMBER}, o AS (SELECT customer_id, greatest(0, 1 - max(score) / 0.8) AS s FROM m GROUP BY 1) SELECT CASE WHEN s = 0 THEN 'none' WHEN s < 0.2 THEN 'low' WHEN s < 0.4 THEN 'medium' ELSE 'high' END AS severity, count(*) AS n, round(avg(s), 6) AS mean_score FROM o GROUP BY 1")
+@query("OUT-2", f"WITH {ALL_AXES}, {OUT13} SELECT axis, count(*) FILTER (s > 0.55) AS flagged, round(avg(s), 6) AS mean_score, count(*) FILTER (s >= 0.6) AS severe, count(*) FILTER (s >= 0.4 AND s < 0.6) AS medium, count(*) FILTER (s < 0.4) AS low FROM o13 GROUP BY 1")
 def out_2(t):
     s = F.col("s")
-    o = member(t).select(mem.outlier_score(F.col("m"), 0.8).alias("s"))
-    return o.groupBy(F.when(s == 0, "none").when(s < 0.2, "low").when(s < 0.4, "medium").otherwise("high").alias("severity")).agg(F.count("*").alias("n"), r(F.avg("s")).alias("mean_score"))
+    each = _outliers(t).select(F.explode("axis_scores").alias("axis", "s"))
+    return each.groupBy("axis").agg(F.count_if(s > 0.55).alias("flagged"), r(F.avg("s")).alias("mean_score"), F.count_if(s >= 0.6).alias("severe"), F.count_if((s >= 0.4) & (s < 0.6)).alias("medium"), F.count_if(s < 0.4).alias("low"))
+
+
+@query("W1")
+def w1(t):
+    """The segments that the whole run finds, with their population; a fit has no SQL."""
+    run = segmentation.run(axes.flatten(wide_of(t)), work_path(t.spark, "segmentation"))
+    return run["segments"].select("axis", "segment", "k", r("silhouette").alias("silhouette"), "customer_count", r("population_pct").alias("population_pct"))
