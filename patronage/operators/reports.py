@@ -122,3 +122,12 @@ def column_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """(feature, min, max, mean, median, p25, p75) of each column, in one aggregation (AGG-26)."""
     one = df.agg(*[F.struct(F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"), F.avg(c).alias("mean"), F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("p")).alias(c) for c in columns])
     return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("s")) for c in columns])).alias("x")).select("x.feature", "x.s.min", "x.s.max", "x.s.mean", F.col("x.s.p")[1].alias("median"), F.col("x.s.p")[0].alias("p25"), F.col("x.s.p")[2].alias("p75"))
+
+
+def rankings(df: DataFrame, keys: dict[str, bool], n: int, tie: str) -> DataFrame:
+    """The first n rows by each sort key (True: smallest first), marked with the key (AGG-17)."""
+    out = None
+    for key, up in keys.items():
+        one = top_by(df, F.col(key).asc() if up else F.col(key).desc(), n, tie).select(F.lit(key).alias("sort_key"), *df.columns)
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -39,6 +39,11 @@ def weighted(df: DataFrame, key: str, weight: Column, n: int, seed: int = 1) ->
     return df.where(weight > 0).orderBy(-F.ln(draw(key, seed)) / weight, key).limit(n)
 
 
+def at_random(df: DataFrame, key: str, n: int, seed: int = 1) -> DataFrame:
+    """n rows in the order of a digest of their key: the same draw in any engine (SMP-6)."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)
+
+
 def sample_size(rows: int) -> int:
     """A quarter below 10,000 rows, 5 % below 100,000, 3 % above; 500 to 5000 (SMP-5)."""
     share = 0.25 if rows < 10_000 else 0.05 if rows < 100_000 else 0.03

@@ -50,6 +50,41 @@ def first_class(text: Column, ladder: dict[str, tuple[str, ...]], rest: str) ->
     return out
 
 
+def urgency(text: Column, classes: tuple[tuple[str, str, str, tuple[str, ...]], ...]) -> Column:
+    """A struct of level, category, tag and matched words of the first class of which the text holds a word (TKT-2)."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    out = F.struct(F.lit("normal").alias("level"), F.lit("other").alias("category"), F.lit("").alias("tag"), F.array().cast("array<string>").alias("matched"))
+    for level, category, tag, words in reversed(classes):
+        matched = F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(low, w))
+        out = F.when(F.size(matched) > 0, F.struct(F.lit(level).alias("level"), F.lit(category).alias("category"), F.lit(tag).alias("tag"), matched.alias("matched"))).otherwise(out)
+    return out
+
+
+# Which entries of via and channel name a source, and which words of subject and address do, in order of
+# precedence. Of the words of "ringcentral" either place counts.
+SOURCES = (
+    ("ringcentral", (), (), ("ringcentral",), ("ringcentral",)),
+    ("sms", ("sms",), ("sms",), ("text message", "sms"), ()),
+    ("chat", ("chat", "gorgias_chat"), ("chat",), (), ()),
+    ("phone", ("voice",), ("voice",), (), ()),
+    ("api", ("api",), (), (), ()),
+    ("email", ("email",), ("email",), (), ()),
+)
+
+
+def source(via: Column, channel: Column, subject: Column, email: Column) -> Column:
+    """Where a ticket came from, by the first source that one of its fields names; missing fields are empty (TKT-5)."""
+    via, channel, subject, email = (F.lower(F.coalesce(c, F.lit(""))) for c in (via, channel, subject, email))
+    out = F.lit("unknown")
+    for name, vias, channels, in_subject, in_email in reversed(SOURCES):
+        hits = [via == v for v in vias] + [channel == c for c in channels] + [F.contains(subject, F.lit(w)) for w in in_subject] + [F.contains(email, F.lit(w)) for w in in_email]
+        any_hit = hits[0]
+        for h in hits[1:]:
+            any_hit = any_hit | h
+        out = F.when(any_hit, name).otherwise(out)
+    return out
+
+
 def volume_history(tickets: DataFrame, unit: str) -> DataFrame:
     """Tickets for each period with a map of counts by channel and calendar columns (TKT-6)."""
     n = tickets.groupBy(F.date_trunc(unit, "created_at").alias("period"), "channel").agg(F.count("*").alias("n"))

@@ -87,7 +87,9 @@ def fuzzy_cmeans(points: DataFrame, k: int, m: float = 2.0, most: int = 60, tole
         return out[:, :-1] / np.maximum(out[:, -1:], 1e-12)
 
     def start(x: np.ndarray, h: np.ndarray) -> np.ndarray:
-        return np.stack([(((h >> (8 * c)) & 255) / 255.0) ** 4 for c in range(k)], 1) + 1e-6
+        # Each centre has weights of its own, for any number of centres.
+        salted = [(h ^ np.int64((c + 1) * 0x9E3779B97F4A7C1 & 0x7FFFFFFFFFFFFFFF)) * np.int64(0x2545F4914F6CDD1D) for c in range(k)]
+        return np.stack([(((x >> 40) & 0xFFFF) / 65535.0) ** 4 for x in salted], 1) + 1e-6
 
     def soft(centers: np.ndarray):
         def weights(x: np.ndarray, _h: np.ndarray) -> np.ndarray:

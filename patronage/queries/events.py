@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from datetime import date
 
 from pyspark.sql import functions as F
 
 from patronage.operators import events as ev
 from patronage.queries.registry import query, r, rounded
+from patronage.sources.landing import work_path
 from patronage.streaming import jobs
 
 E_SQL = "ev AS (SELECT event_id, user_id AS entity, ts, event_type FROM events)"
@@ -99,8 +98,7 @@ def evt_10(t):
 
 
 def _place(t, name: str) -> tuple[str, str]:
-    top = (t.spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="spark-stream-")).rstrip("/")
-    base = f"{top}/{name}-{uuid.uuid4().hex}"
+    base = work_path(t.spark, name)
     return f"{base}/out", f"{base}/state"
 
 
@@ -147,7 +145,7 @@ def str_5(t):
 def str_6(t):
     out, state = _place(t, "upsert")
     jobs.drain_each(_stream(t).select("entity", "event_id", "event_type"), jobs.latest_by_key(out, ["entity"], "event_id"), state, "append")
-    return jobs.read_latest(t.spark, out, ["entity"])
+    return jobs.read_latest(t.spark, out, ["entity"], "event_id")
 
 
 @query("STR-7", "SELECT event_id, user_id AS entity, CASE WHEN value < 10 THEN 'low' WHEN value < 50 THEN 'middle' ELSE 'high' END AS segment FROM events WHERE event_type = 'purchase'")

@@ -11,14 +11,16 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import functions as F
 
+from patronage.operators import axes, sampling
 from patronage.operators import membership as mem
-from patronage.operators import sampling
 from patronage.operators.scoring import training_set
 from patronage.plans import clustering as cl
+from patronage.plans import segmentation
 from patronage.queries.axes import wide_of
 from patronage.queries.registry import BOTH, LINES, ORDERS, WIDE, query, r, rounded
 from patronage.queries.sales import PROF, orders_of, profiles_of
 from patronage.sources import landing
+from patronage.sources.landing import work_path
 
 KEY_AXES = {"purchase_value": ("lifetime_value", "avg_order_value", "max_order_value"), "purchase_frequency": ("orders_per_month", "avg_days_between_orders", "total_orders")}
 
@@ -147,15 +149,15 @@ def smp_3(t):
     return sampling.weighted(profiles_of(t), "customer_id", F.col("lifetime_value"), 100).select("customer_id", r("lifetime_value", 4).alias("lifetime_value"))
 
 
-@query("SMP-5", "SELECT 500 AS sample_size, count(*) AS n FROM customer HAVING count(*) < 2000")
+@query("SMP-5", "SELECT CAST(greatest(500, least(5000, CAST(floor(n * CASE WHEN n < 10000 THEN 0.25 WHEN n < 100000 THEN 0.05 ELSE 0.03 END) AS INT))) AS INT) AS sample_size, n FROM (SELECT count(*) AS n FROM customer)")
 def smp_5(t):
     n = t.stores.count()
-    return t.stores.agg(F.count("*").alias("n")).select(F.lit(sampling.sample_size(n)).alias("sample_size"), "n").where("n < 2000")
+    return t.stores.agg(F.count("*").alias("n")).select(F.lit(sampling.sample_size(n)).alias("sample_size"), "n")
 
 
-@query("SMP-6", "SELECT 100 AS n FROM customer HAVING count(*) >= 100")
+@query("SMP-6", "SELECT c_custkey AS customer_id FROM customer ORDER BY md5('1:' || c_custkey), c_custkey LIMIT 100")
 def smp_6(t):
-    return t.stores.orderBy(F.xxhash64("customer_id"), "customer_id").limit(100).agg(F.count("*").cast("int").alias("n")).where("n >= 100")
+    return sampling.at_random(t.stores, "customer_id", 100).select("customer_id")
 
 
 def points_of(t, features):
@@ -228,17 +230,14 @@ def clu_13(t):
     return cl.subdivide(p.withColumn("label", (far(1) < far(0)).cast("int")), "label").groupBy("path").agg(F.count("*").alias("n"))
 
 
-@query("CLU-15", "SELECT count(DISTINCT o_custkey) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
+@query("CLU-15")
 def clu_15(t):
-    """Centres from a tiered sample, nearest centre for all customers."""
-    w = wide_of(t)
-    features = KEY_AXES["purchase_value"]
-    scaler = mem.fit_scaler(w, features, "robust", winsorise=True)
-    sample = sampling.tiered(w, "customer_id", "lifetime_value", 400)
-    best = max(cl.k_scores(cl.vectors(sample, scaler), range(2, 5)), key=lambda s: s["silhouette"])
-    centers = {f"segment_{k}": tuple(c) for k, c in enumerate(best["centers"])}
-    near = mem.memberships(mem.distances(scaler.columns(), centers), "nearest")
-    return w.select(near.alias("m")).where(F.size("m") > 0).agg(F.count("*").alias("n"))
+    """Segments from a tiered sample, and the nearest of them for every customer on every axis; a fit has no SQL."""
+    path = work_path(t.spark, "features")
+    axes.flatten(wide_of(t)).write.parquet(path)
+    features = t.spark.read.parquet(path)
+    found = segmentation.assign(features, segmentation.discover(features), "nearest")
+    return found.select("customer_id", F.explode("dominant").alias("axis", "segment"))
 
 
 OBS = [date(2000, m, 1) for m in range(1, 13, 2)]

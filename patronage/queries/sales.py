@@ -151,9 +151,9 @@ def agg_3(t):
     return rounded(reports.repeat_customers(orders_of(t)), 4)
 
 
-@query("AGG-4", f"WITH {ORDERS}, o AS (SELECT customer_id, sum(total_price) AS spend, date_diff('day', max(order_date), (SELECT max(order_date) FROM ord)) AS d FROM ord WHERE order_id % 5 = 0 GROUP BY 1 HAVING count(*) = 1) SELECT customer_id, round(spend, 4) AS spend, CAST(d AS INT) AS days, CASE WHEN d <= 30 THEN 0 WHEN d <= 90 THEN 1 WHEN d <= 180 THEN 2 WHEN d <= 365 THEN 3 ELSE 4 END AS band FROM o")
+@query("AGG-4", f"WITH {ORDERS}, o AS (SELECT customer_id, sum(total_price) AS spend, date_diff('day', max(order_date), (SELECT max(order_date) FROM ord)) AS d FROM ord GROUP BY 1 HAVING count(*) = 1) SELECT customer_id, round(spend, 4) AS spend, CAST(d AS INT) AS days, CASE WHEN d <= 30 THEN 0 WHEN d <= 90 THEN 1 WHEN d <= 180 THEN 2 WHEN d <= 365 THEN 3 ELSE 4 END AS band FROM o")
 def agg_4(t):
-    return rounded(reports.one_time_customers(orders_of(t).where("order_id % 5 = 0"), ref_of(t)), 4)
+    return rounded(reports.one_time_customers(orders_of(t), ref_of(t)), 4)
 
 
 @query("AGG-5", f"WITH {PROF} SELECT axis, segment, n FROM cnt")
@@ -227,10 +227,19 @@ def agg_16(t):
     return d.select("archetype_id", "member_count", r("population_pct").alias("population_pct"), *[r(c, 4).alias(c) for c in ("avg_ltv", "avg_orders", "avg_churn")])
 
 
-@query("AGG-17", f"WITH {PROF} SELECT archetype_id, count(*) AS n, round(avg(days_since_last_purchase), 4) AS recency, round(avg(orders_per_month), 6) AS frequency, round(avg(lifetime_value), 4) AS avg_ltv FROM prof GROUP BY 1 ORDER BY recency, archetype_id LIMIT 7")
+#: Sort keys of the archetype ranking: column, and whether the smallest come first.
+RANKINGS = {"n": False, "avg_ltv": False, "total_ltv": False, "avg_order": False, "frequency": False, "recency": True, "churn": False}
+RANKED_SQL = "g AS (SELECT archetype_id, count(*) AS n, round(avg(lifetime_value), 4) AS avg_ltv, round(sum(lifetime_value), 2) AS total_ltv, round(avg(avg_order_value), 4) AS avg_order, round(avg(orders_per_month), 6) AS frequency, round(avg(days_since_last_purchase), 4) AS recency, round(avg(churn_risk_score), 6) AS churn FROM prof GROUP BY 1)"
+
+
+@query("AGG-17", f"WITH {PROF}, {RANKED_SQL} " + " UNION ALL ".join(f"(SELECT '{k}' AS sort_key, * FROM g ORDER BY {k} {'ASC' if up else 'DESC'}, archetype_id LIMIT 7)" for k, up in RANKINGS.items()))
 def agg_17(t):
-    g = profiles_of(t).groupBy("archetype_id").agg(F.count("*").alias("n"), r(F.avg("days_since_last_purchase"), 4).alias("recency"), r(F.avg("orders_per_month")).alias("frequency"), r(F.avg("lifetime_value"), 4).alias("avg_ltv"))
-    return reports.top_by(g, F.col("recency").asc(), 7, "archetype_id")
+    mean = lambda c, digits: r(F.avg(c), digits)
+    g = profiles_of(t).groupBy("archetype_id").agg(
+        F.count("*").alias("n"), mean("lifetime_value", 4).alias("avg_ltv"), r(F.sum("lifetime_value"), 2).alias("total_ltv"), mean("avg_order_value", 4).alias("avg_order"),
+        mean("orders_per_month", 6).alias("frequency"), mean("days_since_last_purchase", 4).alias("recency"), mean("churn_risk_score", 6).alias("churn"),
+    )
+    return reports.rankings(g, RANKINGS, 7, "archetype_id")
 
 
 @query("AGG-18", f"WITH {PROF} SELECT round(avg(lifetime_value) FILTER (lifetime_value > 0), 4) AS avg_ltv, count(*) FILTER (lifetime_value > 0) AS n FROM prof")

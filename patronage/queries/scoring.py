@@ -6,6 +6,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
+from patronage.operators import profiles
 from patronage.operators import scoring as sc
 from patronage.queries.axes import wide_of
 from patronage.queries.registry import query, r, rounded
@@ -91,11 +92,14 @@ def set_5(t):
     return sc.training_set(orders_of(t), OBS).groupBy(F.col("obs_date").cast("string").alias("obs_date")).agg(F.count("*").alias("n"), r(F.avg("churned")).alias("churn_rate"))
 
 
-@query("CHN-2", f"WITH {PROF} SELECT customer_id, " + ", ".join(f"CASE WHEN seg_{a} = '{s}' THEN 1.0 ELSE 0.0 END AS fuzzy_{a}_{s}" for a, s in (("purchase_value", "high"), ("purchase_value", "medium"), ("purchase_value", "low"), ("return_behavior", "keeper"))) + ", round(lifetime_value / total_orders, 4) AS aov, round(days_since_last_purchase / CAST(tenure_days AS DOUBLE), 6) AS recency_ratio FROM prof WHERE tenure_days > 0")
+FUZZY = [(a, s) for a, (_, bounds) in profiles.RULES.items() for _, s in bounds]
+
+
+@query("CHN-2", f"WITH {PROF} SELECT customer_id, " + ", ".join(f"CASE WHEN seg_{a} = '{s}' THEN 1.0 ELSE 0.0 END AS fuzzy_{a}_{s}" for a, s in FUZZY) + ", round(lifetime_value / total_orders, 6) AS aov, round(orders_per_month, 6) AS orders_per_month, round(days_since_last_purchase / CAST(tenure_days AS DOUBLE), 6) AS recency_ratio FROM prof WHERE tenure_days > 0")
 def chn_2(t):
     s = F.col("dominant_segments")
     p = profiles_of(t).where("tenure_days > 0")
-    return p.select("customer_id", *[(s[a] == v).cast("double").alias(f"fuzzy_{a}_{v}") for a, v in (("purchase_value", "high"), ("purchase_value", "medium"), ("purchase_value", "low"), ("return_behavior", "keeper"))], r(F.col("lifetime_value") / F.col("total_orders"), 4).alias("aov"), r(F.col("days_since_last_purchase") / F.col("tenure_days")).alias("recency_ratio"))
+    return p.select("customer_id", *[(s[a] == v).cast("double").alias(f"fuzzy_{a}_{v}") for a, v in FUZZY], r(F.col("lifetime_value") / F.col("total_orders")).alias("aov"), r("orders_per_month").alias("orders_per_month"), r(F.col("days_since_last_purchase") / F.col("tenure_days")).alias("recency_ratio"))
 
 
 RULE_SCORE = "least(1.0, recency / 180.0)"

@@ -75,9 +75,22 @@ def join_8(t):
 LADDER = {"urgent": ("que", "wh"), "billing": ("ung",), "shipping": ("tion",)}
 
 
-@query("TKT-2", f"WITH {M_SQL} SELECT ticket_id, message_no, CASE WHEN contains(lower(content), 'que') OR contains(lower(content), 'wh') THEN 'urgent' WHEN contains(lower(content), 'ung') THEN 'billing' WHEN contains(lower(content), 'tion') THEN 'shipping' ELSE 'other' END AS class FROM ms")
+#: Urgency classes over the driver's invented words: level, category, tag, words; the first that matches wins.
+URGENCY = (("urgent", "cancel_request", "urgent_cancel", ("que", "wh")), ("high", "billing", "billing_issue", ("ung", "aux")), ("normal", "shipping", "shipping_issue", ("tion", "heit")))
+
+
+def _urgency_sql(place: int, rest: str) -> str:
+    hit = lambda words: "(" + " OR ".join(f"contains(lower(content), '{w}')" for w in words) + ")"
+    return "CASE " + " ".join(f"WHEN {hit(u[3])} THEN '{u[place]}'" for u in URGENCY) + f" ELSE '{rest}' END"
+
+
+MATCHED_SQL = "CASE " + " ".join("WHEN (" + " OR ".join(f"contains(lower(content), '{w}')" for w in u[3]) + ") THEN array_to_string(list_filter([" + ", ".join(f"'{w}'" for w in u[3]) + "], lambda w: contains(lower(content), w)), ',')" for u in URGENCY) + " ELSE '' END"
+
+
+@query("TKT-2", f"WITH {M_SQL} SELECT ticket_id, message_no, {_urgency_sql(0, 'normal')} AS level, {_urgency_sql(1, 'other')} AS category, {_urgency_sql(2, '')} AS tag, {MATCHED_SQL} AS matched FROM ms")
 def tkt_2(t):
-    return t.messages.select("ticket_id", "message_no", tk.first_class(F.col("content"), LADDER, "other").alias("class"))
+    u = F.col("u")
+    return t.messages.select("ticket_id", "message_no", tk.urgency(F.col("content"), URGENCY).alias("u")).select("ticket_id", "message_no", u["level"].alias("level"), u["category"].alias("category"), u["tag"].alias("tag"), F.array_join(u["matched"], ",").alias("matched"))
 
 
 @query("TKT-3", f"WITH {M_SQL}, c AS (SELECT CASE WHEN contains(lower(content), 'ung') THEN 'billing' WHEN contains(lower(content), 'que') THEN 'urgent' ELSE 'other' END AS class FROM ms WHERE NOT from_agent) SELECT class, count(*) AS n FROM c GROUP BY 1")
@@ -95,9 +108,17 @@ def tkt_4(t):
     return tickets_of(t).join(p, "customer_id", "left").select("ticket_id", new.alias("new_priority"), F.array_join(tags, ",").alias("tags"))
 
 
-@query("TKT-5", f"WITH {T_SQL} SELECT channel, priority, count(*) AS n FROM tk GROUP BY 1, 2")
+CAME = "cm AS (SELECT ticket_id, lower(coalesce(arg_min(content, message_no), '')) AS subject, CASE ticket_id % 6 WHEN 0 THEN 'sms' WHEN 1 THEN 'gorgias_chat' WHEN 2 THEN 'voice' WHEN 3 THEN 'api' WHEN 4 THEN 'email' END AS via, CASE ticket_id % 5 WHEN 0 THEN 'SMS' WHEN 1 THEN 'chat' WHEN 2 THEN 'voice' WHEN 3 THEN 'email' ELSE 'web' END AS channel, CASE WHEN ticket_id % 7 = 0 THEN 'notify@RingCentral.example' END AS email FROM ms GROUP BY 1)"
+
+
+@query("TKT-5", f"WITH {M_SQL}, {CAME} SELECT ticket_id, CASE WHEN email IS NOT NULL OR contains(subject, 'ringcentral') THEN 'ringcentral' WHEN lower(channel) = 'sms' OR via = 'sms' OR contains(subject, 'text message') OR contains(subject, 'sms') THEN 'sms' WHEN channel = 'chat' OR via = 'gorgias_chat' THEN 'chat' WHEN channel = 'voice' OR via = 'voice' THEN 'phone' WHEN via = 'api' THEN 'api' WHEN channel = 'email' OR via = 'email' THEN 'email' ELSE 'unknown' END AS source FROM cm")
 def tkt_5(t):
-    return tickets_of(t).groupBy("channel", "priority").agg(F.count("*").alias("n"))
+    """Where each ticket came from: its first message stands for the subject; via, channel and address are dealt by its number."""
+    c = F.col("ticket_id")
+    came = t.messages.groupBy("ticket_id").agg(F.min_by("content", "message_no").alias("subject")).select(
+        "ticket_id", "subject", pick(c, ["sms", "gorgias_chat", "voice", "api", "email", None]).alias("via"), pick(c, ["SMS", "chat", "voice", "email", "web"]).alias("channel"), F.when(c % 7 == 0, "notify@RingCentral.example").alias("email"),
+    )
+    return came.select("ticket_id", tk.source(F.col("via"), F.col("channel"), F.col("subject"), F.col("email")).alias("source"))
 
 
 @query("TKT-6", f"WITH {T_SQL}, c AS (SELECT date_trunc('day', created_at) AS p, channel, count(*) AS n FROM tk GROUP BY 1, 2) SELECT CAST(CAST(p AS DATE) AS VARCHAR) AS period, CAST(sum(n) AS BIGINT) AS total, string_agg(channel || '=' || n, ',' ORDER BY channel) AS by_channel, CAST(isodow(p) - 1 AS INT) AS weekday, isodow(p) >= 6 AS weekend FROM c GROUP BY p")
@@ -197,9 +218,9 @@ def kb_2(t):
     return rounded(tk.cosine_top(e, e.where("vec_id % 20 = 0"), 5))
 
 
-@query("KB-3", "WITH v AS (SELECT conv_id AS article_id, turn AS changed_at, left(text, 1) AS content FROM conversations), c AS (SELECT *, lag(content) OVER (PARTITION BY article_id ORDER BY changed_at) AS b FROM v) SELECT article_id, changed_at, content, CAST(row_number() OVER (PARTITION BY article_id ORDER BY changed_at) AS INT) AS version FROM c WHERE content IS DISTINCT FROM b")
+@query("KB-3", "WITH v AS (SELECT conv_id AS article_id, turn AS changed_at, text AS content FROM conversations), c AS (SELECT *, lag(content) OVER (PARTITION BY article_id ORDER BY changed_at) AS b FROM v) SELECT article_id, changed_at, content, CAST(row_number() OVER (PARTITION BY article_id ORDER BY changed_at) AS INT) AS version FROM c WHERE content IS DISTINCT FROM b")
 def kb_3(t):
-    return tk.versions(t.read("conversations").select(F.col("conv_id").alias("article_id"), F.col("turn").alias("changed_at"), F.substring("text", 1, 1).alias("content")))
+    return tk.versions(t.read("conversations").select(F.col("conv_id").alias("article_id"), F.col("turn").alias("changed_at"), F.col("text").alias("content")))
 
 
 @query("WIN-9", "SELECT conv_id AS article_id, turn AS changed_at, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INT) AS version FROM conversations")
@@ -265,12 +286,12 @@ def top_4(t):
     return recent.join(last, "customer_id").groupBy("product_type").agg(F.count("*").alias("tickets")).orderBy(F.col("tickets").desc(), "product_type").limit(10)
 
 
-@query("TOP-11", f"WITH {PROF}, f AS (SELECT customer_id, product_name, max(order_date) AS d FROM lines GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY d DESC, product_name) AS place FROM f) SELECT customer_id, product_name, CAST(place AS INT) AS place FROM k WHERE place <= 3")
+@query("TOP-11", f"WITH {PROF}, f AS (SELECT customer_id, product_name, max(order_date) AS d FROM lines GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY d DESC, product_name) AS place FROM f) SELECT customer_id, product_name, CAST(place AS INT) AS place FROM k WHERE place <= 20")
 def top_11(t):
     from pyspark.sql.window import Window as W
 
     f = t.sales_lines.groupBy("customer_id", "product_name").agg(F.max("order_date").alias("d"))
-    return f.withColumn("place", F.row_number().over(W.partitionBy("customer_id").orderBy(F.col("d").desc(), "product_name"))).where("place <= 3").drop("d")
+    return f.withColumn("place", F.row_number().over(W.partitionBy("customer_id").orderBy(F.col("d").desc(), "product_name"))).where("place <= 20").drop("d")
 
 
 @query("JOIN-19", f"WITH {PROF} SELECT c_custkey AS customer_id, coalesce(CASE WHEN c_acctbal > 5000 THEN c_acctbal END, round(lifetime_value, 4), 0) AS value, total_orders IS NULL AS is_new, coalesce(archetype_id, 'none') AS archetype FROM customer LEFT JOIN prof ON c_custkey = customer_id")

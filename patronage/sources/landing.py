@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -19,12 +20,24 @@ MESSAGE_SCHEMA = "id string, body_text string, body_html string, source struct<t
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares."""
+    """A new path in the folder that the cluster shares, deleted when the driver ends; a temporary one on a local master where none is set."""
     top = spark.conf.get("spark.checkpoint.dir", "")
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         top = tempfile.mkdtemp(prefix="spark-work-")
         spark.conf.set("spark.checkpoint.dir", top)
-    return os.path.join(top, f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(top, f"{name}-{uuid.uuid4().hex}")
+
+    def drop() -> None:
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session has ended already: the folder is the cluster's to clear
+            pass
+
+    atexit.register(drop)
+    return path
 
 
 def read_lines_csv(spark: SparkSession, path: str) -> DataFrame:

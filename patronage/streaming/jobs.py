@@ -56,7 +56,11 @@ def surges(counts: DataFrame, history: DataFrame, factor: float = 1.5) -> DataFr
 
 
 def latest_by_key(target: str, keys: list[str], order: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that upserts into a Parquet table of versions: each batch adds a folder, readers take the last (STR-6)."""
+    """A foreachBatch function that upserts into a Parquet table of versions: each batch adds a folder, readers take the last (STR-6).
+
+    The last is that of the largest ``order``, whichever batch it came in; of equal ones the later batch's. ``compact``
+    keeps the number of folders small.
+    """
 
     def each(batch: DataFrame, no: int) -> None:
         top = batch.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in batch.columns if c not in keys]), order).alias("r")).select(*keys, "r.*")
@@ -65,8 +69,16 @@ def latest_by_key(target: str, keys: list[str], order: str) -> Callable[[DataFra
     return each
 
 
-def read_latest(spark: SparkSession, target: str, keys: list[str]) -> DataFrame:
+def _last(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(order, "batch_no")).alias("r")).select(*keys, "r.*")
+
+
+def read_latest(spark: SparkSession, target: str, keys: list[str], order: str) -> DataFrame:
     """The last version of every key."""
-    all_rows = spark.read.parquet(target).drop("batch")
-    rest = [c for c in all_rows.columns if c not in (*keys, "batch_no")]
-    return all_rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_no").alias("r")).select(*keys, "r.*")
+    return _last(spark.read.parquet(target).drop("batch"), keys, order).drop("batch_no")
+
+
+def compact(spark: SparkSession, target: str, into: str, keys: list[str], order: str) -> None:
+    """Write the last versions of all batches so far as one folder of a new table, which later batches go on from."""
+    _last(spark.read.parquet(target).drop("batch"), keys, order).write.mode("overwrite").parquet(f"{into}/batch=-1")
