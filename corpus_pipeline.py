@@ -43,7 +43,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     heads = stash(near_groups(docs).where("stays").select(F.col("doc_id").alias("head"), F.col("t1").alias("head_t1"), F.col("t2").alias("head_t2"), (F.col("copies") > 1).alias("again")), "heads")
     t1, t2 = text_marks(F.col("text"))
     same = F.col("doc_id").eqNullSafe(F.col("head")) & (t1 == F.col("head_t1")) & (t2 == F.col("head_t2"))
-    stays = lambda which: docs.join(heads.where(which), same, "left_semi").select(*COLUMNS)
+    stays = lambda which: docs.select(*COLUMNS).join(heads.where(which), same, "left_semi")
     if heads.where("again").isEmpty():
         return stays(F.lit(True))
     # Only rows that repeat a doc_id and its text are aggregated, within the tasks first.
@@ -64,7 +64,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = found.dropDuplicates(list(keys)).select(*[F.col(k).alias(f"of_{k}") for k in keys], *figures)
     t1, t2 = text_marks(F.col("text"))
     same = F.col("doc_id").eqNullSafe(F.col("of_doc_id")) & F.col("source").eqNullSafe(F.col("of_source")) & (t1 == F.col("of_t1")) & (t2 == F.col("of_t2"))
-    return docs.join(taken, same, "left").select(*COLUMNS, *figures)
+    return docs.select(*COLUMNS).join(taken, same, "left").select(*COLUMNS, *figures)
 
 
 STAGES = [("language", language), ("lines", lines), ("near", near), ("benchmark", benchmark), ("mix", mix)]
