@@ -4,7 +4,7 @@ import pytest
 import xxhash
 from patronage.llm.common import text_marks
 from patronage.llm.links import components
-from patronage.llm.simhash import fingerprints, near_groups, near_pairs, simhash_groups
+from patronage.llm.simhash import _alike, _shingle_sets, _unlinked_pairs, fingerprints, near_groups, near_pairs, simhash_groups
 
 
 def brute_fingerprint(text):
@@ -131,10 +131,29 @@ def test_near_groups_match_brute_force(make_docs, odd_texts):
     assert near_groups(make_docs([])).collect() == []
 
 
-@pytest.mark.parametrize(("share", "least"), [(0.01, 0.99), (0.02, 0.9)])
+def test_no_alike_pair_under_a_key_is_left_out(spark):
+    """Every pair that shares a key, has other labels and is alike gets through the bitmaps, in blocks of any size, once."""
+    rng = random.Random(6)
+    base = [" ".join(f"w{rng.randint(0, 5000)}" for _ in range(size)) for size in (30, 120, 3000)]
+    texts = dict(enumerate([edited(rng, base[k % 3], rng.choice((0.0, 0.004, 0.01, 0.03))) for k in range(60)] + ["", "one", "one two"]))
+    sets = _shingle_sets(spark.createDataFrame(list(texts.items()), "cid long, doc_text string"), 5).cache()
+    label = {c: c - c % 2 if c < 20 else c for c in texts}
+    keys = {(key, c) for c in texts for key in (c % 3, 10, 20 + c)}
+    labelled = spark.createDataFrame([(key, c, label[c]) for key, c in keys], "key long, cid long, label long")
+    of = {c: word_sets(t) for c, t in texts.items()}
+    met = [(a, b) for a in texts for b in texts if a < b and label[a] != label[b]]
+    want = {(a, b) for a, b in met if 10 * len(of[a] & of[b]) >= 8 * len(of[a] | of[b])}
+    assert len(want) > 50
+    for block in (3, 20, 1000):
+        pairs = _unlinked_pairs(labelled, sets, 0.8, block)
+        got = [tuple(r) for r in pairs.collect()]
+        assert want <= set(got) <= set(met) and len(got) == len(set(got)) < len(met) / 2
+        assert {tuple(r) for r in _alike(pairs, sets, 0.8).collect()} == want
+
+
+@pytest.mark.parametrize(("share", "least"), [(0.01, 0.999), (0.02, 0.99)])
 def test_near_recall(make_docs, share, least):
-    """Two crowds of 150 edited copies. Pairs that brute force links are found: nearly all where most of the crowd is at
-    0.8, most where 0.8 is at the crowd's upper end; nothing else is linked."""
+    """Two crowds of 150 edited copies: pairs that brute force links are put together, nothing else is linked."""
     rng = random.Random(2)
     base = " ".join(f"w{rng.randint(0, 400)}" for _ in range(200))
     rows = [(k, edited(rng, base if k < 150 else base[::-1], share)) for k in range(300)]
