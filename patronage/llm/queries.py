@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from patronage.llm import html_content, quality_gam
 from patronage.llm.decontaminate import decontaminate
+from patronage.llm.fill_middle import fill_in_middle, restored
 from patronage.llm.langid import identify, training_rows
 from patronage.llm.lines import line_dedup
 from patronage.llm.mixing import mix_sources
@@ -65,6 +66,12 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents"))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(_table(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(c, 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output").alias("output_sha256"), digest(restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -76,6 +83,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_substring_dedup": op10_substring_dedup,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 WORDS_SQL = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
@@ -122,4 +130,13 @@ r AS (SELECT doc_id, list(p) AS ps FROM h JOIN f USING (k) WHERE first < doc_id
 c AS (SELECT doc_id, list_distinct(flatten(list_transform(ps, lambda p: range(p, p + 50)))) AS gone FROM r),
 k AS (SELECT d.doc_id, len(w) AS n, coalesce(len(gone), 0) AS g, CASE WHEN gone IS NULL THEN array_to_string(w, ' ') ELSE array_to_string(list_filter(w, lambda x, i: NOT list_contains(gone, i)), ' ') END AS t FROM d LEFT JOIN c USING (doc_id))
 SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(g AS BIGINT) AS n_removed, sha256(t) AS kept_sha256 FROM k""",
+    "op13_fill_in_middle": """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+h AS (SELECT *, CAST('0x' || x[1:8] AS BIGINT) % (n + 1) AS a, CAST('0x' || x[9:16] AS BIGINT) % (n + 1) AS b, CAST('0x' || x[17:24] AS BIGINT) % 100 AS h3, CAST('0x' || x[25:32] AS BIGINT) % 100 AS h4 FROM d),
+f AS (SELECT *, least(a, b) AS p, greatest(a, b) AS q, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 >= 90 THEN 'plain' WHEN h4 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+o AS (SELECT *, CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || substring(t, q + 1) || '<P>' || substring(t, 1, p) || '<M>' || substring(t, p + 1, q - p)
+ ELSE '<P>' || substring(t, 1, p) || '<S>' || substring(t, q + 1) || '<M>' || substring(t, p + 1, q - p) END AS o FROM f),
+r AS (SELECT *, regexp_split_to_array(o, '<[PSM]>') AS c FROM o)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(p AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(q - p AS BIGINT) END AS middle_chars, sha256(o) AS output_sha256,
+sha256(CASE form WHEN 'plain' THEN o WHEN 'psm' THEN c[2] || c[4] || c[3] ELSE c[3] || c[4] || c[2] END) AS restored_sha256 FROM r""",
 }
