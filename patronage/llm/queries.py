@@ -10,6 +10,7 @@ from patronage.llm.decontaminate import decontaminate
 from patronage.llm.fill_middle import fill_in_middle, restored
 from patronage.llm.filter_audit import filter_audit
 from patronage.llm.langid import identify, training_rows
+from patronage.llm.licenses import names, scan_licenses, sureness
 from patronage.llm.lines import line_dedup
 from patronage.llm.mixing import mix_sources
 from patronage.llm.simhash import simhash_groups
@@ -67,6 +68,19 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents"))
 
 
+def license_digest(docs: DataFrame) -> DataFrame:
+    base = F.filter("detections", lambda d: d["base"])
+    found = scan_licenses(docs).select("doc_id", "n_words", "detections", base.alias("base"), F.transform(base, lambda d: d["first"].cast("long")).alias("places"))
+    return found.select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min("places").alias("first_word"), F.array_max("places").alias("last_word"),
+        names(F.col("base")).alias("base_labels"), names(F.col("detections")).alias("labels"), sureness(F.col("detections")).alias("score"),
+    )
+
+
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_digest(_table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -88,6 +102,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_license_scan": op11_license_scan,
     "op12_filter_audit": op12_filter_audit,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
