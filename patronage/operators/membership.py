@@ -7,19 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-#: Up to this number of rows quantiles are exact; beyond it, where all different values of a column would meet in one
-#: task, they have a rank error of ``RANK_ERROR`` at most.
-EXACT_ROWS, RANK_ERROR = 5_000_000, 1e-4
-
-
-def quantiles(df: DataFrame, columns: list[Column], shares: tuple[float, ...]) -> list[list[float]]:
-    """For each column its quantiles at ``shares``, interpolated where exact; all from one aggregation."""
-    at = F.array(*[F.lit(s) for s in shares])
-    exact = [F.percentile(c, at) for c in columns]
-    rough = [F.percentile_approx(c, at, int(1 / RANK_ERROR)) for c in columns]
-    row = df.agg(*(exact if df.count() <= EXACT_ROWS else rough)).first()
-    return [list(x) if x is not None else [0.0] * len(shares) for x in row]
+from patronage.operators.quantiles import quantiles
 
 
 @dataclass(frozen=True)

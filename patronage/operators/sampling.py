@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from patronage.operators.membership import quantiles
+from patronage.operators.quantiles import quantiles
 
 # Cuts of the tiers and the shares of a sample they get.
 TIER_CUTS, TIER_SHARES = (0.5, 0.8, 0.95), (0.2, 0.3, 0.3, 0.2)

@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 from patronage.operators import membership as mem
 from patronage.operators.axes import AXES
+from patronage.operators.quantiles import quantiles
 from patronage.operators.sampling import sample_size, tiered
+from patronage.plans.clustering import most_k
 
 SEGMENTS = "axis string, segment string, center array<double>, feature_names array<string>, scaler struct<type:string,center:array<double>,scale:array<double>>, k int, silhouette double"
 #: Segments of one run beyond this number are not expressions any more.
@@ -30,11 +32,6 @@ def columns_of(axis: str) -> tuple[str, ...]:
     return tuple(f"{axis}__{f}" for f in AXES[axis])
 
 
-def most_k(n: int, most: int = 6) -> int:
-    """The largest k that a population of n is worth (CLU-6)."""
-    return max(1, int(min((n / 2) ** 0.5, n / 50, 10, most)))
-
-
 def kmeans(x: np.ndarray, k: int, restarts: int, rng: np.random.Generator, rounds: int = 50) -> tuple[float, np.ndarray, np.ndarray]:
     """(inertia, centres, labels) of the best of several starts, each from spread points."""
     best = None
@@ -112,7 +109,7 @@ def quantile_segments(features: DataFrame, shares: tuple[float, ...] = (0.2, 0.5
     """A table of segments without a fit: for each axis the points at the same quantile of all its features, scaled by the population."""
     columns = [c for a in AXES for c in columns_of(a)]
     scaler = mem.fit_scaler(features, tuple(columns))
-    at = dict(zip(columns, zip(mem.quantiles(features, [F.col(c) for c in columns], shares), scaler.center, scaler.scale, strict=True), strict=True))
+    at = dict(zip(columns, zip(quantiles(features, [F.col(c) for c in columns], shares), scaler.center, scaler.scale, strict=True), strict=True))
     rows = []
     for a in AXES:
         own = columns_of(a)

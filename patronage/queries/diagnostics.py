@@ -13,7 +13,7 @@ from patronage.operators.cleaning import to_items, to_orders
 from patronage.plans import clustering as cl
 from patronage.plans import diagnostics as dg
 from patronage.queries.axes import wide_of
-from patronage.queries.models import KEY_AXES, points_of
+from patronage.queries.models import KEY_AXES, choice_points, points_of
 from patronage.queries.registry import WIDE, query, r, rounded
 from patronage.queries.sales import PROF, profiles_of
 from patronage.queries.segments import CENTERS, MEMBER, member, scaled
@@ -74,7 +74,7 @@ def udf_2(t):
 def src_14(t):
     """A finished and a failed run in the log."""
     path, began = landing.work_path(t.spark, "runs"), datetime.now(timezone.utc)
-    found = [(axis, 2, cl.k_scores(points_of(t, f), range(2, 3))[0]["silhouette"]) for axis, f in KEY_AXES.items()]
+    found = [(axis, 2, cl.k_scores(points_of(t, f), range(2, 3), 3)[0]["silhouette"]) for axis, f in KEY_AXES.items()]
     dg.log_run(t.spark, path, "run-1", "all", wide_of(t).count(), t.events.count(), found, began)
     dg.log_run(t.spark, path, "run-2", "all", 0, 0, [], began, "failed", "no customers")
     ordered = (F.col("min_silhouette") <= F.col("avg_silhouette")) & (F.col("avg_silhouette") <= F.col("max_silhouette")) & (F.col("seconds") > 0)
@@ -91,7 +91,7 @@ def smp_4(t):
 def labelled_of(t):
     """Points of the value axis with the cluster of a k-means of three."""
     p = points_of(t, KEY_AXES["purchase_value"])
-    centers = np.array(cl.k_scores(p, range(3, 4))[0]["centers"])
+    centers = np.array(cl.k_scores(p, range(3, 4), 3)[0]["centers"])
     far = F.array(*[dg.l2(F.col("x"), F.array(*[F.lit(float(v)) for v in c])) for c in centers])
     return p.withColumn("d", far).withColumn("cluster", F.array_position("d", F.array_min("d")) - 1)
 
@@ -105,14 +105,8 @@ def clu_5(t):
 @query("CLU-8")
 def clu_8(t):
     """The choice of k over all axes and its summary."""
-    wide = wide_of(t).persist()
-    rows = []
-    for name in axes.AXES:
-        df = axes.axis(wide, name)
-        k, confidence = cl.vote(cl.k_scores(cl.vectors(df, mem.fit_scaler(df, axes.AXES[name], "robust", winsorise=True)), range(2, 5)))
-        rows.append((name, k, confidence))
-    wide.unpersist()
-    return rounded(dg.k_summary(t.spark.createDataFrame(rows, "axis string, k int, confidence double")))
+    found = cl.scores_by_group(choice_points(t), "axis", range(2, 9), 3)
+    return rounded(dg.k_summary(t.spark.createDataFrame([(axis, *cl.vote(s)) for axis, s in sorted(found.items())], "axis string, k int, confidence double")))
 
 
 KINDS = {"exp": "exp(-d)", "inverse": "1 / (1 + d)"}
@@ -129,8 +123,8 @@ def clu_16(t):
     """Plain scaling with k by silhouette against robust scaling with k by vote, on one sample."""
     features = KEY_AXES["purchase_frequency"]
     sample = sampling.tiered(wide_of(t), "customer_id", "lifetime_value", 2000).persist()
-    plain = cl.k_scores(cl.vectors(sample, mem.fit_scaler(sample, features)), range(2, 7))
-    robust = cl.k_scores(cl.vectors(sample, mem.fit_scaler(sample, features, "robust", winsorise=True)), range(2, 9))
+    plain = cl.k_scores(cl.vectors(sample, mem.fit_scaler(sample, features)), range(2, 7), 3)
+    robust = cl.k_scores(cl.vectors(sample, mem.fit_scaler(sample, features, "robust", winsorise=True)), range(2, 9), 3)
     best = {"plain": max(plain, key=lambda s: s["silhouette"]), "robust": next(s for s in robust if s["k"] == cl.vote(robust)[0])}
     sample.unpersist()
     return t.spark.createDataFrame([(n, s["k"], round(s["silhouette"], 4), s["largest"], s["smallest"], round(s["balance"], 4)) for n, s in best.items()], "configuration string, k int, silhouette double, largest long, smallest long, balance double")

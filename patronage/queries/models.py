@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
+import numpy as np
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -15,6 +16,7 @@ from patronage.operators import axes, sampling
 from patronage.operators import membership as mem
 from patronage.operators.scoring import training_set
 from patronage.plans import clustering as cl
+from patronage.plans import diagnostics as dg
 from patronage.plans import segmentation
 from patronage.queries.axes import wide_of
 from patronage.queries.registry import BOTH, LINES, ORDERS, WIDE, query, r, rounded
@@ -165,27 +167,38 @@ def points_of(t, features):
     return cl.vectors(w, mem.fit_scaler(w, features, "robust", winsorise=True))
 
 
+def choice_points(t, kind="robust", winsorise=True):
+    """Scaled points of all thirteen axes, one row for each customer and axis."""
+    path = work_path(t.spark, "features")
+    axes.flatten(wide_of(t)).write.parquet(path)
+    features = t.spark.read.parquet(path)
+    columns = {a: segmentation.columns_of(a) for a in axes.AXES}
+    return cl.axis_points(features, columns, mem.fit_scaler(features, tuple(c for own in columns.values() for c in own), kind, winsorise))
+
+
 @query("CLU-4")
 def clu_4(t):
-    """Best k of each key axis by silhouette, with the sizes of its clusters."""
+    """Best k of every axis by silhouette, with the sizes of its clusters: k 2 to 6, ten restarts, all axes in the same passes."""
     rows = []
-    for axis, features in KEY_AXES.items():
-        s = max(cl.k_scores(points_of(t, features), range(2, 5)), key=lambda s: s["silhouette"])
+    for axis, found in sorted(cl.scores_by_group(choice_points(t), "axis").items()):
+        s = max(found, key=lambda s: s["silhouette"])
         rows.append((axis, s["k"], round(s["silhouette"], 4), s["largest"], s["smallest"]))
     return t.spark.createDataFrame(rows, "axis string, k int, silhouette double, largest long, smallest long")
 
 
 @query("CLU-6")
 def clu_6(t):
-    s = cl.k_scores(points_of(t, KEY_AXES["purchase_value"]), range(2, 6))
-    return t.spark.createDataFrame([(x["k"], x["silhouette"], x["inertia"], x["calinski_harabasz"], x["balance"]) for x in s], "k int, silhouette double, inertia double, calinski_harabasz double, balance double")
+    """Figures of each k up to what the population is worth."""
+    p = points_of(t, KEY_AXES["purchase_value"])
+    s = cl.k_scores(p, range(2, cl.most_k(p.count(), cl.MOST_CLUSTERS) + 1))
+    return t.spark.createDataFrame([(x["k"], x["silhouette"], x["inertia"], x["calinski_harabasz"], x["smallest"], x["balance"]) for x in s], "k int, silhouette double, inertia double, calinski_harabasz double, smallest long, balance double")
 
 
 @query("CLU-7")
 def clu_7(t):
     rows = []
     for axis, features in KEY_AXES.items():
-        k, confidence = cl.vote(cl.k_scores(points_of(t, features), range(2, 6)))
+        k, confidence = cl.vote(cl.k_scores(points_of(t, features), range(2, 7), 5))
         rows.append((axis, k, confidence, confidence < 0.5))
     return t.spark.createDataFrame(rows, "axis string, k int, confidence double, low_confidence boolean")
 
@@ -193,24 +206,26 @@ def clu_7(t):
 @query("CLU-9")
 def clu_9(t):
     p = points_of(t, KEY_AXES["purchase_frequency"])
-    s = cl.balanced_choice(cl.k_scores(p, range(3, 6)), p.count())
+    s = cl.balanced_choice(cl.k_scores(p, range(3, 9), 5), p.count())
     return t.spark.createDataFrame([(s["k"], s["silhouette"], s["largest"], s["smallest"])], "k int, silhouette double, largest long, smallest long")
 
 
 @query("CLU-10")
 def clu_10(t):
-    """Membership sums by customer are 1; the query returns centres and the mean membership of each."""
+    """The balance-aware k of 3 to 7, and of its clusters the rows and the mean membership of all rows."""
     p = points_of(t, KEY_AXES["purchase_value"])
-    centers = cl.fuzzy_cmeans(p, 3)
-    u = p.select(F.posexplode(cl.fuzzy_membership(F.col("x"), centers)).alias("cluster", "u"))
-    return u.groupBy("cluster").agg(F.avg("u").alias("mean_membership"), F.count("*").alias("n"))
+    k, models, balanced = cl.fuzzy_choice(p)
+    u = p.select(F.posexplode(cl.fuzzy_membership(F.col("x"), models[k].centers)).alias("cluster", "u"))
+    sizes = F.array(*[F.lit(int(n)) for n in models[k].sizes])
+    return u.groupBy("cluster").agg(F.avg("u").alias("mean_membership"), F.count("*").alias("n")).select("cluster", "mean_membership", "n", F.get(sizes, F.col("cluster")).alias("size"), F.lit(k).alias("k"), F.lit(balanced).alias("balanced"))
 
 
-@query("CLU-11", "SELECT count(DISTINCT o_custkey) AS n, true AS sums_to_one FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
+@query("CLU-11", "WITH c AS (SELECT max(c_acctbal) AS a, min(c_acctbal) AS b FROM customer), d AS (SELECT c_custkey, greatest((c_acctbal - a) ** 2 / 1000000, 1e-20) AS x, greatest((c_acctbal - b) ** 2 / 1000000, 1e-20) AS y FROM customer, c) SELECT c_custkey AS customer_id, round(1 / x / (1 / x + 1 / y), 6) AS u0, round(1 / y / (1 / x + 1 / y), 6) AS u1 FROM d")
 def clu_11(t):
-    p = points_of(t, KEY_AXES["purchase_value"])
-    u = p.select(F.aggregate(cl.fuzzy_membership(F.col("x"), cl.fuzzy_cmeans(p, 3)), F.lit(0.0), lambda a, v: a + v).alias("s"))
-    return u.agg(F.count("*").alias("n"), F.bool_and(F.abs(F.col("s") - 1) < 1e-9).alias("sums_to_one"))
+    """Memberships of all customers from given centres: the two ends of the balance."""
+    ends = t.stores.agg(F.max("balance").alias("a"), F.min("balance").alias("b")).first()
+    u = cl.fuzzy_membership(F.array(F.col("balance") / 1000), np.array([[ends["a"] / 1000], [ends["b"] / 1000]]))
+    return t.stores.select("customer_id", u.alias("u")).select("customer_id", r(F.col("u")[0]).alias("u0"), r(F.col("u")[1]).alias("u1"))
 
 
 @query("CLU-12", f"WITH {PROF} SELECT seg_purchase_value AS segment, count(*) AS customer_count, round(100.0 * count(*) / (SELECT count(*) FROM prof), 6) AS population_pct, round(avg(lifetime_value), 4) AS center, seg_purchase_value || '_value' AS name FROM prof GROUP BY 1")
@@ -223,11 +238,14 @@ def clu_12(t):
 
 @query("CLU-13")
 def clu_13(t):
+    """Two clusters of the value axis, split again where they are too wide: the rows of each leaf, and why its parents were split."""
     p = points_of(t, KEY_AXES["purchase_value"])
-    s = cl.k_scores(p, range(2, 3))[0]
-    c = s["centers"]
-    far = lambda k: F.aggregate(F.zip_with("x", F.array(*[F.lit(v) for v in c[k]]), lambda a, b: (a - b) ** 2), F.lit(0.0), lambda u, v: u + v)
-    return cl.subdivide(p.withColumn("label", (far(1) < far(0)).cast("int")), "label").groupBy("path").agg(F.count("*").alias("n"))
+    centers = np.array(cl.k_scores(p, range(2, 3), 3)[0]["centers"])
+    far = [dg.l2(F.col("x"), F.array(*[F.lit(float(v)) for v in c])) for c in centers]
+    split, nodes = cl.subdivide(p.withColumn("label", (far[1] < far[0]).cast("int")), "label")
+    known = t.spark.createDataFrame([(n["path"], n["depth"], n["variance"], n["p95"], n["farthest"], n["reasons"], n["split"]) for n in nodes], "path string, depth int, variance double, p95 double, farthest double, reasons string, split boolean")
+    # A few segments, whatever the population.
+    return split.groupBy("path").agg(F.count("*").alias("n")).join(F.broadcast(known), "path")
 
 
 @query("CLU-15")
