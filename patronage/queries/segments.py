@@ -51,11 +51,12 @@ SIGNED13 = TOP13 + ", s13 AS (SELECT customer_id, string_agg(axis || '=' || one,
 
 
 def assigned_of(t, kind: str = "exp"):
-    """All customers on all axes, by the segments at the quantiles of each axis; the features are written once."""
-    path = work_path(t.spark, "features")
+    """All customers on all axes, by the segments at the quantiles of each axis; features and scores are written once, so that no explode works them out again."""
+    path, scored = work_path(t.spark, "features"), work_path(t.spark, "profiles")
     axes.flatten(wide_of(t)).write.parquet(path)
     features = t.spark.read.parquet(path)
-    return segmentation.assign(features, segmentation.quantile_segments(features, tuple(_SHARES.values()), tuple(_SHARES)), kind)
+    segmentation.assign(features, segmentation.quantile_segments(features, tuple(_SHARES.values()), tuple(_SHARES)), kind).write.parquet(scored)
+    return t.spark.read.parquet(scored)
 
 
 def scaled(t):
