@@ -88,3 +88,30 @@ def as_of(snaps: DataFrame, reference: date, horizons: list[int], value: str) ->
     """A value as it was 0 or more days before the reference date: the last snapshot not after that day (JOIN-16)."""
     day = lambda h: F.date_sub(F.lit(reference), h)
     return snaps.groupBy("customer_id").agg(*[F.max(F.when(F.col("snapshot_date") <= day(h), F.struct("snapshot_date", value)))[value].alias(f"{value}_{h}d") for h in horizons])
+
+
+def horizons(snaps: DataFrame, short: tuple[int, int] = (7, 14), long: tuple[int, int] = (90, 180), moved: int = 28, rapid: float = 0.015, moderate: float = 0.008, risky: float = 0.010) -> DataFrame:
+    """Drift of each snapshot over a short and a long horizon (DRF-7); a state is that of the last snapshot not after so many days before.
+
+    * velocity: how far memberships are from those ``short[0]`` days before, for each day between, with its alert
+    * short_drift, long_drift: between the two states of each horizon; acceleration: the former less the latter
+    * migration: the archetype differs from that ``moved`` days before; axes_changed with both segments, days_elapsed
+    * churn_risk: HIGH where the frequency segment has fallen from heavy and the velocity is above ``risky``
+
+    All states come from one sort of a customer's snapshots, by range frames over the day.
+    """
+    by_day = W.partitionBy("customer_id").orderBy("day")
+    state = F.struct("snapshot_date", "memberships", "dominant", "archetype")
+    lags = sorted({*short, *long, moved})
+    seq = snaps.withColumn("day", F.unix_date("snapshot_date"))
+    at = seq.select("*", *[F.last(state).over(by_day.rangeBetween(W.unboundedPreceding, -h)).alias(f"s{h}") for h in lags])
+    between = lambda a, b: membership.membership_drift(F.col(f"s{b}")["memberships"], F.col(f"s{a}")["memberships"])
+    before, old = F.col(f"s{short[0]}"), F.col(f"s{moved}")
+    days = F.datediff("snapshot_date", before["snapshot_date"])
+    v = membership.membership_drift(before["memberships"], F.col("memberships")) / F.nullif(days, F.lit(0))
+    alert = F.when(v > rapid, "RAPID_DRIFT").when(v > moderate, "MODERATE_DRIFT").when(v.isNotNull(), "STABLE")
+    changes = F.map_filter(F.map_zip_with(old["dominant"], F.col("dominant"), lambda k, a, b: F.when(~a.eqNullSafe(b), F.struct(a.alias("from"), b.alias("to")))), lambda k, x: x.isNotNull())
+    axes = F.array_sort(F.transform(F.map_entries(changes), lambda e: F.struct(e["key"].alias("axis"), e["value"]["from"].alias("from"), e["value"]["to"].alias("to"))))
+    fallen = (old["dominant"]["frequency"] == "heavy") & (F.col("dominant")["frequency"] != "heavy")
+    out = at.select("customer_id", "snapshot_date", v.alias("velocity"), alert.alias("alert"), between(*short).alias("short_drift"), between(*long).alias("long_drift"), (old["archetype"] != F.col("archetype")).alias("migrated"), old["archetype"].alias("from_archetype"), F.col("archetype").alias("to_archetype"), axes.alias("axes_changed"), F.datediff("snapshot_date", old["snapshot_date"]).alias("days_elapsed"), F.when(fallen & (v > risky), "HIGH").alias("churn_risk"))
+    return out.withColumn("acceleration", F.col("short_drift") - F.col("long_drift"))

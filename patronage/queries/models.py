@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from datetime import date
 
 import numpy as np
@@ -21,7 +23,7 @@ from patronage.plans import segmentation
 from patronage.queries.axes import wide_of
 from patronage.queries.registry import BOTH, LINES, ORDERS, WIDE, query, r, rounded
 from patronage.queries.sales import PROF, orders_of, profiles_of
-from patronage.sources import landing
+from patronage.sources import database, landing
 from patronage.sources.landing import work_path
 
 KEY_AXES = {"purchase_value": ("lifetime_value", "avg_order_value", "max_order_value"), "purchase_frequency": ("orders_per_month", "avg_days_between_orders", "total_orders")}
@@ -36,6 +38,20 @@ def src_1(t):
     return d.select("customer_id", F.col("order_date").cast("string").alias("order_date"), "product_name", "category", "quantity", r("line_item_sales", 4).alias("line_item_sales"))
 
 
+@query("SRC-2", f"WITH {LINES} SELECT o_orderkey AS order_id, CAST(o_orderdate AS VARCHAR) AS order_date, o_custkey AS customer_id, l.line_number, l.quantity, round(l.line_item_sales, 4) AS line_item_sales FROM orders JOIN lines l ON o_orderkey = l.order_id WHERE o_orderdate >= TIMESTAMP '1999-01-01' AND o_orderdate < TIMESTAMP '2000-03-01'")
+def src_2(t):
+    """Orders and lines are written to a database and read back by date range; Spark's embedded one in memory unless the session names another."""
+    url = t.spark.conf.get("spark.patronage.jdbc.url", "") or f"jdbc:derby:memory:sales{uuid.uuid4().hex};create=true"
+    if url.startswith("jdbc:derby:memory") and not t.spark.sparkContext.master.startswith("local"):
+        raise ValueError("a database in the driver's memory cannot be read by executors: set spark.patronage.jdbc.url")
+    t.spark._jvm.java.lang.System.setProperty("derby.stream.error.file", os.devnull)
+    database.write_table(t.headers.select("order_id", "order_date", "customer_id"), url, "sales_orders")
+    lines = t.raw_lines.join(t.headers.select("order_id", "order_date"), "order_id")
+    database.write_table(lines.select("order_id", "order_date", "line_number", "quantity", "line_item_sales"), url, "sales_lines")
+    d = database.read_sales(t.spark, url, "sales_orders", "sales_lines", date(1999, 1, 1), date(2000, 3, 1))
+    return d.select("order_id", F.col("order_date").cast("string").alias("order_date"), "customer_id", "line_number", "quantity", r("line_item_sales", 4).alias("line_item_sales"))
+
+
 @query("SRC-3", f"WITH {LINES} SELECT order_id, order_id AS order_number, customer_id, product_id, product_type, CAST(quantity AS INT) AS quantity, CAST(floor(line_item_sales) AS BIGINT) AS whole_sales, round(order_total, 2) AS order_total, CAST(year(order_date) AS INT) AS year, CAST(month(order_date) AS INT) AS month FROM lines WHERE order_id % 10 <> 0")
 def src_3(t):
     """Orders with lines are written as nested JSON, landed as text and flattened."""
@@ -128,13 +144,6 @@ def src_13(t):
     return t.spark.read.schema("customer_id long, lifetime_value double").option("header", True).csv(path)
 
 
-@query("SRC-15", f"WITH {PROF} SELECT 'dim' AS part, count(DISTINCT archetype_id) AS n FROM prof UNION ALL SELECT 'fact', count(*) FROM prof")
-def src_15(t):
-    p = profiles_of(t)
-    dim = p.select("archetype_id", "signature").dropDuplicates(["archetype_id"])
-    return dim.agg(F.count("*").alias("n")).select(F.lit("dim").alias("part"), "n").unionByName(p.select("customer_id", "archetype_id").agg(F.count("*").alias("n")).select(F.lit("fact").alias("part"), "n"))
-
-
 @query("SMP-1", f"WITH {PROF}, q AS (SELECT quantile_cont(lifetime_value, 0.5) AS a, quantile_cont(lifetime_value, 0.8) AS b, quantile_cont(lifetime_value, 0.95) AS c FROM prof), k AS (SELECT CASE WHEN lifetime_value > c THEN 3 WHEN lifetime_value > b THEN 2 WHEN lifetime_value > a THEN 1 ELSE 0 END AS tier FROM prof, q) SELECT tier, least(count(*), CASE tier WHEN 0 THEN 40 WHEN 1 THEN 60 WHEN 2 THEN 60 ELSE 40 END) AS n FROM k GROUP BY 1")
 def smp_1(t):
     return sampling.tiered(profiles_of(t), "customer_id", "lifetime_value", 200).groupBy("tier").agg(F.count("*").alias("n"))

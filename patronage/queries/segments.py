@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from patronage.operators import axes, profiles, snapshots
 from patronage.operators import membership as mem
-from patronage.plans import segmentation
+from patronage.plans import segmentation, star
 from patronage.queries.axes import wide_of
 from patronage.queries.registry import ORDERS, WIDE, query, r, rounded
 from patronage.queries.sales import PROF, orders_of, profiles_of
@@ -271,11 +271,37 @@ def udf_1(t):
     return s.select("customer_id", "snapshot_date", r(F.call_function("calculate_membership_drift", F.col("old"), F.col("memberships"))).alias("magnitude"))
 
 
-@query("DRF-7", f"WITH {STEPS} SELECT customer_id, CAST(snapshot_date AS VARCHAR) AS snapshot_date, CASE WHEN drift / days > 0.0015 THEN 'red' WHEN drift / days > 0.0008 THEN 'yellow' ELSE 'green' END AS alert, CASE WHEN dom_frequency <> o_f AND dom_value <> o_v THEN 'frequency,value' WHEN dom_frequency <> o_f THEN 'frequency' WHEN dom_value <> o_v THEN 'value' ELSE '' END AS changed FROM sp")
+# Snapshots close enough for both horizons of days.
+NEAR_DATES = [REFERENCE - timedelta(days=d) for d in (180, 90, 28, 14, 7, 0)]
+NEAR_SNAPS = SNAPS.replace(", ".join(f"DATE '{d}'" for d in DATES), ", ".join(f"DATE '{d}'" for d in NEAR_DATES))
+_SEGS = [s for v in snapshots.CENTERS.values() for s in v]
+_GAP = lambda a, b: "sqrt(" + " + ".join(f"({a}.{s} - {b}.{s}) * ({a}.{s} - {b}.{s})" for s in _SEGS) + ")"
+HORIZONS = "hz AS (SELECT a.*, " + ", ".join([f"date_diff('day', s7.snapshot_date, a.snapshot_date) AS d7, {_GAP('a', 's7')} AS g7, {_GAP('s7', 's14')} AS short_drift, {_GAP('s90', 's180')} AS long_drift, s28.archetype AS from_archetype, s28.dom_frequency AS f28, s28.dom_value AS v28, date_diff('day', s28.snapshot_date, a.snapshot_date) AS days_elapsed"]) + " FROM sq a " + " ".join(f"ASOF LEFT JOIN sq s{h} ON a.customer_id = s{h}.customer_id AND a.snapshot_date - {h} >= s{h}.snapshot_date" for h in (7, 14, 28, 90, 180)) + ")"
+
+
+@query("DRF-7", f"WITH {NEAR_SNAPS}, {HORIZONS} SELECT customer_id, CAST(snapshot_date AS VARCHAR) AS snapshot_date, round(g7 / d7, 8) AS velocity, CASE WHEN g7 / d7 > 0.015 THEN 'RAPID_DRIFT' WHEN g7 / d7 > 0.008 THEN 'MODERATE_DRIFT' WHEN g7 IS NOT NULL THEN 'STABLE' END AS alert, round(short_drift, 6) AS short_drift, round(long_drift, 6) AS long_drift, round(short_drift - long_drift, 6) + 0 AS acceleration, from_archetype <> archetype AS migrated, from_archetype, archetype AS to_archetype, CASE WHEN f28 IS NOT NULL THEN concat_ws(',', CASE WHEN f28 <> dom_frequency THEN 'frequency:' || f28 || '>' || dom_frequency END, CASE WHEN v28 <> dom_value THEN 'value:' || v28 || '>' || dom_value END) END AS axes_changed, CAST(days_elapsed AS INT) AS days_elapsed, CASE WHEN f28 = 'heavy' AND dom_frequency <> 'heavy' AND g7 / d7 > 0.01 THEN 'HIGH' END AS churn_risk FROM hz")
 def drf_7(t):
-    s = snapshots.consecutive(snaps_of(t))
-    v = F.col("velocity")
-    return s.select("customer_id", F.col("snapshot_date").cast("string").alias("snapshot_date"), F.when(v > 0.0015, "red").when(v > 0.0008, "yellow").otherwise("green").alias("alert"), F.array_join("changed_axes", ",").alias("changed"))
+    h = snapshots.horizons(snapshots.snapshots(orders_of(t), NEAR_DATES))
+    changed = F.array_join(F.transform("axes_changed", lambda x: F.concat(x["axis"], F.lit(":"), x["from"], F.lit(">"), x["to"])), ",")
+    return h.withColumn("axes_changed", changed).withColumn("snapshot_date", F.col("snapshot_date").cast("string")).withColumn("velocity", r("velocity", 8)).select(*[(r(c) + 0.0).alias(c) if c.endswith("drift") or c == "acceleration" else c for c in ("customer_id", "snapshot_date", "velocity", "alert", "short_drift", "long_drift", "acceleration", "migrated", "from_archetype", "to_archetype", "axes_changed", "days_elapsed", "churn_risk")])
+
+
+STAR_RUNS = (DATES[1], DATES[3])
+_KEY = lambda level, c: f"substr(md5('{level}|' || {c}), 1, 16)"
+STAR = f"p AS (SELECT *, {_KEY('l1', 'dom_frequency')} AS l1_id, {_KEY('l2', 'archetype')} AS l2_id FROM sq WHERE snapshot_date IN ({', '.join(f'DATE {chr(39)}{d}{chr(39)}' for d in STAR_RUNS)})), a AS (SELECT * FROM p WHERE snapshot_date = DATE '{STAR_RUNS[0]}'), b AS (SELECT * FROM p WHERE snapshot_date = DATE '{STAR_RUNS[1]}'), dm AS (SELECT l1_id AS k, 'l1' AS level, dom_frequency AS signature, snapshot_date, value_at FROM p UNION ALL SELECT l2_id, 'l2', archetype, snapshot_date, value_at FROM p), dg AS (SELECT k, level, signature, snapshot_date, count(*) AS n, avg(value_at) AS v FROM dm GROUP BY ALL), tt AS (SELECT snapshot_date, count(*) AS n FROM p GROUP BY 1), dx AS (SELECT dg.*, 100.0 * dg.n / tt.n AS pct, row_number() OVER (PARTITION BY k ORDER BY snapshot_date) AS nth FROM dg JOIN tt USING (snapshot_date)), hs AS (SELECT a.customer_id, a.l1_id, a.l2_id, a.orders_at, a.value_at, a.snapshot_date AS valid_from, CASE WHEN a.l1_id <> b.l1_id OR a.l2_id <> b.l2_id THEN b.snapshot_date END AS valid_to FROM a LEFT JOIN b USING (customer_id) UNION ALL SELECT b.customer_id, b.l1_id, b.l2_id, b.orders_at, b.value_at, b.snapshot_date, NULL FROM b LEFT JOIN a USING (customer_id) WHERE a.customer_id IS NULL OR a.l1_id <> b.l1_id OR a.l2_id <> b.l2_id)"
+
+
+@query("SRC-15", f"WITH {SNAPS}, {STAR} SELECT 'dim_archetype' AS part, NULL::BIGINT AS customer_id, k AS l1_id, level AS l2_id, signature, n, round(v, 4) AS value, round(pct, 6) AS pct, CAST(snapshot_date AS VARCHAR) AS since, NULL AS until FROM dx WHERE nth = 1 UNION ALL SELECT 'fact_current', b.customer_id, b.l1_id, b.l2_id, NULL, b.orders_at, round(b.value_at, 4), NULL, CAST(coalesce(a.snapshot_date, b.snapshot_date) AS VARCHAR), CAST(b.snapshot_date AS VARCHAR) FROM b LEFT JOIN a USING (customer_id) UNION ALL SELECT 'fact_history', customer_id, l1_id, l2_id, NULL, orders_at, round(value_at, 4), NULL, CAST(valid_from AS VARCHAR), CAST(valid_to AS VARCHAR) FROM hs")
+def src_15(t):
+    """Two runs of the star schema, from customers as they were at two dates; all columns of its three tables."""
+    path = work_path(t.spark, "star")
+    snaps = snapshots.snapshots(orders_of(t), list(STAR_RUNS)).withColumn("frequency", F.col("dominant")["frequency"])
+    for day in STAR_RUNS:
+        star.load(snaps.where(F.col("snapshot_date") == day), path, datetime(day.year, day.month, day.day), {"l1": "frequency", "l2": "archetype"}, ("orders_at", "value_at"), "value_at")
+    nothing, day = lambda kind: F.lit(None).cast(kind), lambda c: F.to_date(c).cast("string")
+    dim = star.read(t.spark, path, "dim_archetype").select(F.lit("dim_archetype").alias("part"), nothing("long").alias("customer_id"), F.col("archetype_id").alias("l1_id"), F.col("level").alias("l2_id"), "signature", F.col("member_count").alias("n"), r("mean_value", 4).alias("value"), r("population_pct").alias("pct"), day("first_seen").alias("since"), nothing("string").alias("until"))
+    facts = lambda name, since, until: star.read(t.spark, path, name).select(F.lit(name).alias("part"), "customer_id", "l1_id", "l2_id", nothing("string").alias("signature"), F.col("orders_at").alias("n"), r("value_at", 4).alias("value"), nothing("double").alias("pct"), day(since).alias("since"), day(until).alias("until"))
+    return dim.unionByName(facts("fact_current", "first_seen", "last_updated")).unionByName(facts("fact_history", "valid_from", "valid_to"))
 
 
 MOVES = "rs AS (SELECT *, max(CASE WHEN old_date IS NULL OR o_f || '/' || o_v <> archetype THEN snapshot_date END) OVER (PARTITION BY customer_id ORDER BY snapshot_date ROWS UNBOUNDED PRECEDING) AS run FROM sq), mv AS (SELECT customer_id, o_f || '/' || o_v AS from_archetype, archetype AS to_archetype, snapshot_date, old_date, date_diff('day', orun, snapshot_date) AS days_in_previous FROM (SELECT *, lag(run) OVER (PARTITION BY customer_id ORDER BY snapshot_date) AS orun FROM rs) WHERE old_date IS NOT NULL AND o_f || '/' || o_v <> archetype)"

@@ -45,11 +45,6 @@ def read_lines_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EXPORT_SCHEMA).option("header", True).csv(path).withColumnsRenamed(EXPORT)
 
 
-def read_jdbc(spark: SparkSession, url: str, table: str, column: str, low: str, high: str, partitions: int, properties: dict[str, str] | None = None) -> DataFrame:
-    """A table over JDBC in parallel ranges of a column; later filters are pushed to the database (SRC-2)."""
-    return spark.read.jdbc(url, table, column=column, lowerBound=low, upperBound=high, numPartitions=partitions, properties=properties or {})
-
-
 def parsed(column: str, schema: str) -> Column:
     """A JSON column parsed once for each row: the generator keeps the optimizer from parsing again for every field."""
     return F.explode(F.array(F.from_json(column, schema)))

@@ -12,6 +12,12 @@ from pyspark.sql import functions as F
 CHANNELS = {"1-URGENT": "pos", "2-HIGH": "web", "3-MEDIUM": "shopify_draft_order"}
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is something at a path, in whatever file system it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 @dataclass(frozen=True)
 class Tables:
     """Lazily read tables of one scale-factor folder."""
