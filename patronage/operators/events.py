@@ -49,12 +49,29 @@ def streaks(events: DataFrame) -> DataFrame:
     return runs.groupBy("entity").agg(F.max("run").alias("longest_streak"), F.avg("run").alias("mean_streak"))
 
 
+def histogram(value: Column, bins: int) -> Column:
+    """The shares of the numbers 0 to ``bins`` - 1, as a vector of fixed width from one aggregate."""
+    return F.array(*[F.count_if(value == k) / F.count(value) for k in range(bins)])
+
+
+def gaps_between_sessions(sessioned: DataFrame) -> DataFrame:
+    """Mean and variance of the hours from a session's end to the next one's start; 0 where there are too few."""
+    before = F.lag("session_end").over(W.partitionBy("entity").orderBy("session_no"))
+    g = sessioned.select("entity", (seconds_between(F.col("session_start"), before) / 3600).alias("gap")).groupBy("entity")
+    return g.agg(F.coalesce(F.avg("gap"), F.lit(0.0)).alias("mean_gap_hours"), F.coalesce(F.var_samp("gap"), F.lit(0.0)).alias("var_gap_hours"))
+
+
 def temporal(events: DataFrame) -> DataFrame:
-    """Weekend and night shares, busiest hour, session figures, active days (EVT-3)."""
+    """Shares of the 24 hours and 7 weekdays, weekend and night shares, busiest hour, session and gap figures, active days (EVT-3)."""
     hour, weekend = F.hour("ts"), F.weekday("ts") >= 5
-    base = events.groupBy("entity").agg(F.avg(weekend.cast("double")).alias("weekend_ratio"), F.avg((hour < 6).cast("double")).alias("night_ratio"), F.mode(hour, True).alias("busiest_hour"), F.countDistinct(F.to_date("ts")).alias("active_days"), (F.datediff(F.max("ts"), F.min("ts")) + 1).alias("span_days"))
-    s = sessions(events).groupBy("entity").agg(F.count("*").alias("sessions"), F.avg("minutes").alias("mean_minutes"), F.var_samp("minutes").alias("var_minutes"), F.avg("events").alias("mean_events"))
-    return base.join(s, "entity").join(streaks(events), "entity").withColumn("active_ratio", F.col("active_days") / F.col("span_days")).drop("span_days")
+    base = events.groupBy("entity").agg(
+        histogram(hour, 24).alias("hour_shares"), histogram(F.weekday("ts"), 7).alias("day_shares"), F.avg(weekend.cast("double")).alias("weekend_ratio"), F.avg((hour < 6).cast("double")).alias("night_ratio"), F.mode(hour, True).alias("busiest_hour"),
+        F.countDistinct(F.to_date("ts")).alias("active_days"), (F.datediff(F.max("ts"), F.min("ts")) + 1).alias("span_days"),
+    )
+    sessioned = sessions(events)
+    s = sessioned.groupBy("entity").agg(F.count("*").alias("sessions"), F.avg("minutes").alias("mean_minutes"), F.var_samp("minutes").alias("var_minutes"), F.avg("events").alias("mean_events"))
+    joined = base.join(s, "entity").join(gaps_between_sessions(sessioned), "entity").join(streaks(events), "entity")
+    return joined.withColumn("active_ratio", F.col("active_days") / F.col("span_days")).drop("span_days")
 
 
 def intensity(events: DataFrame) -> DataFrame:
@@ -97,6 +114,25 @@ def thirds(events: DataFrame) -> DataFrame:
     return seq.groupBy("entity", third.alias("third"), "event_type").agg(F.count("*").alias("n"))
 
 
+def quarters(events: DataFrame) -> DataFrame:
+    """Event counts by type in the first and the last quarter of an entity's history, at least one event each (WIN-13).
+
+    Both are n // 4 events, so the rest of the division is in neither; with fewer than eight events they may meet.
+    """
+    mine = W.partitionBy("entity")
+    seq = events.select("entity", "event_type", (F.row_number().over(by_time()) - 1).alias("i"), F.count("*").over(mine).alias("n"))
+    size = F.greatest(F.lit(1), F.floor(F.col("n") / 4))
+    parts = F.array_compact(F.array(F.when(F.col("i") < size, "early"), F.when(F.col("i") >= F.col("n") - size, "late")))
+    return seq.select("entity", "event_type", F.explode(parts).alias("quarter")).groupBy("entity", "quarter", "event_type").agg(F.count("*").alias("n"))
+
+
+def growth(events: DataFrame) -> DataFrame:
+    """How many types of events the first and the last quarter hold, and how they grew (WIN-13)."""
+    kinds = lambda q: F.count_if(F.col("quarter") == q)
+    g = quarters(events).groupBy("entity").agg(kinds("early").alias("early_diversity"), kinds("late").alias("late_diversity"))
+    return g.select("*", (F.col("late_diversity") - F.col("early_diversity")).alias("diversity_growth"), (F.col("late_diversity") / F.greatest("early_diversity", F.lit(1))).alias("diversity_growth_ratio"))
+
+
 def volatility(events: DataFrame, types: list[str], floor: float = 1e-10) -> DataFrame:
     """KL divergence in bits of the last third's mix of types from the first third's, and how even sessions are (EVT-8)."""
     t = thirds(events).groupBy("entity").pivot("third", [0, 1, 2]).agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("m"))

@@ -42,6 +42,22 @@ def score_tickets(tickets: DataFrame, now: datetime, alerts: tuple[str, ...] = (
     return out.withColumn("score", F.when(F.col("known"), F.round(total, 2)).otherwise(0.0)).drop("known")
 
 
+# Classes of a ticket in order, each with its words.
+CATEGORIES = {
+    "Return/Exchange Request": ("return", "refund", "send back", "not what i expected"),
+    "Product Issue - Damaged/Wrong Item": ("broken", "damaged", "defective", "wrong item", "incorrect"),
+    "Order Status/Delivery Inquiry": ("where is", "tracking", "hasn't arrived", "not received", "delayed"),
+    "Product Question": ("how to", "question about", "can you tell me", "wondering"),
+    "Order Modification": ("cancel", "change order", "modify"),
+}
+GENERAL = "General Inquiry"
+
+
+def category(text: Column, ladder: dict[str, tuple[str, ...]] | None = None) -> Column:
+    """The class of a ticket from its words; a text that is missing is a general inquiry (TKT-3)."""
+    return first_class(F.coalesce(text, F.lit("")), ladder or CATEGORIES, GENERAL)
+
+
 def first_class(text: Column, ladder: dict[str, tuple[str, ...]], rest: str) -> Column:
     """The first class of the ladder of which the text holds a word (TKT-2, TKT-3)."""
     out = F.lit(rest)
@@ -85,13 +101,6 @@ def source(via: Column, channel: Column, subject: Column, email: Column) -> Colu
     return out
 
 
-def volume_history(tickets: DataFrame, unit: str) -> DataFrame:
-    """Tickets for each period with a map of counts by channel and calendar columns (TKT-6)."""
-    n = tickets.groupBy(F.date_trunc(unit, "created_at").alias("period"), "channel").agg(F.count("*").alias("n"))
-    g = n.groupBy("period").agg(F.sum("n").alias("total"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("channel", "n")))).alias("by_channel"))
-    return g.withColumn("weekday", F.weekday("period")).withColumn("weekend", F.weekday("period") >= 5)
-
-
 def surges(volumes: DataFrame, keys: list[str], trailing: int = 24, factor: float = 2.0) -> DataFrame:
     """Periods whose count is ``factor`` times the mean of the ``trailing`` periods before (TKT-8)."""
     before = W.partitionBy(*keys).orderBy("period").rowsBetween(-trailing, -1)

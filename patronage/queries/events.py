@@ -35,11 +35,17 @@ def win_11(t):
     return rounded(ev.streaks(t.events))
 
 
-@query("EVT-3", f"WITH {SESS}, {STREAK}, h AS (SELECT entity, hour(ts) AS h, row_number() OVER (PARTITION BY entity ORDER BY count(*) DESC, hour(ts)) AS k FROM ev GROUP BY 1, 2), b AS (SELECT entity, avg(CASE WHEN isodow(ts) >= 6 THEN 1.0 ELSE 0 END) AS wr, avg(CASE WHEN hour(ts) < 6 THEN 1.0 ELSE 0 END) AS nr, count(DISTINCT CAST(ts AS DATE)) AS ad, date_diff('day', CAST(min(ts) AS DATE), CAST(max(ts) AS DATE)) + 1 AS sd FROM ev GROUP BY 1), s AS (SELECT entity, count(*) AS sessions, avg(minutes) AS mm, CASE WHEN count(*) > 1 THEN var_samp(minutes) END AS vm, avg(events) AS me FROM se GROUP BY 1) SELECT entity, round(wr, 6) AS weekend_ratio, round(nr, 6) AS night_ratio, CAST(h AS INT) AS busiest_hour, ad AS active_days, sessions, round(mm, 4) AS mean_minutes, round(vm, 4) AS var_minutes, round(me, 4) AS mean_events, longest_streak, round(mean_streak, 4) AS mean_streak, round(CAST(ad AS DOUBLE) / sd, 6) AS active_ratio FROM b JOIN s USING (entity) JOIN st USING (entity) JOIN h USING (entity) WHERE k = 1")
+_HOURS = ", ".join(f"avg(CASE WHEN hour(ts) = {h} THEN 1.0 ELSE 0 END) AS h{h}" for h in range(24))
+_DAYS = ", ".join(f"avg(CASE WHEN isodow(ts) = {d + 1} THEN 1.0 ELSE 0 END) AS d{d}" for d in range(7))
+_SHARES = ", ".join(f"round({c}, 6) AS {c}" for c in (*(f"h{h}" for h in range(24)), *(f"d{d}" for d in range(7))))
+
+
+@query("EVT-3", f"WITH {SESS}, {STREAK}, h AS (SELECT entity, hour(ts) AS h, row_number() OVER (PARTITION BY entity ORDER BY count(*) DESC, hour(ts)) AS k FROM ev GROUP BY 1, 2), b AS (SELECT entity, {_HOURS}, {_DAYS}, avg(CASE WHEN isodow(ts) >= 6 THEN 1.0 ELSE 0 END) AS wr, avg(CASE WHEN hour(ts) < 6 THEN 1.0 ELSE 0 END) AS nr, count(DISTINCT CAST(ts AS DATE)) AS ad, date_diff('day', CAST(min(ts) AS DATE), CAST(max(ts) AS DATE)) + 1 AS sd FROM ev GROUP BY 1), s AS (SELECT entity, count(*) AS sessions, avg(minutes) AS mm, CASE WHEN count(*) > 1 THEN var_samp(minutes) END AS vm, avg(events) AS me FROM se GROUP BY 1), gp AS (SELECT entity, (epoch_us(a) - epoch_us(lag(b) OVER (PARTITION BY entity ORDER BY no))) / 3.6e9 AS gap FROM se), gg AS (SELECT entity, coalesce(avg(gap), 0) AS mg, coalesce(CASE WHEN count(gap) > 1 THEN var_samp(gap) END, 0) AS vg FROM gp GROUP BY 1) SELECT entity, {_SHARES}, round(wr, 6) AS weekend_ratio, round(nr, 6) AS night_ratio, CAST(h AS INT) AS busiest_hour, ad AS active_days, sessions, round(mm, 4) AS mean_minutes, round(vm, 4) AS var_minutes, round(me, 4) AS mean_events, round(mg, 4) AS mean_gap_hours, round(vg, 3) AS var_gap_hours, longest_streak, round(mean_streak, 4) AS mean_streak, round(CAST(ad AS DOUBLE) / sd, 6) AS active_ratio FROM b JOIN s USING (entity) JOIN st USING (entity) JOIN gg USING (entity) JOIN h USING (entity) WHERE k = 1")
 def evt_3(t):
     d = ev.temporal(t.events)
-    four = ("mean_minutes", "var_minutes", "mean_events", "mean_streak")
-    return d.select(*[r(c, 4 if c in four else 6).alias(c) if k == "double" else c for c, k in d.dtypes])
+    digits = {"mean_minutes": 4, "var_minutes": 4, "mean_events": 4, "mean_streak": 4, "mean_gap_hours": 4, "var_gap_hours": 3}
+    shares = [r(F.col(c)[k]).alias(f"{c[0]}{k}") for c, n in (("hour_shares", 24), ("day_shares", 7)) for k in range(n)]
+    return d.select(*shares, *[r(c, digits.get(c, 6)).alias(c) if k == "double" else c for c, k in d.dtypes if not c.endswith("_shares")])
 
 
 @query("EVT-4", f"WITH {E_SQL}, d AS (SELECT entity, CAST(ts AS DATE) AS d, count(*) AS n FROM ev GROUP BY 1, 2), q AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY d) - 1 AS i, date_diff('day', d, max(d) OVER (PARTITION BY entity)) AS age FROM d) SELECT entity, round(avg(n), 6) AS per_day, round(CASE WHEN count(*) >= 3 THEN regr_slope(n, i) ELSE 0 END, 6) AS slope, count(*) AS days, round(CASE WHEN count(*) > 1 THEN var_samp(n) END, 6) AS variance, round(CASE WHEN count(*) > 1 THEN stddev_samp(n) / avg(n) END, 6) AS cv, CAST(coalesce(sum(n) FILTER (age < 7), 0) AS BIGINT) AS last_7d, CAST(coalesce(sum(n) FILTER (age BETWEEN 7 AND 13), 0) AS BIGINT) AS prior_7d, round(CAST(coalesce(sum(n) FILTER (age < 7), 0) AS DOUBLE) / greatest(coalesce(sum(n) FILTER (age BETWEEN 7 AND 13), 0), 1), 6) AS trend_ratio FROM q GROUP BY 1")
@@ -76,9 +82,18 @@ def evt_7(t):
 THIRD = E_SQL + ", sq AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY entity) AS n FROM ev), th AS (SELECT entity, CASE WHEN i < n // 3 THEN 0 WHEN i < 2 * (n // 3) THEN 1 ELSE 2 END AS third, event_type, count(*) AS n FROM sq GROUP BY 1, 2, 3)"
 
 
-@query("WIN-13", f"WITH {THIRD} SELECT entity, third, event_type, n FROM th")
+QUARTER = "qt AS (SELECT entity, event_type, unnest(['early', 'late']) AS quarter, i, n FROM sq), qc AS (SELECT entity, quarter, event_type, count(*) AS n FROM qt WHERE CASE quarter WHEN 'early' THEN i < greatest(1, n // 4) ELSE i >= n - greatest(1, n // 4) END GROUP BY 1, 2, 3)"
+
+
+@query("WIN-13", f"WITH {THIRD}, {QUARTER} SELECT entity, 'third ' || third AS part, event_type, n FROM th UNION ALL SELECT entity, quarter, event_type, n FROM qc")
 def win_13(t):
-    return ev.thirds(t.events)
+    thirds = ev.thirds(t.events).select("entity", F.concat(F.lit("third "), "third").alias("part"), "event_type", "n")
+    return thirds.unionByName(ev.quarters(t.events).withColumnRenamed("quarter", "part"))
+
+
+@query("WIN-13-growth", f"WITH {THIRD}, {QUARTER}, g AS (SELECT entity, count(*) FILTER (quarter = 'early') AS a, count(*) FILTER (quarter = 'late') AS b FROM qc GROUP BY 1) SELECT entity, a AS early_diversity, b AS late_diversity, b - a AS diversity_growth, round(b / CAST(greatest(a, 1) AS DOUBLE), 6) AS diversity_growth_ratio FROM g")
+def win_13_growth(t):
+    return rounded(ev.growth(t.events))
 
 
 @query("EVT-8", f"WITH {THIRD}, ty AS (SELECT unnest({TYPES}) AS event_type), en AS (SELECT DISTINCT entity FROM ev), tt AS (SELECT entity, third, sum(n) AS s FROM th GROUP BY 1, 2), x AS (SELECT en.entity, greatest(coalesce(a.n, 0) / CAST(greatest(coalesce(ta.s, 0), 1) AS DOUBLE), 1e-10) AS p0, greatest(coalesce(b.n, 0) / CAST(greatest(coalesce(tb.s, 0), 1) AS DOUBLE), 1e-10) AS p2 FROM en CROSS JOIN ty LEFT JOIN th a ON a.entity = en.entity AND a.third = 0 AND a.event_type = ty.event_type LEFT JOIN th b ON b.entity = en.entity AND b.third = 2 AND b.event_type = ty.event_type LEFT JOIN tt ta ON ta.entity = en.entity AND ta.third = 0 LEFT JOIN tt tb ON tb.entity = en.entity AND tb.third = 2) SELECT entity, round(sum(p2 * log2(p2 / p0)), 6) AS kl, round(1 / (1 + sum(p2 * log2(p2 / p0))), 6) AS predictability FROM x GROUP BY 1")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
+from patronage.operators import identities as ids
 from patronage.operators import tickets as tk
-from patronage.queries.registry import query, r, rounded
+from patronage.operators import volumes as vo
+from patronage.queries.registry import LINES, query, r, rounded
 from patronage.queries.sales import PROF, profiles_of
 
 NOW = datetime(2024, 3, 1)
@@ -93,10 +95,19 @@ def tkt_2(t):
     return t.messages.select("ticket_id", "message_no", tk.urgency(F.col("content"), URGENCY).alias("u")).select("ticket_id", "message_no", u["level"].alias("level"), u["category"].alias("category"), u["tag"].alias("tag"), F.array_join(u["matched"], ",").alias("matched"))
 
 
-@query("TKT-3", f"WITH {M_SQL}, c AS (SELECT CASE WHEN contains(lower(content), 'ung') THEN 'billing' WHEN contains(lower(content), 'que') THEN 'urgent' ELSE 'other' END AS class FROM ms WHERE NOT from_agent) SELECT class, count(*) AS n FROM c GROUP BY 1")
+# The six classes by syllables that the invented messages have, beside those by the fixed words.
+SYLLABLES = dict(zip(tk.CATEGORIES, (("ung", "refund"), ("que",), ("tion", "where is"), ("ern",), ("ar",)), strict=True))
+
+
+def _ladder_sql(column, ladder):
+    any_of = lambda words: " OR ".join("contains(lower(" + column + "), '" + w.replace("'", "''") + "')" for w in words)
+    return "CASE " + " ".join(f"WHEN {any_of(words)} THEN '{name}'" for name, words in ladder.items()) + f" ELSE '{tk.GENERAL}' END"
+
+
+@query("TKT-3", f"WITH {M_SQL} SELECT ticket_id, message_no, {_ladder_sql('content', tk.CATEGORIES)} AS category, {_ladder_sql('content', SYLLABLES)} AS by_syllable FROM ms WHERE NOT from_agent")
 def tkt_3(t):
-    c = tk.first_class(F.col("content"), {"billing": ("ung",), "urgent": ("que",)}, "other")
-    return t.messages.where(~F.col("from_agent")).groupBy(c.alias("class")).agg(F.count("*").alias("n"))
+    own = t.messages.where(~F.col("from_agent"))
+    return own.select("ticket_id", "message_no", tk.category(F.col("content")).alias("category"), tk.category(F.col("content"), SYLLABLES).alias("by_syllable"))
 
 
 @query("TKT-4", f"WITH {PROF}, {T_SQL} SELECT ticket_id, CASE WHEN tk.priority = 'urgent' AND lifetime_value > 1500000 THEN 'urgent' WHEN churn_risk_score > 0.7 THEN 'high' WHEN lifetime_value > 1000000 THEN 'high' ELSE 'normal' END AS new_priority, concat_ws(',', CASE WHEN lifetime_value > 1500000 THEN 'vip' END, CASE WHEN churn_risk_score > 0.7 THEN 'churn_risk' END, tk.channel) AS tags FROM tk LEFT JOIN prof USING (customer_id)")
@@ -121,11 +132,22 @@ def tkt_5(t):
     return came.select("ticket_id", tk.source(F.col("via"), F.col("channel"), F.col("subject"), F.col("email")).alias("source"))
 
 
-@query("TKT-6", f"WITH {T_SQL}, c AS (SELECT date_trunc('day', created_at) AS p, channel, count(*) AS n FROM tk GROUP BY 1, 2) SELECT CAST(CAST(p AS DATE) AS VARCHAR) AS period, CAST(sum(n) AS BIGINT) AS total, string_agg(channel || '=' || n, ',' ORDER BY channel) AS by_channel, CAST(isodow(p) - 1 AS INT) AS weekday, isodow(p) >= 6 AS weekend FROM c GROUP BY p")
+CLASSED = f"ct AS (SELECT tk.*, {_ladder_sql('last', SYLLABLES)} AS category FROM tk JOIN lm USING (ticket_id))"
+_MAPS = ", ".join(f"(SELECT string_agg(k || '=' || n, ',' ORDER BY k) FROM (SELECT {d} AS k, count(*) AS n FROM gr b WHERE b.granularity = a.granularity AND b.p = a.p GROUP BY 1)) AS tickets_by_{d}" for d in vo.DIMENSIONS)
+CUBE = f"gr AS (SELECT *, CASE granularity WHEN 'hour' THEN date_trunc('hour', created_at) WHEN 'day' THEN date_trunc('day', created_at) WHEN 'week' THEN date_trunc('week', created_at) ELSE date_trunc('month', created_at) END AS p FROM (SELECT *, unnest(['hour', 'day', 'week', 'month']) AS granularity FROM ct)), cu AS (SELECT granularity, p, count(*) AS n FROM gr GROUP BY 1, 2)"
+
+
+def classed_of(t):
+    """Tickets with the class of their last message."""
+    last = tk.last_messages(t.messages).select("ticket_id", tk.category(F.col("last"), SYLLABLES).alias("category"))
+    return tickets_of(t).join(last, "ticket_id")
+
+
+@query("TKT-6", f"WITH {M_SQL}, {T_SQL}, {LAST}, {CLASSED}, {CUBE} SELECT granularity, CAST(CAST(p AS TIMESTAMP) AS VARCHAR) AS period_start, CAST(CASE granularity WHEN 'hour' THEN p + INTERVAL 1 HOUR WHEN 'day' THEN p + INTERVAL 1 DAY WHEN 'week' THEN p + INTERVAL 7 DAY ELSE p + INTERVAL 1 MONTH END AS VARCHAR) AS period_end, n AS ticket_count, {_MAPS}, CASE WHEN granularity IN ('hour', 'day') THEN CAST(isodow(p) - 1 AS INT) END AS day_of_week, CASE WHEN granularity = 'hour' THEN CAST(hour(CAST(p AS TIMESTAMP)) AS INT) END AS hour_of_day, granularity IN ('hour', 'day') AND isodow(p) >= 6 AS is_weekend, granularity IN ('hour', 'day') AND CAST(p AS DATE) = DATE '2024-01-01' AS is_holiday, CAST(weekofyear(p) AS INT) AS week_of_year, CAST(month(p) AS INT) AS month_of_year, CAST(quarter(p) AS INT) AS quarter FROM cu a")
 def tkt_6(t):
-    d = tk.volume_history(tickets_of(t), "day")
-    pairs = F.array_join(F.transform(F.map_entries("by_channel"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
-    return d.select(F.to_date("period").cast("string").alias("period"), "total", pairs.alias("by_channel"), "weekday", "weekend")
+    d = vo.volume_cube(classed_of(t), (date(2024, 1, 1),))
+    pairs = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+    return d.select(*[pairs(c).alias(c) if c.startswith("tickets_by") else F.col(c).cast("string").alias(c) if c.startswith("period") else c for c in d.columns])
 
 
 HOURLY = "hv AS (SELECT event_type, date_trunc('hour', ts) AS period, count(*) AS n FROM events GROUP BY 1, 2)"
@@ -148,14 +170,35 @@ def flt_10(t):
     return s.select("event_type", F.col("period").cast("string").alias("period"), (seconds_between(F.lit(NOW).cast("timestamp_ntz"), F.col("period")) / 3600).cast("long").alias("hours_ago"))
 
 
-@query("TKT-7", f"WITH {HOURLY}, f AS (SELECT *, lag(n) OVER (PARTITION BY event_type ORDER BY period) AS f FROM hv), e AS (SELECT CAST(n AS DOUBLE) AS y, CAST(f - n AS DOUBLE) AS e FROM f WHERE f IS NOT NULL) SELECT round(avg(abs(e)), 6) AS mae, round(sqrt(avg(e * e)), 6) AS rmse, round(1 - avg(e * e) / var_pop(y), 6) AS r2, round(avg(abs(e / y) * 100), 6) AS mape, round(median(abs(e)), 6) AS median_error, round(stddev_pop(e), 6) AS error_std FROM e")
+# Forecasts of daily counts: each day's count stands for the days 1, 5, 7, 14 and 25 later, said at eight in the evening,
+# and the count itself is said a day too late.
+AHEAD = (1, 5, 7, 14, 25)
+FORECAST = f"dc AS (SELECT event_type AS series, CAST(ts AS DATE) AS d, count(*) AS n FROM events GROUP BY 1, 2), fc AS (SELECT 'naive' AS model, series, CAST(d + h AS TIMESTAMP) AS period, CAST(d AS TIMESTAMP) + INTERVAL 20 HOUR AS made_at, CAST(n + h % 3 AS DOUBLE) AS predicted FROM dc, (SELECT unnest([{', '.join(map(str, AHEAD))}]) AS h) UNION ALL SELECT 'naive', series, CAST(d AS TIMESTAMP), CAST(d AS TIMESTAMP) + INTERVAL 1 DAY, CAST(n AS DOUBLE) FROM dc)"
+JUDGED = "bf AS (SELECT *, CASE WHEN k <= 1 THEN '1d' WHEN k <= 7 THEN '7d' WHEN k <= 30 THEN '30d' ELSE 'beyond' END AS horizon FROM (SELECT *, date_diff('day', CAST(made_at AS DATE), CAST(period AS DATE)) AS k FROM fc WHERE made_at <= period)), al AS (SELECT * FROM bf UNION ALL SELECT * REPLACE ('latest' AS horizon) FROM bf), ls AS (SELECT *, row_number() OVER (PARTITION BY model, series, period, horizon ORDER BY made_at DESC, predicted DESC) AS nth FROM al), jd AS (SELECT ls.*, dc.n AS actual, dc.n - predicted AS e FROM ls JOIN dc ON dc.series = ls.series AND CAST(dc.d AS TIMESTAMP) = period WHERE nth = 1)"
+
+
+def counts_of(t):
+    return t.events.groupBy(F.col("event_type").alias("series"), F.to_date("ts").cast("timestamp_ntz").alias("period")).agg(F.count("*").alias("actual"))
+
+
+def forecasts_of(t):
+    d = counts_of(t)
+    h = F.col("h")
+    later = d.select("series", "period", "actual", F.explode(F.array(*[F.lit(x) for x in AHEAD])).alias("h"))
+    said = later.select(F.lit("naive").alias("model"), "series", F.date_add(F.to_date("period"), h).cast("timestamp_ntz").alias("period"), (F.col("period") + F.expr("INTERVAL '20' HOUR")).alias("made_at"), (F.col("actual") + h % 3).cast("double").alias("predicted"))
+    late = d.select(F.lit("naive").alias("model"), "series", "period", (F.col("period") + F.expr("INTERVAL '1' DAY")).alias("made_at"), F.col("actual").cast("double").alias("predicted"))
+    return said.unionByName(late)
+
+
+@query("TKT-7", f"WITH {FORECAST}, {JUDGED} SELECT model, horizon, count(*) AS total_forecasts, round(avg(abs(e)), 6) AS mae, round(avg(abs(100 * e / actual)), 6) AS mape, round(sqrt(avg(e * e)), 6) AS rmse, round(1 - avg(e * e) / nullif(var_pop(CAST(actual AS DOUBLE)), 0), 6) AS r2 FROM jd GROUP BY 1, 2")
 def tkt_7(t):
-    from pyspark.sql.window import Window as W
+    return rounded(vo.accuracy(vo.judged(forecasts_of(t), counts_of(t))))
 
-    from patronage.operators.scoring import regression_report
 
-    f = hourly_of(t).select(F.col("n").cast("double").alias("y"), F.lag("n").over(W.partitionBy("event_type").orderBy("period")).cast("double").alias("guess")).where("guess IS NOT NULL")
-    return rounded(regression_report(f, "y", "guess"))
+@query("WIN-7", f"WITH {FORECAST}, w AS (SELECT *, row_number() OVER (PARTITION BY series, period ORDER BY made_at DESC, predicted DESC) AS nth, count(*) OVER (PARTITION BY series, period) AS forecasts FROM fc WHERE CAST(period AS DATE) >= DATE '2024-01-15') SELECT series, CAST(CAST(period AS DATE) AS VARCHAR) AS day, CAST(made_at AS VARCHAR) AS made_at, predicted, forecasts FROM w WHERE nth = 1")
+def win_7(t):
+    d = vo.latest_forecasts(forecasts_of(t), date(2024, 1, 15))
+    return d.withColumn("day", F.col("day").cast("string")).withColumn("made_at", F.col("made_at").cast("string"))
 
 
 DAILY = "SELECT CAST(ts AS DATE) AS d, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1"
@@ -183,11 +226,6 @@ def tkt_10(t):
     return join_17(t).groupBy("name").agg(F.avg("n").alias("v")).crossJoin(F.broadcast(base)).select("name", r("v").alias("volume"), r(F.col("v") / F.col("base")).alias("multiplier"))
 
 
-@query("WIN-7", f"WITH {HOURLY} SELECT event_type, CAST(max(period) AS VARCHAR) AS period, arg_max(n, period) AS n FROM hv GROUP BY 1")
-def win_7(t):
-    return hourly_of(t).groupBy("event_type").agg(F.max("period").cast("string").alias("period"), F.max_by("n", "period").alias("n"))
-
-
 @query("WIN-14", f"WITH {T_SQL} SELECT ticket_id, 'T-' || lpad(CAST(1000 + row_number() OVER (PARTITION BY channel ORDER BY ticket_id) AS VARCHAR), 6, '0') AS ticket_number FROM tk")
 def win_14(t):
     from pyspark.sql.window import Window as W
@@ -254,13 +292,28 @@ def flt_11(t):
     return articles_of(t).where(F.col("source").isin("src1", "src2") & (F.col("lang") == "en")).select("article_id", F.concat_ws("/", "lang", "source").alias("category"))
 
 
-@query("JOIN-14", "SELECT c_custkey AS customer_id, coalesce(CASE WHEN c_custkey % 3 = 0 THEN 'ext-' || c_custkey END, CASE WHEN c_custkey % 3 = 1 THEN 'phone-' || (1000 + c_custkey) END, 'mail-' || lower(c_name)) AS resolved FROM customer")
+# Contacts made of customers: each step decides some, some name an unknown or a shared key, and some stay unresolved.
+CONTACTS = "co AS (SELECT c_custkey AS k, CASE k % 11 WHEN 0 THEN k WHEN 1 THEN -k END AS external_id, CASE k % 11 WHEN 1 THEN k WHEN 2 THEN k END AS meta_id, CASE k % 11 WHEN 3 THEN k END AS integration_id, CASE k % 11 WHEN 4 THEN 'sys-' || k WHEN 5 THEN 'sys-shared' END AS system_id, CASE k % 11 WHEN 5 THEN '(555) ' || (1000000 + k) WHEN 6 THEN '+1 555 ' || (1000000 + k) WHEN 7 THEN '1-800-7777777' END AS phone, CASE k % 11 WHEN 7 THEN ' ' || upper(c_name) || '@shop.example ' WHEN 8 THEN c_name || '@shop.example' WHEN 9 THEN 'nobody@shop.example' WHEN 10 THEN '' END AS email FROM customer)"
+BOOK = "bk AS (SELECT c_custkey AS customer_id, CASE WHEN c_custkey % 22 IN (5, 16) THEN 'sys-shared' ELSE 'sys-' || c_custkey END AS system_id, CASE WHEN c_custkey % 11 = 7 THEN '+18007777777' ELSE '+1555' || (1000000 + c_custkey) END AS phone, lower(c_name) || '@shop.example' AS email FROM customer)"
+_UNIQUE = lambda kind, c: f"SELECT '{kind}' AS kind, CAST({c} AS VARCHAR) AS key, min(customer_id) AS customer_id FROM bk GROUP BY 2 HAVING count(DISTINCT customer_id) = 1"
+_E164 = "CASE WHEN starts_with(d, '+') THEN d WHEN length(d) = 10 THEN '+1' || d ELSE '+' || d END"
+IDENTITIES = f"ix AS ({' UNION ALL '.join(_UNIQUE(k, c) for k, c in (('customer', 'customer_id'), ('system', 'system_id'), ('phone', 'phone'), ('email', 'email')))}), ph AS (SELECT k, CASE WHEN d <> '' THEN {_E164} END AS p FROM (SELECT k, regexp_replace(phone, '[^0-9+]', '', 'g') AS d FROM co))"
+_STEP = lambda no, name, kind, key: f"SELECT co.k, {no} AS place, '{name}' AS step, ix.customer_id FROM co JOIN ph ON ph.k = co.k JOIN ix ON ix.kind = '{kind}' AND ix.key = CAST({key} AS VARCHAR)"
+HITS = "hi AS (" + " UNION ALL ".join(_STEP(n, *x) for n, x in enumerate((("external", "customer", "external_id"), ("meta", "customer", "meta_id"), ("integration", "customer", "integration_id"), ("system", "system", "co.system_id"), ("phone", "phone", "p"), ("email", "email", "lower(trim(co.email))")))) + ")"
+
+
+@query("JOIN-14", f"WITH {CONTACTS}, {BOOK}, {IDENTITIES}, {HITS}, b AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY place) AS nth FROM hi) SELECT co.k AS contact_id, b.customer_id, b.step FROM co LEFT JOIN b ON b.k = co.k AND nth = 1")
 def join_14(t):
-    c = F.col("customer_id")
-    s = t.stores.select("customer_id", F.when(c % 3 == 0, F.concat(F.lit("ext-"), c)).alias("external"), F.when(c % 3 == 1, F.concat(F.lit("+1 ("), 1000 + c, F.lit(")"))).alias("phone"), F.lower("customer_name").alias("mail"))
-    book = t.stores.select(F.concat(F.lit("1"), 1000 + c).alias("digits"), F.concat(F.lit("phone-"), 1000 + c).alias("by_phone"))
-    mails = t.stores.select(F.lower("customer_name").alias("mail"), F.concat(F.lit("mail-"), F.lower("customer_name")).alias("by_mail"))
-    return s.withColumn("digits", F.regexp_replace("phone", "[^0-9]", "")).join(book, "digits", "left").join(mails, "mail", "left").select("customer_id", F.coalesce("external", "by_phone", "by_mail").alias("resolved"))
+    k, name = F.col("customer_id"), F.col("customer_name")
+    on = lambda *pairs: F.coalesce(*[F.when(k % 11 == n, c) for n, c in pairs])
+    contacts = t.stores.select(
+        k.alias("contact_id"), on((0, k), (1, -k)).alias("external_id"), on((1, k), (2, k)).alias("meta_id"), on((3, k)).alias("integration_id"), on((4, F.concat(F.lit("sys-"), k)), (5, F.lit("sys-shared"))).alias("system_id"),
+        on((5, F.concat(F.lit("(555) "), 1_000_000 + k)), (6, F.concat(F.lit("+1 555 "), 1_000_000 + k)), (7, F.lit("1-800-7777777"))).alias("phone"),
+        on((7, F.concat(F.lit(" "), F.upper(name), F.lit("@shop.example "))), (8, F.concat(name, F.lit("@shop.example"))), (9, F.lit("nobody@shop.example")), (10, F.lit(""))).alias("email"),
+    )
+    shared = (k % 22).isin(5, 16)
+    book = t.stores.select("customer_id", F.when(shared, "sys-shared").otherwise(F.concat(F.lit("sys-"), k)).alias("system_id"), F.when(k % 11 == 7, "+18007777777").otherwise(F.concat(F.lit("+1555"), 1_000_000 + k)).alias("phone"), F.concat(F.lower(name), F.lit("@shop.example")).alias("email"))
+    return ids.resolve(contacts, book)
 
 
 @query("JOIN-18", f"WITH {PROF}, {T_SQL}, ls AS (SELECT customer_id, arg_max(product_type, struct_pack(d := order_date, o := order_id, l := line_number, p := product_id, s := supplier_id)) AS product_type FROM lines GROUP BY 1), tp AS (SELECT product_type, count(*) AS tickets FROM tk JOIN ls USING (customer_id) GROUP BY 1), sp AS (SELECT product_type, CAST(sum(quantity) AS BIGINT) AS units, count(DISTINCT customer_id) AS customers FROM lines GROUP BY 1) SELECT product_type, units, customers, coalesce(tickets, 0) AS tickets FROM sp FULL JOIN tp USING (product_type)")
@@ -271,12 +324,10 @@ def join_18(t):
     return sold.join(asked, "product_type", "full").fillna(0, ["tickets"])
 
 
-@query("TKT-9", f"WITH {PROF}, {T_SQL}, ls AS (SELECT customer_id, arg_max(product_type, struct_pack(d := order_date, o := order_id, l := line_number, p := product_id, s := supplier_id)) AS product_type FROM lines GROUP BY 1), tp AS (SELECT product_type, count(*) AS tickets FROM tk JOIN ls USING (customer_id) GROUP BY 1), sp AS (SELECT product_type, CAST(sum(quantity) AS BIGINT) AS units FROM lines GROUP BY 1), z AS (SELECT product_type, coalesce(tickets, 0) / CAST(units AS DOUBLE) AS rate FROM sp LEFT JOIN tp USING (product_type)) SELECT product_type, round(rate, 8) AS rate, rate > 1.5 * avg(rate) OVER () AS high FROM z")
+@query("TKT-9", f"WITH {LINES}, {T_SQL}, ls AS (SELECT customer_id, arg_max(product_id, struct_pack(d := order_date, o := order_id, l := line_number, p := product_id)) AS product_id FROM lines GROUP BY 1), tp AS (SELECT product_id, count(*) AS tickets FROM tk JOIN ls USING (customer_id) GROUP BY 1), sp AS (SELECT product_id, max(product_type) AS product_type, CAST(sum(quantity) AS BIGINT) AS units, sum(line_item_sales) AS revenue, count(DISTINCT customer_id) AS customers FROM lines GROUP BY 1), z AS (SELECT *, coalesce(tickets, 0) / CAST(units AS DOUBLE) AS rate FROM sp LEFT JOIN tp USING (product_id)), y AS (SELECT *, avg(rate) OVER (PARTITION BY product_type) AS type_rate FROM z) SELECT product_id, product_type, units, round(revenue, 4) AS revenue, customers, coalesce(tickets, 0) AS tickets, round(rate, 8) AS rate, round(type_rate, 8) AS type_rate, rate > 1.5 * type_rate AS high FROM y")
 def tkt_9(t):
-    from pyspark.sql.window import Window as W
-
-    d = join_18(t).withColumn("rate", F.col("tickets") / F.col("units"))
-    return d.select("product_type", r("rate", 8).alias("rate"), (F.col("rate") > 1.5 * F.avg("rate").over(W.partitionBy())).alias("high"))
+    d = vo.product_tickets(t.sales_lines, tickets_of(t))
+    return d.select("product_id", "product_type", "units", r("revenue", 4).alias("revenue"), "customers", "tickets", r("rate", 8).alias("rate"), r("type_rate", 8).alias("type_rate"), "high")
 
 
 @query("TOP-4", f"WITH {PROF}, {T_SQL}, ls AS (SELECT customer_id, arg_max(product_type, struct_pack(d := order_date, o := order_id, l := line_number, p := product_id, s := supplier_id)) AS product_type FROM lines GROUP BY 1) SELECT product_type, count(*) AS tickets FROM tk JOIN ls USING (customer_id) WHERE created_at >= TIMESTAMP '2024-01-02' GROUP BY 1 ORDER BY tickets DESC, product_type LIMIT 10")
@@ -301,8 +352,18 @@ def join_19(t):
     return d.select("customer_id", F.coalesce(F.when(F.col("balance") > 5000, F.col("balance")), r("lifetime_value", 4), F.lit(0.0)).alias("value"), F.col("total_orders").isNull().alias("is_new"), F.coalesce("archetype_id", F.lit("none")).alias("archetype"))
 
 
-@query("FLT-9", f"WITH {M_SQL}, {T_SQL}, {LAST} SELECT ticket_id, CASE WHEN channel = 'sms' AND length(last) > 50 THEN false WHEN status = 'closed' THEN true WHEN regexp_matches(lower(last), '(no-reply|unsubscribe|newsletter)') THEN true ELSE messages < 2 END AS automated FROM tk JOIN lm USING (ticket_id)")
+MAIL = "ml AS (SELECT ticket_id, messages, CASE ticket_id % 23 WHEN 0 THEN ['AI_Ignore'] WHEN 1 THEN ['vip', 'force-ai'] ELSE ['vip'] END AS tags, CASE ticket_id % 13 WHEN 0 THEN 'Spam' WHEN 1 THEN 'closed' ELSE 'open' END AS status, CASE ticket_id % 17 WHEN 0 THEN 'New SMS to you' WHEN 1 THEN 'Text message notification' ELSE 'Hello' END AS subject, CASE ticket_id % 7 WHEN 0 THEN 'No-Reply@shop.example' WHEN 1 THEN 'news@mailchimp.com' WHEN 2 THEN 'call@ringcentral.com' ELSE 'ada@shop.example' END AS email, CASE ticket_id % 19 WHEN 0 THEN 'Support Team' WHEN 1 THEN 'The Teamwork Shop' ELSE 'Ada' END AS name, CASE ticket_id % 5 WHEN 0 THEN 'api' ELSE 'email' END AS via, CASE ticket_id % 3 WHEN 0 THEN 'sms' ELSE 'email' END AS channel, CASE WHEN ticket_id % 4 = 0 THEN '555' END AS phone, least(longest, 20 + ticket_id % 60) AS longest, by_agent AND ticket_id % 2 = 0 AS by_agent FROM lm JOIN (SELECT ticket_id, max(length(trim(content))) AS longest, bool_or(from_agent) AS by_agent FROM ms GROUP BY 1) USING (ticket_id))"
+RULES = "CASE WHEN list_has_any(list_transform(tags, lambda x: lower(x)), ['ai_ignore', 'no-ai', 'human-only']) THEN 'tag_skip' WHEN list_has_any(list_transform(tags, lambda x: lower(x)), ['ai_force', 'force-ai']) THEN 'tag_force' WHEN lower(status) IN ('closed', 'spam', 'deleted') THEN 'status' WHEN contains(lower(email), 'ringcentral.com') AND longest <= 50 AND phone IS NULL THEN 'empty_call' WHEN contains(lower(email), 'ringcentral.com') THEN 'call' WHEN contains(lower(email), 'no-reply') THEN 'no_reply' WHEN NOT sms AND contains(lower(email), 'mailchimp.com') THEN 'platform' WHEN contains(lower(subject), 'new sms to') OR contains(lower(subject), 'text message notification') THEN 'notice' WHEN NOT sms AND (lower(name) LIKE '% team' OR lower(name) LIKE 'the %team%') THEN 'team' WHEN via = 'api' AND messages > 0 AND NOT by_agent THEN 'interface' ELSE 'person' END"
+
+
+@query("FLT-9", f"WITH {M_SQL}, {LAST}, {MAIL} SELECT ticket_id, rule, rule NOT IN ('tag_force', 'call', 'person') AS automated FROM (SELECT ticket_id, {RULES} AS rule FROM (SELECT *, channel = 'sms' OR via = 'sms' OR contains(lower(subject), 'sms') AS sms FROM ml))")
 def flt_9(t):
-    d = tickets_of(t).join(tk.last_messages(t.messages), "ticket_id")
-    auto = F.when((F.col("channel") == "sms") & (F.length("last") > 50), False).when(F.col("status") == "closed", True).when(F.lower("last").rlike("(no-reply|unsubscribe|newsletter)"), True).otherwise(F.col("messages") < 2)
-    return d.select("ticket_id", auto.alias("automated"))
+    k = F.col("ticket_id")
+    own = t.messages.groupBy("ticket_id").agg(F.count("*").alias("messages"), F.max(F.length(F.trim("content"))).alias("longest"), F.bool_or("from_agent").alias("by_agent"))
+    one = lambda n, *values: F.coalesce(*[F.when(k % n == i, v) for i, v in enumerate(values[:-1])], F.lit(values[-1]))
+    tags = F.when(k % 23 == 0, F.array(F.lit("AI_Ignore"))).when(k % 23 == 1, F.array(F.lit("vip"), F.lit("force-ai"))).otherwise(F.array(F.lit("vip")))
+    a = ids.automated(
+        tags, one(13, "Spam", "closed", "open"), one(17, "New SMS to you", "Text message notification", "Hello"), one(7, "No-Reply@shop.example", "news@mailchimp.com", "call@ringcentral.com", "ada@shop.example"), one(19, "Support Team", "The Teamwork Shop", "Ada"),
+        one(5, "api", "email"), one(3, "sms", "email"), F.when(k % 4 == 0, "555"), F.least("longest", 20 + k % 60), F.col("messages"), F.col("by_agent") & (k % 2 == 0),
+    )
+    return own.select("ticket_id", a.alias("a")).select("ticket_id", "a.rule", "a.automated")
