@@ -14,7 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import functions as F
 
-from patronage.operators import axes, sampling
+from patronage.operators import axes, customers, sampling
 from patronage.operators import membership as mem
 from patronage.operators.scoring import training_set
 from patronage.plans import clustering as cl
@@ -52,19 +52,28 @@ def src_2(t):
     return d.select("order_id", F.col("order_date").cast("string").alias("order_date"), "customer_id", "line_number", "quantity", r("line_item_sales", 4).alias("line_item_sales"))
 
 
-@query("SRC-3", f"WITH {LINES} SELECT order_id, order_id AS order_number, customer_id, product_id, product_type, CAST(quantity AS INT) AS quantity, CAST(floor(line_item_sales) AS BIGINT) AS whole_sales, round(order_total, 2) AS order_total, CAST(year(order_date) AS INT) AS year, CAST(month(order_date) AS INT) AS month FROM lines WHERE order_id % 10 <> 0")
+@query("SRC-3", f"WITH {LINES}, n AS (SELECT order_id, CAST(sum(quantity) AS BIGINT) AS items FROM lines GROUP BY 1) SELECT order_id, order_id AS order_number, customer_id, product_id, CASE WHEN product_id % 7 = 0 THEN 'Unknown Product' ELSE product_name END AS product_name, product_type, CASE WHEN product_id % 3 = 0 THEN 'v' || product_id ELSE '' END AS variant_name, 'sku-' || product_id AS sku, CAST(quantity AS INT) AS quantity, CAST(floor(line_item_sales) AS BIGINT) AS whole_sales, CASE WHEN order_id % 2 = 0 THEN 'EUR' ELSE 'USD' END AS currency, round(order_total, 2) AS order_total, items AS order_total_items, CASE WHEN order_id % 4 = 0 THEN order_id % 90 + 0.5 END AS latitude, CASE WHEN order_id % 4 = 0 THEN -(order_id % 90) - 0.5 END AS longitude, CASE WHEN order_id % 3 = 0 THEN 'UNFULFILLED' ELSE fulfillment_status END AS fulfillment_status, CASE WHEN order_id % 5 = 0 THEN 'PENDING' ELSE 'PAID' END AS financial_status, CAST(order_date AS VARCHAR) AS order_date, CAST(CASE WHEN order_id % 2 = 0 THEN order_date + INTERVAL 1 HOUR ELSE order_date END AS VARCHAR) AS created_at, CAST(year(order_date) AS INT) AS year, CAST(quarter(order_date) AS INT) AS quarter, CAST(month(order_date) AS INT) AS month, strftime(order_date, '%B') AS month_name, CAST(weekofyear(order_date) AS INT) AS week, CAST(day(order_date) AS INT) AS day, strftime(order_date, '%A') AS week_day FROM lines JOIN n USING (order_id) WHERE order_id % 10 <> 0")
 def src_3(t):
-    """Orders with lines are written as nested JSON, landed as text and flattened."""
-    money = lambda c: F.struct(F.struct(c.cast("decimal(20,6)").cast("string").alias("amount"), F.lit("USD").alias("currencyCode")).alias("shopMoney"))
-    product = F.struct(F.col("product_id").cast("string").alias("legacyResourceId"), F.col("product_type").alias("productType"))
-    node = F.struct(F.col("quantity").cast("int").alias("quantity"), product.alias("product"), money(F.col("list_price")).alias("originalTotalSet"), money(F.col("line_item_sales")).alias("discountedTotalSet"))
-    nested = t.sales_lines.groupBy("order_id", "customer_id", "order_date", "order_total").agg(F.collect_list(F.struct(node.alias("node"))).alias("edges"))
-    customer = F.when(F.col("order_id") % 10 != 0, F.struct(F.col("customer_id").cast("string").alias("legacyResourceId")))
-    doc = F.to_json(F.struct(F.col("order_id").cast("string").alias("legacyResourceId"), F.concat(F.lit("#"), F.col("order_id")).alias("name"), F.col("order_date").cast("string").alias("createdAt"), customer.alias("customer"), money(F.col("order_total")).alias("totalPriceSet"), F.struct("edges").alias("lineItems")))
+    """Orders with lines are written as nested JSON, with fields that some orders lack, landed as text and flattened."""
+    o, p = F.col("order_id"), F.col("product_id")
+    currency = F.when(o % 2 == 0, "EUR").otherwise("USD")
+    money = lambda c: F.struct(F.struct(c.cast("decimal(20,6)").cast("string").alias("amount"), currency.alias("currencyCode")).alias("shopMoney"))
+    product = F.struct(p.cast("string").alias("legacyResourceId"), F.when(p % 7 != 0, F.col("product_name")).alias("title"), F.col("product_type").alias("productType"))
+    variant = F.when(p % 3 == 0, F.struct(F.concat(F.lit("v"), p).alias("title")))
+    node = F.struct(F.col("quantity").cast("int").alias("quantity"), F.concat(F.lit("sku-"), p).alias("sku"), product.alias("product"), variant.alias("variant"), money(F.col("list_price")).alias("originalTotalSet"), money(F.col("line_item_sales")).alias("discountedTotalSet"))
+    head = ("order_id", "customer_id", "order_date", "order_total", "fulfillment_status")
+    nested = t.sales_lines.groupBy(*head).agg(F.collect_list(F.struct(node.alias("node"))).alias("edges"))
+    customer = F.when(o % 10 != 0, F.struct(F.col("customer_id").cast("string").alias("legacyResourceId")))
+    address = F.when(o % 4 == 0, F.struct((o % 90 + 0.5).alias("latitude"), (-(o % 90) - 0.5).alias("longitude")))
+    doc = F.to_json(F.struct(
+        o.cast("string").alias("legacyResourceId"), F.concat(F.lit("#"), o).alias("name"), F.col("order_date").cast("string").alias("createdAt"), F.when(o % 2 == 0, (F.col("order_date") + F.expr("INTERVAL '1' HOUR")).cast("string")).alias("processedAt"),
+        customer.alias("customer"), money(F.col("order_total")).alias("totalPriceSet"), F.when(o % 3 != 0, F.col("fulfillment_status")).alias("displayFulfillmentStatus"), F.when(o % 5 != 0, "PAID").alias("displayFinancialStatus"), address.alias("shippingAddress"), F.struct("edges").alias("lineItems"),
+    ))
     path = landing.work_path(t.spark, "orders-json")
     nested.select(doc.alias("value")).write.text(path)
     d = landing.flatten_orders(t.spark.read.text(path))
-    return d.select("order_id", "order_number", "customer_id", "product_id", "product_type", "quantity", F.floor("line_item_sales").alias("whole_sales"), r("order_total", 2).alias("order_total"), "year", "month")
+    texts = [F.col(c).cast("string").alias(c) for c in ("order_date", "created_at")]
+    return d.withColumn("whole_sales", F.floor("line_item_sales")).withColumn("order_total", r("order_total", 2)).select("order_id", "order_number", "customer_id", "product_id", "product_name", "product_type", "variant_name", "sku", "quantity", "whole_sales", "currency", "order_total", "order_total_items", "latitude", "longitude", "fulfillment_status", "financial_status", *texts, "year", "quarter", "month", "month_name", "week", "day", "week_day")
 
 
 @query("SRC-4", "SELECT DISTINCT CAST(conv_id AS VARCHAR) AS id, substr(sha256('ticket:' || conv_id), 1, 16) AS ticket_key, CASE conv_id % 3 WHEN 0 THEN 'c' || conv_id WHEN 1 THEN 'm' || conv_id ELSE 'unknown' END AS customer, CASE conv_id % 2 WHEN 0 THEN 'chat' ELSE 'email' END AS channel, CASE conv_id % 4 WHEN 0 THEN 'open' WHEN 1 THEN 'closed' ELSE 'pending' END AS status, CASE WHEN conv_id % 5 = 0 THEN 'high' ELSE 'normal' END AS priority, CASE WHEN conv_id % 2 = 0 THEN 'a,b' ELSE '' END AS tags FROM conversations")
@@ -129,12 +138,17 @@ def src_11(t):
     return text.select("customer_id", m["purchase_value"].alias("value_segment"), m["return_behavior"].alias("return_segment"))
 
 
-@query("SRC-12", f"WITH {PROF} SELECT archetype_id, count(*) AS n FROM prof GROUP BY 1 ORDER BY n DESC, archetype_id LIMIT 50")
+TIERS = "tr AS (SELECT 'tier1' AS tier, axis AS k, segment AS name, count(*) AS n, 100.0 * count(*) / (SELECT count(*) FROM prof) AS pct FROM seg GROUP BY 2, 3), ta AS (SELECT 'tier2' AS tier, archetype_id AS k, signature AS name, count(*) AS n, 100.0 * count(*) / (SELECT count(*) FROM prof) AS pct FROM prof GROUP BY 2, 3 ORDER BY n DESC, k LIMIT 50), tv AS (SELECT 'tier3' AS tier, CAST(customer_id AS VARCHAR) AS k, signature AS name, 1 AS n, NULL AS pct FROM prof ORDER BY md5('1:' || customer_id), customer_id LIMIT 10)"
+
+
+@query("SRC-12", f"WITH {PROF}, {TIERS} SELECT tier, k AS key, name, n, round(pct, 6) AS pct FROM (SELECT * FROM tr UNION ALL SELECT * FROM ta UNION ALL SELECT * FROM tv)")
 def src_12(t):
-    path = landing.work_path(t.spark, "results")
-    top = profiles_of(t).groupBy("archetype_id").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "archetype_id").limit(50)
-    top.write.json(path)
-    return t.spark.read.schema("archetype_id string, n long").json(path)
+    """The three parts of a run's results written as JSON and read again: all segments, the fifty largest archetypes, vectors of a sample."""
+    p, path = profiles_of(t), work_path(t.spark, "results")
+    landing.write_results(p, path)
+    schema = "key string, name string, n long, pct double"
+    one = lambda tier: t.spark.read.schema(schema).json(f"{path}/{tier}").select(F.lit(tier).alias("tier"), "key", "name", "n", r("pct").alias("pct"))
+    return one("tier1").unionByName(one("tier2")).unionByName(one("tier3"))
 
 
 @query("SRC-13", f"WITH {WIDE} SELECT customer_id, round(lifetime_value, 2) AS lifetime_value FROM wide")
@@ -144,15 +158,16 @@ def src_13(t):
     return t.spark.read.schema("customer_id long, lifetime_value double").option("header", True).csv(path)
 
 
-@query("SMP-1", f"WITH {PROF}, q AS (SELECT quantile_cont(lifetime_value, 0.5) AS a, quantile_cont(lifetime_value, 0.8) AS b, quantile_cont(lifetime_value, 0.95) AS c FROM prof), k AS (SELECT CASE WHEN lifetime_value > c THEN 3 WHEN lifetime_value > b THEN 2 WHEN lifetime_value > a THEN 1 ELSE 0 END AS tier FROM prof, q) SELECT tier, least(count(*), CASE tier WHEN 0 THEN 40 WHEN 1 THEN 60 WHEN 2 THEN 60 ELSE 40 END) AS n FROM k GROUP BY 1")
+@query("SMP-1", f"WITH {PROF}, q AS (SELECT quantile_cont(lifetime_value, 0.5) AS a, quantile_cont(lifetime_value, 0.8) AS b, quantile_cont(lifetime_value, 0.95) AS c FROM prof), k AS (SELECT customer_id, CASE WHEN lifetime_value > c THEN 3 WHEN lifetime_value > b THEN 2 WHEN lifetime_value > a THEN 1 ELSE 0 END AS tier FROM prof, q), d AS (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY md5('1:' || customer_id), customer_id) AS nth FROM k) SELECT customer_id, tier FROM d WHERE nth <= CASE tier WHEN 0 THEN 40 WHEN 1 THEN 60 WHEN 2 THEN 60 ELSE 40 END")
 def smp_1(t):
-    return sampling.tiered(profiles_of(t), "customer_id", "lifetime_value", 200).groupBy("tier").agg(F.count("*").alias("n"))
+    return sampling.tiered(profiles_of(t), "customer_id", "lifetime_value", 200, by=sampling.digest).select("customer_id", "tier")
 
 
-@query("SMP-2", "SELECT c_mktsegment AS store_id, 20 AS n FROM customer GROUP BY 1 HAVING count(*) >= 20")
+@query("SMP-2", "WITH k AS (SELECT c_custkey AS customer_id, c_mktsegment AS store_id, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5('1:' || c_custkey), c_custkey) AS nth FROM customer), s AS (SELECT count(DISTINCT store_id) AS n FROM k), b AS (SELECT customer_id, store_id FROM k, s WHERE nth <= (20 * s.n + 7) // s.n), m AS (SELECT customer_id, store_id FROM k WHERE customer_id NOT IN (SELECT customer_id FROM b) ORDER BY md5('2:' || customer_id), customer_id LIMIT greatest(0, (SELECT 20 * n + 7 FROM s) - (SELECT count(*) FROM b))) SELECT * FROM b UNION ALL SELECT * FROM m")
 def smp_2(t):
+    """Equal quotas and a remainder of seven, topped up from all that were not drawn."""
     strata = t.stores.select("store_id").distinct().count()
-    return sampling.stratified(t.stores, "customer_id", "store_id", 20 * strata, strata).groupBy("store_id").agg(F.count("*").cast("int").alias("n"))
+    return sampling.stratified(t.stores, "customer_id", "store_id", 20 * strata + 7, strata, by=sampling.digest).select("customer_id", "store_id")
 
 
 @query("SMP-3")
@@ -160,10 +175,10 @@ def smp_3(t):
     return sampling.weighted(profiles_of(t), "customer_id", F.col("lifetime_value"), 100).select("customer_id", r("lifetime_value", 4).alias("lifetime_value"))
 
 
-@query("SMP-5", "SELECT CAST(greatest(500, least(5000, CAST(floor(n * CASE WHEN n < 10000 THEN 0.25 WHEN n < 100000 THEN 0.05 ELSE 0.03 END) AS INT))) AS INT) AS sample_size, n FROM (SELECT count(*) AS n FROM customer)")
+@query("SMP-5", f"WITH n AS (SELECT count(*) AS n FROM customer), x AS (SELECT unnest([{', '.join(repr(a) for a in axes.AXES)}]) AS axis) SELECT axis, CASE WHEN axis IN ('purchase_value', 'value_sophistication') THEN 'weighted' WHEN axis IN ('customer_maturity', 'loyalty_trajectory') THEN 'recent' WHEN axis IN ('category_exploration', 'communication_preference', 'problem_complexity_profile', 'product_knowledge') THEN 'diverse' ELSE 'tiered' END AS strategy, CAST(greatest(500, least(5000, CAST(floor(n * CASE WHEN n < 10000 THEN 0.25 WHEN n < 100000 THEN 0.05 ELSE 0.03 END) AS INT))) AS INT) AS sample_size, n FROM n, x")
 def smp_5(t):
     n = t.stores.count()
-    return t.stores.agg(F.count("*").alias("n")).select(F.lit(sampling.sample_size(n)).alias("sample_size"), "n")
+    return t.spark.createDataFrame([(a, sampling.strategy(a), sampling.sample_size(n), n) for a in axes.AXES], "axis string, strategy string, sample_size int, n long")
 
 
 @query("SMP-6", "SELECT c_custkey AS customer_id FROM customer ORDER BY md5('1:' || c_custkey), c_custkey LIMIT 100")
@@ -349,11 +364,37 @@ def feat_7(t):
     return m.select("customer_id", F.explode("matrix").alias("product_type", "v")).select("customer_id", "product_type", F.col("v.q").alias("quantity"), r("v.s", 4).alias("spend"))
 
 
-@query("FEAT-8", f"WITH {WIDE} SELECT customer_id, CASE WHEN total_orders >= 15 THEN 1 ELSE 0 END + CASE WHEN unique_categories >= 5 THEN 1 ELSE 0 END + CASE WHEN refund_rate < 0.05 THEN 1 ELSE 0 END AS signals, CASE WHEN total_orders >= 15 AND unique_categories >= 5 THEN 'professional' WHEN total_orders >= 8 THEN 'enthusiast' ELSE 'casual' END AS customer_type FROM wide")
+TABLE = BOTH + ", og AS (SELECT *, date_diff('day', lag(order_date) OVER w, order_date) AS gap FROM ord WINDOW w AS (PARTITION BY customer_id ORDER BY order_date, order_id)), md AS (SELECT customer_id, mode_q, mode_m, mode_s FROM (SELECT customer_id, v AS mode_q FROM (SELECT customer_id, quarter(order_date) AS v, row_number() OVER (PARTITION BY customer_id ORDER BY count(*) DESC, quarter(order_date)) AS k FROM ord GROUP BY 1, 2) WHERE k = 1) JOIN (SELECT customer_id, v AS mode_m FROM (SELECT customer_id, month(order_date) AS v, row_number() OVER (PARTITION BY customer_id ORDER BY count(*) DESC, month(order_date)) AS k FROM ord GROUP BY 1, 2) WHERE k = 1) USING (customer_id) JOIN (SELECT customer_id, v AS mode_s FROM (SELECT customer_id, source AS v, row_number() OVER (PARTITION BY customer_id ORDER BY count(*) DESC, source) AS k FROM ord GROUP BY 1, 2) WHERE k = 1) USING (customer_id)), oc AS (SELECT customer_id, count(*) AS n, min(order_date) AS a, max(order_date) AS z, sum(total_price) AS v, avg(total_price) AS aov, avg(CASE WHEN isodow(order_date) >= 6 THEN 1.0 ELSE 0 END) AS we, avg(CASE WHEN discount_amount > 0 THEN 1.0 ELSE 0 END) AS dr, coalesce(avg(discount_amount) FILTER (discount_amount > 0), 0) AS du, count(*) FILTER (order_date >= (SELECT max(order_date) FROM ord) - INTERVAL 90 DAY) AS recent, count(DISTINCT source) AS ch, avg(CASE WHEN source = 'pos' THEN 1.0 ELSE 0 END) AS pp, avg(CASE WHEN source = 'web' THEN 1.0 ELSE 0 END) AS pw, avg(CASE WHEN source = 'shopify_draft_order' THEN 1.0 ELSE 0 END) AS ps, avg(gap) AS mg, CASE WHEN count(gap) > 1 THEN stddev_samp(gap) END AS sg FROM og GROUP BY 1), ic AS (SELECT customer_id, count(DISTINCT product_id) AS up, count(DISTINCT category) AS uc, count(DISTINCT product_type) AS ut, CAST(sum(quantity) AS BIGINT) AS q, sum(refund_amount) AS f FROM items GROUP BY 1), cq AS (SELECT customer_id, category, CAST(sum(quantity) AS BIGINT) AS q FROM items GROUP BY 1, 2), mc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY q DESC, category) AS k FROM cq WHERE category IS NOT NULL) WHERE k = 1), ct AS (SELECT customer_id, n AS total_orders, a AS first_purchase_date, z AS last_purchase_date, v AS lifetime_value, aov AS avg_order_value, we AS pct_weekend_orders, dr AS discount_rate, du AS avg_discount_when_used, recent AS recent_orders_3mo, mode_s AS primary_channel, ch AS channels_used, pp AS pct_pos, pw AS pct_web, ps AS pct_shopify, mode_q AS peak_quarter, mode_m AS peak_month, mg AS avg_days_between_purchases, sg AS std_days_between_purchases, up AS unique_products, uc AS unique_categories, ut AS unique_product_types, ic.q AS total_items_purchased, f AS total_refunds, date_diff('day', a, (SELECT max(order_date) FROM ord)) AS customer_tenure_days, date_diff('day', z, (SELECT max(order_date) FROM ord)) AS days_since_last_purchase, ic.q / CAST(n AS DOUBLE) AS avg_items_per_order, mc.category AS primary_category, mc.q / CAST(ic.q AS DOUBLE) AS primary_category_pct, CASE WHEN v = 0 THEN 0 ELSE f / v END AS refund_rate FROM oc JOIN md USING (customer_id) JOIN ic USING (customer_id) JOIN mc USING (customer_id))"
+
+
+def table_of(t):
+    from patronage.operators.cleaning import to_items
+
+    return customers.customer_table(orders_of(t), to_items(t.sales_lines), axes.reference_date_of(orders_of(t)))
+
+
+_RATIOS = ("pct_weekend_orders", "discount_rate", "pct_pos", "pct_web", "pct_shopify", "avg_days_between_purchases", "std_days_between_purchases", "avg_items_per_order", "primary_category_pct", "refund_rate")
+_PLAIN = ("customer_id", "total_orders", "recent_orders_3mo", "primary_channel", "channels_used", "unique_products", "unique_categories", "unique_product_types", "total_items_purchased", "primary_category")
+
+
+@query("FEAT-3", f"WITH {TABLE} SELECT {', '.join(_PLAIN)}, {', '.join(f'round({c}, 6) AS {c}' for c in _RATIOS)}, round(lifetime_value, 2) AS lifetime_value, round(avg_order_value, 6) AS avg_order_value, round(avg_discount_when_used, 8) AS avg_discount_when_used, round(total_refunds, 4) AS total_refunds, CAST(first_purchase_date AS VARCHAR) AS first_purchase_date, CAST(last_purchase_date AS VARCHAR) AS last_purchase_date, CAST(peak_quarter AS INT) AS peak_quarter, CAST(peak_month AS INT) AS peak_month, CAST(customer_tenure_days AS INT) AS customer_tenure_days, CAST(days_since_last_purchase AS INT) AS days_since_last_purchase, round(total_orders / CAST(CASE WHEN customer_tenure_days = 0 THEN 1 ELSE customer_tenure_days END AS DOUBLE) * 30.44, 6) AS orders_per_month, CAST(days_since_last_purchase AS INT) AS rfm_recency, total_orders AS rfm_frequency, round(lifetime_value, 2) AS rfm_monetary, CASE WHEN days_since_last_purchase <= 90 THEN 'Active' WHEN days_since_last_purchase <= 180 THEN 'At Risk' ELSE 'Churned' END AS customer_status, total_orders > 1 AS is_repeat_customer FROM ct")
+def feat_3(t):
+    d = table_of(t)
+    digits = {"lifetime_value": 2, "rfm_monetary": 2, "avg_discount_when_used": 8, "total_refunds": 4}
+    column = lambda c, kind: r(c, digits.get(c, 6)).alias(c) if kind == "double" else F.col(c).cast("string").alias(c) if c.endswith("_date") else F.col(c).cast("int").alias(c) if "days" in c or c == "rfm_recency" else F.col(c)
+    return d.select(*[column(c, k) for c, k in d.dtypes if c != "category_quantities"])
+
+
+#: The trade that the driver's categories stand for, with thresholds in the middle of its figures.
+TRADE = customers.Trade("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", spender=1_500_000, business_value=3_000_000, business_orders=18, reseller_orders=14, reseller_products=50, gift_value=120_000, project_value=170_000, browser_value=140_000, frequent=10, heavy_use=200, finishes=180, some_use=330, some_finishes=330, long_days=1100, breadth=6)
+CLASSES = "cl AS (SELECT ct.*, coalesce(x.machine, 0) AS machine, coalesce(x.u, 0) AS u, coalesce(x.fin, 0) AS fin, coalesce(x.mat, 0) / CAST(total_items_purchased AS DOUBLE) AS mats, coalesce(x.oth, 0) / CAST(total_items_purchased AS DOUBLE) AS oths, coalesce(titled, false) AS titled FROM ct LEFT JOIN (SELECT customer_id, sum(q) FILTER (category = 'ECONOMY') AS machine, sum(q) FILTER (category = 'LARGE') AS u, sum(q) FILTER (category = 'MEDIUM') AS fin, sum(q) FILTER (category = 'PROMO') AS mat, sum(q) FILTER (category = 'SMALL') AS oth FROM cq GROUP BY 1) x USING (customer_id) LEFT JOIN (SELECT customer_id, bool_or(product_name LIKE '%7%') AS titled FROM lines GROUP BY 1) y USING (customer_id)), sg AS (SELECT *, list_filter([CASE WHEN lifetime_value > 1500000 THEN 'high_spender' END, CASE WHEN unique_categories >= 6 THEN 'multi_category' END, CASE WHEN machine > 0 THEN 'machine_owner' END, CASE WHEN total_orders >= 10 THEN 'frequent_buyer' END, CASE WHEN u >= 200 THEN 'heavy_user' END, CASE WHEN fin >= 180 THEN 'project_finisher' END, CASE WHEN customer_tenure_days > 1100 THEN 'long_term' END], lambda x: x IS NOT NULL) AS signals FROM cl)"
+
+
+@query("FEAT-8", f"WITH {TABLE}, {CLASSES} SELECT customer_id, array_to_string(signals, ',') AS signals, CASE WHEN len(signals) >= 5 THEN 'Professional/Hardcore Enthusiast' WHEN len(signals) >= 3 THEN 'Serious Hobbyist' WHEN len(signals) >= 1 THEN 'Casual Hobbyist' ELSE 'Beginner/Dabbler' END AS expertise, CASE WHEN lifetime_value > 3000000 OR total_orders > 18 THEN 'Business/Professional' WHEN total_orders > 14 AND unique_products > 50 THEN 'Potential Reseller' WHEN total_orders = 1 AND avg_order_value < 120000 AND unique_categories = 1 THEN 'Gift Buyer' WHEN u >= 330 OR fin >= 330 THEN 'Active Maker' WHEN total_orders <= 3 AND avg_order_value > 170000 THEN 'Project-Based Buyer' WHEN unique_categories >= 3 AND avg_order_value < 140000 THEN 'Explorer/Browser' ELSE 'Casual Buyer' END AS customer_type, CASE WHEN (machine > 0 OR titled) AND total_orders > 5 THEN 'Machine (Professional)' WHEN machine > 0 OR titled THEN 'Machine (Home)' WHEN mats > 0.6 AND fin = 0 THEN 'Garment Maker' WHEN fin > 0 AND u > 0 THEN 'Traditional Maker' WHEN u / CAST(total_items_purchased AS DOUBLE) > 0.7 THEN 'Consumable Artist' WHEN fin / CAST(total_items_purchased AS DOUBLE) > 0.8 THEN 'Finishing Specialist' WHEN oths > 0.7 AND unique_products > 10 THEN 'Tool Enthusiast' WHEN unique_categories >= 6 THEN 'Generalist' WHEN primary_category = 'LARGE' THEN 'Consumable-Focused' WHEN primary_category = 'PROMO' THEN 'Material-Focused' WHEN primary_category = 'MEDIUM' THEN 'Finishing-Focused' ELSE 'General Maker' END AS project_type FROM sg")
 def feat_8(t):
-    n, u = F.col("total_orders") >= 15, F.col("unique_categories") >= 5
-    signals = F.size(F.array_compact(F.array(F.when(n, "orders"), F.when(u, "breadth"), F.when(F.col("refund_rate") < 0.05, "returns"))))
-    return wide_of(t).select("customer_id", signals.alias("signals"), F.when(n & u, "professional").when(F.col("total_orders") >= 8, "enthusiast").otherwise("casual").alias("customer_type"))
+    titled = t.sales_lines.groupBy("customer_id").agg(F.bool_or(F.col("product_name").like("%7%")).alias("titled"))
+    d = table_of(t).join(titled, "customer_id", "left")
+    return customers.classify(d, TRADE, F.coalesce("titled", F.lit(False))).withColumn("signals", F.array_join("signals", ","))
 
 
 @query("FEAT-9", f"WITH {WIDE} SELECT customer_id, round(product_concentration, 6) AS herfindahl FROM wide")
@@ -361,12 +402,6 @@ def feat_9(t):
     return wide_of(t).select("customer_id", r("product_concentration").alias("herfindahl"))
 
 
-@query("FEAT-3", f"WITH {WIDE} SELECT customer_id, total_orders, round(lifetime_value, 4) AS lifetime_value, round(orders_per_month, 6) AS orders_per_month, round(total_items_ / CAST(total_orders AS DOUBLE), 6) AS items_per_order, round(weekend_rate, 6) AS weekend_rate, CASE WHEN days_since_last_purchase <= 90 THEN 'Active' WHEN days_since_last_purchase <= 180 THEN 'At Risk' ELSE 'Churned' END AS status, total_orders > 1 AS is_repeat FROM wide JOIN (SELECT customer_id, ti AS total_items_ FROM it) USING (customer_id)")
-def feat_3(t):
-    last = F.col("days_since_last_purchase")
-    return wide_of(t).select("customer_id", "total_orders", r("lifetime_value", 4).alias("lifetime_value"), r("orders_per_month").alias("orders_per_month"), r(F.col("total_items") / F.col("total_orders")).alias("items_per_order"), r("weekend_rate").alias("weekend_rate"), F.when(last <= 90, "Active").when(last <= 180, "At Risk").otherwise("Churned").alias("status"), (F.col("total_orders") > 1).alias("is_repeat"))
-
-
 @query("TOP-12", "WITH q AS (SELECT * FROM embeddings WHERE vec_id % 20 = 0), p AS (SELECT q.vec_id AS query_id, e.vec_id AS other_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS c FROM q JOIN embeddings e ON q.vec_id <> e.vec_id), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, other_id) AS place FROM p) SELECT query_id, other_id FROM k WHERE place = 1")
 def top_12(t):
     from patronage.operators.tickets import cosine_top
@@ -415,12 +450,14 @@ def sc_13(t):
     return t.events.select("event_id", F.array_join(F.map_keys(m), ",").alias("keys"), m["k"].alias("k"), F.map_contains_key(m, "k").alias("has_k"))
 
 
-@query("JOIN-10", f"WITH {PROF} SELECT count(*) AS total, (SELECT count(DISTINCT archetype_id) FROM prof) AS archetypes, (SELECT max(n) FROM (SELECT count(*) AS n FROM prof GROUP BY archetype_id)) AS largest FROM prof")
+@query("JOIN-10", f"WITH {PROF} SELECT count(*) AS total, round(avg(lifetime_value), 4) AS mean_value, (SELECT count(DISTINCT archetype_id) FROM prof) AS archetypes, (SELECT max(n) FROM (SELECT count(*) AS n FROM prof GROUP BY archetype_id)) AS largest, (SELECT string_agg(archetype_id || '=' || n, ',' ORDER BY archetype_id) FROM (SELECT archetype_id, count(*) AS n FROM prof GROUP BY 1 ORDER BY n DESC, archetype_id LIMIT 20)) AS top FROM prof")
 def join_10(t):
-    p = profiles_of(t)
-    total = p.agg(F.count("*").alias("total"))
-    stats = p.groupBy("archetype_id").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("archetype_id", "n"))).alias("stats"))
-    return total.crossJoin(F.broadcast(stats)).select("total", F.size("stats").cast("long").alias("archetypes"), F.array_max(F.map_values("stats")).alias("largest"))
+    """Totals of all profiles beside the counts of archetypes: one row, with a map of the twenty largest alone, so it has the same size whatever the number of archetypes."""
+    counts = profiles_of(t).groupBy("archetype_id").agg(F.count("*").alias("n"), F.sum("lifetime_value").alias("v"))
+    totals = counts.agg(F.sum("n").alias("total"), (F.sum("v") / F.sum("n")).alias("mean_value"), F.count("*").alias("archetypes"), F.max("n").alias("largest"))
+    top = counts.orderBy(F.col("n").desc(), "archetype_id").limit(20).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("archetype_id", "n")))).alias("stats"))
+    joined = F.array_join(F.transform(F.map_entries("stats"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+    return totals.crossJoin(F.broadcast(top)).select("total", r("mean_value", 4).alias("mean_value"), "archetypes", "largest", joined.alias("top"))
 
 
 @query("SC-1", "SELECT p_partkey AS product_id, contains(lower(p_name), 'red') OR contains(lower(p_name), 'ring') AS hit FROM part")

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 EXPORT = {"Customer_ID": "customer_id", "Date": "order_date", "Sales": "line_item_sales", "Title": "product_name", "ProductType": "product_type", "Category": "category", "QTY": "quantity", "TotalDiscount": "line_item_discount", "Refunds": "line_item_refunds"}
 EXPORT_SCHEMA = "Customer_ID long, Date timestamp_ntz, Sales double, Title string, ProductType string, Category string, QTY long, TotalDiscount double, Refunds double"
 MONEY = "struct<shopMoney:struct<amount:string,currencyCode:string>>"
-ORDER_SCHEMA = f"legacyResourceId string, name string, createdAt string, customer struct<legacyResourceId:string>, totalPriceSet {MONEY}, lineItems struct<edges:array<struct<node:struct<quantity:int,product:struct<legacyResourceId:string,productType:string>,originalTotalSet:{MONEY},discountedTotalSet:{MONEY}>>>>"
+LINE_SCHEMA = f"struct<quantity:int,sku:string,product:struct<legacyResourceId:string,title:string,productType:string>,variant:struct<title:string>,originalTotalSet:{MONEY},discountedTotalSet:{MONEY}>"
+ORDER_SCHEMA = f"legacyResourceId string, name string, createdAt string, processedAt string, customer struct<legacyResourceId:string>, totalPriceSet {MONEY}, displayFulfillmentStatus string, displayFinancialStatus string, shippingAddress struct<latitude:double,longitude:double>, lineItems struct<edges:array<struct<node:{LINE_SCHEMA}>>>"
 TICKET_SCHEMA = "id string, status string, channel string, is_unread boolean, customer struct<id:string,email:string>, tags array<struct<name:string>>"
 MESSAGE_SCHEMA = "id string, body_text string, body_html string, source struct<type:string>"
 
@@ -51,15 +52,26 @@ def parsed(column: str, schema: str) -> Column:
 
 
 def flatten_orders(raw: DataFrame, column: str = "value") -> DataFrame:
-    """Nested order JSON to line rows; orders without a customer go, discount is original less discounted (SRC-3)."""
+    """Nested order JSON to line rows (SRC-3).
+
+    Orders without a customer go; the discount is original less discounted; an order's number is its name where that is
+    one, else its id; missing statuses, currency, product and variant have defaults, a missing address is null; seven
+    calendar columns follow the date, which keeps its wall clock.
+    """
     o = raw.select(parsed(column, ORDER_SCHEMA).alias("o")).select("o.*").where("customer.legacyResourceId IS NOT NULL")
-    lines = o.select("*", F.posexplode("lineItems.edges").alias("line_no", "e")).select("*", "e.node.*")
-    amount = lambda c: F.col(f"{c}.shopMoney.amount").cast("double")
-    at = F.col("createdAt").cast("timestamp_ntz")
+    edges = F.coalesce("lineItems.edges", F.array().cast(f"array<struct<node:{LINE_SCHEMA}>>"))
+    total = F.aggregate(edges, F.lit(0).cast("long"), lambda n, e: n + F.coalesce(e["node"]["quantity"], F.lit(1)))
+    lines = o.withColumn("items", total).select("*", F.posexplode("lineItems.edges").alias("line_no", "e")).select("*", "e.node.*")
+    amount = lambda c: F.coalesce(F.col(f"{c}.shopMoney.amount").cast("double"), F.lit(0.0))
+    at, text = F.col("createdAt").cast("timestamp_ntz"), lambda c, default: F.coalesce(c, F.lit(default))
     return lines.select(
         F.col("legacyResourceId").cast("long").alias("order_id"), F.coalesce(F.regexp_replace("name", "#", "").try_cast("long"), F.col("legacyResourceId").cast("long")).alias("order_number"), F.col("customer.legacyResourceId").cast("long").alias("customer_id"),
-        (F.col("line_no") + 1).alias("line_no"), F.coalesce(F.col("product.legacyResourceId").cast("long"), F.lit(0)).alias("product_id"), F.coalesce("product.productType", F.lit("Unknown")).alias("product_type"), "quantity",
-        amount("discountedTotalSet").alias("line_item_sales"), (amount("originalTotalSet") - amount("discountedTotalSet")).alias("line_item_discount"), amount("totalPriceSet").alias("order_total"), F.year(at).alias("year"), F.quarter(at).alias("quarter"), F.month(at).alias("month"),
+        (F.col("line_no") + 1).alias("line_no"), at.alias("order_date"), F.coalesce(F.col("processedAt").cast("timestamp_ntz"), at).alias("created_at"),
+        F.year(at).alias("year"), F.quarter(at).alias("quarter"), F.month(at).alias("month"), F.date_format(at, "MMMM").alias("month_name"), F.weekofyear(at).alias("week"), F.dayofmonth(at).alias("day"), F.date_format(at, "EEEE").alias("week_day"),
+        text("sku", "").alias("sku"), F.coalesce(F.col("product.legacyResourceId").cast("long"), F.lit(0)).alias("product_id"), text("product.title", "Unknown Product").alias("product_name"), text("variant.title", "").alias("variant_name"), text("product.productType", "Unknown").alias("product_type"),
+        text("product.productType", "Unknown").alias("category"), F.coalesce("quantity", F.lit(1)).alias("quantity"), amount("discountedTotalSet").alias("line_item_sales"), (amount("originalTotalSet") - amount("discountedTotalSet")).alias("line_item_discount"), F.lit(0.0).alias("line_item_refunds"),
+        text("totalPriceSet.shopMoney.currencyCode", "USD").alias("currency"), F.lit("online_store").alias("sales_channel"), F.col("shippingAddress.latitude").alias("latitude"), F.col("shippingAddress.longitude").alias("longitude"),
+        text("displayFulfillmentStatus", "UNFULFILLED").alias("fulfillment_status"), text("displayFinancialStatus", "PENDING").alias("financial_status"), amount("totalPriceSet").alias("order_total"), F.col("items").alias("order_total_items"),
     )
 
 
@@ -111,3 +123,19 @@ def update_columns(target: DataFrame, changes: DataFrame, keys: list[str], colum
 def replace_store(df: DataFrame, path: str) -> None:
     """Replace the partitions of the stores in ``df`` and leave the others (SRC-10)."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("store_id").parquet(path)
+
+
+def write_results(profiles: DataFrame, path: str, archetypes: int = 50, sample: int = 10) -> None:
+    """The results of a run as JSON (SRC-12): ``tier1`` all segments of all axes, ``tier2`` the largest archetypes, ``tier3`` signatures of a few customers.
+
+    Segments and archetypes are counted in one reading each, with their share of all profiles.
+    """
+    from patronage.operators.sampling import at_random
+
+    total = profiles.agg(F.count("*").alias("all"))
+    share = lambda df: df.crossJoin(F.broadcast(total)).select("key", "name", "n", (100 * F.col("n") / F.col("all")).alias("pct"))
+    segments = profiles.select(F.explode("dominant_segments").alias("key", "name")).groupBy("key", "name").agg(F.count("*").alias("n"))
+    largest = profiles.groupBy(F.col("archetype_id").alias("key"), F.col("signature").alias("name")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "key").limit(archetypes)
+    few = at_random(profiles, "customer_id", sample).select(F.col("customer_id").cast("string").alias("key"), F.col("signature").alias("name"), F.lit(1).cast("long").alias("n"), F.lit(None).cast("double").alias("pct"))
+    for name, df in (("tier1", share(segments)), ("tier2", share(largest)), ("tier3", few)):
+        df.write.mode("overwrite").json(f"{path}/{name}")
