@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from patronage.operators.axes import MONTH, days_between
+from patronage.operators.quantiles import quantiles
 
 ACTIVE_DAYS, AT_RISK_DAYS, RECENT_DAYS = 90, 180, 90
 #: Shares of these sources are columns.
@@ -113,3 +114,23 @@ def classify(table: DataFrame, trade: Trade, titled: Column | None = None) -> Da
         (F.col("primary_category") == trade.material, "Material-Focused"), (F.col("primary_category") == trade.finishing, "Finishing-Focused"),
     ], "General Maker")
     return table.withColumn("signals", signals).select("customer_id", "signals", expertise.alias("expertise"), kind.alias("customer_type"), project.alias("project_type"))
+
+
+def contrasts(table: DataFrame, often: float = 0.5, seldom: float = 0.3) -> DataFrame:
+    """(contrast, bucket) with figures of the customers on each side of five contrasts (AGG-24): status, repeat or one order, top or bottom quarter by value, discounts, weekends.
+
+    Quarters are cut at exact quantiles. A customer counts once for each contrast, all in one aggregation.
+    """
+    low, high = quantiles(table, [F.col("lifetime_value")], (0.25, 0.75))[0]
+    value, cut, free = F.col("lifetime_value"), F.col("discount_rate"), F.col("pct_weekend_orders")
+    sides = {
+        "status": F.col("customer_status"), "repeat": F.when(F.col("is_repeat_customer"), "repeat").otherwise("one-time"), "value": F.when(value >= high, "top").when(value <= low, "bottom"),
+        "discount": F.when(cut > often, "high").when(cut == 0, "never"), "weekend": F.when(free > often, "weekend").when(free < seldom, "weekday"),
+    }
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("contrast"), c.alias("bucket")) for k, c in sides.items()]))
+    d = table.select("*", each.alias("x")).where("x.bucket IS NOT NULL")
+    mean = lambda c: F.avg(F.col(c).cast("double"))
+    return d.groupBy("x.contrast", "x.bucket").agg(
+        F.count("*").alias("n"), mean("lifetime_value").alias("avg_ltv"), mean("total_orders").alias("avg_orders"), mean("avg_order_value").alias("avg_order_value"), mean("customer_tenure_days").alias("avg_tenure_days"), mean("unique_products").alias("avg_products"),
+        mean("unique_categories").alias("avg_categories"), mean("discount_rate").alias("discount_rate"), mean("pct_weekend_orders").alias("weekend_rate"), mean("is_repeat_customer").alias("repeat_rate"),
+    )

@@ -66,10 +66,19 @@ def cold_start(c: DataFrame) -> DataFrame:
         F.when(n == 1, "One-Time Buyer").when(n <= 3, "Occasional Shopper").when(n <= 6, "Regular Buyer").otherwise("Frequent Shopper").alias("fallback_frequency"),
         F.when(average < 30, "Budget Conscious").when(average < 75, "Mid-Range").otherwise("Premium Buyer").alias("fallback_value"),
         F.when(last <= 7, "Highly Engaged").when(last <= 30, "Active").when(last <= 90, "Casual").otherwise("Dormant").alias("fallback_engagement"),
-        F.when(n >= 10, 0).otherwise(F.ceil((10 - n) * F.greatest(tenure, F.lit(1)) / n)).cast("long").alias("days_to_mature"), (enough != "insufficient").alias("use_clustering"),
+        F.when(n >= 10, 0).otherwise(F.ceil((10 - n) * F.greatest(tenure, F.lit(1)) / n)).cast("long").alias("days_to_mature"), (enough != "insufficient").alias("use_clustering"), tenure.alias("days_since_first_order"),
     )
 
 
+def enriched(c: DataFrame) -> DataFrame:
+    """The cold start of a customer as its profile carries it: using_fallback, and the fallback segments and their confidence where clusters are not to be used (CLD-1)."""
+    d = cold_start(c)
+    instead = ~F.col("use_clustering") | (F.col("confidence") < 0.3)
+    segments = F.create_map(*[x for k in ("frequency", "value", "engagement") for x in (F.lit(k), F.col(f"fallback_{k}"))])
+    advice = F.when(instead, "INSUFFICIENT DATA: rule-based segments").when(F.col("lifecycle_stage") == "mature", "clusters").otherwise("clusters, with care")
+    return d.withColumn("using_fallback", instead).withColumn("fallback_segments", F.when(instead, segments)).withColumn("recommendation", advice)
+
+
 def rule_churn(c: DataFrame) -> DataFrame:
     """Churn score of recency and segments with its level (CHN-8)."""
     s = F.col("dominant_segments")
@@ -153,12 +162,48 @@ def campaigns(c: DataFrame, limit: int = 10) -> DataFrame:
     return out.withColumn("place", F.row_number().over(W.partitionBy("campaign").orderBy(F.round("score", 6).desc(), "customer_id")))
 
 
-def next_actions(c: DataFrame) -> DataFrame:
-    """Actions of a customer by benefit less cost, best first (CMP-1)."""
-    risk, value = F.col("churn_risk_score"), F.col("lifetime_value")
-    act = lambda name, cost, gain: F.struct((cost - gain).alias("n"), F.lit(name).alias("action"), F.lit(cost).alias("cost") if not isinstance(cost, Column) else cost.alias("cost"), gain.alias("benefit"))
+# How much worse an issue makes it, and which issues an action is for.
+SEVERITY = {"billing_error": 1.5, "product_defect": 1.5, "lost_package": 1.5, "shipping_delay": 1.2, "wrong_item": 1.2}
+SHIPPING, DEFECTS = ("shipping_delay", "wrong_item", "lost_package"), ("product_defect", "wrong_item")
+
+
+def next_actions(c: DataFrame, much: float = 200.0, more: float = 500.0) -> DataFrame:
+    """Actions on a customer's issue, best first by benefit less cost, with priority and urgency (CMP-1).
+
+    Needs customer_id, issue_type, lifetime_value, avg_order_value, churn_risk_score. ``much`` and ``more`` are the values
+    from which on a customer is worth a discount, and a larger one. Of equal actions the first by name.
+    """
+    risk, value, order, issue = F.col("churn_risk_score"), F.col("lifetime_value"), F.col("avg_order_value"), F.col("issue_type")
+    worse = F.coalesce(F.create_map(*[F.lit(x) for kv in SEVERITY.items() for x in kv])[issue], F.lit(1.0))
+    part = F.when(value < more, 0.10).otherwise(0.15)
+
+    def act(name: str, priority: Column | str, cost: Column, gain: Column, chance: float) -> Column:
+        of = priority if isinstance(priority, Column) else F.lit(priority)
+        return F.struct((cost - gain).alias("n"), F.lit(name).alias("action"), of.alias("priority"), cost.alias("cost"), gain.alias("benefit"), F.lit(chance).alias("success_probability"))
+
     rows = F.array_sort(F.array_compact(F.array(
-        F.when(risk >= 0.5, act("retention_call", F.lit(25.0), value * risk * 0.3)), F.when(risk >= 0.3, act("discount_offer", value * 0.02, value * risk * 0.15)),
-        act("newsletter", F.lit(1.0), value * 0.01), F.when(F.col("total_orders") >= 10, act("loyalty_reward", F.lit(10.0), value * 0.05)),
+        F.when((value > much) | (risk > 0.6), act("offer_discount", F.when(risk > 0.7, "high").otherwise("medium"), order * part, value * 0.15 * worse, 0.75)),
+        F.when(issue.isin(*SHIPPING), act("expedite_shipping", "medium", F.lit(15.0), value * 0.10 * worse, 0.85)),
+        F.when(issue.isin(*DEFECTS), act("offer_refund_or_replacement", "high", order.cast("double"), value * 0.20 * worse, 0.90)),
+        act("schedule_followup", "low", F.lit(0.0), value * 0.05, 0.60),
     )))
-    return c.select("customer_id", F.posexplode(rows).alias("place", "a")).select("customer_id", (F.col("place") + 1).alias("place"), "a.action", "a.cost", "a.benefit")
+    urgency = F.when(risk > 0.7, 9.0).when((risk > 0.5) | (value > more), 7.5).otherwise(5.0)
+    level = F.when(urgency == 9.0, "urgent").when(urgency == 7.5, "high").otherwise("medium")
+    out = c.select("customer_id", level.alias("overall"), urgency.alias("urgency"), F.posexplode(rows).alias("place", "a"))
+    return out.select("customer_id", (F.col("place") + 1).alias("place"), "a.action", "a.priority", "a.cost", "a.benefit", "a.success_probability", "overall", "urgency")
+
+
+def tiers(c: DataFrame, values: tuple[float, float, float] = (5000, 2000, 500)) -> DataFrame:
+    """Five ladders about a customer: value, churn risk, engagement, relationship, retention advice (SC-14); ``values`` are the cuts of value.
+
+    Needs customer_id, lifetime_value, churn_risk_score, days_since_last_purchase, total_orders, avg_days_between_orders.
+    """
+    vip, high, mid = values
+    value, risk, last, n, gap = (F.col(x) for x in ("lifetime_value", "churn_risk_score", "days_since_last_purchase", "total_orders", "avg_days_between_orders"))
+    relation = F.when((n >= 10) & (gap < 30), "frequent").when((n >= 10) & (gap < 90), "seasonal").when(n >= 10, "occasional").when(n >= 3, "building").when(n > 0, "recent")
+    advice = F.when((value >= high) & (risk >= 0.7), "priority").when((value >= high) & (risk >= 0.5), "strategy").when(risk >= 0.7, "alert").when(value >= high, "maintain")
+    return c.select(
+        "customer_id", F.when(value >= vip, "VIP - Top Tier").when(value >= high, "High Value").when(value >= mid, "Mid Value").when(value > 0, "Standard").otherwise("New Customer").alias("ltv_tier"),
+        F.when(risk >= 0.7, "CRITICAL - High Risk").when(risk >= 0.5, "ELEVATED - Monitor Closely").when(risk >= 0.3, "MODERATE - Standard Care").otherwise("LOW - Healthy").alias("churn_tier"),
+        F.when(n == 0, "No purchases yet").when(last <= 30, "Active").when(last <= 60, "Recently Active").when(last <= 90, "Cooling Down").otherwise("At Risk of Lapse").alias("engagement"), relation.alias("relationship"), advice.alias("retention_advice"),
+    )

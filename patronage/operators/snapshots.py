@@ -73,9 +73,11 @@ def transitions(snaps: DataFrame) -> DataFrame:
     return moved.select("customer_id", F.col("before").alias("from_archetype"), F.col("archetype").alias("to_archetype"), "snapshot_date", F.datediff("snapshot_date", "old_run").alias("days_in_previous"))
 
 
-def transition_paths(moves: DataFrame, least: int = 3) -> DataFrame:
-    """Paths between archetypes taken at least ``least`` times (AGG-19)."""
-    return moves.groupBy("from_archetype", "to_archetype").agg(F.count("*").alias("n"), F.avg("days_in_previous").alias("avg_days"), F.min("snapshot_date").alias("first_seen"), F.max("snapshot_date").alias("last_seen")).where(F.col("n") >= least)
+def transition_paths(snaps: DataFrame, least: int = 3) -> DataFrame:
+    """Paths between archetypes taken at least ``least`` times, with mean days in the one before, drift and velocity of the step (AGG-19)."""
+    steps = consecutive(snaps).select("customer_id", "snapshot_date", "drift", "velocity")
+    moves = transitions(snaps).join(steps, ["customer_id", "snapshot_date"])
+    return moves.groupBy("from_archetype", "to_archetype").agg(F.count("*").alias("n"), F.avg("days_in_previous").alias("avg_days"), F.avg("drift").alias("avg_drift"), F.avg("velocity").alias("avg_velocity"), F.min("snapshot_date").alias("first_seen"), F.max("snapshot_date").alias("last_seen")).where(F.col("n") >= least)
 
 
 def purge(snaps: DataFrame, reference: date) -> DataFrame:

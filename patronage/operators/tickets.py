@@ -101,12 +101,32 @@ def source(via: Column, channel: Column, subject: Column, email: Column) -> Colu
     return out
 
 
-def surges(volumes: DataFrame, keys: list[str], trailing: int = 24, factor: float = 2.0) -> DataFrame:
-    """Periods whose count is ``factor`` times the mean of the ``trailing`` periods before (TKT-8)."""
+def _expected(volumes: DataFrame, keys: list[str], trailing: int) -> DataFrame:
     before = W.partitionBy(*keys).orderBy("period").rowsBetween(-trailing, -1)
     s = volumes.withColumn("expected", F.avg("n").over(before))
-    m = F.col("n") / F.col("expected")
-    return s.where(m >= factor).withColumn("magnitude", m).withColumn("severity", F.when(m >= 4, "critical").when(m >= 3, "high").otherwise("medium")).withColumn("excess", F.col("n") - F.col("expected"))
+    return s.withColumn("magnitude", F.col("n") / F.col("expected"))
+
+
+def surges(volumes: DataFrame, keys: list[str], trailing: int = 24, factor: float = 2.0) -> DataFrame:
+    """Periods whose count is ``factor`` times the mean of the ``trailing`` periods before (TKT-8)."""
+    m = F.col("magnitude")
+    hit = _expected(volumes, keys, trailing).where(m >= factor)
+    return hit.withColumn("severity", F.when(m >= 4, "critical").when(m >= 3, "high").otherwise("medium")).withColumn("excess", F.col("n") - F.col("expected"))
+
+
+def surge_events(volumes: DataFrame, keys: list[str], trailing: int = 24, factor: float = 2.0) -> DataFrame:
+    """Runs of neighbouring surge periods: surge_start, surge_end (the first period after the run, null while it lasts), periods, peak magnitude (FLT-10)."""
+    w = W.partitionBy(*keys).orderBy("period")
+    on = F.coalesce(F.col("magnitude") >= factor, F.lit(False))
+    marked = _expected(volumes, keys, trailing).withColumn("on", on).withColumn("next_period", F.lead("period").over(w)).withColumn("next_on", F.lead("on").over(w))
+    runs = marked.withColumn("run", F.sum((~F.col("on")).cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0))).where("on")
+    last = F.max(F.struct("period", "next_period"))
+    return runs.groupBy(*keys, "run").agg(F.min("period").alias("surge_start"), last.alias("last"), F.count("*").alias("periods"), F.max("magnitude").alias("peak")).select(*keys, "surge_start", F.col("last.next_period").alias("surge_end"), "periods", "peak")
+
+
+def active_surges(events: DataFrame, now: datetime) -> DataFrame:
+    """Surges that last, newest first, with the hours since they began (FLT-10)."""
+    return events.where("surge_end IS NULL").withColumn("hours", seconds_between(F.lit(now).cast("timestamp_ntz"), F.col("surge_start").cast("timestamp_ntz")) / 3600).drop("surge_end").orderBy(F.col("surge_start").desc(), *[c for c in events.columns if not c.startswith("surge")][:1])
 
 
 def text_search(docs: DataFrame, query: list[str], limit: int, weights: dict[str, float] | None = None) -> DataFrame:
@@ -118,6 +138,10 @@ def text_search(docs: DataFrame, query: list[str], limit: int, weights: dict[str
     return hits.groupBy("article_id").agg(F.sum(F.col("w") * F.log1p("n")).alias("rank"), F.count("*").alias("matched")).orderBy(F.round("rank", 9).desc(), "article_id").limit(limit)
 
 
+#: Queries that one matrix product compares with a batch.
+BLOCK = 256
+
+
 def cosine_top(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """The k nearest vectors by cosine of each query vector (KB-2, TOP-12).
 
@@ -140,18 +164,29 @@ def cosine_top(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "ve
                 continue
             x = np.array(batch[vec_col].tolist(), float)
             x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-            s, own = q @ x.T, batch[id_col].to_numpy()
-            s[ids[:, None] == own[None, :]] = -2.0
-            top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            yield pd.DataFrame({"query_id": np.repeat(ids, top.shape[1]), "other_id": own[top.ravel()], "cosine": np.take_along_axis(s, top, 1).ravel()})
+            own = batch[id_col].to_numpy()
+            for at in range(0, len(q), BLOCK):
+                of = ids[at : at + BLOCK]
+                s = q[at : at + BLOCK] @ x.T
+                s[of[:, None] == own[None, :]] = -2.0
+                least = min(k, len(own)) - 1
+                # The k-th largest of each query by selection; only rows that reach it are ordered, by cosine and id.
+                bound = -np.partition(-s, least, axis=1)[:, least]
+                row, column = np.nonzero(s >= bound[:, None])
+                order = np.lexsort((own[column], -s[row, column], row))
+                row, column = row[order], column[order]
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                keep = place < k
+                yield pd.DataFrame({"query_id": of[row[keep]], "other_id": own[column[keep]], "cosine": s[row[keep], column[keep]]})
 
     near = vectors.select(id_col, vec_col).mapInPandas(each, "query_id long, other_id long, cosine double").where("cosine > -2")
     ranked = near.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("cosine").desc(), "other_id")))
     return ranked.where(F.col("place") <= k)
 
 
-def versions(changes: DataFrame) -> DataFrame:
-    """Version numbers of articles, a new one whenever the text differs from the one before (KB-3, WIN-9)."""
+def versions(changes: DataFrame, fields: tuple[str, ...] = ("title", "summary", "content")) -> DataFrame:
+    """Version numbers of articles, a new one whenever one of ``fields`` differs from the state before, missing ones included (KB-3)."""
     w = W.partitionBy("article_id").orderBy("changed_at")
-    seq = changes.withColumn("before", F.lag("content").over(w))
-    return seq.where(~F.col("content").eqNullSafe(F.col("before"))).withColumn("version", F.row_number().over(w)).drop("before")
+    state = F.struct(*fields)
+    seq = changes.withColumn("before", F.lag(state).over(w)).withColumn("now", state)
+    return seq.where(~F.col("now").eqNullSafe(F.col("before"))).withColumn("version", F.row_number().over(w)).drop("before", "now")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,15 +75,21 @@ def accuracy(found: DataFrame) -> DataFrame:
     )
 
 
-def product_tickets(lines: DataFrame, tickets: DataFrame, factor: float = 1.5) -> DataFrame:
+def product_tickets(lines: DataFrame, tickets: DataFrame, factor: float = 1.5, since: datetime | None = None) -> DataFrame:
     """Sales and tickets of each product, its rate, the mean rate of its type and whether it is far above it (TKT-9).
 
-    A ticket counts for the product that its customer bought last. ``lines``: product_id, product_type, customer_id,
+    A ticket counts for the product that its customer bought last; sales count from ``since`` on. ``lines``: product_id, product_type, customer_id,
     order_id, order_date, line_number, quantity, line_item_sales; ``tickets``: customer_id.
     """
     last = lines.where("customer_id IS NOT NULL").groupBy("customer_id").agg(F.max_by("product_id", F.struct("order_date", "order_id", "line_number", "product_id")).alias("product_id"))
     asked = tickets.groupBy("customer_id").agg(F.count("*").alias("t")).join(last, "customer_id").groupBy("product_id").agg(F.sum("t").alias("tickets"))
-    sold = lines.groupBy("product_id").agg(F.max("product_type").alias("product_type"), F.sum("quantity").alias("units"), F.sum("line_item_sales").alias("revenue"), F.countDistinct("customer_id").alias("customers"))
+    sales = lines if since is None else lines.where(F.col("order_date") >= F.lit(since).cast("timestamp_ntz"))
+    sold = sales.groupBy("product_id").agg(F.max("product_type").alias("product_type"), F.sum("quantity").alias("units"), F.sum("line_item_sales").alias("revenue"), F.countDistinct("customer_id").alias("customers"))
     rated = sold.join(asked, "product_id", "left").fillna(0, ["tickets"]).withColumn("rate", F.col("tickets") / F.nullif("units", F.lit(0)))
     mean = rated.groupBy("product_type").agg(F.avg("rate").alias("type_rate")).withColumnRenamed("product_type", "of_type")
     return rated.join(mean, F.col("product_type").eqNullSafe(F.col("of_type"))).drop("of_type").withColumn("high", F.col("rate") > factor * F.col("type_rate"))
+
+
+def high_ticket_products(rated: DataFrame, limit: int = 50) -> DataFrame:
+    """The products far above their type by their rate, highest first (TOP-4)."""
+    return rated.where("high").orderBy(F.col("rate").desc(), "product_id").limit(limit)

@@ -385,6 +385,15 @@ def feat_3(t):
     return d.select(*[column(c, k) for c, k in d.dtypes if c != "category_quantities"])
 
 
+CONTRASTS = "qv AS (SELECT quantile_cont(lifetime_value, 0.25) AS lo, quantile_cont(lifetime_value, 0.75) AS hi FROM ct), cx AS (SELECT ct.*, unnest([{'contrast': 'status', 'bucket': CASE WHEN days_since_last_purchase <= 90 THEN 'Active' WHEN days_since_last_purchase <= 180 THEN 'At Risk' ELSE 'Churned' END}, {'contrast': 'repeat', 'bucket': CASE WHEN total_orders > 1 THEN 'repeat' ELSE 'one-time' END}, {'contrast': 'value', 'bucket': CASE WHEN lifetime_value >= hi THEN 'top' WHEN lifetime_value <= lo THEN 'bottom' END}, {'contrast': 'discount', 'bucket': CASE WHEN discount_rate > 0.5 THEN 'high' WHEN discount_rate = 0 THEN 'never' END}, {'contrast': 'weekend', 'bucket': CASE WHEN pct_weekend_orders > 0.5 THEN 'weekend' WHEN pct_weekend_orders < 0.3 THEN 'weekday' END}]) AS x FROM ct, qv)"
+
+
+@query("AGG-24", f"WITH {TABLE}, {CONTRASTS} SELECT x.contrast AS contrast, x.bucket AS bucket, count(*) AS n, round(avg(lifetime_value), 4) AS avg_ltv, round(avg(total_orders), 6) AS avg_orders, round(avg(avg_order_value), 4) AS avg_order_value, round(avg(customer_tenure_days), 6) AS avg_tenure_days, round(avg(unique_products), 6) AS avg_products, round(avg(unique_categories), 6) AS avg_categories, round(avg(discount_rate), 6) AS discount_rate, round(avg(pct_weekend_orders), 6) AS weekend_rate, round(avg(CASE WHEN total_orders > 1 THEN 1.0 ELSE 0 END), 6) AS repeat_rate FROM cx WHERE x.bucket IS NOT NULL GROUP BY 1, 2")
+def agg_24(t):
+    d = customers.contrasts(table_of(t))
+    return d.select(*[r(c, 4 if c in ("avg_ltv", "avg_order_value") else 6).alias(c) if k == "double" else c for c, k in d.dtypes])
+
+
 #: The trade that the driver's categories stand for, with thresholds in the middle of its figures.
 TRADE = customers.Trade("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", spender=1_500_000, business_value=3_000_000, business_orders=18, reseller_orders=14, reseller_products=50, gift_value=120_000, project_value=170_000, browser_value=140_000, frequent=10, heavy_use=200, finishes=180, some_use=330, some_finishes=330, long_days=1100, breadth=6)
 CLASSES = "cl AS (SELECT ct.*, coalesce(x.machine, 0) AS machine, coalesce(x.u, 0) AS u, coalesce(x.fin, 0) AS fin, coalesce(x.mat, 0) / CAST(total_items_purchased AS DOUBLE) AS mats, coalesce(x.oth, 0) / CAST(total_items_purchased AS DOUBLE) AS oths, coalesce(titled, false) AS titled FROM ct LEFT JOIN (SELECT customer_id, sum(q) FILTER (category = 'ECONOMY') AS machine, sum(q) FILTER (category = 'LARGE') AS u, sum(q) FILTER (category = 'MEDIUM') AS fin, sum(q) FILTER (category = 'PROMO') AS mat, sum(q) FILTER (category = 'SMALL') AS oth FROM cq GROUP BY 1) x USING (customer_id) LEFT JOIN (SELECT customer_id, bool_or(product_name LIKE '%7%') AS titled FROM lines GROUP BY 1) y USING (customer_id)), sg AS (SELECT *, list_filter([CASE WHEN lifetime_value > 1500000 THEN 'high_spender' END, CASE WHEN unique_categories >= 6 THEN 'multi_category' END, CASE WHEN machine > 0 THEN 'machine_owner' END, CASE WHEN total_orders >= 10 THEN 'frequent_buyer' END, CASE WHEN u >= 200 THEN 'heavy_user' END, CASE WHEN fin >= 180 THEN 'project_finisher' END, CASE WHEN customer_tenure_days > 1100 THEN 'long_term' END], lambda x: x IS NOT NULL) AS signals FROM cl)"

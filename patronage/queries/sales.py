@@ -280,14 +280,6 @@ def agg_23(t):
     return rounded(reports.correlations(wide_of(t), list(NUMERIC)))
 
 
-@query("AGG-24", f"WITH {WIDE}, q AS (SELECT quantile_cont(lifetime_value, 0.25) AS lo, quantile_cont(lifetime_value, 0.75) AS hi FROM wide) SELECT CASE WHEN lifetime_value >= hi THEN 'top' ELSE 'bottom' END AS bucket, count(*) AS n, round(avg(total_orders), 6) AS avg_orders, round(avg(discount_rate), 6) AS discount_rate, round(avg(weekend_rate), 6) AS weekend_rate FROM wide, q WHERE lifetime_value >= hi OR lifetime_value <= lo GROUP BY 1")
-def agg_24(t):
-    w = wide_of(t)
-    cuts = w.agg(F.percentile("lifetime_value", 0.25).alias("lo"), F.percentile("lifetime_value", 0.75).alias("hi"))
-    b = w.crossJoin(F.broadcast(cuts)).where("lifetime_value >= hi OR lifetime_value <= lo").withColumn("bucket", F.when(F.col("lifetime_value") >= F.col("hi"), "top").otherwise("bottom"))
-    return b.groupBy("bucket").agg(F.count("*").alias("n"), r(F.avg("total_orders")).alias("avg_orders"), r(F.avg("discount_rate")).alias("discount_rate"), r(F.avg("weekend_rate")).alias("weekend_rate"))
-
-
 @query("AGG-25", f"WITH {PROF} SELECT seg_customer_maturity AS class, count(*) AS n, round(sum(lifetime_value) / sum(sum(lifetime_value)) OVER (), 6) AS revenue_share, round(avg(CASE WHEN total_orders > 1 THEN 1.0 ELSE 0 END), 6) AS repeat_rate FROM prof GROUP BY 1")
 def agg_25(t):
     from pyspark.sql.window import Window as W

@@ -6,11 +6,12 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from patronage.operators import profiles
+from patronage.operators import axes
 from patronage.operators import scoring as sc
 from patronage.queries.axes import wide_of
 from patronage.queries.registry import query, r, rounded
 from patronage.queries.sales import PROF, orders_of, profiles_of, ref_of
+from patronage.queries.segments import ALL_AXES, assigned_of
 
 CUST = PROF + ", fr AS (SELECT p.customer_id, total_orders AS orders, CAST(round(i.irp * total_orders * 2) AS BIGINT) AS returns, lifetime_value AS value, recent.v AS recent_value, avg_order_value / 2 AS historic_avg FROM prof p JOIN it i USING (customer_id) JOIN (SELECT customer_id, max(total_price) AS v FROM ord GROUP BY 1) recent USING (customer_id)), pp AS (SELECT avg(orders) AS m, stddev_pop(orders) AS s, quantile_cont(value, 0.99) AS p99, quantile_cont(value, 0.995) AS p995, count(*) AS n FROM fr), an AS (SELECT customer_id, 'return' AS kind, least(1, returns / CAST(orders AS DOUBLE) / 0.8) AS severity FROM fr WHERE orders >= 3 AND returns / CAST(orders AS DOUBLE) >= 0.5 UNION ALL SELECT customer_id, 'velocity', least(1, (orders - m) / s / 5) FROM fr, pp WHERE (orders - m) / s >= 2 UNION ALL SELECT customer_id, 'vip', greatest(0, least(1, (value - p99) / (p995 - p99))) FROM fr, pp WHERE n >= 100 AND value >= p995 UNION ALL SELECT customer_id, 'escalation', least(1, (recent_value / historic_avg - 3) / 7) FROM fr WHERE orders >= 5 AND recent_value / historic_avg >= 3)"
 
@@ -51,9 +52,10 @@ def udf_6(t):
     return rounded(found_of(t))
 
 
-@query("CLD-1", f"WITH {PROF} SELECT customer_id, CASE WHEN total_orders <= 1 THEN 'cold_start' WHEN total_orders <= 4 THEN 'warming_up' WHEN total_orders <= 9 THEN 'established' ELSE 'mature' END AS lifecycle_stage, CASE WHEN total_orders < 3 OR tenure_days < 14 THEN 'insufficient' WHEN total_orders < 5 THEN 'minimal' WHEN total_orders >= 10 THEN 'rich' ELSE 'adequate' END AS sufficiency, round(0.4 * least(1, total_orders / 10.0) + 0.3 * least(1, tenure_days / 90.0) + 0.3, 6) AS confidence, CASE WHEN total_orders = 1 THEN 'One-Time Buyer' WHEN total_orders <= 3 THEN 'Occasional Shopper' WHEN total_orders <= 6 THEN 'Regular Buyer' ELSE 'Frequent Shopper' END AS fallback_frequency, 'Premium Buyer' AS fallback_value, CASE WHEN days_since_last_purchase <= 7 THEN 'Highly Engaged' WHEN days_since_last_purchase <= 30 THEN 'Active' WHEN days_since_last_purchase <= 90 THEN 'Casual' ELSE 'Dormant' END AS fallback_engagement, CAST(CASE WHEN total_orders >= 10 THEN 0 ELSE ceil((10 - total_orders) * greatest(tenure_days, 1) / CAST(total_orders AS DOUBLE)) END AS BIGINT) AS days_to_mature, NOT (total_orders < 3 OR tenure_days < 14) AS use_clustering FROM prof")
+@query("CLD-1", f"WITH {PROF} SELECT customer_id, CASE WHEN total_orders <= 1 THEN 'cold_start' WHEN total_orders <= 4 THEN 'warming_up' WHEN total_orders <= 9 THEN 'established' ELSE 'mature' END AS lifecycle_stage, CASE WHEN total_orders < 3 OR tenure_days < 14 THEN 'insufficient' WHEN total_orders < 5 THEN 'minimal' WHEN total_orders >= 10 THEN 'rich' ELSE 'adequate' END AS sufficiency, round(0.4 * least(1, total_orders / 10.0) + 0.3 * least(1, tenure_days / 90.0) + 0.3, 6) AS confidence, CASE WHEN total_orders = 1 THEN 'One-Time Buyer' WHEN total_orders <= 3 THEN 'Occasional Shopper' WHEN total_orders <= 6 THEN 'Regular Buyer' ELSE 'Frequent Shopper' END AS fallback_frequency, 'Premium Buyer' AS fallback_value, CASE WHEN days_since_last_purchase <= 7 THEN 'Highly Engaged' WHEN days_since_last_purchase <= 30 THEN 'Active' WHEN days_since_last_purchase <= 90 THEN 'Casual' ELSE 'Dormant' END AS fallback_engagement, CAST(CASE WHEN total_orders >= 10 THEN 0 ELSE ceil((10 - total_orders) * greatest(tenure_days, 1) / CAST(total_orders AS DOUBLE)) END AS BIGINT) AS days_to_mature, NOT (total_orders < 3 OR tenure_days < 14) AS use_clustering, CAST(tenure_days AS BIGINT) AS days_since_first_order, total_orders < 3 OR tenure_days < 14 AS using_fallback, CASE WHEN total_orders < 3 OR tenure_days < 14 THEN 'INSUFFICIENT DATA: rule-based segments' WHEN total_orders >= 10 THEN 'clusters' ELSE 'clusters, with care' END AS recommendation, CASE WHEN total_orders < 3 OR tenure_days < 14 THEN 'Premium Buyer' END AS instead_value FROM prof")
 def cld_1(t):
-    return rounded(sc.cold_start(profiles_of(t)))
+    d = sc.enriched(profiles_of(t))
+    return rounded(d.withColumn("instead_value", F.col("fallback_segments")["value"]).withColumn("days_since_first_order", F.col("days_since_first_order").cast("long")).drop("fallback_segments"))
 
 
 CHURN8 = "CASE WHEN churn_risk_score > 0.5 THEN 0.3 ELSE 0 END + CASE WHEN days_since_last_purchase > 90 THEN 0.3 ELSE 0 END + CASE WHEN seg_purchase_frequency = 'rare' THEN 0.2 ELSE 0 END + CASE WHEN seg_customer_maturity = 'young' THEN 0.2 ELSE 0 END"
@@ -92,14 +94,17 @@ def set_5(t):
     return sc.training_set(orders_of(t), OBS).groupBy(F.col("obs_date").cast("string").alias("obs_date")).agg(F.count("*").alias("n"), r(F.avg("churned")).alias("churn_rate"))
 
 
-FUZZY = [(a, s) for a, (_, bounds) in profiles.RULES.items() for _, s in bounds]
+FUZZY = [(a, n) for a in axes.AXES for n in ("low", "middle", "high")]
+_FUZZY_SQL = ", ".join(f"round(max(score) FILTER (axis = '{a}' AND segment = '{n}'), 6) AS fuzzy_{a}_{n}" for a, n in FUZZY)
 
 
-@query("CHN-2", f"WITH {PROF} SELECT customer_id, " + ", ".join(f"CASE WHEN seg_{a} = '{s}' THEN 1.0 ELSE 0.0 END AS fuzzy_{a}_{s}" for a, s in FUZZY) + ", round(lifetime_value / total_orders, 6) AS aov, round(orders_per_month, 6) AS orders_per_month, round(days_since_last_purchase / CAST(tenure_days AS DOUBLE), 6) AS recency_ratio FROM prof WHERE tenure_days > 0")
+@query("CHN-2", f"WITH {ALL_AXES}, fz AS (SELECT customer_id, {_FUZZY_SQL} FROM m13 GROUP BY 1) SELECT fz.*, round(lifetime_value / total_orders, 6) AS aov, round(orders_per_month, 6) AS orders_per_month, round(days_since_last_purchase / CAST(tenure_days AS DOUBLE), 6) AS recency_ratio FROM fz JOIN wide USING (customer_id) WHERE tenure_days > 0")
 def chn_2(t):
-    s = F.col("dominant_segments")
-    p = profiles_of(t).where("tenure_days > 0")
-    return p.select("customer_id", *[(s[a] == v).cast("double").alias(f"fuzzy_{a}_{v}") for a, v in FUZZY], r(F.col("lifetime_value") / F.col("total_orders")).alias("aov"), r("orders_per_month").alias("orders_per_month"), r(F.col("days_since_last_purchase") / F.col("tenure_days")).alias("recency_ratio"))
+    """The memberships of all thirteen axes as columns, beside figures of the customer."""
+    m = F.col("memberships")
+    fuzzy = assigned_of(t).select("customer_id", *[r(m[a][n]).alias(f"fuzzy_{a}_{n}") for a, n in FUZZY])
+    w = wide_of(t).where("tenure_days > 0").select("customer_id", r(F.col("lifetime_value") / F.col("total_orders")).alias("aov"), r("orders_per_month").alias("orders_per_month"), r(F.col("days_since_last_purchase") / F.col("tenure_days")).alias("recency_ratio"))
+    return fuzzy.join(w, "customer_id")
 
 
 RULE_SCORE = "least(1.0, recency / 180.0)"
@@ -187,13 +192,15 @@ def top_7(t):
     return c.where(F.exists(goal, lambda g: F.contains(F.col("name"), g))).orderBy(F.col("n").desc(), "name").limit(5)
 
 
-ACTIONS = "ac AS (SELECT customer_id, 'retention_call' AS action, 25.0 AS cost, lifetime_value * churn_risk_score * 0.3 AS benefit FROM prof WHERE churn_risk_score >= 0.5 UNION ALL SELECT customer_id, 'discount_offer', lifetime_value * 0.02, lifetime_value * churn_risk_score * 0.15 FROM prof WHERE churn_risk_score >= 0.3 UNION ALL SELECT customer_id, 'newsletter', 1.0, lifetime_value * 0.01 FROM prof UNION ALL SELECT customer_id, 'loyalty_reward', 10.0, lifetime_value * 0.05 FROM prof WHERE total_orders >= 10)"
+ISSUES = ("billing_error", "product_defect", "lost_package", "shipping_delay", "wrong_item", "question")
+ACTIONS = "iv AS (SELECT *, CASE WHEN issue IN ('billing_error', 'product_defect', 'lost_package') THEN 1.5 WHEN issue IN ('shipping_delay', 'wrong_item') THEN 1.2 ELSE 1.0 END AS w FROM (SELECT *, [" + ", ".join(f"'{i}'" for i in ISSUES) + "][1 + customer_id % 6] AS issue FROM prof)), ac AS (SELECT customer_id, 'offer_discount' AS action, CASE WHEN churn_risk_score > 0.7 THEN 'high' ELSE 'medium' END AS priority, avg_order_value * CASE WHEN lifetime_value < 1500000 THEN 0.1 ELSE 0.15 END AS cost, lifetime_value * 0.15 * w AS benefit, 0.75 AS p, lifetime_value AS v, churn_risk_score AS c FROM iv WHERE lifetime_value > 800000 OR churn_risk_score > 0.6 UNION ALL SELECT customer_id, 'expedite_shipping', 'medium', 15.0, lifetime_value * 0.1 * w, 0.85, lifetime_value, churn_risk_score FROM iv WHERE issue IN ('shipping_delay', 'wrong_item', 'lost_package') UNION ALL SELECT customer_id, 'offer_refund_or_replacement', 'high', avg_order_value, lifetime_value * 0.2 * w, 0.9, lifetime_value, churn_risk_score FROM iv WHERE issue IN ('product_defect', 'wrong_item') UNION ALL SELECT customer_id, 'schedule_followup', 'low', 0.0, lifetime_value * 0.05, 0.6, lifetime_value, churn_risk_score FROM iv)"
 
 
-@query("CMP-1", f"WITH {PROF}, {ACTIONS} SELECT customer_id, CAST(row_number() OVER (PARTITION BY customer_id ORDER BY cost - benefit, action) AS INT) AS place, action, CAST(floor(cost) AS BIGINT) AS cost, CAST(floor(benefit) AS BIGINT) AS benefit FROM ac")
+@query("CMP-1", f"WITH {PROF}, {ACTIONS} SELECT customer_id, CAST(row_number() OVER (PARTITION BY customer_id ORDER BY cost - benefit, action) AS INT) AS place, action, priority, CAST(floor(cost) AS BIGINT) AS cost, CAST(floor(benefit) AS BIGINT) AS benefit, CAST(p AS DOUBLE) AS success_probability, CASE WHEN c > 0.7 THEN 'urgent' WHEN c > 0.5 OR v > 1500000 THEN 'high' ELSE 'medium' END AS overall, CASE WHEN c > 0.7 THEN 9.0 WHEN c > 0.5 OR v > 1500000 THEN 7.5 ELSE 5.0 END::DOUBLE AS urgency FROM ac")
 def cmp_1(t):
-    d = sc.next_actions(profiles_of(t))
-    return d.select("customer_id", "place", "action", F.floor("cost").alias("cost"), F.floor("benefit").alias("benefit"))
+    issue = F.element_at(F.array(*[F.lit(i) for i in ISSUES]), (F.col("customer_id") % 6 + 1).cast("int"))
+    d = sc.next_actions(profiles_of(t).withColumn("issue_type", issue), 800_000, 1_500_000)
+    return d.withColumn("cost", F.floor("cost")).withColumn("benefit", F.floor("benefit"))
 
 
 @query("CMP-2", f"WITH {PROF} SELECT customer_id, CASE WHEN seg_purchase_value = 'high' AND churn_risk_score >= 0.5 THEN 'senior_agent' WHEN seg_purchase_value = 'high' THEN 'account_manager' WHEN seg_return_behavior = 'returner' THEN 'returns_desk' ELSE 'general' END AS queue, CASE primary_channel WHEN 'web' THEN 'evening' WHEN 'pos' THEN 'afternoon' ELSE 'morning' END AS slot FROM prof")
@@ -227,9 +234,10 @@ def sc_6(t):
     return t.headers.select("order_id", F.coalesce(F.replace(text, F.lit(","), F.lit("")).try_cast("double"), F.lit(0.0)).alias("value"))
 
 
-@query("SC-14", f"WITH {PROF} SELECT customer_id, CASE WHEN lifetime_value >= 1500000 THEN 'vip' WHEN lifetime_value >= 800000 THEN 'high' ELSE 'standard' END AS ltv_tier, CASE WHEN churn_risk_score >= 0.7 THEN 'critical' WHEN churn_risk_score >= 0.4 THEN 'watch' ELSE 'safe' END AS churn_tier, CASE WHEN tenure_months >= 60 THEN 'partner' WHEN tenure_months >= 24 THEN 'regular' ELSE 'new' END AS relationship FROM prof")
+@query("SC-14", f"WITH {PROF} SELECT p.customer_id, CASE WHEN p.lifetime_value >= 2500000 THEN 'VIP - Top Tier' WHEN p.lifetime_value >= 1500000 THEN 'High Value' WHEN p.lifetime_value >= 800000 THEN 'Mid Value' WHEN p.lifetime_value > 0 THEN 'Standard' ELSE 'New Customer' END AS ltv_tier, CASE WHEN p.churn_risk_score >= 0.7 THEN 'CRITICAL - High Risk' WHEN p.churn_risk_score >= 0.5 THEN 'ELEVATED - Monitor Closely' WHEN p.churn_risk_score >= 0.3 THEN 'MODERATE - Standard Care' ELSE 'LOW - Healthy' END AS churn_tier, CASE WHEN p.total_orders = 0 THEN 'No purchases yet' WHEN p.days_since_last_purchase <= 30 THEN 'Active' WHEN p.days_since_last_purchase <= 60 THEN 'Recently Active' WHEN p.days_since_last_purchase <= 90 THEN 'Cooling Down' ELSE 'At Risk of Lapse' END AS engagement, CASE WHEN p.total_orders >= 10 AND avg_days_between_orders < 30 THEN 'frequent' WHEN p.total_orders >= 10 AND avg_days_between_orders < 90 THEN 'seasonal' WHEN p.total_orders >= 10 THEN 'occasional' WHEN p.total_orders >= 3 THEN 'building' WHEN p.total_orders > 0 THEN 'recent' END AS relationship, CASE WHEN p.lifetime_value >= 1500000 AND p.churn_risk_score >= 0.7 THEN 'priority' WHEN p.lifetime_value >= 1500000 AND p.churn_risk_score >= 0.5 THEN 'strategy' WHEN p.churn_risk_score >= 0.7 THEN 'alert' WHEN p.lifetime_value >= 1500000 THEN 'maintain' END AS retention_advice FROM prof p JOIN wide w ON w.customer_id = p.customer_id")
 def sc_14(t):
-    return profiles_of(t).select("customer_id", sc.ladder(F.col("lifetime_value"), [(1_500_000, "vip"), (800_000, "high")], "standard").alias("ltv_tier"), sc.ladder(F.col("churn_risk_score"), [(0.7, "critical"), (0.4, "watch")], "safe").alias("churn_tier"), sc.ladder(F.col("tenure_months"), [(60, "partner"), (24, "regular")], "new").alias("relationship"))
+    w = wide_of(t).withColumn("churn_risk_score", F.coalesce("churn_risk_score", F.lit(0.5)))
+    return sc.tiers(w, (2_500_000, 1_500_000, 800_000))
 
 
 @query("SC-16", f"WITH {PROF} SELECT customer_id, concat_ws('; ', CASE WHEN seg_purchase_value = 'high' THEN 'lead with service' END, CASE WHEN seg_purchase_frequency = 'frequent' THEN 'offer subscription' END, CASE WHEN seg_return_behavior = 'returner' THEN 'check fit first' END) AS hints FROM prof")

@@ -312,9 +312,9 @@ def win_10(t):
     return snapshots.transitions(snaps_of(t)).withColumn("snapshot_date", F.col("snapshot_date").cast("string"))
 
 
-@query("AGG-19", f"WITH {SNAPS}, {MOVES} SELECT from_archetype, to_archetype, count(*) AS n, round(avg(days_in_previous), 6) AS avg_days, CAST(min(snapshot_date) AS VARCHAR) AS first_seen, CAST(max(snapshot_date) AS VARCHAR) AS last_seen FROM mv GROUP BY 1, 2 HAVING count(*) >= 3")
+@query("AGG-19", f"WITH {STEPS}, {MOVES} SELECT from_archetype, to_archetype, count(*) AS n, round(avg(days_in_previous), 6) AS avg_days, round(avg(sp.drift), 6) AS avg_drift, round(avg(sp.drift / sp.days), 9) AS avg_velocity, CAST(min(mv.snapshot_date) AS VARCHAR) AS first_seen, CAST(max(mv.snapshot_date) AS VARCHAR) AS last_seen FROM mv JOIN sp ON sp.customer_id = mv.customer_id AND sp.snapshot_date = mv.snapshot_date GROUP BY 1, 2 HAVING count(*) >= 3")
 def agg_19(t):
-    p = rounded(snapshots.transition_paths(snapshots.transitions(snaps_of(t))))
+    p = rounded(snapshots.transition_paths(snaps_of(t)).withColumn("avg_velocity", r("avg_velocity", 9)), 6, ("avg_velocity",))
     return p.withColumn("first_seen", F.col("first_seen").cast("string")).withColumn("last_seen", F.col("last_seen").cast("string"))
 
 

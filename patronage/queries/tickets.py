@@ -162,12 +162,10 @@ def tkt_8(t):
     return rounded(tk.surges(hourly_of(t), ["event_type"])).withColumn("period", F.col("period").cast("string"))
 
 
-@query("FLT-10", f"WITH {HOURLY}, s AS (SELECT *, avg(n) OVER (PARTITION BY event_type ORDER BY period ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) AS e FROM hv) SELECT event_type, CAST(period AS VARCHAR) AS period, CAST(date_diff('hour', period, TIMESTAMP '2024-03-01') AS BIGINT) AS hours_ago FROM s WHERE n / e >= 3 ORDER BY period DESC, event_type LIMIT 10")
+@query("FLT-10", f"WITH {HOURLY}, s AS (SELECT *, avg(n) OVER (PARTITION BY event_type ORDER BY period ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) AS e FROM hv), m AS (SELECT *, coalesce(n / e >= 0.8, false) AS hit, lead(period) OVER (PARTITION BY event_type ORDER BY period) AS nxt FROM s), g AS (SELECT *, sum(CASE WHEN hit THEN 0 ELSE 1 END) OVER (PARTITION BY event_type ORDER BY period ROWS UNBOUNDED PRECEDING) AS run FROM m), u AS (SELECT event_type, run, min(period) AS a, arg_max(CASE WHEN nxt IS NULL THEN 1 ELSE 0 END, period) AS lasts, count(*) AS periods, max(n / e) AS peak FROM g WHERE hit GROUP BY 1, 2) SELECT event_type, CAST(a AS VARCHAR) AS surge_start, periods, round(peak, 6) AS peak, round(date_diff('minute', a, TIMESTAMP '2024-03-01') / 60.0, 6) AS hours FROM u WHERE lasts = 1 ORDER BY a DESC, event_type")
 def flt_10(t):
-    from patronage.operators.events import seconds_between
-
-    s = tk.surges(hourly_of(t), ["event_type"], 24, 3.0).orderBy(F.col("period").desc(), "event_type").limit(10)
-    return s.select("event_type", F.col("period").cast("string").alias("period"), (seconds_between(F.lit(NOW).cast("timestamp_ntz"), F.col("period")) / 3600).cast("long").alias("hours_ago"))
+    """Surges that still last at the end of the log; the factor is low, so that there are some."""
+    return rounded(tk.active_surges(tk.surge_events(hourly_of(t), ["event_type"], 24, 0.8), NOW)).withColumn("surge_start", F.col("surge_start").cast("string"))
 
 
 # Forecasts of daily counts: each day's count stands for the days 1, 5, 7, 14 and 25 later, said at eight in the evening,
@@ -256,9 +254,11 @@ def kb_2(t):
     return rounded(tk.cosine_top(e, e.where("vec_id % 20 = 0"), 5))
 
 
-@query("KB-3", "WITH v AS (SELECT conv_id AS article_id, turn AS changed_at, text AS content FROM conversations), c AS (SELECT *, lag(content) OVER (PARTITION BY article_id ORDER BY changed_at) AS b FROM v) SELECT article_id, changed_at, content, CAST(row_number() OVER (PARTITION BY article_id ORDER BY changed_at) AS INT) AS version FROM c WHERE content IS DISTINCT FROM b")
+@query("KB-3", "WITH v AS (SELECT conv_id AS article_id, turn AS changed_at, substr(text, 1, 1) AS title, role AS summary, CASE WHEN turn % 3 = 0 THEN text END AS content FROM conversations), c AS (SELECT *, lag(title) OVER w AS bt, lag(summary) OVER w AS bs, lag(content) OVER w AS bc, row_number() OVER w AS nth FROM v WINDOW w AS (PARTITION BY article_id ORDER BY changed_at)) SELECT article_id, changed_at, title, summary, content, CAST(row_number() OVER (PARTITION BY article_id ORDER BY changed_at) AS INT) AS version FROM c WHERE nth = 1 OR title IS DISTINCT FROM bt OR summary IS DISTINCT FROM bs OR content IS DISTINCT FROM bc")
 def kb_3(t):
-    return tk.versions(t.read("conversations").select(F.col("conv_id").alias("article_id"), F.col("turn").alias("changed_at"), F.col("text").alias("content")))
+    """Turns stand for changes; title, summary and content change at different ones."""
+    c = t.read("conversations")
+    return tk.versions(c.select(F.col("conv_id").alias("article_id"), F.col("turn").alias("changed_at"), F.substring("text", 1, 1).alias("title"), F.col("role").alias("summary"), F.when(F.col("turn") % 3 == 0, F.col("text")).alias("content")))
 
 
 @query("WIN-9", "SELECT conv_id AS article_id, turn AS changed_at, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INT) AS version FROM conversations")
@@ -324,17 +324,21 @@ def join_18(t):
     return sold.join(asked, "product_type", "full").fillna(0, ["tickets"])
 
 
-@query("TKT-9", f"WITH {LINES}, {T_SQL}, ls AS (SELECT customer_id, arg_max(product_id, struct_pack(d := order_date, o := order_id, l := line_number, p := product_id)) AS product_id FROM lines GROUP BY 1), tp AS (SELECT product_id, count(*) AS tickets FROM tk JOIN ls USING (customer_id) GROUP BY 1), sp AS (SELECT product_id, max(product_type) AS product_type, CAST(sum(quantity) AS BIGINT) AS units, sum(line_item_sales) AS revenue, count(DISTINCT customer_id) AS customers FROM lines GROUP BY 1), z AS (SELECT *, coalesce(tickets, 0) / CAST(units AS DOUBLE) AS rate FROM sp LEFT JOIN tp USING (product_id)), y AS (SELECT *, avg(rate) OVER (PARTITION BY product_type) AS type_rate FROM z) SELECT product_id, product_type, units, round(revenue, 4) AS revenue, customers, coalesce(tickets, 0) AS tickets, round(rate, 8) AS rate, round(type_rate, 8) AS type_rate, rate > 1.5 * type_rate AS high FROM y")
+CORRELATION = f"{LINES}, {T_SQL}, ls AS (SELECT customer_id, arg_max(product_id, struct_pack(d := order_date, o := order_id, l := line_number, p := product_id)) AS product_id FROM lines GROUP BY 1), tp AS (SELECT product_id, count(*) AS tickets FROM tk JOIN ls USING (customer_id) GROUP BY 1), sp AS (SELECT product_id, max(product_type) AS product_type, CAST(sum(quantity) AS BIGINT) AS units, sum(line_item_sales) AS revenue, count(DISTINCT customer_id) AS customers FROM lines GROUP BY 1), z AS (SELECT *, coalesce(tickets, 0) / CAST(units AS DOUBLE) AS rate FROM sp LEFT JOIN tp USING (product_id)), y AS (SELECT *, avg(rate) OVER (PARTITION BY product_type) AS type_rate FROM z)"
+
+
+@query("TKT-9", f"WITH {CORRELATION} SELECT product_id, product_type, units, round(revenue, 4) AS revenue, customers, coalesce(tickets, 0) AS tickets, round(rate, 8) AS rate, round(type_rate, 8) AS type_rate, rate > 1.5 * type_rate AS high FROM y")
 def tkt_9(t):
     d = vo.product_tickets(t.sales_lines, tickets_of(t))
     return d.select("product_id", "product_type", "units", r("revenue", 4).alias("revenue"), "customers", "tickets", r("rate", 8).alias("rate"), r("type_rate", 8).alias("type_rate"), "high")
 
 
-@query("TOP-4", f"WITH {PROF}, {T_SQL}, ls AS (SELECT customer_id, arg_max(product_type, struct_pack(d := order_date, o := order_id, l := line_number, p := product_id, s := supplier_id)) AS product_type FROM lines GROUP BY 1) SELECT product_type, count(*) AS tickets FROM tk JOIN ls USING (customer_id) WHERE created_at >= TIMESTAMP '2024-01-02' GROUP BY 1 ORDER BY tickets DESC, product_type LIMIT 10")
+@query("TOP-4", f"WITH {CORRELATION.replace('FROM tk JOIN ls', 'FROM (SELECT * FROM tk WHERE created_at >= TIMESTAMP ' + chr(39) + '2024-01-02' + chr(39) + ') JOIN ls').replace('FROM lines GROUP BY 1), z', 'FROM lines WHERE order_date >= TIMESTAMP ' + chr(39) + '1998-01-01' + chr(39) + ' GROUP BY 1), z')} SELECT product_id, product_type, units, coalesce(tickets, 0) AS tickets, round(rate, 8) AS rate, round(type_rate, 8) AS type_rate FROM y WHERE rate > 1.5 * type_rate ORDER BY rate DESC, product_id LIMIT 50")
 def top_4(t):
-    last = t.sales_lines.groupBy("customer_id").agg(F.max_by("product_type", F.struct("order_date", "order_id", "line_number", "product_id", "supplier_id")).alias("product_type"))
+    """The fifty products of the highest rate among those far above their type, of a period of sales and of tickets."""
     recent = tickets_of(t).where(F.col("created_at") >= F.lit(datetime(2024, 1, 2)).cast("timestamp_ntz"))
-    return recent.join(last, "customer_id").groupBy("product_type").agg(F.count("*").alias("tickets")).orderBy(F.col("tickets").desc(), "product_type").limit(10)
+    d = vo.product_tickets(t.sales_lines, recent, since=datetime(1998, 1, 1))
+    return vo.high_ticket_products(d, 50).select("product_id", "product_type", "units", "tickets", r("rate", 8).alias("rate"), r("type_rate", 8).alias("type_rate"))
 
 
 @query("TOP-11", f"WITH {PROF}, f AS (SELECT customer_id, product_name, max(order_date) AS d FROM lines GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY d DESC, product_name) AS place FROM f) SELECT customer_id, product_name, CAST(place AS INT) AS place FROM k WHERE place <= 20")
