@@ -13,7 +13,8 @@ difference of remainders is a difference of two cover elements. So it is enough
 
 Edge cases: null and empty texts have no words; texts below ``window`` words lose nothing; a null doc_id is last in
 the order, so it may lose words but takes none; rows that repeat a doc_id count as one document, and each gets a
-result; equal texts keep the words of the smallest doc_id only. Other columns are ignored.
+result; different texts under one doc_id, or without one, take no words from each other; equal texts keep the words of
+the smallest doc_id only; doc_ids are integers. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -254,7 +255,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = text_parts(docs, text_col)
     partitions = min(parts, MOST_PARTITIONS)
     grouped = docs.select(
-        F.pmod(F.xxhash64(F.col(id_col)), F.lit(parts)).cast("int").alias("part"),
+        # By id and text: rows without an id, or of one id, spread as others do. Which group a row is in changes no result.
+        F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(parts)).cast("int").alias("part"),
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc_order"),
         F.col(text_col).alias("doc_text"),

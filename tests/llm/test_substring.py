@@ -40,6 +40,23 @@ def test_matches_brute_force(make_docs, odd_texts, monkeypatch, parts):
     assert got == brute(rows, 50)
 
 
+def test_rows_without_an_id_spread(spark, make_docs, monkeypatch):
+    """A hundred thousand rows without an id, or of one, are not one group; each has its result."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr("patronage.llm.substring.text_parts", lambda *a: 16)
+    passage = " ".join(f"p{k}" for k in range(55))
+    df = spark.range(100_000).select(F.when(F.col("id") % 2 == 0, 7).cast("long").alias("doc_id"), F.concat(F.col("id").cast("string"), F.lit(" "), F.when(F.col("id") % 1000 < 2, passage).otherwise("few words")).alias("text"))
+    docs = df.unionByName(make_docs([(1, "a " + passage)], extra=False).select("doc_id", "text"))
+    groups = []
+    plain = F.pmod
+    monkeypatch.setattr("patronage.llm.substring.F.pmod", lambda a, b: groups.append(plain(a, b)) or groups[-1])
+    got = substring_dedup(docs).groupBy("doc_id", "n_words", "n_removed").count().collect()
+    assert {(r.doc_id, r.n_words, r.n_removed): r["count"] for r in got} == {(7, 56, 55): 100, (7, 3, 0): 49_900, (None, 56, 55): 100, (None, 3, 0): 49_900, (1, 56, 0): 1}
+    largest = docs.groupBy(groups[0].alias("g")).count().agg({"count": "max"}).first()[0]
+    assert largest < 100_000 / 16 * 1.2
+
+
 def test_empty_table_and_text_output(make_docs):
     assert substring_dedup(make_docs([])).collect() == []
     text = " ".join(map(str, range(60)))
