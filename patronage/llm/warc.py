@@ -3,8 +3,8 @@
 Writing: a page's payload is its html in UTF-8. Of pages with equal payloads of at least ``least`` bytes, the one with
 the largest page_id is the response and the others are revisit records that refer to it; smaller payloads are always
 responses. Spark's text writer makes the archives: a row is a record, and the line separator is the record's end.
-Archives are rolled by number of records for each class of payload size (``ROLLS``), so that none passes 64 MB but one
-that holds a single larger record.
+Archives are rolled by number of records for each class of payload size (``ROLLS``), so that none passes 64 MB, headers
+of up to a kilobyte included, but one that holds a single larger record. Ids are percent-encoded in the headers.
 
 Reading: each task looks for record starts in its archives and gives every candidate its successor, which is where its
 header says the next record begins. A candidate may be text inside a payload. Pointer jumping from the start of the
@@ -13,7 +13,7 @@ all others are rejected, and only what is left is hashed. A chain never leaves i
 so nothing is shuffled for it. Bytes after the last whole record of a cut-off archive are left out.
 
 Edge cases: a null html is an empty payload; a null url leaves its header out; a null page_id gives a record without
-id; rows are records of their own also where they repeat a page_id and payload: those with the largest page_id of their
+id, an empty one has an id, and ids may hold any characters; rows are records of their own also where they repeat a page_id and payload: those with the largest page_id of their
 payload are responses alike, the others revisit it; an empty table gives an empty folder and no records. Other columns
 are ignored.
 """
@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from urllib.parse import unquote_plus
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from patronage.llm.common import scratch, stash
 
 LEAST = 1000
 #: Payload bytes from which on a class of records begins, and how many of them an archive holds.
-ROLLS = ((0, 1024), (1 << 16, 64), (1 << 20, 1))
+ROLLS = ((0, 1000), (1 << 16, 63), (1 << 20, 1))
 #: Groups of equal payloads up to this number are broadcast; beyond it they are joined by a shuffle.
 BROADCAST_GROUPS = 500_000
 DATE = "2024-01-01T00:00:00Z"
@@ -57,7 +58,7 @@ def with_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 def write_warc(records: DataFrame, path: str, rolls: tuple[tuple[int, int], ...] = ROLLS) -> None:
     """Write the records of ``with_records`` as uncompressed WARC/1.1 files, one class of sizes after the other."""
     revisit = F.col("record_type") == "revisit"
-    name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
+    name = lambda c: F.coalesce(F.concat(F.lit("<urn:page:"), F.url_encode(F.col(c).cast("string")), F.lit(">")), F.lit("<urn:none>"))
     head = F.concat_ws(
         "\r\n",
         F.lit("WARC/1.1"),
@@ -137,7 +138,7 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for start, b, e in zip(at[kept].tolist(), body[kept].tolist(), after[kept].tolist(), strict=True):
                 field = {k.lower(): v for k, v in FIELD.findall(raw[start : b - 2])}
                 text = lambda k: field.get(k, b"").decode("utf-8", "replace")  # noqa: B023, E731
-                own = lambda k: (re.fullmatch(r"<urn:page:(.+)>", text(k)) or [None, None])[1]
+                own = lambda k: next((unquote_plus(m[1]) for m in [re.fullmatch(r"<urn:page:(.*)>", text(k))] if m), None)
                 payload = memoryview(raw)[b : e - 4]
                 rows.append((own(b"warc-record-id"), text(b"warc-type"), own(b"warc-refers-to"), text(b"warc-payload-digest").removeprefix("sha1:"), len(payload), hashlib.sha1(payload).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(names), kinds, strict=True)], names)

@@ -60,5 +60,15 @@ def test_large_pages_have_archives_of_their_own(spark):
     assert sorted((r.page_id, r.payload_bytes) for r in got) == [(i, len(h)) for i, _, h in rows]
 
 
+def test_ids_of_any_characters(spark):
+    """A missing id and an empty one differ; line breaks, brackets and signs of ids come back as they were."""
+    long = "w" * 1200
+    ids = ["", None, "a b", "x\r\nContent-Length: 3\r\n\r\n", "<urn:page:1>", "1+1%2B", "é漢/?", " "]
+    df = spark.createDataFrame([(i, "u", f"{k}" * 40) for k, i in enumerate(ids)] + [("z\n", "u", long), ("", "u", long)], "page_id string, url string, html string")
+    got = [(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc_round_trip(df).collect()]
+    want = [(i, 40, "response", None) for i in ids] + [("z\n", 1200, "response", None), ("", 1200, "revisit", "z\n")]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_empty_table(spark):
     assert warc_round_trip(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
