@@ -192,15 +192,17 @@ def _limit(n: np.ndarray, base: np.ndarray) -> np.ndarray:
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = PER_LANGUAGE, seed: int = SEED) -> tuple[Model, dict[str, float]]:
     """(model, highest usual cross-entropy of each language) from labelled documents."""
     known = labelled.where(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("doc_text"), F.col(lang_col).cast("string").alias("doc_lang"), F.xxhash64(F.col(id_col), F.lit(seed)).alias("h"))
-    sizes = stash(known.groupBy("doc_lang").agg(F.count("*").alias("n"), F.sum(F.length("doc_text")).alias("chars")), "langs")
+    draw = F.shiftrightunsigned("h", 11) / float(1 << 53)
+    sizes = stash(known.groupBy("doc_lang").agg(F.count("*").alias("n"), F.sum(F.length("doc_text")).alias("chars"), F.min(draw).alias("least")), "langs")
     languages = sizes.count()
     chars = min(LANGUAGE_CHARS, ALL_CHARS // max(1, languages))
-    sizes = sizes.select("doc_lang", F.greatest(F.col("n") / per_language, F.coalesce("chars", F.lit(0)) / chars).alias("times"))
+    sizes = sizes.select("doc_lang", "least", F.greatest(F.col("n") / per_language, F.coalesce("chars", F.lit(0)) / chars).alias("times"))
     if languages <= BROADCAST_LANGUAGES:
         sizes = F.broadcast(sizes)
-    draw = F.shiftrightunsigned("h", 11) / float(1 << 53)
-    sample = stash(known.join(sizes, "doc_lang").where(draw * F.col("times") < 1).select("doc_text", "doc_lang", "h"), "langsample")
-    held = F.pmod(F.xxhash64("h"), F.lit(10)) == 0
+    # The document drawn first stays whatever its length: a language of few long documents is learned from one of them.
+    first = draw == F.col("least")
+    sample = stash(known.join(sizes, "doc_lang").where((draw * F.col("times") < 1) | first).select("doc_text", "doc_lang", "h", first.alias("first")), "langsample")
+    held = (F.pmod(F.xxhash64("h"), F.lit(10)) == 0) & ~F.col("first")
     raw = stash(sample.where(~held).select("doc_text", "doc_lang").mapInArrow(_count_grams, COUNTS).groupBy("lang", "n", "gram").agg(F.min("context").alias("context"), F.min("suffix").alias("suffix"), F.sum("c").alias("c")), "grams")
     continued = raw.where("n > 1").groupBy("lang", (F.col("n") - 1).alias("n"), F.col("suffix").alias("gram")).agg(F.count("*").alias("v"))
     top = raw.where(F.col("n") == ORDER).select("lang", "n", "gram", "context", F.col("c").alias("v"))
