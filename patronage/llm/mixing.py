@@ -35,6 +35,8 @@ from patronage.llm.common import stash, text_marks, words
 
 WEIGHTS, MOST, BLOCK, SEED = (1, 2, 3), 3, 4000, 11
 LANDING = 14
+#: Rows that one array stands for when alike rows are told apart again.
+RUN = 10_000
 #: Sources up to this number are broadcast; beyond it Spark joins them by a shuffle.
 BROADCAST_SOURCES = 100_000
 
@@ -145,6 +147,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         flown = stash(dealt.groupBy("source_no", "block").applyInArrow(fly(largest <= block), kinds), "flown")
         done, left = done.unionByName(flown.where(whole)), flown.where(~whole)
     whole_copies = F.col("base") + F.col("pi").cast("long")
-    one = done.withColumn("times", whole_copies).withColumn("no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    # Alike rows come back in runs, so that no array is as long as their number.
+    run = F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1, F.lit(RUN)))
+    within = F.explode(F.sequence(F.col("from") + 1, F.least(F.col("from") + RUN, F.col("rows"))))
+    one = done.withColumn("times", whole_copies).withColumn("from", run).withColumn("no", within)
     copies = F.floor(F.col("times") / F.col("rows")) + (F.col("no") <= F.col("times") % F.col("rows")).cast("long")
     return one.withColumn("copies", copies).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source", "t1", "t2")

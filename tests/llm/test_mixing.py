@@ -80,5 +80,15 @@ def test_targets_of_many_sources(spark):
     assert [s for s, _ in sorted(got.items(), key=lambda x: x[1][0])] == sorted(sizes) and sorted(x[0] for x in got.values()) == list(range(1, 2501))
 
 
+def test_alike_rows_beyond_one_array(make_docs, monkeypatch):
+    from patronage.llm import mixing
+
+    rows = [(None, "same words of a row that repeats")] * 2500 + [(k, "other words here") for k in range(50)]
+    want = sorted((r.doc_id is None, r.doc_id, r.size, r.taken) for r in mixing.mix_sources(make_docs(rows)).collect() if r.doc_id is None)
+    monkeypatch.setattr(mixing, "RUN", 7)
+    got = sorted((r.doc_id is None, r.doc_id, r.size, r.taken) for r in mixing.mix_sources(make_docs(rows)).collect() if r.doc_id is None)
+    assert got == want and len(got) == 2500
+
+
 def test_empty_table(make_docs):
     assert mix_sources(make_docs([])).collect() == []
