@@ -359,12 +359,24 @@ def train(pages: DataFrame | None = None, id_col: str = "page_id", html_col: str
     return fit(trees)
 
 
+def _framed(nodes: list[Node], k: int) -> bool:
+    """Whether a node lies in an element that is a menu, header, footer or aside by its tag."""
+    while k > 0:
+        if nodes[k].kind in ("nav", "edge"):
+            return True
+        k = nodes[k].parent
+    return False
+
+
 def main_text(page: str | None, model: Model) -> str:
     """The text of one page."""
     if not page:
         return ""
     nodes = parse(page)
     features(nodes)
+    blocks = [k for k, n in enumerate(nodes) if n.tag == "#" and n.text]
+    if len(blocks) == 1 and not _framed(nodes, blocks[0]):  # nothing on the page that it could be beside
+        return nodes[blocks[0]].text
     return "\n\n".join(n.text for n, p in zip(nodes, model.marginals(nodes), strict=True) if n.tag == "#" and p >= 0.5)
 
 

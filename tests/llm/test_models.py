@@ -191,6 +191,29 @@ def test_bare_and_cued_text_is_kept():
         assert html_content.main_text(page, model) == long
 
 
+def test_the_only_block_of_a_page_is_its_text():
+    model = html_content.train()
+    long = "Filling the form needs care, since the office returns each one that lacks a date, a name or a stamp."
+    assert html_content.main_text("<html><body><div class=x><p>Short.</p></div></body></html>", model) == "Short."
+    assert html_content.main_text(f'<div class="form-guide content"><p>{long}</p></div>', model) == long
+    assert html_content.main_text("<body><nav><a href=x>Home</a></nav></body>", model) == ""
+    assert html_content.main_text("<body><script>x = 1</script><p> \n </p></body>", model) == ""
+
+
+def test_a_language_of_few_long_documents_is_learned(spark):
+    """Two documents beyond the bound of characters: one is drawn, whatever their hashes."""
+    from unittest import mock
+
+    from patronage.llm import langid
+
+    rows = [(k, "the cat and the dog sat on the old mat near the door " * 3, "en") for k in range(30)] + [(900 + k, "zwölf boxkämpfer jagen viktor quer über den großen sylter deich " * 40, "de") for k in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    with mock.patch.object(langid, "LANGUAGE_CHARS", 50):
+        for seed in range(3):
+            model, _ = langid.train(df, seed=seed)
+            assert set(model.langs) == {"de", "en"}
+
+
 def test_parsing_is_linear():
     import time
 
