@@ -133,13 +133,29 @@ def growth(events: DataFrame) -> DataFrame:
     return g.select("*", (F.col("late_diversity") - F.col("early_diversity")).alias("diversity_growth"), (F.col("late_diversity") / F.greatest("early_diversity", F.lit(1))).alias("diversity_growth_ratio"))
 
 
-def volatility(events: DataFrame, types: list[str], floor: float = 1e-10) -> DataFrame:
-    """KL divergence in bits of the last third's mix of types from the first third's, and how even sessions are (EVT-8)."""
-    t = thirds(events).groupBy("entity").pivot("third", [0, 1, 2]).agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("m"))
-    share = lambda m, x: F.coalesce(F.col(m)[x], F.lit(0)) / F.greatest(F.aggregate(F.map_values(F.coalesce(F.col(m), F.create_map().cast("map<string,bigint>"))), F.lit(0).cast("long"), lambda a, v: a + v), F.lit(1))
-    kl = sum((F.greatest(share("2", x), F.lit(floor)) * F.log2(F.greatest(share("2", x), F.lit(floor)) / F.greatest(share("0", x), F.lit(floor))) for x in types), F.lit(0.0))
-    s = sessions(events).groupBy("entity").agg((F.stddev_samp("minutes") / F.avg("minutes")).alias("minutes_cv"))
-    return t.select("entity", kl.alias("kl")).join(s, "entity").withColumn("predictability", 1 / (1 + F.col("kl")))
+def volatility(events: DataFrame, floor: float = 1e-10) -> DataFrame:
+    """How even an entity's sessions are, and how its mix of event types moves from third to third (EVT-8).
+
+    Mean, variance and coefficient of variation of the minutes of sessions (two of them at least) and of the hours between
+    them (two gaps at least), else 0; the KL divergence in bits of the first third from the second and of the second from
+    the last, where shares are ``floor`` at least and a negative sum is 0; their mean, and 1 / (1 + x) of it and of the
+    mean of the two coefficients and it. Entities of fewer than three events have no thirds, and a divergence of 0.
+    All of it keeps to the one exchange by entity.
+    """
+    mine = W.partitionBy("entity")
+    kinds = thirds(events).groupBy("entity", "event_type").agg(*[F.coalesce(F.sum(F.when(F.col("third") == k, F.col("n"))), F.lit(0)).alias(f"n{k}") for k in range(3)])
+    shares = kinds.select("entity", *[F.greatest(F.col(f"n{k}") / F.nullif(F.sum(f"n{k}").over(mine), F.lit(0)), F.lit(floor)).alias(f"p{k}") for k in range(3)])
+    bits = lambda p, q: F.greatest(F.sum(F.col(p) * F.log2(F.col(p) / F.col(q))), F.lit(0.0))
+    moved = shares.groupBy("entity").agg(bits("p0", "p1").alias("kl_early"), bits("p1", "p2").alias("kl_late"))
+    sessioned = sessions(events)
+    length = sessioned.groupBy("entity").agg(F.count("*").alias("sessions"), F.avg("minutes").alias("session_length_mean"), F.coalesce(F.var_samp("minutes"), F.lit(0.0)).alias("session_length_variance"))
+    enough = lambda c: F.when(F.col("sessions") > 2, c).otherwise(0.0)
+    cv = lambda of: F.coalesce(F.sqrt(f"{of}_variance") / F.nullif(f"{of}_mean", F.lit(0.0)), F.lit(0.0))
+    d = length.join(gaps_between_sessions(sessioned), "entity").join(moved, "entity")
+    d = d.withColumn("session_gap_mean", enough(F.col("mean_gap_hours"))).withColumn("session_gap_variance", enough(F.col("var_gap_hours"))).drop("mean_gap_hours", "var_gap_hours")
+    d = d.withColumn("session_length_cv", cv("session_length")).withColumn("session_gap_cv", cv("session_gap")).withColumn("event_distribution_volatility", (F.col("kl_early") + F.col("kl_late")) / 2)
+    score = (F.col("session_length_cv") + F.col("session_gap_cv") + F.col("event_distribution_volatility")) / 3
+    return d.withColumn("event_distribution_stability", 1 / (1 + F.col("event_distribution_volatility"))).withColumn("volatility_score", score).withColumn("predictability", 1 / (1 + F.col("volatility_score")))
 
 
 def launch_timing(events: DataFrame, launch) -> DataFrame:

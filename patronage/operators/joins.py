@@ -21,6 +21,19 @@ def join_date_tolerant(a: DataFrame, b: DataFrame, days: int = 1) -> DataFrame:
     return near.join(right.withColumn("near", F.col("other_day")), ["customer_id", "near"]).drop("near")
 
 
+def nearest_by_date(a: DataFrame, b: DataFrame, key: str = "order_id", days: int = 1) -> DataFrame:
+    """Rows of ``a`` (customer_id, day, ...) with the one row of ``b`` (customer_id, day, ``key``) of the same customer that is nearest in time (JOIN-2).
+
+    At most ``days`` days away; of equally near ones the earlier day, then the smaller key. Rows of ``a`` without one stay.
+    Each day of ``b`` keeps its smallest key and offers itself to the days around it; the best offer for each customer and
+    day is an aggregate within the tasks first, so a row of ``a`` meets one row, however many orders a customer has.
+    """
+    on_day = b.where(F.col("day").isNotNull()).groupBy("customer_id", "day").agg(F.min(key).alias("other"))
+    offers = on_day.select("customer_id", F.explode(F.sequence(F.date_sub("day", days), F.date_add("day", days))).alias("near"), F.col("day").alias("other_day"), "other")
+    best = offers.groupBy("customer_id", F.col("near").alias("day")).agg(F.min(F.struct(F.abs(F.datediff("other_day", "near")).alias("days_apart"), "other_day", "other")).alias("best"))
+    return a.join(best, ["customer_id", "day"], "left").select(*a.columns, F.col("best.other").alias(f"other_{key}"), "best.other_day", "best.days_apart")
+
+
 def orphans(lines: DataFrame, headers: DataFrame, key: str = "order_id") -> DataFrame:
     """Keys of lines that no header has (JOIN-4, SET-3)."""
     return lines.select(key).distinct().join(headers.select(key), key, "left_anti")

@@ -100,6 +100,17 @@ def training_set(orders: DataFrame, dates: list[date], feature_days: int = 180,
     return g.where(F.col("orders") >= least).select("customer_id", "obs_date", "orders", "value", (F.col("value") / F.col("orders")).alias("avg_value"), F.datediff("obs_date", "last_day").alias("recency"), (F.col("later") == 0).cast("int").alias("churned"))
 
 
+def preprocess(df: DataFrame, columns: tuple[str, ...] | list[str]) -> tuple[DataFrame, list[str]]:
+    """Null and NaN as 0, columns that never vary dropped, the rest at mean 0 and population deviation 1; other columns as they are (CHN-3).
+
+    Gives the frame and the names that are left. All figures are one row of one aggregate; an empty table leaves no column.
+    """
+    x = {c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in columns}
+    row = df.agg(*[F.struct(F.avg(v).alias("m"), F.stddev_pop(v).alias("s")).alias(c) for c, v in x.items()]).first()
+    kept = [c for c in columns if row[c]["s"]]
+    return df.select(*[c for c in df.columns if c not in x], *[((x[c] - row[c]["m"]) / row[c]["s"]).alias(c) for c in kept]), kept
+
+
 def threshold_search(scored: DataFrame, score: str, label: str, bins: int = 100, least_precision: float = 0.7) -> DataFrame:
     """The threshold with the best F1 among those of enough precision (CHN-6), over binned scores: the window is over bins, not rows."""
     from pyspark.sql.window import Window as W
@@ -193,6 +204,42 @@ def next_actions(c: DataFrame, much: float = 200.0, more: float = 500.0) -> Data
     return out.select("customer_id", (F.col("place") + 1).alias("place"), "a.action", "a.priority", "a.cost", "a.benefit", "a.success_probability", "overall", "urgency")
 
 
+#: The segments that a ticket is routed by, the queue of each in order of precedence, and the callback slots.
+QUEUES = (("problem_complexity_profile", "high_touch_shopper", "senior_agent_queue"), ("loyalty_trajectory", "declining_risk", "retention_specialist"), ("product_knowledge", "category_expert", "product_specialist"))
+
+
+def route_tickets(c: DataFrame, queues=QUEUES) -> DataFrame:
+    """The queue of each customer's tickets and the slot for a call (CMP-2).
+
+    Needs customer_id, dominant (axis -> segment), weekend_vs_weekday_ratio, business_hours_ratio, preferred_contact_time.
+    ``queues`` are (axis, segment, queue), the first that fits counts, else general_support; no slot where no habit shows.
+    """
+    queue = F.coalesce(*[F.when(F.col("dominant")[axis] == segment, name) for axis, segment, name in queues], F.lit("general_support"))
+    slot = F.when(F.col("weekend_vs_weekday_ratio") > 2, "saturday_9am").when(F.col("business_hours_ratio") > 0.8, "weekday_2pm").when(F.col("preferred_contact_time") == "evening", "weekday_6pm")
+    return c.select("customer_id", queue.alias("queue"), slot.alias("slot"))
+
+
+def recent_return_rate(lines: DataFrame, since) -> DataFrame:
+    """(customer_id, recent_return_rate): the share of a customer's items since a date that have a refund."""
+    late = lines.where(F.col("customer_id").isNotNull() & F.col("product_id").isNotNull() & (F.col("order_date") >= since))
+    return late.groupBy("customer_id").agg((F.count_if(F.col("line_item_refunds") > 0) / F.count("*")).alias("recent_return_rate"))
+
+
+def outreach(c: DataFrame, value: float = 500.0, returns: float = 0.5, queues=QUEUES) -> DataFrame:
+    """Customers to write to before they ask, a row for each reason (CMP-2): of value but declining; needing much and returning much lately.
+
+    Needs customer_id, dominant (axis -> segment), lifetime_value, recent_return_rate (null: none). ``queues`` as in ``route_tickets``: its
+    first entry is the segment that needs much, its second the declining one.
+    """
+    (much, touchy, _), (path, falling, _) = queues[:2]
+    own = F.col("dominant")
+    found = F.array_compact(F.array(
+        F.when((own[path] == falling) & (F.col("lifetime_value") > value), F.struct(F.lit("declining").alias("reason"), F.lit("high").alias("priority"), F.lit("It has been a while since your last order: can we help?").alias("message"))),
+        F.when((own[much] == touchy) & (F.col("recent_return_rate") > returns), F.struct(F.lit("returns").alias("reason"), F.lit("medium").alias("priority"), F.lit("You returned some items lately: let us find what fits.").alias("message"))),
+    ))
+    return c.select("customer_id", F.explode(found).alias("a")).select("customer_id", "a.*")
+
+
 def tiers(c: DataFrame, values: tuple[float, float, float] = (5000, 2000, 500)) -> DataFrame:
     """Five ladders about a customer: value, churn risk, engagement, relationship, retention advice (SC-14); ``values`` are the cuts of value.
 

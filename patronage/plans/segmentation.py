@@ -165,6 +165,13 @@ def archetypes(signed: DataFrame) -> DataFrame:
     return signed.select(F.explode(levels).alias("s")).groupBy("s.level", "s.signature").agg(F.count("*").alias("members"))
 
 
+def shares_of(profiles: DataFrame, key: str) -> DataFrame:
+    """(key, members, share) of an archetype; the total is a sum of the counts, so both read one exchange and profiles are made once (ARC-2)."""
+    counts = profiles.groupBy(key).agg(F.count("*").alias("members"))
+    total = counts.agg(F.sum("members").alias("all"))
+    return counts.crossJoin(F.broadcast(total)).select(key, "members", (F.col("members") / F.col("all")).alias("share"))
+
+
 def population(assigned: DataFrame, segments: DataFrame) -> DataFrame:
     """The table of segments with customer_count and population_pct, counted over all customers (CLU-12)."""
     sizes = assigned.select(F.explode("dominant").alias("axis", "segment")).groupBy("axis", "segment").agg(F.count("*").alias("customer_count"))
@@ -173,6 +180,18 @@ def population(assigned: DataFrame, segments: DataFrame) -> DataFrame:
     return known.withColumn("population_pct", 100 * F.col("customer_count") / F.col("all")).drop("all")
 
 
+def described(segments: DataFrame) -> DataFrame:
+    """The table of segments with their centres in the units of the features, and names by the first of these (CLU-12).
+
+    Fixed values: above 0.5 is high, above -0.5 medium, else low.
+    """
+    scaled = F.zip_with("center", F.col("scaler.scale"), lambda c, s: c * s)
+    first = F.get(F.col("center_original"), F.lit(0))
+    level = F.when(first > 0.5, "high").when(first > -0.5, "medium").otherwise("low")
+    told = segments.withColumn("center_original", F.zip_with(scaled, F.col("scaler.center"), lambda c, m: c + m))
+    return told.withColumn("name", F.concat(level, F.lit("_"), "axis")).withColumn("interpretation", F.concat(F.lit("Customers with "), level, F.lit(" "), F.get(F.split(F.get(F.col("feature_names"), F.lit(0)), "__"), F.lit(1))))
+
+
 def outliers(memberships: Column, floor: float = 0.3, cut: float = 0.0, least_axes: int = 2, least_mean: float = 0.6) -> Column:
     """A struct of axis_scores (1 - largest share / floor, 0 at least), flagged axes (score above ``cut``), mean score of these, and outlier: enough axes and mean (OUT-1)."""
     scores = F.transform_values(memberships, lambda a, m: F.greatest(F.lit(0.0), 1 - F.array_max(F.map_values(m)) / floor))
@@ -194,7 +213,7 @@ def run(features: DataFrame, path: str, size: int | None = None, store_id: str =
     features = kept(features, "features")
     found = kept(discover(features, size, seed=seed), "fitted")
     profiles = kept(assign(features, found), "profiles")
-    segments = kept(population(profiles, found), "segments")
+    segments = kept(described(population(profiles, found)), "segments")
     groups = kept(archetypes(signatures(profiles)), "archetypes")
     chosen = [(r["axis"], r["k"], r["silhouette"]) for r in segments.groupBy("axis").agg(F.max("k").alias("k"), F.max("silhouette").alias("silhouette")).orderBy("axis").collect()]
     log_run(spark, f"{path}/runs", f"{store_id}-{began:%Y%m%d%H%M%S}", store_id, profiles.count(), 0, chosen, began)

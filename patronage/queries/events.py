@@ -14,7 +14,6 @@ from patronage.streaming import jobs
 E_SQL = "ev AS (SELECT event_id, user_id AS entity, ts, event_type FROM events)"
 SESS = E_SQL + ", g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS nw FROM ev WINDOW w AS (PARTITION BY entity ORDER BY ts, event_id)), sn AS (SELECT *, sum(nw) OVER (PARTITION BY entity ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS no FROM g), se AS (SELECT entity, no, min(ts) AS a, max(ts) AS b, count(*) AS events, greatest(1.0, epoch_us(max(ts)) / 6e7 - epoch_us(min(ts)) / 6e7) AS minutes FROM sn GROUP BY 1, 2)"
 TYPES_N = 5
-TYPES = ["click", "error", "login", "purchase", "view"]
 
 
 @query("EVT-1", f"WITH {SESS} SELECT entity, CAST(no AS BIGINT) AS session_no, CAST(a AS VARCHAR) AS session_start, events, round(minutes, 4) AS minutes FROM se")
@@ -96,9 +95,19 @@ def win_13_growth(t):
     return rounded(ev.growth(t.events))
 
 
-@query("EVT-8", f"WITH {THIRD}, ty AS (SELECT unnest({TYPES}) AS event_type), en AS (SELECT DISTINCT entity FROM ev), tt AS (SELECT entity, third, sum(n) AS s FROM th GROUP BY 1, 2), x AS (SELECT en.entity, greatest(coalesce(a.n, 0) / CAST(greatest(coalesce(ta.s, 0), 1) AS DOUBLE), 1e-10) AS p0, greatest(coalesce(b.n, 0) / CAST(greatest(coalesce(tb.s, 0), 1) AS DOUBLE), 1e-10) AS p2 FROM en CROSS JOIN ty LEFT JOIN th a ON a.entity = en.entity AND a.third = 0 AND a.event_type = ty.event_type LEFT JOIN th b ON b.entity = en.entity AND b.third = 2 AND b.event_type = ty.event_type LEFT JOIN tt ta ON ta.entity = en.entity AND ta.third = 0 LEFT JOIN tt tb ON tb.entity = en.entity AND tb.third = 2) SELECT entity, round(sum(p2 * log2(p2 / p0)), 6) AS kl, round(1 / (1 + sum(p2 * log2(p2 / p0))), 6) AS predictability FROM x GROUP BY 1")
+VOLATILE = (
+    SESS + THIRD[len(E_SQL) :] + """, gp AS (SELECT entity, (epoch_us(a) - epoch_us(lag(b) OVER (PARTITION BY entity ORDER BY no))) / 3.6e9 AS gap FROM se),
+sl AS (SELECT entity, count(*) AS sessions, avg(minutes) AS lm, coalesce(var_samp(minutes), 0) AS lv FROM se GROUP BY 1), sg AS (SELECT entity, CASE WHEN count(gap) > 1 THEN avg(gap) ELSE 0 END AS gm, CASE WHEN count(gap) > 1 THEN var_samp(gap) ELSE 0 END AS gv FROM gp GROUP BY 1),
+kn AS (SELECT entity, event_type, coalesce(sum(n) FILTER (third = 0), 0) AS n0, coalesce(sum(n) FILTER (third = 1), 0) AS n1, coalesce(sum(n) FILTER (third = 2), 0) AS n2 FROM th GROUP BY 1, 2),
+sh AS (SELECT entity, greatest(coalesce(n0 / nullif(sum(n0) OVER e, 0), 0), 1e-10) AS p0, greatest(coalesce(n1 / nullif(sum(n1) OVER e, 0), 0), 1e-10) AS p1, greatest(coalesce(n2 / nullif(sum(n2) OVER e, 0), 0), 1e-10) AS p2 FROM kn WINDOW e AS (PARTITION BY entity)),
+kl AS (SELECT entity, greatest(sum(p0 * log2(p0 / p1)), 0) AS k1, greatest(sum(p1 * log2(p1 / p2)), 0) AS k2 FROM sh GROUP BY 1),
+vo AS (SELECT *, sqrt(lv) / lm AS lc, CASE WHEN gm > 0 THEN sqrt(gv) / gm ELSE 0 END AS gc, (k1 + k2) / 2 AS v FROM sl JOIN sg USING (entity) JOIN kl USING (entity))"""
+)
+
+
+@query("EVT-8", f"WITH {VOLATILE} SELECT entity, sessions, round(lm, 4) AS session_length_mean, round(lv, 4) AS session_length_variance, round(k1, 4) AS kl_early, round(k2, 4) AS kl_late, round(gm, 4) AS session_gap_mean, round(gv, 3) AS session_gap_variance, round(lc, 4) AS session_length_cv, round(gc, 4) AS session_gap_cv, round(v, 4) AS event_distribution_volatility, round(1 / (1 + v), 4) AS event_distribution_stability, round((lc + gc + v) / 3, 4) AS volatility_score, round(1 / (1 + (lc + gc + v) / 3), 4) AS predictability FROM vo")
 def evt_8(t):
-    return rounded(ev.volatility(t.events, TYPES).select("entity", "kl", "predictability"))
+    return rounded(ev.volatility(t.events).withColumn("session_gap_variance", r("session_gap_variance", 3)), 4, ("session_gap_variance",))
 
 
 @query("EVT-9", f"WITH {E_SQL}, m AS (SELECT entity, date_diff('day', DATE '2023-12-31', CAST(min(ts) AS DATE)) AS d FROM ev GROUP BY 1) SELECT entity, CAST(d AS INT) AS days_after_launch, CASE WHEN d <= 1 THEN 0 WHEN d <= 7 THEN 1 WHEN d <= 30 THEN 2 ELSE 3 END AS timing FROM m")

@@ -7,22 +7,21 @@ import uuid
 from datetime import date
 
 import numpy as np
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import functions as F
 
 from patronage.operators import axes, customers, sampling
 from patronage.operators import membership as mem
-from patronage.operators.scoring import training_set
+from patronage.operators.scoring import preprocess, training_set
+from patronage.plans import churn
 from patronage.plans import clustering as cl
 from patronage.plans import diagnostics as dg
 from patronage.plans import segmentation
 from patronage.queries.axes import wide_of
 from patronage.queries.registry import BOTH, LINES, ORDERS, WIDE, query, r, rounded
 from patronage.queries.sales import PROF, orders_of, profiles_of
+from patronage.queries.segments import ALL_AXES, scored_of
 from patronage.sources import database, landing
 from patronage.sources.landing import work_path
 
@@ -252,12 +251,17 @@ def clu_11(t):
     return t.stores.select("customer_id", u.alias("u")).select("customer_id", r(F.col("u")[0]).alias("u0"), r(F.col("u")[1]).alias("u1"))
 
 
-@query("CLU-12", f"WITH {PROF} SELECT seg_purchase_value AS segment, count(*) AS customer_count, round(100.0 * count(*) / (SELECT count(*) FROM prof), 6) AS population_pct, round(avg(lifetime_value), 4) AS center, seg_purchase_value || '_value' AS name FROM prof GROUP BY 1")
+_CENTERS = ", ".join(f"{{'axis': '{a}', 'segment': '{n}', 'feature': '{f}', 'c': m_{a}__{f} + s_{a}__{f} * round((q_{a}__{f}[{k}] - m_{a}__{f}) / s_{a}__{f}, 4), 'v': m_{a}__{fs[0]} + s_{a}__{fs[0]} * round((q_{a}__{fs[0]}[{k}] - m_{a}__{fs[0]}) / s_{a}__{fs[0]}, 4), 'v_name': '{fs[0]}'}}" for a, fs in axes.AXES.items() for k, n in enumerate(("low", "middle", "high"), 1) for f in fs)
+_LEVEL = "CASE WHEN u.v > 0.5 THEN 'high' WHEN u.v > -0.5 THEN 'medium' ELSE 'low' END"
+
+
+@query("CLU-12", f"WITH {ALL_AXES}, ce AS (SELECT unnest([{_CENTERS}]) AS u FROM st), sz AS (SELECT axis, segment, count(*) AS n FROM m13 WHERE rn = 1 GROUP BY 1, 2) SELECT u.axis AS axis, u.segment AS segment, u.feature AS feature, round(u.c, 4) AS center_original, coalesce(n, 0) AS customer_count, round(100.0 * coalesce(n, 0) / (SELECT count(*) FROM fl), 6) AS population_pct, {_LEVEL} || '_' || u.axis AS name, 'Customers with ' || {_LEVEL} || ' ' || u.v_name AS interpretation FROM ce LEFT JOIN sz ON sz.axis = u.axis AND sz.segment = u.segment")
 def clu_12(t):
-    p = profiles_of(t)
-    total = p.agg(F.count("*").alias("all"))
-    g = p.groupBy(F.col("dominant_segments")["purchase_value"].alias("segment")).agg(F.count("*").alias("customer_count"), r(F.avg("lifetime_value"), 4).alias("center"))
-    return g.crossJoin(F.broadcast(total)).select("segment", "customer_count", r(100 * F.col("customer_count") / F.col("all")).alias("population_pct"), "center", F.concat("segment", F.lit("_value")).alias("name"))
+    """All segments of the thirteen axes, one row for each feature of the centre."""
+    assigned, segments = scored_of(t)
+    d = segmentation.described(segmentation.population(assigned, segments))
+    per = d.select("axis", "segment", "customer_count", "population_pct", "name", "interpretation", F.explode(F.arrays_zip("feature_names", "center_original")).alias("c"))
+    return per.select("axis", "segment", F.get(F.split("c.feature_names", "__"), F.lit(1)).alias("feature"), r("c.center_original", 4).alias("center_original"), "customer_count", r("population_pct").alias("population_pct"), "name", "interpretation")
 
 
 @query("CLU-13")
@@ -286,46 +290,33 @@ OBS = [date(2000, m, 1) for m in range(1, 13, 2)]
 COLUMNS = ["orders", "value", "avg_value", "recency"]
 
 
-def train_of(t):
-    return training_set(orders_of(t), OBS).withColumn("label", F.col("churned").cast("double"))
+PREPARED = ("has_returns", "business_hours_ratio", "total_orders", "lifetime_value", "purchase_consistency", "days_since_last_purchase")
+_RAW = " UNION ALL ".join(f"SELECT customer_id, '{c}' AS feature, coalesce(CAST({c} AS DOUBLE), 0) AS x FROM wide" for c in PREPARED)
 
 
-@query("CHN-3", f"WITH {WIDE} SELECT 'has_returns' AS feature, var_pop(has_returns) > 0 AS kept FROM wide UNION ALL SELECT 'business_hours_ratio', var_pop(business_hours_ratio) > 0 FROM wide UNION ALL SELECT 'total_orders', var_pop(total_orders) > 0 FROM wide")
+@query("CHN-3", f"WITH {WIDE}, rw AS ({_RAW}), sp AS (SELECT feature, avg(x) AS m, stddev_pop(x) AS s FROM rw GROUP BY 1) SELECT customer_id, feature, round((x - m) / s, 6) AS value FROM rw JOIN sp USING (feature) WHERE s > 0")
 def chn_3(t):
-    names = ["has_returns", "business_hours_ratio", "total_orders"]
-    one = wide_of(t).agg(*[F.var_pop(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(c) for c in names])
-    return one.select(F.explode(F.create_map(*[x for c in names for x in (F.lit(c), F.col(c) > 0)])).alias("feature", "kept"))
-
-
-def churn_model(train):
-    return GBTClassifier(featuresCol="f", labelCol="label", maxIter=10, maxDepth=3, seed=1).fit(VectorAssembler(inputCols=COLUMNS, outputCol="f").transform(train))
+    """The features that are left, scaled, one row for each customer and feature."""
+    d, kept = preprocess(wide_of(t).select("customer_id", *PREPARED), PREPARED)
+    return d.select("customer_id", F.explode(F.create_map(*[x for c in kept for x in (F.lit(c), r(c))])).alias("feature", "value"))
 
 
 @query("CHN-4")
 def chn_4(t):
-    """Folds by observation date: train before, test on the date; area under the curve of each."""
-    d = train_of(t).persist()
-    rows = []
-    for cut in OBS[2:]:
-        model = churn_model(d.where(F.col("obs_date") < cut))
-        scored = model.transform(VectorAssembler(inputCols=COLUMNS, outputCol="f").transform(d.where(F.col("obs_date") == cut)))
-        rows.append((str(cut), float(BinaryClassificationEvaluator(labelCol="label").evaluate(scored))))
-    d.unpersist()
-    return t.spark.createDataFrame(rows, "obs_date string, auc double")
+    """Five folds by observation date with the mean and spread of their figures, and the final model's on the dates after four fifths."""
+    return churn.cross_validate(churn.stashed(training_set(orders_of(t), OBS)), COLUMNS)
 
 
 @query("CHN-7")
 def chn_7(t):
-    d = train_of(t)
-    scored = churn_model(d.where(F.col("obs_date") < OBS[-1])).transform(VectorAssembler(inputCols=COLUMNS, outputCol="f").transform(d.where(F.col("obs_date") == OBS[-1])))
-    p = vector_to_array("probability")[1]
-    return scored.select("customer_id", p.alias("probability"), (p >= 0.5).alias("at_risk"), F.when(p >= 0.8, "critical").when(p >= 0.6, "high").when(p >= 0.4, "medium").otherwise("low").alias("level"))
+    d = training_set(orders_of(t), OBS)
+    model = churn.fit(d.where(F.col("obs_date") < OBS[-1]), COLUMNS)
+    return churn.risk_report(churn.scored(model, d.where(F.col("obs_date") == OBS[-1]), COLUMNS)).select("customer_id", "probability", "at_risk", "confidence", "level")
 
 
 @query("CHN-10")
 def chn_10(t):
-    v = churn_model(train_of(t)).featureImportances.toArray()
-    return t.spark.createDataFrame(sorted(((c, float(x)) for c, x in zip(COLUMNS, v, strict=True)), key=lambda x: -x[1]), "feature string, importance double")
+    return churn.importances(churn.fit(training_set(orders_of(t), OBS), COLUMNS), COLUMNS, t.spark)
 
 
 @query("LTV-1")

@@ -88,6 +88,15 @@ def join_2(t):
     return joins.join_date_tolerant(o, o).where("order_id < other_order_id").select("customer_id", "order_id", F.col("day").cast("string").alias("day"), "other_order_id", F.col("other_day").cast("string").alias("other_day"))
 
 
+@query("JOIN-2-nearest", f"WITH {DAYS}, s AS (SELECT o_custkey AS customer_id, l_orderkey AS order_id, min(CAST(l_shipdate AS DATE)) AS day FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2), p AS (SELECT s.order_id, o.order_id AS other, o.day AS other_day, abs(date_diff('day', s.day, o.day)) AS apart, row_number() OVER (PARTITION BY s.order_id ORDER BY abs(date_diff('day', s.day, o.day)), o.day, o.order_id) AS rn FROM s JOIN o ON s.customer_id = o.customer_id AND abs(date_diff('day', s.day, o.day)) <= 3) SELECT s.customer_id, s.order_id, CAST(s.day AS VARCHAR) AS day, p.other AS other_order_id, CAST(p.other_day AS VARCHAR) AS other_day, CAST(p.apart AS INT) AS days_apart FROM s LEFT JOIN p ON p.order_id = s.order_id AND rn = 1")
+def join_2_nearest(t):
+    """The first shipment of each order with the nearest order date of its customer, three days away at most."""
+    shipped = t.raw_lines.groupBy("order_id").agg(F.min(F.to_date("ship_date")).alias("day")).join(t.headers.select("order_id", "customer_id"), "order_id")
+    o = t.headers.select("customer_id", "order_id", F.to_date("order_date").alias("day"))
+    d = joins.nearest_by_date(shipped, o, days=3)
+    return d.select("customer_id", "order_id", F.col("day").cast("string").alias("day"), "other_order_id", F.col("other_day").cast("string").alias("other_day"), "days_apart")
+
+
 @query("JOIN-3", f"WITH {DAYS} SELECT a.customer_id, CAST(a.day AS VARCHAR) AS day, a.order_id, b.order_id AS other_order_id FROM o a JOIN o b USING (customer_id, day) WHERE a.order_id < b.order_id")
 def join_3(t):
     o = t.headers.select("customer_id", "order_id", F.to_date("order_date").alias("day"))

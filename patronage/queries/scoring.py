@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import functions as F
 
@@ -203,12 +203,27 @@ def cmp_1(t):
     return d.withColumn("cost", F.floor("cost")).withColumn("benefit", F.floor("benefit"))
 
 
-@query("CMP-2", f"WITH {PROF} SELECT customer_id, CASE WHEN seg_purchase_value = 'high' AND churn_risk_score >= 0.5 THEN 'senior_agent' WHEN seg_purchase_value = 'high' THEN 'account_manager' WHEN seg_return_behavior = 'returner' THEN 'returns_desk' ELSE 'general' END AS queue, CASE primary_channel WHEN 'web' THEN 'evening' WHEN 'pos' THEN 'afternoon' ELSE 'morning' END AS slot FROM prof")
+#: Segments at the quantiles of an axis stand for the fitted ones.
+DESK = (("problem_complexity_profile", "high", "senior_agent_queue"), ("loyalty_trajectory", "low", "retention_specialist"), ("product_knowledge", "high", "product_specialist"))
+DESK_SQL = ALL_AXES + ", dm AS (SELECT customer_id, " + ", ".join(f"max(segment) FILTER (axis = '{a}') AS {n}" for (a, *_), n in zip(DESK, ("complexity", "loyalty", "knowledge"), strict=True)) + " FROM m13 WHERE rn = 1 GROUP BY 1), rt AS (SELECT customer_id, CAST(count(*) FILTER (line_item_refunds > 0) AS DOUBLE) / count(*) AS rate FROM lines WHERE product_id IS NOT NULL AND order_date >= (SELECT max(order_date) FROM ord) - INTERVAL 90 DAY GROUP BY 1)"
+
+
+def desk_of(t):
+    times = F.element_at(F.array(*[F.lit(x) for x in ("morning", "afternoon", "evening")]), F.col("preferred_time_numeric") + 1)
+    w = wide_of(t).select("customer_id", "lifetime_value", "weekend_vs_weekday_ratio", "business_hours_ratio", times.alias("preferred_contact_time"))
+    return assigned_of(t).select("customer_id", "dominant").join(w, "customer_id")
+
+
+@query("CMP-2", f"WITH {DESK_SQL} SELECT customer_id, CASE WHEN complexity = 'high' THEN 'senior_agent_queue' WHEN loyalty = 'low' THEN 'retention_specialist' WHEN knowledge = 'high' THEN 'product_specialist' ELSE 'general_support' END AS queue, CASE WHEN weekend_vs_weekday_ratio > 2 THEN 'saturday_9am' WHEN business_hours_ratio > 0.8 THEN 'weekday_2pm' WHEN preferred_time_numeric = 2 THEN 'weekday_6pm' END AS slot FROM dm JOIN wide USING (customer_id)")
 def cmp_2(t):
-    s = F.col("dominant_segments")
-    high = s["purchase_value"] == "high"
-    queue = F.when(high & (F.col("churn_risk_score") >= 0.5), "senior_agent").when(high, "account_manager").when(s["return_behavior"] == "returner", "returns_desk").otherwise("general")
-    return profiles_of(t).select("customer_id", queue.alias("queue"), F.when(F.col("primary_channel") == "web", "evening").when(F.col("primary_channel") == "pos", "afternoon").otherwise("morning").alias("slot"))
+    return sc.route_tickets(desk_of(t), DESK)
+
+
+@query("CMP-2-outreach", f"WITH {DESK_SQL} SELECT customer_id, 'declining' AS reason, 'high' AS priority FROM dm JOIN wide USING (customer_id) WHERE loyalty = 'low' AND lifetime_value > 800000 UNION ALL SELECT customer_id, 'returns', 'medium' FROM dm JOIN rt USING (customer_id) WHERE complexity = 'high' AND rate > 0.3")
+def cmp_2_outreach(t):
+    since = axes.reference_date_of(t.headers.join(t.raw_lines.select("order_id"), "order_id", "left_semi")) - timedelta(days=90)
+    d = desk_of(t).join(sc.recent_return_rate(t.sales_lines, F.lit(since)), "customer_id", "left")
+    return sc.outreach(d, 800_000, 0.3, DESK).select("customer_id", "reason", "priority")
 
 
 @query("SC-7", "SELECT c_custkey AS customer_id, 'C-' || upper(substr(sha256(CAST(c_custkey AS VARCHAR)), 1, 8)) AS anonymous_id FROM customer")

@@ -50,13 +50,18 @@ TOP13 = f"t13 AS (SELECT a.customer_id, a.axis, a.segment AS one, {STRENGTH13} A
 SIGNED13 = TOP13 + ", s13 AS (SELECT customer_id, string_agg(axis || '=' || one, ';' ORDER BY axis) AS level1, string_agg(axis || '=' || one || ':' || strength, ';' ORDER BY axis) AS level2, string_agg(axis || '=' || two, ';' ORDER BY axis) AS level3 FROM t13 GROUP BY 1)"
 
 
-def assigned_of(t, kind: str = "exp"):
-    """All customers on all axes, by the segments at the quantiles of each axis; features and scores are written once, so that no explode works them out again."""
+def scored_of(t, kind: str = "exp"):
+    """All customers on all axes, by the segments at the quantiles of each axis, and these segments; features and scores are written once, so that no explode works them out again."""
     path, scored = work_path(t.spark, "features"), work_path(t.spark, "profiles")
     axes.flatten(wide_of(t)).write.parquet(path)
     features = t.spark.read.parquet(path)
-    segmentation.assign(features, segmentation.quantile_segments(features, tuple(_SHARES.values()), tuple(_SHARES)), kind).write.parquet(scored)
-    return t.spark.read.parquet(scored)
+    segments = segmentation.quantile_segments(features, tuple(_SHARES.values()), tuple(_SHARES))
+    segmentation.assign(features, segments, kind).write.parquet(scored)
+    return t.spark.read.parquet(scored), segments
+
+
+def assigned_of(t, kind: str = "exp"):
+    return scored_of(t, kind)[0]
 
 
 def scaled(t):
@@ -169,9 +174,7 @@ def arc_1(t):
 
 @query("ARC-2", f"WITH {PROF} SELECT signature, count(*) AS members, round(CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM prof), 6) AS share FROM prof GROUP BY 1")
 def arc_2(t):
-    p = profiles_of(t).select("signature")
-    total = p.agg(F.count("*").alias("all"))
-    return p.groupBy("signature").agg(F.count("*").alias("members")).crossJoin(F.broadcast(total)).select("signature", "members", r(F.col("members") / F.col("all")).alias("share"))
+    return rounded(segmentation.shares_of(profiles_of(t), "signature"))
 
 
 @query("ARC-3", f"WITH {PROF}, c AS (SELECT signature, count(*) AS n FROM prof GROUP BY 1), k AS (SELECT n, row_number() OVER (ORDER BY n DESC, signature) AS i, row_number() OVER (ORDER BY n, signature) AS j, count(*) OVER () AS k FROM c) SELECT count(*) AS archetypes, count(*) FILTER (n = 1) AS singles, count(*) FILTER (n BETWEEN 2 AND 5) AS small, count(*) FILTER (n BETWEEN 6 AND 10) AS medium, count(*) FILTER (n > 10) AS large, round(avg(n), 6) AS mean_size, max(n) FILTER (j = k // 2 + 1) AS median_size, round(CAST(sum(n) FILTER (i <= 10) AS DOUBLE) / sum(n), 6) AS top10 FROM k")
