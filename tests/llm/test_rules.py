@@ -27,7 +27,7 @@ def base(text):
 
 def grams(text):
     w = words_of(text)
-    return [(x[:3],) for x in w] + [(a[-2:], b[:2]) for a, b in zip(w, w[1:], strict=False)]
+    return [(x[:3],) for x in w] + [(x[-3:], "", 1) for x in w] + [(a[-2:], b[:2]) for a, b in zip(w, w[1:], strict=False)]
 
 
 def test_matches_brute_force(spark, make_docs, odd_texts):
@@ -44,7 +44,8 @@ def test_matches_brute_force(spark, make_docs, odd_texts):
     known = sorted({g for _, t in rows for g in grams(t)}, key=str)
     starts = spark.createDataFrame([(k, *g) for k, g in enumerate(known) if len(g) == 1], "k int, a string").selectExpr("k", f"pmod(xxhash64(a), {tr.BUCKETS}) AS h")
     gaps = spark.createDataFrame([(k, *g) for k, g in enumerate(known) if len(g) == 2], "k int, a string, b string").selectExpr("k", f"pmod(xxhash64(a, b), {tr.BUCKETS}) AS h")
-    bucket = {known[r.k]: r.h for r in starts.unionByName(gaps).collect()}
+    ends = spark.createDataFrame([(k, g[0]) for k, g in enumerate(known) if len(g) == 3], "k int, a string").selectExpr("k", f"pmod(xxhash64(a, 1), {tr.BUCKETS}) AS h")
+    bucket = {known[r.k]: r.h for r in starts.unionByName(gaps).unionByName(ends).collect()}
     raw = Counter(bucket[g] for _, t in rows for g in grams(t))
     target = Counter(bucket[g] for i, t in rows if i in trusted for g in grams(t))
     n, m = sum(raw.values()), sum(target.values())
