@@ -102,6 +102,15 @@ def fuzzy_choice(points: DataFrame, ks: range = range(3, 8), largest: float = 0.
     return best.k, models, bool(good)
 
 
+def fuzzy_centers(points: DataFrame, starts: np.ndarray, m: float = 2.0, rounds: int = 150, tolerance: float = 1e-5, key: str = "customer_id") -> np.ndarray | None:
+    """Centres of fuzzy c-means from given starting centres, in the order of their coordinates; None without rows (CLU-11)."""
+    stored = stash_points(points, None, key)
+    if stored.isEmpty():
+        return None
+    k = len(starts)
+    return fuzzy_many(stored, [k], m, rounds, tolerance, starts={k: starts})[k].centers
+
+
 def fuzzy_membership(x: Column, centers: np.ndarray, m: float = 2.0) -> Column:
     """Memberships of a point from the centres, as an array column (CLU-11)."""
     far = [F.greatest(F.aggregate(F.zip_with(x, F.array(*[F.lit(float(v)) for v in c]), lambda a, b: (a - b) ** 2), F.lit(0.0), lambda s, t: s + t), F.lit(1e-20)) for c in centers]

@@ -242,11 +242,12 @@ def kmeans_many(points: DataFrame, wanted: dict[str | None, list[int]], restarts
     return best
 
 
-def fuzzy_many(points: DataFrame, ks: list[int], m: float = 2.0, rounds: int = 150, tolerance: float = 1e-5, seed: int = 5) -> dict[int, Model]:
+def fuzzy_many(points: DataFrame, ks: list[int], m: float = 2.0, rounds: int = 150, tolerance: float = 1e-5, seed: int = 5, starts: dict[int, np.ndarray] | None = None) -> dict[int, Model]:
     """Fuzzy c-means of one group for several k in the same passes, each until its memberships change by less than ``tolerance`` in all (their L2 norm).
 
     Memberships are a function of the centres and are never stored: a pass works out those before and after the last
-    step. Starting memberships are drawn by a hash of the key, alike for any partitioning.
+    step. Starting memberships are drawn by a hash of the key, alike for any partitioning, or are those of the centres
+    in ``starts`` for each k.
     """
     d = _width(points)
     models = [Model("", k, seed, np.zeros((k, d))) for k in ks]
@@ -256,7 +257,9 @@ def fuzzy_many(points: DataFrame, ks: list[int], m: float = 2.0, rounds: int = 1
         near = np.maximum(_far(x, centers), 1e-20) ** (-1 / (m - 1))
         return near / near.sum(1, keepdims=True)
 
-    def start(h: np.ndarray, k: int) -> np.ndarray:
+    def start(x: np.ndarray, h: np.ndarray, k: int) -> np.ndarray:
+        if starts is not None:
+            return soft(x, starts[k])
         u = np.stack([_unit(h, 7919 * seed + 31 * k + c) for c in range(k)], 1)
         return u / u.sum(1, keepdims=True)
 
@@ -266,11 +269,11 @@ def fuzzy_many(points: DataFrame, ks: list[int], m: float = 2.0, rounds: int = 1
             break
 
         def add(x: np.ndarray, h: np.ndarray, model: Model, i: int, moving=moving, no=no) -> np.ndarray:
-            u = start(h, model.k) if no == 0 else soft(x, model.centers)
+            u = start(x, h, model.k) if no == 0 else soft(x, model.centers)
             if no == 0:
                 change = np.full(len(x), np.inf)
             else:
-                old = start(h, model.k) if no == 1 else soft(x, before[moving[i]])
+                old = start(x, h, model.k) if no == 1 else soft(x, before[moving[i]])
                 change = ((u - old) ** 2).sum(1)
             w = u**m
             return np.column_stack([w.T @ x, w.sum(0), np.full(model.k, change.sum())])

@@ -243,8 +243,54 @@ def clu_10(t):
     return u.groupBy("cluster").agg(F.avg("u").alias("mean_membership"), F.count("*").alias("n")).select("cluster", "mean_membership", "n", F.get(sizes, F.col("cluster")).alias("size"), F.lit(k).alias("k"), F.lit(balanced).alias("balanced"))
 
 
-@query("CLU-11", "WITH c AS (SELECT max(c_acctbal) AS a, min(c_acctbal) AS b FROM customer), d AS (SELECT c_custkey, greatest((c_acctbal - a) ** 2 / 1000000, 1e-20) AS x, greatest((c_acctbal - b) ** 2 / 1000000, 1e-20) AS y FROM customer, c) SELECT c_custkey AS customer_id, round(1 / x / (1 / x + 1 / y), 6) AS u0, round(1 / y / (1 / x + 1 / y), 6) AS u1 FROM d")
+#: Starting centres of CLU-11, in units of the robust scaling.
+FUZZY_STARTS = ((-1.0, -1.0, -1.0), (0.0, 0.0, 0.0), (1.0, 1.0, 1.0))
+
+
+def _fuzzy_sql() -> str:
+    """Fuzzy c-means round by round over customers with orders, as the centres g, and all customers, scaled, as ev."""
+    dims, ks = (1, 2, 3), range(3)
+    each = lambda form, sep=", ": sep.join(form.format(i=i) for i in dims)
+    scaled = each("(least(greatest(f{i}, l{i}[1]), l{i}[2]) - q{i}[2]) / CASE WHEN q{i}[3] = q{i}[1] THEN 1 ELSE q{i}[3] - q{i}[1] END AS x{i}")
+    near = lambda c, name: ", ".join("1 / greatest(" + " + ".join(f"pow(x{i} - {c}[{3 * k + i}], 2)" for i in dims) + f", 1e-20) AS {name}{k}" for k in ks)
+    shares = lambda name, to: ", ".join(f"{name}{k} / ({' + '.join(f'{name}{j}' for j in ks)}) AS {to}{k}" for k in ks)
+    centers = ", ".join(f"sum(u{k} * u{k} * x{i}) / greatest(sum(u{k} * u{k}), 1e-300)" for k in ks for i in dims)
+    change = " + ".join(f"pow(u{k} - o{k}, 2)" for k in ks)
+    return (
+        "kn AS MATERIALIZED (SELECT customer_id, coalesce(sum(total_price), 0) AS f1, coalesce(avg(total_price), 0) AS f2, coalesce(max(total_price), 0) AS f3 FROM (SELECT customer_id, CASE WHEN isfinite(total_price) THEN total_price END AS total_price FROM ord) GROUP BY 1), "
+        f"lm AS (SELECT {each('quantile_cont(f{i}, [0.01, 0.99]) AS l{i}')} FROM kn), "
+        f"st AS MATERIALIZED (SELECT {each('any_value(l{i}) AS l{i}, quantile_cont(least(greatest(f{i}, l{i}[1]), l{i}[2]), [0.25, 0.5, 0.75]) AS q{i}')} FROM kn, lm), "
+        f"px AS MATERIALIZED (SELECT {scaled} FROM kn, st), "
+        f"fit AS (SELECT 0 AS no, CAST({[v for c in FUZZY_STARTS for v in c]} AS DOUBLE[]) AS c, CAST(NULL AS DOUBLE[]) AS b UNION ALL "
+        f"SELECT no + 1, [{centers}], c FROM (SELECT no, c, {each('x{i}')}, {shares('a', 'u')}, {shares('d', 'o')} FROM (SELECT no, c, {each('x{i}')}, {near('c', 'a')}, {near('b', 'd')} FROM fit, px WHERE no < 150)) GROUP BY no, c HAVING no = 0 OR sqrt(sum({change})) >= 1e-5), "
+        "g AS (SELECT list_sort([c[1:3], c[4:6], c[7:9]]) AS g FROM fit WHERE no > 0 ORDER BY no DESC LIMIT 1), "
+        f"ev AS (SELECT id AS customer_id, {scaled} FROM (SELECT coalesce(c_custkey, customer_id) AS id, {each('coalesce(f{i}, 0) AS f{i}')} FROM customer FULL JOIN kn ON c_custkey = customer_id), st)"
+    )
+
+
+_FUZZY_NEAR = ", ".join("1 / greatest(" + " + ".join(f"pow(x{i} - g[{k}][{i}], 2)" for i in (1, 2, 3)) + f", 1e-20) AS a{k}" for k in (1, 2, 3))
+
+
+@query("CLU-11", f"WITH RECURSIVE {ORDERS}, {_fuzzy_sql()} SELECT customer_id, {', '.join(f'CASE WHEN g IS NOT NULL THEN round(a{k} / (a1 + a2 + a3), 6) END AS u{k - 1}' for k in (1, 2, 3))} FROM (SELECT customer_id, g, {_FUZZY_NEAR} FROM ev LEFT JOIN g ON true)")
 def clu_11(t):
+    """Memberships of all customers in three segments of purchase value, fitted on those with orders; the others are new rows, whose figures are 0."""
+    names, path = KEY_AXES["purchase_value"], work_path(t.spark, "features")
+    # Orders that have lines, each once; of the lines only the order's number moves.
+    dated = t.headers.where("customer_id IS NOT NULL").join(t.raw_lines.select("order_id"), "order_id", "left_semi")
+    orders = dated.groupBy("customer_id", "order_id").agg(F.min(F.col("order_total").cast("double")).alias("total_price"))
+    # NaN and infinite prices count as missing.
+    price = F.when(F.abs("total_price") < float("inf"), F.col("total_price"))
+    orders.groupBy("customer_id").agg(*[f(price).alias(n) for f, n in zip((F.sum, F.avg, F.max), names, strict=True)]).write.parquet(path)
+    known = t.spark.read.parquet(path)
+    scaler = mem.fit_scaler(known, names, "robust", winsorise=True)
+    centers = cl.fuzzy_centers(cl.vectors(known, scaler), np.array(FUZZY_STARTS))
+    u = cl.fuzzy_membership(F.array(*scaler.columns()), centers) if centers is not None else F.lit(None).cast("array<double>")
+    every = t.stores.select("customer_id").join(known, "customer_id", "full")
+    return every.select("customer_id", u.alias("u")).select("customer_id", *[r(F.col("u")[k]).alias(f"u{k}") for k in range(3)])
+
+
+@query("CLU-11-given", "WITH c AS (SELECT max(c_acctbal) AS a, min(c_acctbal) AS b FROM customer), d AS (SELECT c_custkey, greatest((c_acctbal - a) ** 2 / 1000000, 1e-20) AS x, greatest((c_acctbal - b) ** 2 / 1000000, 1e-20) AS y FROM customer, c) SELECT c_custkey AS customer_id, round(1 / x / (1 / x + 1 / y), 6) AS u0, round(1 / y / (1 / x + 1 / y), 6) AS u1 FROM d")
+def clu_11_given(t):
     """Memberships of all customers from given centres: the two ends of the balance."""
     ends = t.stores.agg(F.max("balance").alias("a"), F.min("balance").alias("b")).first()
     u = cl.fuzzy_membership(F.array(F.col("balance") / 1000), np.array([[ends["a"] / 1000], [ends["b"] / 1000]]))
