@@ -56,7 +56,8 @@ def src_3(t):
     """Orders with lines are written as nested JSON, with fields that some orders lack, landed as text and flattened."""
     o, p = F.col("order_id"), F.col("product_id")
     currency = F.when(o % 2 == 0, "EUR").otherwise("USD")
-    money = lambda c: F.struct(F.struct(c.cast("decimal(20,6)").cast("string").alias("amount"), currency.alias("currencyCode")).alias("shopMoney"))
+    # An amount is the shortest text of its double: rounded to digits it can cross a whole number.
+    money = lambda c: F.struct(F.struct(c.cast("string").alias("amount"), currency.alias("currencyCode")).alias("shopMoney"))
     product = F.struct(p.cast("string").alias("legacyResourceId"), F.when(p % 7 != 0, F.col("product_name")).alias("title"), F.col("product_type").alias("productType"))
     variant = F.when(p % 3 == 0, F.struct(F.concat(F.lit("v"), p).alias("title")))
     node = F.struct(F.col("quantity").cast("int").alias("quantity"), F.concat(F.lit("sku-"), p).alias("sku"), product.alias("product"), variant.alias("variant"), money(F.col("list_price")).alias("originalTotalSet"), money(F.col("line_item_sales")).alias("discountedTotalSet"))
