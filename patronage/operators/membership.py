@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from patronage.operators.quantiles import quantiles
 
+#: Shares that differ by less are equal: rounding alone sets them apart.
+ALIKE = 1e-9
+
 
 @dataclass(frozen=True)
 class Scaler:
@@ -69,9 +72,15 @@ def memberships(d: Column, kind: str = "exp") -> Column:
 
 
 def ranked(m: Column) -> Column:
-    """Entries of a membership map from the largest share down, ties by name, as structs (score, segment)."""
-    down = F.array_sort(F.transform(F.map_entries(m), lambda e: F.struct((-e["value"]).alias("n"), e["key"].alias("segment"))))
-    return F.transform(down, lambda x: F.struct((-x["n"]).alias("score"), x["segment"].alias("segment")))
+    """Entries of a membership map from the largest share down, ties by name, as structs (score, segment).
+
+    Shares within ``ALIKE`` of each other are ties: where two distances are equal by rule, as on the two sides of a centre,
+    the last digits of the scaling would else order all customers by the way in which rows happened to be added up.
+    """
+    shares = F.map_values(m)
+    place = lambda v: F.array_max(F.filter(shares, lambda w: w <= v + ALIKE))
+    down = F.array_sort(F.transform(F.map_entries(m), lambda e: F.struct((-place(e["value"])).alias("n"), e["key"].alias("segment"), e["value"].alias("score"))))
+    return F.transform(down, lambda x: F.struct(x["score"].alias("score"), x["segment"].alias("segment")))
 
 
 def strength(top: Column) -> Column:
