@@ -104,27 +104,27 @@ def order_features(orders: DataFrame, reference_date: datetime) -> DataFrame:
 def item_features(items: DataFrame) -> DataFrame:
     """One row for each customer from its items.
 
-    One reading of the items makes the totals by (customer, product), by (customer, category) and by customer, combined
-    within the tasks first; these totals meet once more by customer, where products are ranked for the top fifth.
+    The items are dealt out by customer once, as they are; windows by product and by category, the rank of the products
+    for the top fifth and the aggregate all work on that one exchange. The first line of a product or category stands for it.
     """
     price, refund = F.col("price"), F.col("refund_amount")
-    sets = items.groupingSets([["customer_id"], ["customer_id", "product_id"], ["customer_id", "category"]], "customer_id", "product_id", "category").agg(
-        F.grouping_id().alias("level"), F.count("*").alias("n"), F.sum("quantity").alias("q"), F.sum(refund).alias("total_refunds"), F.count_if(refund > 0).alias("n_returned"), F.avg(price).alias("avg_item_price"), F.stddev_samp(price).alias("price_std"),
+    mine, product, category = W.partitionBy("customer_id"), W.partitionBy("customer_id", "product_id"), W.partitionBy("customer_id", "category")
+    rows = items.select("customer_id", "product_id", "category", "quantity", "price", "refund_amount").repartition("customer_id")
+    rows = rows.select("*", F.count("*").over(product).alias("pn"), F.sum("quantity").over(product).alias("pq"), (F.row_number().over(product.orderBy("product_id")) == 1).alias("is_product"))
+    rows = rows.select("*", F.count("category").over(category).alias("cn"), F.sum("quantity").over(category).alias("cq"), ((F.row_number().over(category.orderBy("category")) == 1) & F.col("category").isNotNull()).alias("is_category"))
+    ranked = rows.select(
+        "*", F.row_number().over(mine.orderBy(F.col("is_product").desc(), F.col("pq").desc(), "product_id")).alias("r"),
+        F.count_if("is_product").over(mine).alias("m"), F.sum("quantity").over(mine).alias("all_q"), F.count("category").over(mine).alias("all_n"),
     )
-    level = F.when(F.col("level") == 3, "whole").when(F.col("level") == 1, "product").otherwise("category")
-    rows = sets.withColumn("level", level).where("level <> 'category' OR category IS NOT NULL").repartition("customer_id")
-    mine = W.partitionBy("customer_id", "level")
-    ranked = rows.select("*", F.row_number().over(mine.orderBy(F.col("q").desc(), "product_id")).alias("r"), F.count("*").over(mine).alias("m"), F.sum("q").over(mine).alias("all_q"), F.sum("n").over(mine).alias("all_n"))
-    of = lambda name, c: F.when(F.col("level") == name, c)
-    share, p, n = F.col("q") / F.nullif("all_q", F.lit(0)), F.col("n") / F.col("all_n"), F.col("n")
-    kinds = F.count(of("category", n))
+    of = lambda name, c: F.when(F.col(name), c)
+    pn, share, p = F.col("pn"), F.col("pq") / F.nullif("all_q", F.lit(0)), F.col("cn") / F.col("all_n")
+    kinds = F.count_if("is_category")
     return ranked.groupBy("customer_id").agg(
-        F.max(of("whole", n)).alias("total_items"), F.max(of("whole", F.col("total_refunds"))).alias("total_refunds"), (F.max(of("whole", F.col("n_returned"))) / F.max(of("whole", n))).alias("items_returned_pct"),
-        F.max(of("whole", F.col("avg_item_price"))).alias("avg_item_price"), F.max(of("whole", F.col("price_std"))).alias("price_std"),
-        F.count(of("product", n)).alias("unique_products"), F.sum(of("product", share * share)).alias("product_concentration"), (F.count_if(of("product", n) > 1) / F.count(of("product", n))).alias("repeat_product_rate"),
-        F.coalesce(F.avg(F.when(of("product", n) > 1, n)), F.lit(0.0)).alias("avg_repurchase_count"), F.sum(of("product", F.when(F.col("r") <= F.greatest(F.lit(1), F.floor(F.col("m") * 0.2)), share))).alias("loyalty_index"),
-        kinds.alias("unique_categories"), F.coalesce(F.sum(of("category", -p * F.ln(p))) / F.when(kinds > 1, F.ln(kinds)).otherwise(1.0), F.lit(0.0)).alias("category_diversity"),
-        (F.max(of("category", F.col("q"))) / F.nullif(F.sum(of("category", F.col("q"))), F.lit(0))).alias("primary_category_dominance"), F.count_if(of("category", n) >= 3).alias("categories_mastered"),
+        F.count("*").alias("total_items"), F.sum(refund).alias("total_refunds"), (F.count_if(refund > 0) / F.count("*")).alias("items_returned_pct"), F.avg(price).alias("avg_item_price"), F.stddev_samp(price).alias("price_std"),
+        F.count_if("is_product").alias("unique_products"), F.sum(of("is_product", share * share)).alias("product_concentration"), (F.count_if(F.col("is_product") & (pn > 1)) / F.count_if("is_product")).alias("repeat_product_rate"),
+        F.coalesce(F.avg(of("is_product", F.when(pn > 1, pn))), F.lit(0.0)).alias("avg_repurchase_count"), F.sum(of("is_product", F.when(F.col("r") <= F.greatest(F.lit(1), F.floor(F.col("m") * 0.2)), share))).alias("loyalty_index"),
+        kinds.alias("unique_categories"), F.coalesce(F.sum(of("is_category", -p * F.ln(p))) / F.when(kinds > 1, F.ln(kinds)).otherwise(1.0), F.lit(0.0)).alias("category_diversity"),
+        (F.max(of("is_category", F.col("cq"))) / F.nullif(F.sum(of("is_category", F.col("cq"))), F.lit(0))).alias("primary_category_dominance"), F.count_if(F.col("is_category") & (F.col("cn") >= 3)).alias("categories_mastered"),
     ).select(
         "customer_id", "total_items", "total_refunds", "items_returned_pct", F.when(F.col("total_refunds") > 0, 1.0).otherwise(0.0).alias("has_returns"), "avg_item_price", (F.col("price_std") / _or(F.col("avg_item_price"), 1.0)).alias("price_variance"),
         "unique_products", "product_concentration", (1 - F.col("product_concentration")).alias("product_diversity"), "repeat_product_rate", "avg_repurchase_count", "loyalty_index", (1 - F.col("loyalty_index")).alias("purchase_variety"),
@@ -144,6 +144,6 @@ def axis(wide: DataFrame, name: str) -> DataFrame:
     return wide.select("customer_id", *[F.col(ALIASES.get(f, f)).alias(f) for f in AXES[name]])
 
 
-def flatten(wide: DataFrame) -> DataFrame:
-    """All features as ``axis__feature`` doubles, null as 0 (FEAT-2)."""
-    return wide.select("customer_id", *[F.coalesce(F.col(ALIASES.get(f, f)).cast("double"), F.lit(0.0)).alias(f"{a}__{f}") for a, fs in AXES.items() for f in fs])
+def flatten(wide: DataFrame, only: tuple[str, ...] = tuple(AXES), keep: tuple[str, ...] = ()) -> DataFrame:
+    """All features of all axes or of some as ``axis__feature`` doubles, null as 0 (FEAT-2); columns of ``keep`` stay beside them as they are."""
+    return wide.select("customer_id", *keep, *[F.coalesce(F.col(ALIASES.get(f, f)).cast("double"), F.lit(0.0)).alias(f"{a}__{f}") for a in only for f in AXES[a]])

@@ -105,33 +105,29 @@ def discover(features: DataFrame, size: int | None = None, restarts: int = 10, l
     return long.groupBy("axis").applyInPandas(fit, SEGMENTS)
 
 
-def quantile_segments(features: DataFrame, shares: tuple[float, ...] = (0.2, 0.5, 0.8), names: tuple[str, ...] = ("low", "middle", "high")) -> DataFrame:
-    """A table of segments without a fit: for each axis the points at the same quantile of all its features, scaled by the population."""
-    columns = [c for a in AXES for c in columns_of(a)]
+def quantile_segments(features: DataFrame, shares: tuple[float, ...] = (0.2, 0.5, 0.8), names: tuple[str, ...] = ("low", "middle", "high"), only: tuple[str, ...] = tuple(AXES)) -> DataFrame:
+    """A table of segments without a fit: for each axis, or each of ``only``, the points at the same quantile of all its features, scaled by the population."""
+    columns = [c for a in only for c in columns_of(a)]
     scaler = mem.fit_scaler(features, tuple(columns))
     at = dict(zip(columns, zip(quantiles(features, [F.col(c) for c in columns], shares), scaler.center, scaler.scale, strict=True), strict=True))
     rows = []
-    for a in AXES:
+    for a in only:
         own = columns_of(a)
         scale = ("standard", [at[c][1] for c in own], [at[c][2] for c in own])
         rows += [(a, n, [round((at[c][0][k] - at[c][1]) / at[c][2], 4) for c in own], list(own), scale, len(names), None) for k, n in enumerate(names)]
     return features.sparkSession.createDataFrame(rows, SEGMENTS)
 
 
-def _by_axis(value) -> Column:
-    return F.create_map(*[x for a in AXES for x in (F.lit(a), value(a))])
+def _by_axis(value, only: tuple[str, ...] = tuple(AXES)) -> Column:
+    return F.create_map(*[x for a in only for x in (F.lit(a), value(a))])
 
 
-def assign(features: DataFrame, segments: DataFrame, kind: str = "exp") -> DataFrame:
-    """Every customer on every axis (MEM-1 to MEM-4, CLU-15).
-
-    customer_id, distances and memberships (axis -> segment -> value), dominant and strength (axis -> value), and
-    confidence, the mean over the axes of 1 / (1 + distance to the nearest centre).
-    """
+def by_axis(features: DataFrame, segments: DataFrame, kind: str = "exp", only: tuple[str, ...] = tuple(AXES), keep: tuple[str, ...] = ()) -> DataFrame:
+    """customer_id, the columns of ``keep``, and for each axis, or each of ``only``, a column of its name with the distances and m_ of it with the memberships."""
     rows = segments.limit(MOST_SEGMENTS + 1).collect()
     if len(rows) > MOST_SEGMENTS:
         raise ValueError(f"more than {MOST_SEGMENTS} segments")
-    of = {a: [r for r in rows if r["axis"] == a] for a in AXES}
+    of = {a: [r for r in rows if r["axis"] == a] for a in only}
     far = []
     for a, own in of.items():
         if not own:
@@ -139,7 +135,22 @@ def assign(features: DataFrame, segments: DataFrame, kind: str = "exp") -> DataF
         s = own[0]["scaler"]
         point = mem.Scaler(tuple(own[0]["feature_names"]), tuple(s["center"]), tuple(s["scale"])).columns()
         far.append(mem.distances(point, {r["segment"]: tuple(r["center"]) for r in own}).alias(a))
-    shares = features.select("customer_id", *far).select("*", *[mem.memberships(F.col(a), kind).alias(f"m_{a}") for a in AXES])
+    return features.select("customer_id", *keep, *far).select("*", *[mem.memberships(F.col(a), kind).alias(f"m_{a}") for a in only])
+
+
+def dominants(features: DataFrame, segments: DataFrame, only: tuple[str, ...], keep: tuple[str, ...] = ()) -> DataFrame:
+    """customer_id, the columns of ``keep`` and dominant (axis -> segment) of the axes of ``only``, in one pass."""
+    shares = by_axis(features, segments, "exp", only, keep)
+    return shares.select("customer_id", *keep, _by_axis(lambda a: mem.ranked(F.col(f"m_{a}"))[0]["segment"], only).alias("dominant"))
+
+
+def assign(features: DataFrame, segments: DataFrame, kind: str = "exp") -> DataFrame:
+    """Every customer on every axis (MEM-1 to MEM-4, CLU-15).
+
+    customer_id, distances and memberships (axis -> segment -> value), dominant and strength (axis -> value), and
+    confidence, the mean over the axes of 1 / (1 + distance to the nearest centre).
+    """
+    shares = by_axis(features, segments, kind)
     ranked = shares.select("*", *[mem.ranked(F.col(f"m_{a}")).alias(f"r_{a}") for a in AXES])
     near = [1 / (1 + F.array_min(F.map_values(F.col(a)))) for a in AXES]
     return ranked.select(

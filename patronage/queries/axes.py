@@ -13,7 +13,7 @@ WHOLE = {"total_orders", "recent_orders_90d", "days_since_last_purchase", "uniqu
 def wide_of(t: Tables):
     # The last date of orders that have lines, without building the orders for it.
     dated = t.headers.join(t.raw_lines.select("order_id"), "order_id", "left_semi")
-    return axes.wide_features(to_orders(t.sales_lines), to_items(t.sales_lines), axes.reference_date_of(dated))
+    return axes.wide_features(to_orders(t.headed_lines), to_items(t.sales_lines), axes.reference_date_of(dated))
 
 
 def _pick(names, prefix: str = "") -> str:

@@ -50,12 +50,18 @@ TOP13 = f"t13 AS (SELECT a.customer_id, a.axis, a.segment AS one, {STRENGTH13} A
 SIGNED13 = TOP13 + ", s13 AS (SELECT customer_id, string_agg(axis || '=' || one, ';' ORDER BY axis) AS level1, string_agg(axis || '=' || one || ':' || strength, ';' ORDER BY axis) AS level2, string_agg(axis || '=' || two, ';' ORDER BY axis) AS level3 FROM t13 GROUP BY 1)"
 
 
+def quantiled_of(t, only: tuple[str, ...] = tuple(axes.AXES), keep: tuple[str, ...] = ()):
+    """Features of the axes, with the columns of ``keep``, written once, and segments at the quantiles of each axis."""
+    path = work_path(t.spark, "features")
+    axes.flatten(wide_of(t), only, keep).write.parquet(path)
+    features = t.spark.read.parquet(path)
+    return features, segmentation.quantile_segments(features, tuple(_SHARES.values()), tuple(_SHARES), only)
+
+
 def scored_of(t, kind: str = "exp"):
     """All customers on all axes, by the segments at the quantiles of each axis, and these segments; features and scores are written once, so that no explode works them out again."""
-    path, scored = work_path(t.spark, "features"), work_path(t.spark, "profiles")
-    axes.flatten(wide_of(t)).write.parquet(path)
-    features = t.spark.read.parquet(path)
-    segments = segmentation.quantile_segments(features, tuple(_SHARES.values()), tuple(_SHARES))
+    scored = work_path(t.spark, "profiles")
+    features, segments = quantiled_of(t)
     segmentation.assign(features, segments, kind).write.parquet(scored)
     return t.spark.read.parquet(scored), segments
 
@@ -88,7 +94,10 @@ def clu_1(t):
 
 @query("CLU-2", f"WITH {WIDE}, q AS (SELECT quantile_cont(lifetime_value, 0.25) AS a, median(lifetime_value) AS b, quantile_cont(lifetime_value, 0.75) AS c, quantile_cont(has_returns, 0.75) - quantile_cont(has_returns, 0.25) AS z, median(has_returns) AS hm FROM wide) SELECT customer_id, round((lifetime_value - b) / (c - a), 6) AS lifetime_value, round((has_returns - hm) / CASE WHEN z = 0 THEN 1 ELSE z END, 6) AS has_returns FROM wide, q")
 def clu_2(t):
-    w = wide_of(t)
+    # Written once: the quantiles read the two columns twice before the customers are scaled.
+    path = work_path(t.spark, "two-features")
+    wide_of(t).select("customer_id", "lifetime_value", "has_returns").write.parquet(path)
+    w = t.spark.read.parquet(path)
     x, y = mem.fit_scaler(w, ("lifetime_value", "has_returns"), "robust").columns()
     return w.select("customer_id", r(x).alias("lifetime_value"), r(y).alias("has_returns"))
 

@@ -51,10 +51,15 @@ class Tables:
     def products(self) -> DataFrame:
         return self.read("part").select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("product_name"), F.col("p_type").alias("category"), F.col("p_brand").alias("product_type"))
 
+    @cached_property
+    def headed_lines(self) -> DataFrame:
+        """Order lines with their headers: all that orders are made of."""
+        return self.raw_lines.join(self.headers, "order_id", "left")
+
     @cached_property
     def sales_lines(self) -> DataFrame:
         """The denormalised line fact."""
-        return self.raw_lines.join(self.headers, "order_id", "left").join(self.products, "product_id", "left")
+        return self.headed_lines.join(self.products, "product_id", "left")
 
     @cached_property
     def stores(self) -> DataFrame:
