@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from patronage.operators import axes
 from patronage.operators import scoring as sc
+from patronage.plans import segmentation
 from patronage.queries.axes import wide_of
 from patronage.queries.registry import query, r, rounded
 from patronage.queries.sales import PROF, orders_of, profiles_of, ref_of
-from patronage.queries.segments import ALL_AXES, assigned_of
+from patronage.queries.segments import ALL_AXES, assigned_of, quantiled_of
 
 CUST = PROF + ", fr AS (SELECT p.customer_id, total_orders AS orders, CAST(round(i.irp * total_orders * 2) AS BIGINT) AS returns, lifetime_value AS value, recent.v AS recent_value, avg_order_value / 2 AS historic_avg FROM prof p JOIN it i USING (customer_id) JOIN (SELECT customer_id, max(total_price) AS v FROM ord GROUP BY 1) recent USING (customer_id)), pp AS (SELECT avg(orders) AS m, stddev_pop(orders) AS s, quantile_cont(value, 0.99) AS p99, quantile_cont(value, 0.995) AS p995, count(*) AS n FROM fr), an AS (SELECT customer_id, 'return' AS kind, least(1, returns / CAST(orders AS DOUBLE) / 0.8) AS severity FROM fr WHERE orders >= 3 AND returns / CAST(orders AS DOUBLE) >= 0.5 UNION ALL SELECT customer_id, 'velocity', least(1, (orders - m) / s / 5) FROM fr, pp WHERE (orders - m) / s >= 2 UNION ALL SELECT customer_id, 'vip', greatest(0, least(1, (value - p99) / (p995 - p99))) FROM fr, pp WHERE n >= 100 AND value >= p995 UNION ALL SELECT customer_id, 'escalation', least(1, (recent_value / historic_avg - 3) / 7) FROM fr WHERE orders >= 5 AND recent_value / historic_avg >= 3)"
 
@@ -100,11 +101,12 @@ _FUZZY_SQL = ", ".join(f"round(max(score) FILTER (axis = '{a}' AND segment = '{n
 
 @query("CHN-2", f"WITH {ALL_AXES}, fz AS (SELECT customer_id, {_FUZZY_SQL} FROM m13 GROUP BY 1) SELECT fz.*, round(lifetime_value / total_orders, 6) AS aov, round(orders_per_month, 6) AS orders_per_month, round(days_since_last_purchase / CAST(tenure_days AS DOUBLE), 6) AS recency_ratio FROM fz JOIN wide USING (customer_id) WHERE tenure_days > 0")
 def chn_2(t):
-    """The memberships of all thirteen axes as columns, beside figures of the customer."""
-    m = F.col("memberships")
-    fuzzy = assigned_of(t).select("customer_id", *[r(m[a][n]).alias(f"fuzzy_{a}_{n}") for a, n in FUZZY])
-    w = wide_of(t).where("tenure_days > 0").select("customer_id", r(F.col("lifetime_value") / F.col("total_orders")).alias("aov"), r("orders_per_month").alias("orders_per_month"), r(F.col("days_since_last_purchase") / F.col("tenure_days")).alias("recency_ratio"))
-    return fuzzy.join(w, "customer_id")
+    """The memberships of all thirteen axes as columns, beside figures of the customer, all from features that are written once."""
+    features, segments = quantiled_of(t, keep=("lifetime_value", "total_orders", "orders_per_month", "days_since_last_purchase", "tenure_days"))
+    figures = {"aov": F.col("lifetime_value") / F.col("total_orders"), "orders_per_month": F.col("orders_per_month"), "recency_ratio": F.col("days_since_last_purchase") / F.col("tenure_days")}
+    known = features.where("tenure_days > 0").withColumns(figures)
+    shares = segmentation.by_axis(known, segments, keep=tuple(figures))
+    return shares.select("customer_id", *[r(F.col(f"m_{a}")[n]).alias(f"fuzzy_{a}_{n}") for a, n in FUZZY], *[r(c).alias(c) for c in figures])
 
 
 RULE_SCORE = "least(1.0, recency / 180.0)"
