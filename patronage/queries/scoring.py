@@ -12,7 +12,7 @@ from patronage.plans import segmentation
 from patronage.queries.axes import wide_of
 from patronage.queries.registry import query, r, rounded
 from patronage.queries.sales import PROF, orders_of, profiles_of, ref_of
-from patronage.queries.segments import ALL_AXES, assigned_of, quantiled_of
+from patronage.queries.segments import ALL_AXES, quantiled_of
 
 CUST = PROF + ", fr AS (SELECT p.customer_id, total_orders AS orders, CAST(round(i.irp * total_orders * 2) AS BIGINT) AS returns, lifetime_value AS value, recent.v AS recent_value, avg_order_value / 2 AS historic_avg FROM prof p JOIN it i USING (customer_id) JOIN (SELECT customer_id, max(total_price) AS v FROM ord GROUP BY 1) recent USING (customer_id)), pp AS (SELECT avg(orders) AS m, stddev_pop(orders) AS s, quantile_cont(value, 0.99) AS p99, quantile_cont(value, 0.995) AS p995, count(*) AS n FROM fr), an AS (SELECT customer_id, 'return' AS kind, least(1, returns / CAST(orders AS DOUBLE) / 0.8) AS severity FROM fr WHERE orders >= 3 AND returns / CAST(orders AS DOUBLE) >= 0.5 UNION ALL SELECT customer_id, 'velocity', least(1, (orders - m) / s / 5) FROM fr, pp WHERE (orders - m) / s >= 2 UNION ALL SELECT customer_id, 'vip', greatest(0, least(1, (value - p99) / (p995 - p99))) FROM fr, pp WHERE n >= 100 AND value >= p995 UNION ALL SELECT customer_id, 'escalation', least(1, (recent_value / historic_avg - 3) / 7) FROM fr WHERE orders >= 5 AND recent_value / historic_avg >= 3)"
 
@@ -211,9 +211,11 @@ DESK_SQL = ALL_AXES + ", dm AS (SELECT customer_id, " + ", ".join(f"max(segment)
 
 
 def desk_of(t):
+    """What tickets are routed by: the dominant segments of the axes of ``DESK`` and habits, all from features that are written once."""
+    only, habits = tuple(a for a, *_ in DESK), ("lifetime_value", "weekend_vs_weekday_ratio", "business_hours_ratio", "preferred_time_numeric")
+    d = segmentation.dominants(*quantiled_of(t, only, habits), only, habits)
     times = F.element_at(F.array(*[F.lit(x) for x in ("morning", "afternoon", "evening")]), F.col("preferred_time_numeric") + 1)
-    w = wide_of(t).select("customer_id", "lifetime_value", "weekend_vs_weekday_ratio", "business_hours_ratio", times.alias("preferred_contact_time"))
-    return assigned_of(t).select("customer_id", "dominant").join(w, "customer_id")
+    return d.withColumn("preferred_contact_time", times)
 
 
 @query("CMP-2", f"WITH {DESK_SQL} SELECT customer_id, CASE WHEN complexity = 'high' THEN 'senior_agent_queue' WHEN loyalty = 'low' THEN 'retention_specialist' WHEN knowledge = 'high' THEN 'product_specialist' ELSE 'general_support' END AS queue, CASE WHEN weekend_vs_weekday_ratio > 2 THEN 'saturday_9am' WHEN business_hours_ratio > 0.8 THEN 'weekday_2pm' WHEN preferred_time_numeric = 2 THEN 'weekday_6pm' END AS slot FROM dm JOIN wide USING (customer_id)")
