@@ -187,7 +187,10 @@ def smp_6(t):
 
 
 def points_of(t, features):
-    w = wide_of(t)
+    """Scaled points of some features, which are written once: quantiles and scaling read them five times."""
+    path = work_path(t.spark, "own-features")
+    wide_of(t).select("customer_id", *features).write.parquet(path)
+    w = t.spark.read.parquet(path)
     return cl.vectors(w, mem.fit_scaler(w, features, "robust", winsorise=True))
 
 
@@ -220,11 +223,14 @@ def clu_6(t):
 
 @query("CLU-7")
 def clu_7(t):
-    rows = []
-    for axis, features in KEY_AXES.items():
-        k, confidence = cl.vote(cl.k_scores(points_of(t, features), range(2, 7), 5))
-        rows.append((axis, k, confidence, confidence < 0.5))
-    return t.spark.createDataFrame(rows, "axis string, k int, confidence double, low_confidence boolean")
+    """k of two axes by three votes: features of both written once, all their k and restarts in the same passes."""
+    path = work_path(t.spark, "two-axes")
+    wide_of(t).select("customer_id", *[f for own in KEY_AXES.values() for f in own]).write.parquet(path)
+    features = t.spark.read.parquet(path)
+    points = cl.axis_points(features, KEY_AXES, mem.fit_scaler(features, tuple(f for own in KEY_AXES.values() for f in own), "robust", winsorise=True))
+    found = cl.scores_by_group(points, "axis", range(2, 7), 5, 1, False)
+    votes = [(axis, *cl.vote(found[axis])) for axis in KEY_AXES]
+    return t.spark.createDataFrame([(axis, k, confidence, confidence < 0.5) for axis, k, confidence in votes], "axis string, k int, confidence double, low_confidence boolean")
 
 
 @query("CLU-9")

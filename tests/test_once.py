@@ -9,7 +9,7 @@ from patronage.sources.tables import Tables
 from tests.conftest import SMALL
 
 
-@pytest.mark.parametrize("name", ["CLU-2", "CHN-2", "CMP-2"])
+@pytest.mark.parametrize("name", ["CLU-2", "CHN-2", "CMP-2", "CLU-7"])
 def test_features_are_worked_out_once(spark, monkeypatch, name):
     from patronage import catalog
 
