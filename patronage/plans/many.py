@@ -12,7 +12,7 @@ reruns and other partitionings draw the same points.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 
 from patronage.sources.landing import work_path
 
-#: Centres of all models of one pass at most; rows that one numpy step measures against them.
-MOST_CENTRES, STEP_ROWS = 20_000, 2_000
+#: Centres of all models of one pass at most; rows that one numpy step measures against them; rows that a task holds while it packs, bytes of its blocks in a unit of its file.
+MOST_CENTRES, STEP_ROWS, HELD_ROWS, BLOCK_BYTES = 20_000, 2_000, 200_000, 8 << 20
+#: Squared distances closer than this share of the squared lengths are not told apart by products.
+CLOSE = 1e-10
 
 
 @dataclass
@@ -49,8 +51,44 @@ def stash_points(points: DataFrame, group: str | None = None, key: str = "custom
     return points.sparkSession.read.parquet(path)
 
 
+def packed(points: DataFrame) -> DataFrame:
+    """The points in the shared folder as blocks of up to ``STEP_ROWS`` rows of a group: their hashes and their matrix as bytes.
+
+    Some tens of passes read them, and a block costs a pass as little as one row did. Keys are left out.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str | None, list] = {}
+        rows: dict[str | None, int] = {}
+
+        def block(group: str | None) -> pa.RecordBatch:
+            parts = held.pop(group)
+            h, x = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            return pa.RecordBatch.from_arrays([pa.array([group], pa.string()), pa.array([rows.pop(group)], pa.int32()), pa.array([h.tobytes()]), pa.array([x.tobytes()])], ["group", "n", "h", "x"])
+
+        for batch in batches:
+            for group, _, h, x in _steps(batch):
+                if rows.get(group, 0) + len(h) > STEP_ROWS:
+                    yield block(group)
+                held.setdefault(group, []).append((h, x))
+                rows[group] = rows.get(group, 0) + len(h)
+            if sum(rows.values()) > HELD_ROWS:
+                for group in list(rows):
+                    yield block(group)
+        for group in list(rows):
+            yield block(group)
+
+    path = work_path(points.sparkSession, "blocks")
+    points.mapInArrow(each, "group string, n int, h binary, x binary").write.option("parquet.block.size", BLOCK_BYTES).parquet(path)
+    return points.sparkSession.read.parquet(path)
+
+
 def _steps(batch: pa.RecordBatch) -> Iterator[tuple[str | None, np.ndarray, np.ndarray, np.ndarray]]:
-    """(group, row numbers, hashes, matrix) of the rows of each group in a batch, in steps of bounded size."""
+    """(group, row numbers, hashes, matrix) of the rows of each group in a batch, in steps of bounded size; of packed points each block, without row numbers."""
+    if pa.types.is_binary(batch.schema.types[3]) or pa.types.is_large_binary(batch.schema.types[3]):
+        for group, n, h, x in zip(*batch.columns, strict=True):
+            yield group.as_py(), np.zeros(0, np.int64), np.frombuffer(h.as_buffer(), np.int64), np.frombuffer(x.as_buffer()).reshape(n.as_py(), -1)
+        return
     coded = batch.column(0).dictionary_encode()
     codes, h = coded.indices.fill_null(-1).to_numpy(), batch.column(2).to_numpy()
     column = batch.column(3)
@@ -92,6 +130,11 @@ def sums_by_centre(points: DataFrame, models: list[Model], width: int, add: Call
 
     ``add`` takes the rows, their hashes, the model and its number, and returns that matrix for these rows.
     """
+    return _summed(points, models, width, lambda x, h, own: ((m, add(x, h, models[m], m)) for m in own))
+
+
+def _summed(points: DataFrame, models: list[Model], width: int, add_all: Callable[[np.ndarray, np.ndarray, list[int]], Iterable[tuple[int, np.ndarray]]]) -> dict[int, np.ndarray]:
+    """``sums_by_centre`` with a function that takes the numbers of all models of a group at once."""
     of = _by_group(models)
     names = [f"s{i}" for i in range(width)]
 
@@ -99,8 +142,7 @@ def sums_by_centre(points: DataFrame, models: list[Model], width: int, add: Call
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for group, _, h, x in _steps(batch):
-                for m in of.get(group, ()):
-                    part = add(x, h, models[m], m)
+                for m, part in add_all(x, h, of.get(group, [])):
                     total[m] = total[m] + part if m in total else part
         if total:
             which = np.concatenate([np.full(len(t), m, np.int32) for m, t in total.items()])
@@ -128,7 +170,8 @@ def _draw(points: DataFrame, models: list[Model], step: int) -> None:
                     far = _far(x, model.centers).min(1) if len(model.centers) else np.ones(len(x))
                     with np.errstate(divide="ignore"):
                         score = np.where(far > 0, -np.log(_unit(h, 1_000_003 * model.seed + 101 * model.k + step)) / far, np.inf)
-                    i = int(np.lexsort((h, score))[0])
+                    least = np.flatnonzero(score == score.min())
+                    i = int(least[h[least].argmin()])
                     if np.isfinite(score[i]) and (m not in best or (score[i], h[i]) < best[m][:2]):
                         best[m] = (score[i], h[i], x[i])
         if best:
@@ -151,6 +194,41 @@ def _lloyd(x: np.ndarray, h: np.ndarray, model: Model, m: int) -> np.ndarray:
     return np.column_stack([hot @ x, hot.sum(1), hot @ (x * x).sum(1), hot @ far[np.arange(len(x)), near]])
 
 
+def _step(points: DataFrame, models: list[Model], d: int) -> dict[int, np.ndarray]:
+    """Sums, counts, squared lengths and squared distances of rows by their nearest centre, a step of all models.
+
+    Models of one group and k are measured together: one matrix product gives the distances to all their centres but for
+    the rows' own lengths, which change no choice, another the sums of the rows by their nearest; distances follow from these.
+    """
+
+    def add_all(x: np.ndarray, h: np.ndarray, own: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+        by_k: dict[int, list[int]] = {}
+        for m in own:
+            by_k.setdefault(len(models[m].centers), []).append(m)
+        if own:
+            # Measured from the middle of these rows, so that few digits are lost where values are large.
+            middle = x.mean(0)
+            away = x - middle
+            columns = np.column_stack([x, np.ones(len(x)), (x * x).sum(1), away, (away * away).sum(1)])
+        for k, same in by_k.items():
+            centers = np.concatenate([models[m].centers for m in same]) - middle
+            long = (centers * centers).sum(1)
+            far = (long[:, None] - 2 * (centers @ away.T)).reshape(len(same), k, -1)
+            hot = far <= (far.min(1) + CLOSE * (columns[:, -1] + long.max()))[:, None]
+            which, rows = np.nonzero(hot.sum(1) > 1)
+            if len(rows):  # where products cannot tell, differences do, and of equals the first is nearest
+                exact, every = np.zeros((len(rows), k)), np.stack([models[m].centers for m in same])
+                for i in range(x.shape[1]):
+                    exact += (x[rows, i, None] - every[which, :, i]) ** 2
+                hot[which, :, rows] = np.arange(k) == exact.argmin(1)[:, None]
+            sums = hot.reshape(len(centers), -1).astype(np.float64) @ columns
+            width = x.shape[1]
+            inner = sums[:, 2 * width + 2] - 2 * (centers * sums[:, width + 2 : 2 * width + 2]).sum(1) + sums[:, width] * long
+            yield from zip(same, np.column_stack([sums[:, : width + 2], np.maximum(inner, 0)]).reshape(len(same), k, -1), strict=True)
+
+    return _summed(points, models, d + 3, add_all)
+
+
 def _width(points: DataFrame) -> int:
     return points.agg(F.max(F.size("x")).alias("d")).first()["d"] or 0
 
@@ -167,13 +245,13 @@ def _blocks(models: list[Model]) -> Iterator[list[Model]]:
         yield block
 
 
-def evaluate(points: DataFrame, models: list[Model]) -> list[Model]:
+def evaluate(points: DataFrame, models: list[Model], d: int | None = None) -> list[Model]:
     """Sizes, inertia and silhouette of given centres, each row with its nearest; two passes for all models.
 
     The silhouette is that of squared Euclidean distances, whose means over a cluster follow from the cluster's sums;
     a row alone in its cluster scores 0, a model with one cluster that has rows -1.
     """
-    d = _width(points)
+    d = _width(points) if d is None else d
     for block in _blocks(models):
         found = sums_by_centre(points, block, d + 3, _lloyd)
         stats = {}
@@ -212,7 +290,7 @@ def kmeans_many(points: DataFrame, wanted: dict[str | None, list[int]], restarts
     A k of which a group has too few different rows is left out. ``tolerance`` is the squared shift of all centres of a
     model at which it stops.
     """
-    d = _width(points)
+    d, points = _width(points), packed(points)
     models = [Model(g, k, seed * 1000 + r, np.zeros((0, 0))) for g, ks in wanted.items() for k in ks for r in range(restarts)]
     best: dict[tuple, Model] = {}
     for block in _blocks(models):
@@ -225,7 +303,7 @@ def kmeans_many(points: DataFrame, wanted: dict[str | None, list[int]], restarts
             moving = [m for m in block if m.active]
             if not moving:
                 break
-            for m, s in sums_by_centre(points, moving, d + 3, _lloyd).items():
+            for m, s in _step(points, moving, d).items():
                 model, own = moving[m], moving[m].centers.shape[1]
                 n = s[:, own]
                 new = np.where(n[:, None] > 0, s[:, :own] / np.maximum(n, 1)[:, None], model.centers)
@@ -238,7 +316,7 @@ def kmeans_many(points: DataFrame, wanted: dict[str | None, list[int]], restarts
                 best[key] = m
     for m in best.values():
         m.centers = m.centers[np.lexsort(m.centers.T[::-1])]
-    evaluate(points, list(best.values()))
+    evaluate(points, list(best.values()), d)
     return best
 
 
